@@ -26,12 +26,35 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op3_kdtree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .kdtree_topk import build_index, top_k
+
+    vectors = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return top_k(vectors.where("vec_id % 50 = 0"), build_index(vectors, scale=256), k=5, scale=256)
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import overlap_report
 
     return overlap_report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), n=10)
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc_revisit import archive_round_trip
+
+    return archive_round_trip(_table(spark, sf_dir, "pages"))
+
+
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .trie_bpe import decode, encode
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    back = decode(encode(_table(spark, sf_dir, "documents"), path), path)
+    return back.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
