@@ -39,6 +39,16 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlap_report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), n=10)
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .blob_ledger import BASE, listed, of_rules, scan
+    from .storage import new_path
+
+    docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), "text")
+    found = scan(docs, new_path(spark, "ledger")).withColumn("base", of_rules(F.col("findings"), BASE))
+    n = [F.size(of_rules(F.col("base"), (r,))).cast("long").alias(f"n_{r.name}") for r in BASE]
+    return found.select(F.col("path").alias("doc_id"), *n, F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.col("findings")).alias("spans"))
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .warc_revisit import archive_round_trip
 
