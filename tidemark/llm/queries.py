@@ -55,6 +55,13 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_round_trip(_table(spark, sf_dir, "pages"))
 
 
+def op8_debruijn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .debruijn_dedup import remove_repeats
+
+    out = remove_repeats(_table(spark, sf_dir, "documents"), k=13)
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 

@@ -48,3 +48,15 @@ def discard(df: DataFrame) -> None:
 def need(df: DataFrame, *names: str) -> DataFrame:
     """Only the named input columns, so that extra columns can never clash with an operator's own."""
     return df.select(*[df[n] for n in names])
+
+
+def free_shuffles(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of frames that nothing refers to any more.
+
+    Shuffle files go when the driver's JVM collects the frames that made them, which may be long after a
+    written table has replaced them.
+    """
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
