@@ -49,6 +49,12 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("path").alias("doc_id"), *n, F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.col("findings")).alias("spans"))
 
 
+def op6_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .template_extract import extract
+
+    return extract(_table(spark, sf_dir, "pages"))
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .warc_revisit import archive_round_trip
 
