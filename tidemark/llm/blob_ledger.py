@@ -122,3 +122,25 @@ def listed(findings: Column) -> Column:
 
 def of_rules(findings: Column, rules: tuple[Rule, ...]) -> Column:
     return F.filter(findings, lambda x: x["rule"].isin(*[r.name for r in rules]))
+
+
+def redact(text: Column, findings: Column, by: str = "[SECRET]") -> Column:
+    """``text`` with every stretch that findings cover replaced; overlapping findings are one stretch."""
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("text"))
+
+    def cut(done: Column, f: Column) -> Column:
+        fresh = f["start"] >= done["at"]
+        said = F.when(fresh, F.concat(done["text"], F.substring(text, done["at"] + 1, f["start"] - done["at"]), F.lit(by))).otherwise(done["text"])
+        return F.struct(F.greatest(done["at"], f["end"]).alias("at"), said.alias("text"))
+
+    by_start = F.array_sort(F.transform(findings, lambda f: F.struct(f["start"].alias("start"), f["end"].alias("end"))))
+    done = F.aggregate(by_start, start, cut, lambda d: F.concat(d["text"], F.substring(text, d["at"] + 1, F.length(text))))
+    return F.when(F.size(findings) > 0, done).otherwise(text)
+
+
+def redact_all(docs: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """All columns of ``docs`` (doc_id, text, ...), secrets replaced in ``text``. Rows of one doc_id may differ in text."""
+    found = scan(docs.select(F.col("doc_id").alias("path"), "text"), ledger, rules).where(F.size("findings") > 0)
+    found = found.select(F.col("path").alias("found_path"), F.col("blob").alias("found_blob"), F.col("findings").alias("found_spans")).distinct()
+    joined = docs.join(found, docs["doc_id"].eqNullSafe(found["found_path"]) & (F.sha2(F.coalesce(docs["text"], F.lit("")), 256) == found["found_blob"]), "left")
+    return joined.withColumn("text", F.when(F.col("found_spans").isNotNull(), redact(F.col("text"), F.col("found_spans"))).otherwise(F.col("text"))).select(*docs.columns)

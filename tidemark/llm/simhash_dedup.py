@@ -11,6 +11,7 @@ homes are compared with visitors over all 64 bits, so no link is lost and none i
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,49 +20,52 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .storage import materialize, need
+from .storage import free_shuffles, materialize, need
+from .wordscan import mix
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 SEED = 42
-#: (first bit, width, allowance) of each block for a threshold of 4 bits: 1 + 1 + 0 = 4 - (3 - 1).
-BLOCKS = ((0, 23, 1), (23, 24, 1), (47, 17, 0))
+#: (word, first bit, width, allowance) of each block for 4 bits of one word: 1 + 1 + 0 = 4 - (3 - 1).
+BLOCKS = ((0, 0, 23, 1), (0, 23, 24, 1), (0, 47, 17, 0))
 #: Rows of one anchor that one comparison takes at most (on average, by hash) before the anchor is split.
 PIECE = 8192
 
 
-def simhash(text: str | None, shingle_words: int = 4, lower: bool = True) -> int:
-    """64-bit SimHash of whole-text word shingles (repeats count); 0 without words."""
+def simhash(text: str | None, shingle_words: int = 4, width: int = 1) -> np.ndarray:
+    """``width`` 64-bit words of SimHash over whole-text word shingles (repeats count); zero without words.
+
+    The first word has the shingles' XXH64; further ones have scrambled forms of it.
+    """
     import xxhash
 
-    raw = (text or "").encode("utf-8", "surrogatepass")
-    words = (raw.translate(LOWER) if lower else raw).split()
+    words = (text or "").encode("utf-8", "surrogatepass").translate(LOWER).split()
     if not words:
-        return 0
-    if len(words) <= shingle_words:
-        return xxhash.xxh64_intdigest(b" ".join(words), SEED)
-    joined = b" ".join(words)
+        return np.zeros(width, np.uint64)
+    joined, k = b" ".join(words), min(shingle_words, len(words))
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    starts = np.concatenate(([0], ends[:-1] + 1))[: len(words) - shingle_words + 1]
-    ends = ends[shingle_words - 1 :]
-    n, counts, digest = len(starts), np.zeros(64, np.int64), xxhash.xxh64_intdigest
-    for k in range(0, n, 32768):
-        s, e = starts[k : k + 32768].tolist(), ends[k : k + 32768].tolist()
+    starts = np.concatenate(([0], ends[:-1] + 1))[: len(words) - k + 1]
+    ends = ends[k - 1 :]
+    n, counts, digest = len(starts), np.zeros(64 * width, np.int64), xxhash.xxh64_intdigest
+    for at in range(0, n, 16384):
+        s, e = starts[at : at + 16384].tolist(), ends[at : at + 16384].tolist()
         h = np.fromiter((digest(joined[i:j], SEED) for i, j in zip(s, e)), np.uint64, len(s))
-        counts += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.uint32)
-    return int(np.packbits(counts * 2 > n, bitorder="little").view(np.uint64)[0])
+        wide = np.stack([h] + [mix(h + np.uint64(w * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) for w in range(1, width)], 1)
+        counts += np.unpackbits(wide.view(np.uint8).reshape(len(s), -1), axis=1, bitorder="little").sum(0, dtype=np.uint32)
+    return np.packbits(counts * 2 > n, bitorder="little").view(np.uint64)
 
 
-def fingerprints(docs: DataFrame, shingle_words: int = 4) -> DataFrame:
-    """``(doc_id, text)`` -> ``(doc_id, fp long)``; the unsigned fingerprint's bits as a signed long."""
+def fingerprints(docs: DataFrame, shingle_words: int = 4, width: int = 1) -> DataFrame:
+    """``(doc_id, text)`` -> ``(doc_id, fp)``: the bits of one word as a signed long, of several as their bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, max(batch.num_rows, 1), 512):
                 part = batch.slice(at, 512)
-                fp = np.fromiter((simhash(t, shingle_words) for t in part.column(1).to_pylist()), np.uint64, part.num_rows)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+                fp = [simhash(t, shingle_words, width) for t in part.column(1).to_pylist()]
+                held = pa.array([int(f.view(np.int64)[0]) for f in fp], pa.int64()) if width == 1 else pa.array([f.tobytes() for f in fp], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(0), held], ["doc_id", "fp"])
 
-    return need(docs, "doc_id", "text").mapInArrow(run, "doc_id long, fp long")
+    return need(docs, "doc_id", "text").mapInArrow(run, f"doc_id long, fp {'long' if width == 1 else 'binary'}")
 
 
 def _flips(width: int, budget: int) -> list[tuple[int, int]]:
@@ -86,16 +90,21 @@ def _visits(width: int, allowance: int) -> list[np.ndarray]:
     return out
 
 
+VISITOR, HOME, BOTH = 0, 1, 2
+
+
 def anchor_rows(fp: np.ndarray, blocks=BLOCKS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row of fp, anchor key, is home) for the homes and visits of all fingerprints."""
-    rows, keys, homes = [], [], []
+    """(row of fp, anchor key, role) for the homes and visits of all fingerprints, given as rows of 64-bit words.
+
+    Where a block's only anchor is its own word, the fingerprint is home and visitor there in one row.
+    """
+    rows, keys, roles = [], [], []
     index = np.arange(len(fp))
-    for b, (shift, width, allowance) in enumerate(blocks):
-        word = (fp >> np.uint64(shift)) & np.uint64((1 << width) - 1)
-        tag = np.uint64(b << 40)
+    for b, (word_at, shift, width, allowance) in enumerate(blocks):
+        word = (fp[:, word_at] >> np.uint64(shift)) & np.uint64((1 << width) - 1)
+        tag = np.uint64(b << 48)
         if allowance == 0:
-            for home in (True, False):
-                rows.append(index), keys.append(word | tag), homes.append(np.full(len(fp), home))
+            rows.append(index), keys.append(word | tag), roles.append(np.full(len(fp), BOTH, np.int8))
             continue
         syndrome = np.zeros(len(fp), np.int64)
         for i in range(1, 16):
@@ -103,24 +112,32 @@ def anchor_rows(fp: np.ndarray, blocks=BLOCKS) -> tuple[np.ndarray, np.ndarray,
         for s, masks in enumerate(_visits(width, allowance)):
             of = index[syndrome == s]
             nearest = np.uint64(0 if s == 0 else 1 << (s - 1))
-            rows.append(of), keys.append((word[of] ^ nearest) | tag), homes.append(np.full(len(of), True))
+            rows.append(of), keys.append((word[of] ^ nearest) | tag), roles.append(np.full(len(of), HOME, np.int8))
             rows.append(np.repeat(of, len(masks)))
             keys.append((word[of][:, None] ^ masks[None, :]).ravel() | tag)
-            homes.append(np.full(len(of) * len(masks), False))
-    return np.concatenate(rows), np.concatenate(keys).view(np.int64), np.concatenate(homes)
+            roles.append(np.full(len(of) * len(masks), VISITOR, np.int8))
+    return np.concatenate(rows), np.concatenate(keys).view(np.int64), np.concatenate(roles)
 
 
-def _replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for at in range(0, max(batch.num_rows, 1), 8192):
-            part = batch.slice(at, 8192)
-            rep, fp = (part.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-            row, key, home = anchor_rows(fp.astype(np.int64).view(np.uint64))
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(home), pa.array(rep[row]), pa.array(fp[row])], ["key", "home", "rep", "fp"])
+def _matrix(column: pa.Array) -> np.ndarray:
+    if pa.types.is_integer(column.type):
+        return column.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64).reshape(-1, 1)
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(len(column), -1)
+
+
+def _replicate(blocks):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                part = batch.slice(at, 4096)
+                row, key, role = anchor_rows(_matrix(part.column(1)), blocks)
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(role), part.column(0).take(pa.array(row)), part.column(1).take(pa.array(row))], ["key", "role", "rep", "fp"])
 
+    return run
 
-def spanning_forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links with the same components as ``(a, b)``, fewer than there are nodes."""
+
+def spanning_forest(a: np.ndarray, b: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A minimum spanning forest of the links ``(a, b)`` of lengths ``d``."""
     nodes, at = np.unique(np.concatenate((a, b)), return_inverse=True)
     parent = list(range(len(nodes)))
 
@@ -130,55 +147,53 @@ def spanning_forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarra
             x = parent[x]
         return x
 
-    n = len(a)
-    pairs = np.unique(np.stack((at[:n], at[n:]), 1), axis=0)
-    for x, y in pairs.tolist():
-        x, y = find(x), find(y)
+    n, kept = len(a), []
+    for e in np.argsort(d, kind="stable").tolist():
+        x, y = find(int(at[e])), find(int(at[n + e]))
         if x != y:
             parent[max(x, y)] = min(x, y)
-    roots = np.fromiter((find(i) for i in range(len(nodes))), np.int64, len(nodes))
-    moved = roots != np.arange(len(nodes))
-    return nodes[moved], nodes[roots[moved]]
+            kept.append(e)
+    return a[kept], b[kept], d[kept]
 
 
 def _compare(threshold: int):
-    limit = np.uint8(threshold)
-
     def links(group: np.ndarray, home: np.ndarray, rep: np.ndarray, fp: np.ndarray):
         """Rows are sorted by group, homes first; each home meets the later rows of its group."""
-        found_a, found_b, held, k = [], [], 0, 1
+        found, held, k = [], 0, 1
         idx = np.flatnonzero(home)
         last = len(group)
         while len(idx):
             idx = idx[idx + k < last]
             idx = idx[group[idx + k] == group[idx]]
-            x, y = fp[idx], fp[idx + k]
-            hit = idx[(np.bitwise_count(x ^ y) <= limit) & (x != y)]
-            if len(hit):
-                found_a.append(rep[hit]), found_b.append(rep[hit + k])
+            d = np.zeros(len(idx), np.int16)
+            for w in range(fp.shape[1]):
+                d += np.bitwise_count(fp[idx, w] ^ fp[idx + k, w])
+            near = (d <= threshold) & (d > 0)
+            if near.any():
+                hit = idx[near]
+                found.append((rep[hit], rep[hit + k], d[near]))
                 held += len(hit)
-                if held > 500_000:
-                    found_a, found_b = ([z] for z in spanning_forest(np.concatenate(found_a), np.concatenate(found_b)))
-                    held = len(found_a[0])
+                if held > 300_000:
+                    found = [spanning_forest(*(np.concatenate(x) for x in zip(*found)))]
+                    held = len(found[0][0])
             k += 1
-        if not held:
-            return None
-        return spanning_forest(np.concatenate(found_a), np.concatenate(found_b))
+        return spanning_forest(*(np.concatenate(x) for x in zip(*found))) if found else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = None
 
         def out(cols):
             group = np.cumsum(np.concatenate(([False], np.any(cols[0][1:] != cols[0][:-1], axis=1))))
-            pair = links(group, cols[1], cols[2], cols[3].view(np.uint64))
+            pair = links(group, cols[1], cols[2], cols[3])
             if pair is not None:
-                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(*pair)), pa.array(np.minimum(*pair))], ["a", "b"])
+                a, b, d = pair
+                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b)), pa.array(d.astype(np.int32))], ["a", "b", "d"])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            key, i, j, home, rep, fp = (batch.column(c).to_numpy(zero_copy_only=False) for c in range(6))
-            cols = [np.stack((key, i.astype(np.int64), j.astype(np.int64)), 1), home.astype(bool), rep, fp]
+            key, i, j, home, rep = (batch.column(c).to_numpy(zero_copy_only=False) for c in range(5))
+            cols = [np.stack((key, i.astype(np.int64), j.astype(np.int64)), 1), home.astype(bool), rep, _matrix(batch.column(5))]
             if kept is not None:
                 cols = [np.concatenate(x) for x in zip(kept, cols)]
             change = np.flatnonzero(np.any(cols[0][1:] != cols[0][:-1], axis=1))
@@ -192,29 +207,31 @@ def _compare(threshold: int):
     return run
 
 
-def fingerprint_links(nodes: DataFrame, n_nodes: int, threshold: int = 4) -> DataFrame:
-    """``(rep, fp)``, one row per distinct fingerprint -> links ``(a, b)`` that span its components.
+def fingerprint_links(nodes: DataFrame, n_nodes: int, threshold: int = 4, blocks=BLOCKS) -> DataFrame:
+    """``(rep, fp)``, one row per distinct fingerprint -> links ``(a, b, d)`` that span its components.
 
     Anchors are counted (in hashed buckets, combined before the shuffle); one with more than PIECE
     rows is split into pieces of homes x pieces of visitors, each its own group, so that no task
-    holds an unbounded anchor. Each group returns at most a spanning forest of its links.
+    holds an unbounded anchor. Each group returns at most a minimum spanning forest of its links.
+    Complete for ``threshold`` up to the sum of the blocks' allowances plus their number less 1.
     """
-    if threshold > 4:
-        raise ValueError("BLOCKS cover thresholds up to 4 bits")
-    rows = nodes.select("rep", "fp").mapInArrow(_replicate, "key long, home boolean, rep long, fp long")
+    fp_type = nodes.schema["fp"].dataType.simpleString()
+    rows = nodes.select("rep", "fp").mapInArrow(_replicate(blocks), f"key long, role byte, rep long, fp {fp_type}")
     buckets = 1 << max(10, int(n_nodes * 36 // 64).bit_length())
     bucket = F.pmod(F.xxhash64("key"), F.lit(buckets))
     hot = (rows.groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > PIECE)
            .select("bucket", F.ceil(F.col("n") / PIECE).cast("int").alias("pieces")))
-    own = F.pmod(F.xxhash64("fp"), F.col("pieces")).cast("int")
-    every = F.sequence(F.lit(0), F.col("pieces") - 1)
-    dealt = (rows.withColumn("bucket", bucket).join(hot, "bucket", "left").withColumn("pieces", F.coalesce("pieces", F.lit(1)))
-             .withColumn("own", own)
-             .withColumn("spread", F.explode(F.when(F.col("pieces") == 1, F.array(F.lit(0))).otherwise(every)))
-             .select("key", F.when(F.col("home"), F.col("own")).otherwise(F.col("spread")).alias("i"),
-                     F.when(F.col("home"), F.col("spread")).otherwise(F.col("own")).alias("j"), "home", "rep", "fp"))
+    own = F.pmod(F.xxhash64("rep"), F.col("pieces")).cast("int")
+    every, none = F.sequence(F.lit(0), F.col("pieces") - 1), F.array().cast("array<struct<i:int,j:int,home:boolean>>")
+    place = lambda i, j, home: F.struct(i.alias("i"), j.alias("j"), F.lit(home).alias("home"))
+    homes = F.when(F.col("role") != VISITOR, F.transform(every, lambda j: place(own, j, True))).otherwise(none)
+    visits = F.when(F.col("role") != HOME, F.transform(every, lambda i: place(i, own, False))).otherwise(none)
+    alone = F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"), (F.col("role") != VISITOR).alias("home")))
+    dealt = (rows.withColumn("bucket", bucket).join(hot, "bucket", "left")
+             .withColumn("at", F.explode(F.when(F.col("pieces").isNull(), alone).otherwise(F.concat(homes, visits))))
+             .select("key", "at.i", "at.j", "at.home", "rep", "fp"))
     grouped = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", F.desc("home"))
-    return grouped.mapInArrow(_compare(threshold), "a long, b long")
+    return grouped.mapInArrow(_compare(threshold), "a long, b long, d int")
 
 
 def simhash_components(docs: DataFrame, shingle_words: int = 4, threshold: int = 4) -> DataFrame:
@@ -226,8 +243,93 @@ def simhash_components(docs: DataFrame, shingle_words: int = 4, threshold: int =
     """
     prints = materialize(fingerprints(docs, shingle_words), "prints")
     nodes = materialize(prints.where("doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("rep")), "nodes")
-    links = fingerprint_links(nodes, nodes.count(), threshold)
+    if threshold > 4:
+        raise ValueError("BLOCKS cover thresholds up to 4 bits")
+    links = fingerprint_links(nodes, nodes.count(), threshold).select("a", "b")
     roots = connected_components(links)
     named = nodes.join(roots, nodes["rep"] == roots["node"], "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
     digits = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return prints.join(named, "fp", "left").select("doc_id", digits.alias("fingerprint"), "component_id")
+
+
+def wide_blocks(n_docs: int, similarity: float) -> tuple[tuple, int, int]:
+    """(blocks, words, threshold) by which documents of that Jaccard similarity are found.
+
+    Copies of similarity s differ in a share p = acos(2s / (1 + s)) / pi of their bits on average. Blocks are
+    as wide as keeps anchors small for this many documents, and so many that a pair at the limit
+    meets in one of them with probability 0.95 (closer pairs nearly always); the threshold lies 2.5 standard
+    deviations above the mean. So the share found is the same at every size.
+    """
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    width = min(40, max(14, n_docs.bit_length() - 6))
+    number = math.ceil(3 / (1 - p) ** width)
+    each = 64 // width
+    blocks = tuple((k // each, k % each * width, width, 0) for k in range(number))
+    words = -(-number // each)
+    return blocks, words, math.floor(64 * words * p + 2.5 * math.sqrt(64 * words * p * (1 - p)))
+
+
+def _shingle_sets(shingle_words: int):
+    import xxhash
+
+    def one(text: str | None) -> bytes:
+        words = (text or "").encode("utf-8", "surrogatepass").translate(LOWER).split()
+        k = min(shingle_words, len(words))
+        return np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(words[i : i + k]), SEED) for i in range(len(words) - k + 1 if words else 0)), np.uint64)).tobytes()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, max(batch.num_rows, 1), 512):
+                part = batch.slice(at, 512)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([one(t) for t in part.column(1).to_pylist()], pa.binary())], ["rep", "shingles"])
+
+    return run
+
+
+def _jaccard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        out = []
+        for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            out.append(both / max(1, len(x) + len(y) - both) if len(x) or len(y) else 1.0)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.float64())], ["a", "b", "similarity"])
+
+
+def near_duplicates(docs: DataFrame, similarity: float = 0.8, shingle_words: int = 5) -> DataFrame:
+    """``(doc_id, text)`` -> ``(doc_id, component_id)``: documents linked by Jaccard similarity of their shingles.
+
+    Wide SimHash fingerprints meet at anchors; of each anchor's links a minimum spanning forest is kept
+    (the likeliest ones), and the exact shingle sets of its ends decide. Null and empty texts are copies of each
+    other. Rows of a null doc_id form no class and get a null component_id.
+    """
+    d = need(docs, "doc_id", "text").where("doc_id IS NOT NULL")
+    blocks, words, threshold = wide_blocks(d.count(), similarity)
+    prints = materialize(fingerprints(d, shingle_words, words), "prints")
+    nodes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "nodes")
+    links = materialize(fingerprint_links(nodes, nodes.count(), threshold, blocks), "likely")
+    free_shuffles(docs.sparkSession)
+    ends = links.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+    sets = d.join(ends, d["doc_id"] == ends["rep"], "left_semi").mapInArrow(_shingle_sets(shingle_words), "rep long, shingles binary")
+    sets = materialize(sets.dropDuplicates(["rep"]), "shingles")
+    pairs = links.select("a", "b").distinct()
+    pairs = pairs.join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("rep").alias("b"), F.col("shingles").alias("y")), "b")
+    sure = pairs.select("a", "b", "x", "y").mapInArrow(_jaccard, "a long, b long, similarity double").where(F.col("similarity") >= similarity)
+    roots = connected_components(sure.select("a", "b"))
+    named = nodes.join(roots, nodes["rep"] == roots["node"], "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
+    return prints.join(named, "fp").select("doc_id", "component_id")
+
+
+def keep_first(docs: DataFrame, similarity: float = 0.8, shingle_words: int = 5) -> DataFrame:
+    """All columns of ``docs``, of each class of near duplicates only the document with the smallest doc_id.
+
+    Rows that repeat both doc_id and text count as one document; rows with a null doc_id stay.
+    """
+    gone = near_duplicates(docs, similarity, shingle_words).where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct()
+    gone = materialize(gone, "gone")
+    again = materialize(docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("gone_id")), "again")
+    kept = docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
+    if again.isEmpty():
+        return kept
+    once = kept.join(again, kept["doc_id"] == again["gone_id"], "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.join(again, kept["doc_id"] == again["gone_id"], "left_anti").unionByName(once)
