@@ -32,7 +32,9 @@ PIECE = 8192
 
 
 def simhash(text: str | None, shingle_words: int = 4, width: int = 1) -> np.ndarray:
-    """``width`` 64-bit words of SimHash over whole-text word shingles (repeats count); zero without words.
+    """``width`` 64-bit words of SimHash over whole-text word shingles; zero without words.
+
+    One word counts repeated shingles as often as they occur; several count each once, as Jaccard does.
 
     The first word has the shingles' XXH64; further ones have scrambled forms of it.
     """
@@ -45,12 +47,14 @@ def simhash(text: str | None, shingle_words: int = 4, width: int = 1) -> np.ndar
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))[: len(words) - k + 1]
     ends = ends[k - 1 :]
-    n, counts, digest = len(starts), np.zeros(64 * width, np.int64), xxhash.xxh64_intdigest
+    counts, digest = np.zeros(64 * width, np.int64), xxhash.xxh64_intdigest
+    every = np.fromiter((digest(joined[i:j], SEED) for i, j in zip(starts.tolist(), ends.tolist())), np.uint64, len(starts))
+    every = np.unique(every) if width > 1 else every
+    n = len(every)
     for at in range(0, n, 16384):
-        s, e = starts[at : at + 16384].tolist(), ends[at : at + 16384].tolist()
-        h = np.fromiter((digest(joined[i:j], SEED) for i, j in zip(s, e)), np.uint64, len(s))
+        h = every[at : at + 16384]
         wide = np.stack([h] + [mix(h + np.uint64(w * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) for w in range(1, width)], 1)
-        counts += np.unpackbits(wide.view(np.uint8).reshape(len(s), -1), axis=1, bitorder="little").sum(0, dtype=np.uint32)
+        counts += np.unpackbits(wide.view(np.uint8).reshape(len(h), -1), axis=1, bitorder="little").sum(0, dtype=np.uint32)
     return np.packbits(counts * 2 > n, bitorder="little").view(np.uint64)
 
 
