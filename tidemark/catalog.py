@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
+from .plans.registry import oracle_sql, queries
 
-def queries() -> dict:
-    return {}
-
-
-def oracle_sql() -> dict[str, str]:
-    return {}
+__all__ = ["oracle_sql", "queries"]
