@@ -26,7 +26,7 @@ def database(sf_dir: str):
 
 def canonical(df: pd.DataFrame) -> list[tuple]:
     def plain(v):
-        if v is None or v is pd.NaT or isinstance(v, float) and v != v:
+        if v is None or v is pd.NaT or v is pd.NA or isinstance(v, float) and v != v:
             return None
         if isinstance(v, (bool,)) or type(v).__name__ == "bool_":
             return bool(v)

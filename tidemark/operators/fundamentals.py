@@ -72,29 +72,39 @@ def dedupe(rows: DataFrame) -> DataFrame:
     return rows.withColumn("rn", F.row_number().over(w)).where("rn = 1").drop("rn")
 
 
-def diff_ytd(durations: DataFrame) -> DataFrame:
-    """Quarters from year-to-date figures: each stage less the one before it, dollars only."""
-    keys = keys_of(durations)
+def _with_derived(rows: DataFrame, val: Column, keep: Column) -> DataFrame:
+    """``rows`` that are kept, and beside them a derived quarter where ``val`` is not NULL: one pass, no second read."""
+    made = {"val": val, "period_type": F.lit("Q"), "derived": F.lit(1)}
+    own = F.struct(*[F.col(c) for c in rows.columns])
+    new = F.struct(*[made.get(c, F.col(c)).alias(c) for c in rows.columns])
+    return rows.select(F.explode(F.array_compact(F.array(F.when(keep, own), F.when(val.isNotNull(), new)))).alias("r")).select("r.*")
+
+
+def diff_ytd(rows: DataFrame) -> DataFrame:
+    """Rows of type Q, FY and INSTANT, and quarters from year-to-date figures: each stage less the one before it, dollars only."""
+    keys, columns = keys_of(rows), rows.columns
     stage = F.array_position(F.array(*[F.lit(s) for s in STAGES]), F.col("period_type")).cast("int")
-    w = Window.partitionBy(*keys, "metric", "period_start").orderBy("stage")
-    out = durations.where("unit = 'USD' AND period_type IN ('Q', 'H', 'T9', 'FY')").withColumn("stage", stage)
-    out = out.withColumn("prev", F.lag("val").over(w)).withColumn("prev_stage", F.lag("stage").over(w)).where("stage - prev_stage = 1")
-    return out.withColumn("val", F.col("val") - F.col("prev")).withColumn("period_type", F.lit("Q")).withColumn("derived", F.lit(1)).drop("stage", "prev", "prev_stage")
+    w = Window.partitionBy(*keys, "metric", "period_start").orderBy("stage", "period_end")
+    out = rows.withColumn("stage", stage).withColumn("prev", F.lag("val").over(w)).withColumn("step", F.col("stage") - F.lag("stage").over(w))
+    val = F.when((F.col("unit") == "USD") & (F.col("stage") > 0) & (F.col("step") == 1), F.col("val") - F.col("prev"))
+    return _with_derived(out, val, F.col("period_type").isin("Q", "FY", "INSTANT")).select(*columns)
 
 
 def derive_q4(rows: DataFrame, per_share: bool = False) -> DataFrame:
-    """The fourth quarter: the year less exactly three quarters inside it, where no quarter ends with the year.
+    """``rows`` and fourth quarters: the year less exactly three quarters inside it, where no quarter ends with the year.
 
-    Dollar metrics; with ``per_share`` earnings per share, whose quarters must end before the year does.
+    Dollar metrics; with ``per_share`` earnings per share. A metric's quarters travel with its rows as an
+    array, which is as long as the company has quarters on file.
     """
-    keys = keys_of(rows)
+    keys, columns = keys_of(rows), rows.columns
     wanted = F.col("metric").isin(*PER_SHARE) if per_share else F.col("unit") == "USD"
-    fy = rows.where(wanted & (F.col("period_type") == "FY") & F.col("val").isNotNull())
-    q = rows.where(wanted & (F.col("period_type") == "Q")).select(*keys, "metric", F.col("period_end").alias("q_end"), F.col("val").alias("q_val"))
-    joined = fy.join(q, [*keys, "metric"]).where("q_end BETWEEN period_start AND period_end")
-    out = joined.groupBy(*fy.columns).agg(F.count("q_val").alias("n"), F.sum("q_val").alias("q_sum"), F.max("q_end").alias("q_last"))
-    out = out.where((F.col("n") == 3) & (F.col("q_last") < F.col("period_end")))
-    return out.withColumn("val", F.col("val") - F.col("q_sum")).withColumn("period_type", F.lit("Q")).withColumn("derived", F.lit(1)).drop("n", "q_sum", "q_last")
+    quarter = F.when(F.col("period_type") == "Q", F.struct(F.col("period_end").alias("at"), F.col("val").alias("v")))
+    out = rows.withColumn("quarters", F.collect_list(quarter).over(Window.partitionBy(*keys, "metric")))
+    own = F.filter("quarters", lambda q: q["at"].between(F.col("period_start"), F.col("period_end")) & q["v"].isNotNull())
+    out = out.withColumn("own", F.when(wanted & (F.col("period_type") == "FY"), own))
+    ends_with = F.exists("quarters", lambda q: q["at"] == F.col("period_end"))
+    total = F.aggregate("own", F.lit(0.0), lambda a, q: a + q["v"])
+    return _with_derived(out, F.when((F.size("own") == 3) & ~ends_with, F.col("val") - total), F.lit(True)).select(*columns)
 
 
 def detect_splits(facts: DataFrame) -> DataFrame:
@@ -147,11 +157,7 @@ COLUMNS = ["metric", "period_end", "period_type", "val", "source_concept", "deri
 
 def fundamentals(facts: DataFrame, concept_map: DataFrame, splits: DataFrame | None = None, vintages: DataFrame | None = None) -> DataFrame:
     """Canonical rows by metric, period and type. Splits and fourth-quarter EPS only in the current view."""
-    rows = reported_rows(facts, concept_map, vintages)
-    shown = rows.where("period_type IN ('Q', 'FY', 'INSTANT')")
-    known = dedupe(shown.unionByName(diff_ytd(rows)))
-    known = known.unionByName(derive_q4(known).select(*known.columns))
+    known = derive_q4(dedupe(diff_ytd(reported_rows(facts, concept_map, vintages))))
     if vintages is None and splits is not None:
-        known = adjust_splits(known, splits)
-        known = known.unionByName(derive_q4(known, per_share=True).select(*known.columns))
+        known = derive_q4(adjust_splits(known, splits), per_share=True)
     return known.select(*keys_of(known), *COLUMNS)

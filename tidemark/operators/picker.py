@@ -53,7 +53,7 @@ def news_mentions(companies: DataFrame, headlines: DataFrame, common: DataFrame)
     as_ticker = headlines.select(F.explode(F.regexp_extract_all(text, F.lit(r"(?:\$|\(|\b(?:NYSE|NASDAQ|NYSEARCA|AMEX)\s*:\s*)([A-Za-z0-9.#-]+)"), F.lit(1))).alias("token")).distinct()
     by_ticker = c.join(as_ticker.select(F.regexp_extract("token", r"^[A-Za-z0-9.#-]*[A-Za-z0-9#]", 0).alias("ticker")).distinct(), "ticker", "left_semi").select("ticker")
     words = headlines.select(F.regexp_extract_all(text, F.lit(r"[\p{L}\p{N}_]+|[^\s\p{L}\p{N}_]+"), F.lit(0)).alias("t"))
-    bigram = words.select(F.explode(F.arrays_zip(F.col("t"), F.slice("t", 2, 1 << 30)).alias("b")).alias("b")).select(F.lower(F.col("b").getField("0")).alias("a"), F.lower(F.col("b").getField("1")).alias("b")).distinct()
+    bigram = words.select(F.explode(F.zip_with("t", F.slice("t", 2, 1 << 30), lambda a, b: F.struct(F.lower(a).alias("a"), F.lower(b).alias("b")))).alias("p")).select("p.a", "p.b").distinct()
     by_name = c.where("w1 IS NOT NULL").join(bigram, (F.lower("w0") == F.col("a")) & (F.lower("w1") == F.col("b")), "left_semi").select("ticker")
     token = words.select(F.explode("t").alias("token")).distinct()
     lone = c.where((F.length("w0") >= 5) & ~F.lower("w0").isin(*GENERIC)).join(F.broadcast(common.select("word")), F.lower("w0") == F.col("word"), "left_anti")

@@ -37,15 +37,15 @@ def query(sql: str | None = None, name: str | None = None):
 
 def current(x: Inputs) -> DataFrame:
     facts = x.facts
-    return fu.fundamentals(facts, concept_map(x.spark), fu.detect_splits(facts))
+    return x.keep("fundamentals", lambda: fu.fundamentals(facts, concept_map(x.spark), fu.detect_splits(facts)))
 
 
 def snap(x: Inputs) -> DataFrame:
-    return sn.snapshot(current(x), x.companies, x.prices)
+    return x.keep("snapshot", lambda: sn.snapshot(current(x), x.companies, x.prices))
 
 
 def vintages_snap(x: Inputs) -> DataFrame:
-    return sn.snapshot_asof(x.facts, concept_map(x.spark), x.companies, x.prices, x.vintages)
+    return x.keep("snapshot_history", lambda: sn.snapshot_asof(x.facts, concept_map(x.spark), x.companies, x.prices, x.vintages))
 
 
 F_COLS = "metric, period_end, period_type, val, source_concept, derived, filed"
@@ -54,7 +54,7 @@ F_COLS = "metric, period_end, period_type, val, source_concept, derived, filed"
 query("SELECT * FROM c_latest", "latest_facts")(lambda x: fu.latest_facts(x.facts))
 query("SELECT cik, period_start, period_end, metric, unit, val, source_concept FROM c_resolved", "resolve_metrics")(lambda x: fu.resolve_metrics(fu.latest_facts(x.facts), concept_map(x.spark)))
 query("SELECT period_type, count(*) AS n FROM c_typed WHERE period_type IS NOT NULL GROUP BY period_type", "classify_period")(lambda x: fu.classify(fu.resolve_metrics(fu.latest_facts(x.facts), concept_map(x.spark))).groupBy("period_type").agg(F.count(F.lit(1)).alias("n")))
-query("SELECT cik, metric, period_end, val FROM c_ytd", "diff_ytd")(lambda x: fu.diff_ytd(fu.reported_rows(x.facts, concept_map(x.spark))).select("cik", "metric", "period_end", "val"))
+query("SELECT cik, metric, period_end, val FROM c_ytd", "diff_ytd")(lambda x: fu.diff_ytd(fu.reported_rows(x.facts, concept_map(x.spark))).where("derived = 1").select("cik", "metric", "period_end", "val"))
 query("SELECT cik, metric, period_end, val FROM c_with_q4 WHERE derived = 1 AND period_type = 'Q' AND metric <> 'operating_cash_flow'", "derive_q4")(lambda x: fu.fundamentals(x.facts, concept_map(x.spark)).where("derived = 1 AND period_type = 'Q' AND metric <> 'operating_cash_flow'").select("cik", "metric", "period_end", "val"))
 query("SELECT cik, metric, period_end, val FROM c_f WHERE derived = 1 AND metric IN ('eps_basic', 'eps_diluted')", "derive_q4_eps")(lambda x: current(x).where("derived = 1 AND metric IN ('eps_basic', 'eps_diluted')").select("cik", "metric", "period_end", "val"))
 query("SELECT cik, effective_filed, factor FROM splits", "detect_splits")(lambda x: fu.detect_splits(x.facts))
@@ -132,13 +132,13 @@ query("SELECT max(p.date) AS newest_price, max(f.filed) AS newest_filing FROM pr
 
 # ---- statements
 def _cols(ptype: str, n: int) -> str:
-    return f"(SELECT cik, period_end, row_number() OVER (PARTITION BY cik ORDER BY period_end) AS at FROM (SELECT DISTINCT cik, period_end FROM c_f WHERE period_type = '{ptype}') QUALIFY row_number() OVER (PARTITION BY cik ORDER BY period_end DESC) <= {n})"
+    return f"(SELECT cik, period_end, row_number() OVER (PARTITION BY cik ORDER BY period_end) AS pos FROM (SELECT DISTINCT cik, period_end FROM c_f WHERE period_type = '{ptype}') QUALIFY row_number() OVER (PARTITION BY cik ORDER BY period_end DESC) <= {n})"
 
 
 def _stmt(ptype: str, n: int, step: int) -> str:
     grow = lambda k: f"CASE WHEN lag(val, {k}) OVER w > 0 THEN (val / lag(val, {k}) OVER w - 1) * 100 END"
-    cols = f"(SELECT cik, period_end, at - min(at) OVER (PARTITION BY cik) + 1 AS at FROM {_cols(ptype, n)})"
-    return f"SELECT cik, metric, period_end, val, {grow(step)} AS yoy, {grow(1)} AS qoq FROM (SELECT g.cik, g.metric, g.period_end, g.at, v.val FROM (SELECT DISTINCT c.cik, v.metric, c.period_end, c.at FROM {cols} AS c JOIN (SELECT DISTINCT f.cik, f.metric FROM c_f AS f JOIN {cols} AS c ON f.cik = c.cik AND f.period_end = c.period_end JOIN flow_list AS l ON f.metric = l.metric WHERE f.period_type = '{ptype}' AND f.val IS NOT NULL) AS v ON c.cik = v.cik) AS g LEFT JOIN c_f AS v ON g.cik = v.cik AND g.metric = v.metric AND g.period_end = v.period_end AND v.period_type = '{ptype}') WINDOW w AS (PARTITION BY cik, metric ORDER BY at)"
+    cols = f"(SELECT cik, period_end, pos - min(pos) OVER (PARTITION BY cik) + 1 AS pos FROM {_cols(ptype, n)})"
+    return f"SELECT cik, metric, period_end, val, {grow(step)} AS yoy, {grow(1)} AS qoq FROM (SELECT g.cik, g.metric, g.period_end, g.pos, v.val FROM (SELECT DISTINCT c.cik, v.metric, c.period_end, c.pos FROM {cols} AS c JOIN (SELECT DISTINCT f.cik, f.metric FROM c_f AS f JOIN {cols} AS c ON f.cik = c.cik AND f.period_end = c.period_end JOIN flow_list AS l ON f.metric = l.metric WHERE f.period_type = '{ptype}' AND f.val IS NOT NULL) AS v ON c.cik = v.cik) AS g LEFT JOIN c_f AS v ON g.cik = v.cik AND g.metric = v.metric AND g.period_end = v.period_end AND v.period_type = '{ptype}') WINDOW w AS (PARTITION BY cik, metric ORDER BY pos)"
 
 
 query(_stmt("FY", 10, 1), "statement_fy")(lambda x: an.statement(current(x), "FY", 10))
@@ -255,7 +255,7 @@ query("SELECT 'facts' AS item, count(*) AS n FROM facts UNION ALL SELECT 'prices
 # ---- picking
 NAMES = "(SELECT cast(item_id AS varchar) AS ticker, array_to_string(regexp_extract_all(text, '[A-Za-z]+')[1:2], ' ') AS name FROM benchmark)"
 NOISE = ", ".join(f"'{w}'" for w in pk.NOISE)
-WORDS = f"(SELECT ticker, list_filter(regexp_extract_all(name, '[A-Za-z]+'), w -> lower(w) NOT IN ({NOISE})) AS w FROM {NAMES})"
+WORDS = f"(SELECT ticker, list_filter(regexp_extract_all(name, '[A-Za-z]+'), lambda w: lower(w) NOT IN ({NOISE})) AS w FROM {NAMES})"
 
 
 def _names(x: Inputs) -> DataFrame:
@@ -265,9 +265,10 @@ def _names(x: Inputs) -> DataFrame:
 query(f"SELECT lower(w[1]) AS word, count(*) AS companies FROM {WORDS} WHERE w[1] IS NOT NULL GROUP BY 1 HAVING count(*) >= 3", "common_first_words")(lambda x: pk.common_first_words(_names(x)))
 query("SELECT ticker, CASE WHEN (SELECT count(net_income_ttm) FROM c_snap) <= 1 THEN 0.5 ELSE coalesce(p, 0) END AS percentile FROM (SELECT ticker, CASE WHEN net_income_ttm IS NOT NULL THEN percent_rank() OVER (PARTITION BY net_income_ttm IS NULL ORDER BY net_income_ttm) END AS p FROM c_snap)", "size_percentile")(lambda x: pk.size_percentile(snap(x).select("ticker", F.col("net_income_ttm").alias("size"))))
 GENERIC = ", ".join(f"'{w}'" for w in pk.GENERIC)
-query(f"""WITH n AS (SELECT ticker, w[1] AS a, w[2] AS b FROM {WORDS}), common AS (SELECT lower(a) AS w FROM n WHERE a IS NOT NULL GROUP BY 1 HAVING count(*) >= 3)
- SELECT DISTINCT n.ticker FROM n JOIN documents AS d ON regexp_matches(d.text, concat('(\\$|\\(|\\b(NYSE|NASDAQ|NYSEARCA|AMEX)\\s*:\\s*)', n.ticker, '\\b')) OR (n.b IS NOT NULL AND regexp_matches(d.text, concat('(?i)(^|[^\\p{{L}}\\p{{N}}_])', n.a, '\\s+', n.b, '([^\\p{{L}}\\p{{N}}_]|$)')))
- OR (length(n.a) >= 5 AND lower(n.a) NOT IN ({GENERIC}) AND lower(n.a) NOT IN (SELECT w FROM common) AND regexp_matches(d.text, concat('(^|[^\\p{{L}}\\p{{N}}_])(', upper(n.a), '|', upper(n.a[1]), lower(n.a[2:]), ')([^\\p{{L}}\\p{{N}}_]|$)')))""", "news_mentions")(lambda x: pk.news_mentions(_names(x), x.headlines, pk.common_first_words(_names(x))))
+query(f"""WITH n AS (SELECT ticker, w[1] AS a, w[2] AS b FROM {WORDS}), common AS (SELECT lower(a) AS w FROM n WHERE a IS NOT NULL GROUP BY 1 HAVING count(*) >= 3),
+ t AS (SELECT doc_id, regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+|[^\\s\\p{{L}}\\p{{N}}_]+') AS l FROM documents), u AS (SELECT DISTINCT l[i] AS x, lower(l[i]) AS a, lower(l[i + 1]) AS b FROM (SELECT l, unnest(range(1, len(l) + 1)) AS i FROM t)),
+ k AS (SELECT DISTINCT unnest(regexp_extract_all(text, '(?:\\$|\\(|\\b(?:NYSE|NASDAQ|NYSEARCA|AMEX)\\s*:\\s*)([A-Za-z0-9.#-]*[A-Za-z0-9#])', 1)) AS ticker FROM documents)
+ SELECT ticker FROM n WHERE ticker IN (SELECT ticker FROM k) OR (n.b IS NOT NULL AND EXISTS (SELECT 1 FROM u WHERE u.a = lower(n.a) AND u.b = lower(n.b))) OR (length(n.a) >= 5 AND lower(n.a) NOT IN ({GENERIC}) AND lower(n.a) NOT IN (SELECT w FROM common) AND EXISTS (SELECT 1 FROM u WHERE u.x IN (upper(n.a), concat(upper(n.a[1]), lower(n.a[2:])))))""", "news_mentions")(lambda x: pk.news_mentions(_names(x), x.headlines, pk.common_first_words(_names(x))))
 query("SELECT ticker, name, 0.55 * CASE WHEN known <= 1 THEN 0.5 ELSE coalesce(p, 0) END + CASE WHEN cik % 7 = 0 THEN 0.45 ELSE 0 END AS score, concat('size p', cast(floor(CASE WHEN known <= 1 THEN 0.5 ELSE coalesce(p, 0) END * 100) AS bigint), CASE WHEN cik % 7 = 0 THEN ', in the news' ELSE '' END) AS reason FROM (SELECT *, percent_rank() OVER (ORDER BY size) AS p, count(size) OVER () AS known FROM (SELECT cik, ticker, name, nullif(greatest(coalesce(revenue_ttm, 0), coalesce(total_assets, 0)), 0) AS size FROM c_snap WHERE cik % 2 = 1)) ORDER BY score DESC, ticker DESC LIMIT 20", "pick_unpriced")(
     lambda x: (lambda s: pk.pick_unpriced(s, s.where("cik % 2 = 0"), s.where("cik % 7 = 0").select("ticker"), luck=0.0))(snap(x)))
 

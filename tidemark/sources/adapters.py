@@ -5,6 +5,8 @@ A supplier is a company. Amounts are whole cents and share counts powers of two,
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
 _Q = """SELECT l_suppkey AS s, year(l_shipdate) AS y, quarter(l_shipdate) AS q, power(2, l_suppkey % 12) AS k,
@@ -48,11 +50,27 @@ HEADLINES = """SELECT text AS headline, source, cast(doc_id AS varchar(20)) AS u
 
 
 class Inputs:
-    """The engine's input tables over one scale-factor folder."""
+    """The engine's input tables over one scale-factor folder.
+
+    Facts, prices and the tables that the engine stores (fundamentals, snapshots) are derived once and kept by Spark (in memory, then on disk) while the session lives, as stored
+    tables would be; a lost part is derived again.
+    """
+
+    _kept: dict[tuple[str, str, str], DataFrame] = {}
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
 
+    def keep(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
+        df = self._kept.get(key)
+        if df is None or df.sparkSession is not self.spark:
+            df = self._kept[key] = make().persist()
+        return df
+
+    def _keep(self, name: str, text: str, *tables: str) -> DataFrame:
+        return self.keep(name, lambda: self._sql(text, *tables))
+
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
@@ -61,7 +79,7 @@ class Inputs:
 
     @property
     def facts(self) -> DataFrame:
-        return self._sql(FACTS, "lineitem")
+        return self._keep("facts", FACTS, "lineitem")
 
     @property
     def companies(self) -> DataFrame:
@@ -69,7 +87,7 @@ class Inputs:
 
     @property
     def prices(self) -> DataFrame:
-        return self._sql(PRICES_SPARK, "lineitem", "supplier")
+        return self._keep("prices", PRICES_SPARK, "lineitem", "supplier")
 
     @property
     def members(self) -> DataFrame:
