@@ -91,5 +91,33 @@ def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
 
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_BENCH_WORDS = f"regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+OP3 = """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x AS double)) AS bigint)) AS e FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+q AS (SELECT * FROM v WHERE vec_id % 50 = 0)
+SELECT query_id, cast(rank AS int) AS rank, vec_id, score FROM (SELECT q.vec_id AS query_id, v.vec_id, cast(list_sum(list_transform(list_zip(q.e, v.e), lambda p: p[1] * p[2])) AS bigint) AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_sum(list_transform(list_zip(q.e, v.e), lambda p: p[1] * p[2])) DESC, v.vec_id) AS rank FROM q JOIN v ON q.vec_id <> v.vec_id) WHERE rank <= 5"""
+
+OP4 = f"""WITH b AS (SELECT item_id, {_BENCH_WORDS} AS w FROM benchmark), d AS (SELECT doc_id, {_BENCH_WORDS} AS w FROM documents),
+g AS (SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[i:i + least(len(w), 10) - 1], ' ') AS gram FROM (SELECT item_id, w, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS i FROM b WHERE len(w) > 0)),
+s AS (SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS gram FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d CROSS JOIN (SELECT DISTINCT n FROM g) WHERE len(w) >= n)),
+h AS (SELECT s.doc_id, s.n, s.i, g.item_id FROM s JOIN g ON s.n = g.n AND s.gram = g.gram),
+c AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM h) GROUP BY doc_id),
+t AS (SELECT doc_id, count(*) AS n_items, string_agg(k, ',' ORDER BY k) AS ids FROM (SELECT DISTINCT doc_id, cast(item_id AS varchar) AS k FROM h) GROUP BY doc_id)
+SELECT d.doc_id, cast(len(d.w) AS bigint) AS n_words, coalesce(c.n_hit, 0) AS n_hit, coalesce(t.n_items, 0) AS n_items, sha256(coalesce(t.ids, '')) AS items_sha256, coalesce(c.n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN c ON d.doc_id = c.doc_id LEFT JOIN t ON d.doc_id = t.doc_id"""
+
+OP7 = """WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS h FROM pages), d AS (SELECT page_id, octet_length(h) AS n, sha1(h) AS g FROM p),
+m AS (SELECT g, max(page_id) AS original FROM d WHERE n >= 1000 GROUP BY g)
+SELECT d.page_id, cast(d.n AS bigint) AS payload_bytes, d.g AS payload_digest, CASE WHEN m.original <> d.page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN m.original <> d.page_id THEN m.original END AS refers_to FROM d LEFT JOIN m ON d.g = m.g"""
+
+OP8 = """WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+g AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS gram FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d WHERE len(w) >= 13)),
+h AS (SELECT doc_id, i FROM (SELECT *, min(doc_id) OVER (PARTITION BY gram) AS first FROM g) WHERE first < doc_id),
+c AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS p FROM h),
+k AS (SELECT d.doc_id, len(d.w) AS n, p.p, d.w[p.p] AS word FROM d CROSS JOIN LATERAL (SELECT unnest(range(1, len(d.w) + 1)) AS p) AS p),
+r AS (SELECT k.doc_id, string_agg(k.word, ' ' ORDER BY k.p) AS kept, count(*) AS n FROM k LEFT JOIN c ON k.doc_id = c.doc_id AND k.p = c.p WHERE c.p IS NULL GROUP BY k.doc_id)
+SELECT d.doc_id, cast(len(d.w) AS bigint) AS n_words, cast(len(d.w) - coalesce(r.n, 0) AS bigint) AS n_removed, sha256(coalesce(r.kept, '')) AS kept_sha256 FROM d LEFT JOIN r ON d.doc_id = r.doc_id"""
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL for what SQL can state; the others are tested against brute force in tests/llm."""
+    return {"op3_kdtree_topk": OP3, "op4_decontaminate": OP4, "op7_warc": OP7, "op8_debruijn": OP8}
