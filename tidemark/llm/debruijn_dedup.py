@@ -6,7 +6,7 @@ follow each other in a document and whose names follow each other in the source
 path; such paths are compacted to spans (document, start, length, source document, source start). The
 words at the source coordinates then verify each span.
 
-Edges travel as packed arrays: a task combines the edges of some 1.5 million words before it ships them,
+Edges travel as packed arrays: a task combines the edges of some million words before it ships them,
 keeps only those of an edge's smallest document there (the others already have a source), and deals them
 to buckets of the hash space. So an edge that very many documents share costs one entry per such chunk.
 """
@@ -26,7 +26,7 @@ from .wordscan import pieces, text_bytes, windows, words
 
 #: Maps bytes to word bytes; 0 for white space (U+0000 takes the place that the space leaves).
 TABLE = np.array([0 if c == 32 or 9 <= c <= 13 else 32 if c == 0 else c for c in range(256)], np.uint8)
-CHUNK_WORDS = 1_500_000
+CHUNK_WORDS = 1_000_000
 #: Edges that one bucket holds, about; the number of buckets follows the input.
 BUCKET_EDGES = 2_000_000
 _EDGES = "bucket int, chunk long, resolved boolean, hashes binary, docs binary, counts binary, pos binary, src_docs binary, src_pos binary"
@@ -162,12 +162,14 @@ def _digest(tokens: list[bytes], start: int, n: int) -> bytes:
 def _source_digests(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            last, tokens, out = None, [], []
-            for text, start, n in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3))):
-                if text is not last:
-                    last, tokens = text, (text or "").encode("utf-8", "surrogatepass").split()
-                out.append(_digest(tokens, start, n + k - 1))
-            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), batch.column(3), pa.array(out, pa.binary())], ["src_doc", "src_start", "n", "digest"])
+            for at in range(0, max(batch.num_rows, 1), 256):
+                part = batch.slice(at, 256)
+                last, tokens, out = None, [], []
+                for text, start, n in zip(*(part.column(i).to_pylist() for i in (0, 2, 3))):
+                    if text != last:
+                        last, tokens = text, (text or "").encode("utf-8", "surrogatepass").split()
+                    out.append(_digest(tokens, start, n + k - 1))
+                yield pa.RecordBatch.from_arrays([part.column(1), part.column(2), part.column(3), pa.array(out, pa.binary())], ["src_doc", "src_start", "n", "digest"])
 
     return run
 

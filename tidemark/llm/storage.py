@@ -57,6 +57,10 @@ def free_shuffles(spark: SparkSession) -> None:
     written table has replaced them.
     """
     import gc
+    import time
 
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    spark.range(1).count()  # the last job that ran is still referred to by the scheduler
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
