@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .storage import need
 
 #: Distinct pre-tokens that a Python worker remembers; it starts afresh beyond that.
-REMEMBERED = 400_000
+REMEMBERED = 1_000_000
 #: Longer pre-tokens are encoded but not remembered.
 LONG = 256
 #: Pre-tokenisation of byte-level BPE with its published pattern.
@@ -58,9 +58,10 @@ class TrieBpe:
             self.rank.setdefault((a, b), r)
             self.parts.setdefault(c, (a, b))
             self.made_at.setdefault(c, r)
-        self.longest = max(map(len, self.id_of))
-        self.whole = {}
+        self.whole: dict[int, bool] = {}
         self.fits: dict[int, bool] = {}
+        self.usable = {b: i for b, i in self.id_of.items() if self.reachable(i)}
+        self.longest = max(map(len, self.usable))
         self.words: dict[str, bytes] = {}
         self.find = regex.compile(PATTERN).findall
         self.split = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")").split if self.special else None
@@ -72,10 +73,6 @@ class TrieBpe:
         pieces that faced each other must not have had a merge that ranks before those already undone.
         ``limit``: only merges ranked before it count.
         """
-        key = (a << 20 | b) << 41 | limit
-        known = self.fits.get(key)
-        if known is not None:
-            return known
         left, right, ok = a, b, True
         while True:
             r = self.rank.get((left, right))
@@ -89,9 +86,6 @@ class TrieBpe:
                 limit, left = ra, self.parts[left][1]
             else:
                 limit, right = rb + 1, self.parts[right][0]
-        if len(self.fits) > 2_000_000:
-            self.fits.clear()
-        self.fits[key] = ok
         return ok
 
     def reachable(self, token: int) -> bool:
@@ -106,16 +100,26 @@ class TrieBpe:
         """Token ids of distinct words, given in byte order."""
         last: list[int] = [-1]
         path = b""
-        get, longest = self.id_of.get, self.longest
+        get, longest, fits, known = self.usable.get, self.longest, self.fits, self.fits.get
+        if len(fits) > 1_500_000:
+            fits.clear()
         for word in words:
             shared = len(os.path.commonprefix((path, word)))
             del last[shared + 1 :]
             for end in range(shared + 1, len(word) + 1):
                 for start in range(max(0, end - longest), end):
                     token = get(word[start:end])
-                    if token is not None and (last[start] < 0 and start == 0 or start and self.kept_apart(last[start], token)) and self.reachable(token):
-                        last.append(token)
-                        break
+                    if token is None:
+                        continue
+                    if start:
+                        key = last[start] << 24 | token
+                        ok = known(key)
+                        if ok is None:
+                            ok = fits[key] = self.kept_apart(last[start], token)
+                        if not ok:
+                            continue
+                    last.append(token)
+                    break
                 else:
                     raise ValueError(f"no token ends at byte {end} of {word[:80]!r}")
             path, ids, at = word, [], len(word)
@@ -184,8 +188,8 @@ def encode(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _tokenizer(held)
         for batch in batches:
-            for at in range(0, max(batch.num_rows, 1), 256):
-                part = batch.slice(at, 256)
+            for at in range(0, max(batch.num_rows, 1), 1024):
+                part = batch.slice(at, 1024)
                 ids = bpe.encode_batch(part.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "n_tokens", "ids"])
 
