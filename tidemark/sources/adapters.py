@@ -8,6 +8,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
+
+from .stored import store
 
 _Q = """SELECT l_suppkey AS s, year(l_shipdate) AS y, quarter(l_shipdate) AS q, power(2, l_suppkey % 12) AS k,
  sum(cast(round(l_extendedprice * 100) AS bigint)) AS c, sum(cast(round(l_extendedprice * 100) AS bigint) * cast(round(l_discount * 100) AS bigint)) AS cd
@@ -52,21 +55,23 @@ HEADLINES = """SELECT text AS headline, source, cast(doc_id AS varchar(20)) AS u
 class Inputs:
     """The engine's input tables over one scale-factor folder.
 
-    Facts, prices and the tables that the engine stores (fundamentals, snapshots) are derived once and kept by Spark (in memory, then on disk) while the session lives, as stored
-    tables would be; a lost part is derived again.
+    Facts, prices and the tables that the engine stores (fundamentals, snapshots) are derived once for each
+    application and folder, written to the shared folder and read from there, so that each job plans and prunes
+    only its own part.
     """
 
-    _kept: dict[tuple[str, str, str], DataFrame] = {}
+    _kept: dict[tuple[str, str, str], tuple[str, StructType]] = {}
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
 
     def keep(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
         key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
-        df = self._kept.get(key)
-        if df is None or df.sparkSession is not self.spark:
-            df = self._kept[key] = make().persist()
-        return df
+        if key not in self._kept:
+            df = make()
+            self._kept[key] = store(df, name), df.schema
+        path, schema = self._kept[key]
+        return self.spark.read.schema(schema).parquet(path)
 
     def _keep(self, name: str, text: str, *tables: str) -> DataFrame:
         return self.keep(name, lambda: self._sql(text, *tables))
