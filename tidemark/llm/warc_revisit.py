@@ -19,21 +19,31 @@ CRLF = "\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
-def resolve(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
+def files_of(pages: DataFrame, file_bytes: int = FILE_BYTES) -> int:
+    """Archive files that the payloads fill, about."""
+    size = pages.agg(F.coalesce(F.sum(F.octet_length("html").cast("long")), F.lit(0))).first()[0]
+    return max(1, -(-int(size) // file_bytes))
+
+
+def resolve(pages: DataFrame, files: int, least_bytes: int = LEAST_BYTES) -> DataFrame:
     """``(page_id, url, html)`` -> those, ``payload_bytes``, ``payload_digest``, ``record_type``, ``refers_to``.
 
-    Headers (digest and id only) are shuffled by digest after their maxima are combined per task; then
-    each record finds the original of its digest. A digest that very many pages share is a skewed join
-    key, which AQE splits. Null html is an empty payload. Rows that repeat the largest page_id are all
-    responses; of a digest whose page_ids are all null, so are all.
+    Headers (digest and id) are shuffled by digest and meet the original of their digest there; a digest
+    that very many pages share is a skewed join key, which AQE splits. Only then do the revisits' headers
+    meet the payloads, which are shuffled once, evenly by id and digest over ``files`` partitions. Null html
+    is an empty payload. Rows that repeat the largest page_id are all responses; of a digest whose
+    page_ids are all null, so are all.
     """
     p = need(pages, "page_id", "url", "html").withColumn("html", F.coalesce("html", F.lit("")))
     p = p.withColumn("payload_bytes", F.octet_length("html").cast("long")).withColumn("payload_digest", F.sha1(F.encode("html", "UTF-8")))
-    heads = p.where(F.col("payload_bytes") >= least_bytes).groupBy("payload_digest").agg(F.max("page_id").alias("original"))
-    joined = p.join(heads, "payload_digest", "left")
-    revisit = (F.col("payload_bytes") >= least_bytes) & F.col("original").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("original"))
+    p = p.withColumn("slot", F.concat_ws(":", F.col("page_id").cast("string"), "payload_digest"))
+    large = p.where(F.col("payload_bytes") >= least_bytes).select("page_id", "payload_digest", "slot")
+    heads = large.groupBy("payload_digest").agg(F.max("page_id").alias("original"))
+    repeats = large.join(heads, "payload_digest").where(F.col("original").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("original")))
+    repeats = repeats.select("slot", "original").repartition(files, "slot").groupBy("slot").agg(F.max("original").alias("refers_to"))
+    joined = p.repartition(files, "slot").join(repeats, "slot", "left")
     return joined.select("page_id", "url", "html", "payload_bytes", "payload_digest",
-                         F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("original")).alias("refers_to"))
+                         F.when(F.col("refers_to").isNotNull(), "revisit").otherwise("response").alias("record_type"), "refers_to")
 
 
 def _one_line(c) -> Column:
@@ -56,14 +66,12 @@ def record_text(date: str) -> Column:
     return F.concat(F.concat_ws(CRLF, *lines), F.lit(CRLF + CRLF), body)
 
 
-def write_archives(resolved: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z", file_bytes: int = FILE_BYTES) -> None:
-    """One gzip-compressed archive per task of evenly dealt records, written by Spark's text writer.
+def write_archives(resolved: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z") -> None:
+    """One gzip-compressed archive per partition, written by Spark's text writer.
 
     Its line separator is the CRLF CRLF that closes a WARC record, so that the files are plain WARC.
     """
-    files = max(1, -(-int(resolved.agg(F.coalesce(F.sum("payload_bytes"), F.lit(0))).first()[0]) // file_bytes))
-    dealt = resolved.repartition(files, F.xxhash64("page_id", "payload_digest"))
-    dealt.select(record_text(date).alias("value")).write.option("lineSep", CRLF + CRLF).option("compression", "gzip").text(path)
+    resolved.select(record_text(date).alias("value")).write.option("lineSep", CRLF + CRLF).option("compression", "gzip").text(path)
 
 
 def parse_records(chunks: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -150,7 +158,7 @@ def archive_round_trip(pages: DataFrame, path: str | None = None) -> DataFrame:
     """
     spark = pages.sparkSession
     path = path or new_path(spark, "warc")
-    write_archives(resolve(pages), path)
+    write_archives(resolve(pages, files_of(pages)), path)
     back = read_archives(spark, path)
     stored = F.col("record_type") == "response"
     return back.select("page_id", F.when(stored, F.length("content").cast("long")).otherwise(F.col("payload_bytes")).alias("payload_bytes"),
