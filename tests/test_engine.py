@@ -47,3 +47,20 @@ def test_screen_thresholds():
 def test_price_csv(spark, tmp_path):
     (tmp_path / "p.csv").write_text("Date,Open,High,Low,Close,Adjusted_close,Volume\n2024-01-02,1,2,0.5,1.5,1.4,100\n2024-01-03,1,2,0.5,N/A,N/A,100\n2024-01-04,1,2,0.5,1.6,,7\nsome message,,,,,,\n")
     assert sorted((r.date.isoformat(), r.close) for r in fi.read_price_csv(spark, str(tmp_path / "p.csv"), "abc").collect()) == [("2024-01-02", 1.4), ("2024-01-04", 1.6)]
+
+
+def test_refresh_touches_only_landed_companies(spark, tmp_path):
+    from tidemark.streaming.refresh import start_refresh
+
+    schema = "cik long, taxonomy string, concept string, unit string, period_start date, period_end date, filed date, accn string, val double"
+
+    def land(cik, filed, val):
+        row = (cik, "us-gaap", "Assets", "USD", None, day("2020-12-31"), day(filed), f"{cik}-{filed}", val)
+        spark.createDataFrame([row], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/landing")
+        start_refresh(spark, f"{tmp_path}/landing", spark.createDataFrame([], schema).schema, f"{tmp_path}/store", concept_map(spark), f"{tmp_path}/checkpoint").awaitTermination(60)
+
+    land(1, "2021-02-01", 5.0)
+    land(2, "2021-03-01", 7.0)
+    land(1, "2021-04-01", 6.0)
+    held = spark.read.parquet(f"{tmp_path}/store/fundamentals/generation=2")
+    assert sorted((r.cik, r.metric, r.val) for r in held.collect()) == [(1, "total_assets", 6.0), (2, "total_assets", 7.0)]
