@@ -22,8 +22,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .storage import need
 
-#: Distinct pre-tokens that a Python worker remembers; it starts afresh beyond that.
-REMEMBERED = 1_000_000
+#: Distinct pre-tokens in the newer half of what a Python worker remembers. A full half becomes the older
+#: one, from which words still in use move up again, and the one before it goes.
+REMEMBERED = 150_000
+#: Pairs of neighbouring tokens that a Python worker remembers; it starts afresh beyond that.
+PAIRS = 400_000
 #: Longer pre-tokens are encoded but not remembered.
 LONG = 256
 #: Pre-tokenisation of byte-level BPE with its published pattern.
@@ -40,15 +43,18 @@ def byte_letters() -> dict[str, int]:
 class TrieBpe:
     """Encoder and decoder for one byte-level vocabulary with ranked merges."""
 
-    def __init__(self, spec: dict):
+    def __init__(self, spec: dict, decode_only: bool = False):
+        """``decode_only``: without the tables that encoding needs."""
         import regex
 
         model, letters = spec["model"], byte_letters()
         raw = lambda piece: bytes(letters[c] for c in piece)
         self.bytes_of = {i: raw(t) for t, i in model["vocab"].items()}
-        self.id_of = {b: i for i, b in self.bytes_of.items()}
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         self.bytes_of |= {i: t.encode() for t, i in self.special.items()}
+        if decode_only:
+            return
+        self.id_of = {raw(t): i for t, i in model["vocab"].items()}
         self.rank: dict[tuple[int, int], int] = {}
         self.parts: dict[int, tuple[int, int]] = {}
         self.made_at: dict[int, int] = {}
@@ -63,6 +69,7 @@ class TrieBpe:
         self.usable = {b: i for b, i in self.id_of.items() if self.reachable(i)}
         self.longest = max(map(len, self.usable))
         self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.find = regex.compile(PATTERN).findall
         self.split = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")").split if self.special else None
 
@@ -101,9 +108,9 @@ class TrieBpe:
         last: list[int] = [-1]
         path = b""
         get, longest, fits, known = self.usable.get, self.longest, self.fits, self.fits.get
-        if len(fits) > 1_500_000:
-            fits.clear()
         for word in words:
+            if len(fits) > PAIRS:
+                fits.clear()
             shared = len(os.path.commonprefix((path, word)))
             del last[shared + 1 :]
             for end in range(shared + 1, len(word) + 1):
@@ -137,10 +144,16 @@ class TrieBpe:
             tokens = self.find(parts[0]) if len(parts) == 1 else [t for k, p in enumerate(parts) for t in ([(p,)] if k % 2 else self.find(p))]
             cut.append(tokens)
             new.update(tokens)
-        new = [w for w in new if w not in words]
         if len(words) + len(new) > REMEMBERED:
-            words.clear()
-            new = list({w for tokens in cut for w in tokens})
+            self.older, self.words = words, {}
+            words = self.words
+        used, new, older = new, [], self.older
+        for w in used:
+            if w not in words:
+                if w in older:
+                    words[w] = older[w]
+                else:
+                    new.append(w)
         specials = [w for w in new if isinstance(w, tuple)]
         raw = {w.encode("utf-8", "surrogatepass"): w for w in new if not isinstance(w, tuple)}
         for word, ids in self.encode_words(sorted(raw)):
@@ -162,11 +175,11 @@ class TrieBpe:
 _LOADED: dict[str, TrieBpe] = {}
 
 
-def _tokenizer(held) -> TrieBpe:
-    key = held.value[0]
+def _tokenizer(held, use: str) -> TrieBpe:
+    key = f"{held.value[0]} {use}"
     if key not in _LOADED:
         _LOADED.clear()
-        _LOADED[key] = TrieBpe(json.loads(held.value[1]))
+        _LOADED[key] = TrieBpe(json.loads(held.value[1]), use == "decode")
     return _LOADED[key]
 
 
@@ -186,10 +199,10 @@ def encode(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     held = _ship(docs.sparkSession, tokenizer_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = _tokenizer(held)
+        bpe = _tokenizer(held, "encode")
         for batch in batches:
-            for at in range(0, max(batch.num_rows, 1), 1024):
-                part = batch.slice(at, 1024)
+            for at in range(0, max(batch.num_rows, 1), 512):
+                part = batch.slice(at, 512)
                 ids = bpe.encode_batch(part.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "n_tokens", "ids"])
 
@@ -201,7 +214,7 @@ def decode(encoded: DataFrame, tokenizer_path: str) -> DataFrame:
     held = _ship(encoded.sparkSession, tokenizer_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = _tokenizer(held)
+        bpe = _tokenizer(held, "decode")
         for batch in batches:
             for at in range(0, max(batch.num_rows, 1), 256):
                 part = batch.slice(at, 256)
