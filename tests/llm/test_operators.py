@@ -175,6 +175,9 @@ def test_extract(spark):
     shared = "<body><div class=x><p>Welcome to the site</p><p>{}</p></div></body>"
     rows = [(i, "http://h.example/1", shared.format(f"own text {i}")) for i in range(12)] + [(50, None, None), (51, "bad://[", page)]
     got = {r.page_id: r for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    copies = [(60 + i, "http://copies.example/", page) for i in range(12)]
+    same = extract(spark.createDataFrame(copies, "page_id long, url string, html string")).select("text").distinct().collect()
+    assert [r.text for r in same] == ["T & x\n\na b\n\nc d"]
     assert got[3].text == "own text 3" and got[50].text == "" and got[51].n_chars == len(got[51].text) == 15
 
 
