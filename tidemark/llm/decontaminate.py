@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from .storage import materialize, need
 from .wordscan import pieces, text_bytes, windows, words
+from .workers import held as held_for
 
 #: Lower-cases A-Z; 0 for bytes that part words (ASCII other than digits and letters).
 TABLE = np.array([c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 0 for c in range(256)], np.uint8)
@@ -70,6 +71,7 @@ def _scan(columns: list[str], grams, earlier: bool, shed: bool = False):
     returned = [c for c in columns if not (shed and c == "text")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held_for("decontamination")
         known: GramSet = grams.value
         for batch in batches:
             for at, n in pieces(batch.column(text)):

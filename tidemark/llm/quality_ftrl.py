@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .storage import need
+from .workers import held as held_for
 
 BITS = 18
 #: Labelled rows that training takes at most: the first of a hash order. More would not move the
@@ -21,7 +22,8 @@ BITS = 18
 SAMPLE = 6000
 _TOKEN = re.compile(r"\w+|[^\w\s]+")
 _MASK = (1 << BITS) - 1
-_NUMBERED: dict[str, tuple[int, int]] = {}
+#: Tokens whose numbers a Python worker remembers; it starts afresh beyond that.
+REMEMBERED = 60_000
 
 
 def _number(token: str) -> tuple[int, int]:
@@ -46,9 +48,9 @@ def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     tokens = _TOKEN.findall(text or "")
     if not tokens:
         return np.zeros(1, np.int64), np.ones(1)
-    if len(_NUMBERED) > 300_000:
-        _NUMBERED.clear()
-    known = _NUMBERED
+    known = held_for("quality")
+    if len(known) > REMEMBERED:
+        known.clear()
     for t in set(tokens).difference(known):
         known[t] = _number(t)
     both = np.array([known[t] for t in tokens], np.int64)

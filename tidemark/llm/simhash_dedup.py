@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from .components import connected_components
 from .storage import free_shuffles, materialize, need
 from .wordscan import mix
+from .workers import held as held_for
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 SEED = 42
@@ -62,6 +63,7 @@ def fingerprints(docs: DataFrame, shingle_words: int = 4, width: int = 1) -> Dat
     """``(doc_id, text)`` -> ``(doc_id, fp)``: the bits of one word as a signed long, of several as their bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held_for("simhash")
         for batch in batches:
             for at in range(0, max(batch.num_rows, 1), 512):
                 part = batch.slice(at, 512)

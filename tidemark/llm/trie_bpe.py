@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from .storage import need
+from .workers import held as held_for
 
 #: Distinct pre-tokens in the newer half of what a Python worker remembers. A full half becomes the older
 #: one, from which words still in use move up again, and the one before it goes.
@@ -172,15 +173,12 @@ class TrieBpe:
         return b"".join([table[i] for i in np.frombuffer(ids, "<u4").tolist()]).decode("utf-8", "replace")
 
 
-_LOADED: dict[str, TrieBpe] = {}
-
-
 def _tokenizer(held, use: str) -> TrieBpe:
-    key = f"{held.value[0]} {use}"
-    if key not in _LOADED:
-        _LOADED.clear()
-        _LOADED[key] = TrieBpe(json.loads(held.value[1]), use == "decode")
-    return _LOADED[key]
+    mine, key = held_for(f"bpe {use}"), held.value[0]
+    if key not in mine:
+        mine.clear()
+        mine[key] = TrieBpe(json.loads(held.value[1]), use == "decode")
+    return mine[key]
 
 
 def _ship(spark: SparkSession, path: str):
