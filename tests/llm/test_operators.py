@@ -89,6 +89,38 @@ def test_near_duplicates_keep_one(docs):
     assert ids.count(6) == 1 and not {7, 8, 9} & set(ids) and {1, 4, 10, 14} <= set(ids) and kept.columns == ["doc_id", "text"]
 
 
+def test_near_duplicates_are_all_pairs_of_a_dense_group(spark, monkeypatch):
+    from tidemark.llm import simhash_dedup as s
+
+    monkeypatch.setattr(s, "PIECE", 16)
+    rng = np.random.default_rng(8)
+    base = [f"b{i}" for i in range(300)]
+    rows = []
+    for i in range(150):  # passages of one text: neighbours are near 0.8, on both sides
+        words = list(base)
+        for k in rng.choice(300, int(rng.integers(5, 9)), replace=False):
+            words[k] = f"x{i}-{k}"
+        rows.append((int(1000 - i), " ".join(words)))
+    rows += [(2000 + i, " ".join(f"o{i}-{k}" if rng.random() < 0.02 else f"p{k}" for k in range(int(rng.integers(3, 90))))) for i in range(150)]
+    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for w in (t.split() for _, t in rows)]
+    root, links = {i: i for i, _ in rows}, []
+    for a in range(len(rows)):
+        for b in range(a):
+            if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8:
+                links.append((rows[a][0], rows[b][0]))
+    changed = True
+    while changed:
+        changed = False
+        for a, b in links:
+            low = min(root[a], root[b])
+            if root[a] != low or root[b] != low:
+                root[a] = root[b] = low
+                changed = True
+    assert 20 < len(set(root.values())) < 280
+    got = {r.doc_id: r.component_id for r in s.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)).collect()}
+    assert got == root
+
+
 def test_quality(spark):
     from tidemark.llm.quality_ftrl import score, train
 

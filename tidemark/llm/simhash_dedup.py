@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .storage import free_shuffles, materialize, need
+from .storage import discard, free_shuffles, materialize, need
 from .wordscan import mix
 from .workers import held as held_for
 
@@ -30,6 +30,8 @@ SEED = 42
 BLOCKS = ((0, 0, 23, 1), (0, 23, 24, 1), (0, 47, 17, 0))
 #: Rows of one anchor that one comparison takes at most (on average, by hash) before the anchor is split.
 PIECE = 8192
+#: Parity bits of a shingle set; documents and tokens that the order of shingles from rare to common is taken from.
+BITS, ORDER_DOCS, ORDER_TOKENS = 1024, 10_000, 1 << 16
 
 
 def simhash(text: str | None, shingle_words: int = 4, width: int = 1) -> np.ndarray:
@@ -258,36 +260,148 @@ def simhash_components(docs: DataFrame, shingle_words: int = 4, threshold: int =
     return prints.join(named, "fp", "left").select("doc_id", digits.alias("fingerprint"), "component_id")
 
 
-def wide_blocks(n_docs: int, similarity: float) -> tuple[tuple, int, int]:
-    """(blocks, words, threshold) by which documents of that Jaccard similarity are found.
+def _shingles(text: str | None, shingle_words: int) -> np.ndarray:
+    """The sorted distinct hashes of a text's word shingles."""
+    import xxhash
 
-    Copies of similarity s differ in a share p = acos(2s / (1 + s)) / pi of their bits on average. Blocks are
-    as wide as keeps anchors small for this many documents, and so many that a pair at the limit
-    meets in one of them with probability 0.95 (closer pairs nearly always); the threshold lies 2.5 standard
-    deviations above the mean. So the share found is the same at every size.
-    """
-    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    width = min(40, max(14, n_docs.bit_length() - 6))
-    number = math.ceil(3 / (1 - p) ** width)
-    each = 64 // width
-    blocks = tuple((k // each, k % each * width, width, 0) for k in range(number))
-    words = -(-number // each)
-    return blocks, words, math.floor(64 * words * p + 2.5 * math.sqrt(64 * words * p * (1 - p)))
+    words = (text or "").encode("utf-8", "surrogatepass").translate(LOWER).split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    joined, k = b" ".join(words), min(shingle_words, len(words))
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))[: len(words) - k + 1]
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.fromiter((digest(joined[i:j], SEED) for i, j in zip(starts.tolist(), ends[k - 1 :].tolist())), np.uint64, len(starts)))
 
 
-def _shingle_sets(shingle_words: int):
+def _node(shingles: np.ndarray) -> int:
+    """Names a shingle set: texts of equal sets are one node. Never negative, so differences fit a long."""
     import xxhash
 
-    def one(text: str | None) -> bytes:
-        words = (text or "").encode("utf-8", "surrogatepass").translate(LOWER).split()
-        k = min(shingle_words, len(words))
-        return np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(words[i : i + k]), SEED) for i in range(len(words) - k + 1 if words else 0)), np.uint64)).tobytes()
+    return xxhash.xxh64_intdigest(shingles.tobytes(), SEED) >> 1
+
 
+def _shingle_rows(shingle_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, max(batch.num_rows, 1), 512):
-                part = batch.slice(at, 512)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([one(t) for t in part.column(1).to_pylist()], pa.binary())], ["rep", "shingles"])
+            for at in range(0, batch.num_rows, 256):
+                sets = [_shingles(t, shingle_words) for t in batch.column(0).slice(at, 256).to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64))], ["token"])
+
+    return run
+
+
+def _shingle_sets(shingle_words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                sets = [_shingles(t, shingle_words) for t in batch.column(1).slice(at, 256).to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array([_node(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], ["node", "shingles"])
+
+    return run
+
+
+def common_shingles(docs: DataFrame, n_docs: int, shingle_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """(token, count) of shingles that are common in about ORDER_DOCS documents, sorted by token.
+
+    It only orders shingles from rare to common; every order finds the same pairs, this one fewest candidates.
+    """
+    some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(max(1, n_docs // ORDER_DOCS))) == 0).select("text")
+    rows = some.mapInArrow(_shingle_rows(shingle_words), "token long").groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    top = rows.where("n > 2").orderBy(F.desc("n"), "token").limit(ORDER_TOKENS).toPandas().sort_values("token")
+    return top["token"].to_numpy(np.int64), top["n"].to_numpy(np.int64)
+
+
+def _prefixes(shingle_words: int, similarity: float, common):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        token, count = common.value
+        for batch in batches:
+            for at in range(0, max(batch.num_rows, 1), 256):
+                part = batch.slice(at, 256)
+                node, size, prefix, bits = [], [], [], []
+                for text in part.column(1).to_pylist():
+                    x = _shingles(text, shingle_words)
+                    n, often = len(x), np.zeros(len(x), np.int64)
+                    if n and len(token):
+                        near = np.minimum(np.searchsorted(token, x.view(np.int64)), len(token) - 1)
+                        often = np.where(token[near] == x.view(np.int64), count[near], 0)
+                    first = np.argsort(often, kind="stable")[: n - math.ceil(similarity * n - 1e-9) + 1]
+                    node.append(_node(x)), size.append(n), prefix.append(x[first].view(np.int64))
+                    bits.append(np.packbits(np.bincount((x & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1).tobytes())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(node, pa.int64()), pa.array(size, pa.int32()), pa.array(prefix, pa.list_(pa.int64())), pa.array(bits, pa.binary())], ["doc_id", "node", "size", "prefix", "bits"])
+
+    return run
+
+
+def _shared(x, y, similarity: float):
+    """How many shingles sets of these sizes must share."""
+    return np.ceil((x + y) * (similarity / (1 + similarity)) - 1e-9)
+
+
+def _meet(similarity: float):
+    """Pairs within a token's group that can still reach the similarity and are in different components.
+
+    Rows are sorted by group and size; each row meets the later rows of its group that aren't too large for it.
+    """
+
+    def links(group, size, at, own, cross, node, root):
+        idx, k, last = np.arange(len(group)), 1, len(group)
+        found, held = [], 0
+        while len(idx):
+            idx = idx[idx + k < last]
+            to = idx + k
+            idx = idx[(group[to] == group[idx]) & (size[to] * similarity <= size[idx] + 1e-9)]
+            to = idx + k
+            most = np.minimum(at[idx], at[to]) + np.minimum(size[idx] - at[idx], size[to] - at[to])
+            hit = (root[idx] != root[to]) & (~cross[idx] | (own[idx] != own[to])) & (most >= _shared(size[idx], size[to], similarity))
+            if hit.any():
+                found.append((node[idx[hit]], node[to[hit]]))
+                held += int(hit.sum())
+                if held > 300_000:
+                    yield [np.concatenate(x) for x in zip(*found)]
+                    found, held = [], 0
+            k += 1
+        if found:
+            yield [np.concatenate(x) for x in zip(*found)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = None
+
+        def out(cols):
+            group = np.cumsum(np.concatenate(([False], np.any(cols[0][1:] != cols[0][:-1], axis=1))))
+            for a, b in links(group, *cols[1:4], cols[0][:, 1] != cols[0][:, 2], *cols[4:]):
+                pair = np.unique(np.stack((np.maximum(a, b), np.minimum(a, b)), 1), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], ["a", "b"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            c = [batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(8)]
+            cols = [np.stack(c[:3], 1), *c[3:]]
+            if kept is not None:
+                cols = [np.concatenate(x) for x in zip(kept, cols)]
+            change = np.flatnonzero(np.any(cols[0][1:] != cols[0][:-1], axis=1))
+            cut = change[-1] + 1 if len(change) else 0
+            kept = [x[cut:] for x in cols]
+            if cut:
+                yield from out([x[:cut] for x in cols])
+        if kept is not None:
+            yield from out(kept)
+
+    return run
+
+
+def _by_bits(similarity: float):
+    """Keeps pairs whose parity bits allow the similarity: sets differ in as many shingles as their bits at least."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            n = [batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (2, 3)]
+            differ = np.bitwise_count(_matrix(batch.column(4)) ^ _matrix(batch.column(5))).sum(1, dtype=np.int64)
+            keep = pa.array((differ <= n[0] + n[1] - 2 * _shared(*n, similarity)) & (np.minimum(*n) + 1e-9 >= similarity * np.maximum(*n)))
+            yield pa.RecordBatch.from_arrays([batch.column(k).filter(keep) for k in (0, 1)], ["a", "b"])
 
     return run
 
@@ -302,28 +416,68 @@ def _jaccard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.float64())], ["a", "b", "similarity"])
 
 
+def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, similarity: float, shingle_words: int) -> tuple[DataFrame, DataFrame]:
+    """(pairs that were compared, those of them whose exact shingle sets have the similarity)."""
+    side = lambda end, n, bits: nodes.select(F.col("node").alias(end), F.col("size").alias(n), F.col("bits").alias(bits))
+    likely = pairs.join(side("a", "m", "x"), "a").join(side("b", "n", "y"), "b").select("a", "b", "m", "n", "x", "y").mapInArrow(_by_bits(similarity), "a long, b long")
+    likely = materialize(likely, "likely")
+    ends = nodes.join(likely.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi").select("rep")
+    sets = docs.join(ends, docs["doc_id"] == ends["rep"], "left_semi").mapInArrow(_shingle_sets(shingle_words), "node long, shingles binary")
+    sets = materialize(sets.dropDuplicates(["node"]), "shingles")
+    both = likely.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
+    sure = both.select("a", "b", "x", "y").mapInArrow(_jaccard, "a long, b long, similarity double").where(F.col("similarity") >= similarity)
+    sure = materialize(sure.select("a", "b"), "sure")
+    discard(sets)
+    return likely, sure
+
+
+def similar_classes(docs: DataFrame, similarity: float = 0.8, shingle_words: int = 5) -> tuple[DataFrame, DataFrame]:
+    """(``doc_id, node`` of each row, ``node, root`` of each node with links), over all pairs at ``similarity``.
+
+    Two sets of that similarity share one of their rarest shingles, of which each needs only a prefix. First
+    each token's nodes are compared with one of them; then all pairs that components of these verified links
+    leave apart. Sizes, positions and parity bits rule out only what cannot reach the similarity, and exact
+    sets decide on the rest, so no pair at the similarity stays unlinked, and none below it is linked.
+    """
+    spark, n_docs = docs.sparkSession, docs.count()
+    common = spark.sparkContext.broadcast(common_shingles(docs, n_docs, shingle_words))
+    prints = docs.mapInArrow(_prefixes(shingle_words, similarity, common), "doc_id long, node long, size int, prefix array<long>, bits binary")
+    prints = materialize(prints, "prints")
+    nodes = materialize(prints.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("size").alias("size"), F.first("bits").alias("bits")), "nodes")
+    ones = nodes.select("node", F.col("rep").alias("doc_id"))
+    rows = prints.join(ones, ["node", "doc_id"], "left_semi").select("node", "size", F.posexplode("prefix").alias("at", "token"))
+    shared = rows.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("node", "size", "at")).alias("lead")).where("n > 1")
+    rows = materialize(rows.join(shared, "token").select("token", "node", "size", "at", "n", "lead"), "tokens")
+    free_shuffles(spark)
+    most = F.least("at", "lead.at") + F.least(F.col("size") - F.col("at"), F.col("lead.size") - F.col("lead.at"))
+    need_both = F.ceil((F.col("size") + F.col("lead.size")) * (similarity / (1 + similarity)) - 1e-9)
+    stars = rows.where("node <> lead.node").where(most >= need_both).select(F.greatest("node", "lead.node").alias("a"), F.least("node", "lead.node").alias("b")).distinct()
+    compared, sure = _verified(stars, docs, nodes, similarity, shingle_words)
+    roots = materialize(connected_components(sure), "roots")
+    free_shuffles(spark)
+    rooted = rows.select("token", "node", "size", "at", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    apart = rooted.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("token")
+    pieces = F.ceil(F.col("n") / PIECE).cast("int")
+    own = F.pmod(F.xxhash64("node"), pieces).cast("int")
+    dealt = (rooted.join(apart, "token", "left_semi").withColumn("own", own)
+             .withColumn("other", F.explode(F.sequence(F.lit(0), pieces - 1)))
+             .select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "size", "at", "own", "node", "root"))
+    grouped = dealt.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", "size")
+    rest = grouped.mapInArrow(_meet(similarity), "a long, b long").distinct().join(compared, ["a", "b"], "left_anti")
+    _, more = _verified(rest, docs, nodes, similarity, shingle_words)
+    free_shuffles(spark)
+    return prints.select("doc_id", "node"), connected_components(sure.union(more)) if not more.isEmpty() else roots
+
+
 def near_duplicates(docs: DataFrame, similarity: float = 0.8, shingle_words: int = 5) -> DataFrame:
     """``(doc_id, text)`` -> ``(doc_id, component_id)``: documents linked by Jaccard similarity of their shingles.
 
-    Wide SimHash fingerprints meet at anchors; of each anchor's links a minimum spanning forest is kept
-    (the likeliest ones), and the exact shingle sets of its ends decide. Null and empty texts are copies of each
-    other. Rows of a null doc_id form no class and get a null component_id.
+    Every pair at the similarity is a link (see :func:`similar_classes`). Null and empty texts are copies of each
+    other. Rows of a null doc_id form no class and are not returned.
     """
-    d = need(docs, "doc_id", "text").where("doc_id IS NOT NULL")
-    blocks, words, threshold = wide_blocks(d.count(), similarity)
-    prints = materialize(fingerprints(d, shingle_words, words), "prints")
-    nodes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "nodes")
-    links = materialize(fingerprint_links(nodes, nodes.count(), threshold, blocks), "likely")
-    free_shuffles(docs.sparkSession)
-    ends = links.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
-    sets = d.join(ends, d["doc_id"] == ends["rep"], "left_semi").mapInArrow(_shingle_sets(shingle_words), "rep long, shingles binary")
-    sets = materialize(sets.dropDuplicates(["rep"]), "shingles")
-    pairs = links.select("a", "b").distinct()
-    pairs = pairs.join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("rep").alias("b"), F.col("shingles").alias("y")), "b")
-    sure = pairs.select("a", "b", "x", "y").mapInArrow(_jaccard, "a long, b long, similarity double").where(F.col("similarity") >= similarity)
-    roots = connected_components(sure.select("a", "b"))
-    named = nodes.join(roots, nodes["rep"] == roots["node"], "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
-    return prints.join(named, "fp").select("doc_id", "component_id")
+    prints, roots = similar_classes(need(docs, "doc_id", "text").where("doc_id IS NOT NULL"), similarity, shingle_words)
+    rooted = prints.join(roots, "node", "left").select("doc_id", F.coalesce("root", "node").alias("root"))
+    return rooted.join(rooted.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("doc_id", "component_id")
 
 
 def keep_first(docs: DataFrame, similarity: float = 0.8, shingle_words: int = 5) -> DataFrame:
