@@ -121,6 +121,15 @@ def test_near_duplicates_are_all_pairs_of_a_dense_group(spark, monkeypatch):
     assert got == root
 
 
+def test_texts_of_a_repeated_id_go_one_by_one(spark):
+    from tidemark.llm.simhash_dedup import keep_first
+
+    x, y = (" ".join(f"{c}{i}" for i in range(40)) for c in "xy")
+    rows = [(1, x), (5, x), (5, y), (5, y), (7, y), (8, x + " end"), (None, x)]
+    kept = keep_first(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in kept) == [(0, x), (1, x), (5, y)]
+
+
 def test_quality(spark):
     from tidemark.llm.quality_ftrl import score, train
 

@@ -328,7 +328,7 @@ def _prefixes(shingle_words: int, similarity: float, common):
                     first = np.argsort(often, kind="stable")[: n - math.ceil(similarity * n - 1e-9) + 1]
                     node.append(_node(x)), size.append(n), prefix.append(x[first].view(np.int64))
                     bits.append(np.packbits(np.bincount((x & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1).tobytes())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(node, pa.int64()), pa.array(size, pa.int32()), pa.array(prefix, pa.list_(pa.int64())), pa.array(bits, pa.binary())], ["doc_id", "node", "size", "prefix", "bits"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(node, pa.int64()), pa.array(size, pa.int32()), pa.array(prefix, pa.list_(pa.int64())), pa.array(bits, pa.binary())], ["doc_id", "copy", "node", "size", "prefix", "bits"])
 
     return run
 
@@ -432,7 +432,9 @@ def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, similarity: f
 
 
 def similar_classes(docs: DataFrame, similarity: float = 0.8, shingle_words: int = 5) -> tuple[DataFrame, DataFrame]:
-    """(``doc_id, node`` of each row, ``node, root`` of each node with links), over all pairs at ``similarity``.
+    """(``doc_id, copy, node`` of each row, ``node, root`` of each node with links), over all pairs at ``similarity``.
+
+    ``docs`` are ``(doc_id, text, copy)``; copy is a digest of the text, which tells rows of one doc_id apart.
 
     Two sets of that similarity share one of their rarest shingles, of which each needs only a prefix. First
     each token's nodes are compared with one of them; then all pairs that components of these verified links
@@ -441,7 +443,7 @@ def similar_classes(docs: DataFrame, similarity: float = 0.8, shingle_words: int
     """
     spark, n_docs = docs.sparkSession, docs.count()
     common = spark.sparkContext.broadcast(common_shingles(docs, n_docs, shingle_words))
-    prints = docs.mapInArrow(_prefixes(shingle_words, similarity, common), "doc_id long, node long, size int, prefix array<long>, bits binary")
+    prints = docs.mapInArrow(_prefixes(shingle_words, similarity, common), "doc_id long, copy long, node long, size int, prefix array<long>, bits binary")
     prints = materialize(prints, "prints")
     nodes = materialize(prints.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("size").alias("size"), F.first("bits").alias("bits")), "nodes")
     ones = nodes.select("node", F.col("rep").alias("doc_id"))
@@ -466,7 +468,14 @@ def similar_classes(docs: DataFrame, similarity: float = 0.8, shingle_words: int
     rest = grouped.mapInArrow(_meet(similarity), "a long, b long").distinct().join(compared, ["a", "b"], "left_anti")
     _, more = _verified(rest, docs, nodes, similarity, shingle_words)
     free_shuffles(spark)
-    return prints.select("doc_id", "node"), connected_components(sure.union(more)) if not more.isEmpty() else roots
+    return prints.select("doc_id", "copy", "node"), connected_components(sure.union(more)) if not more.isEmpty() else roots
+
+
+def _rooted(docs: DataFrame, similarity: float, shingle_words: int) -> DataFrame:
+    """``(doc_id, copy, root)`` of each row with a doc_id."""
+    d = need(docs, "doc_id", "text").where("doc_id IS NOT NULL").withColumn("copy", F.xxhash64("text"))
+    prints, roots = similar_classes(d, similarity, shingle_words)
+    return prints.join(roots, "node", "left").select("doc_id", "copy", F.coalesce("root", "node").alias("root"))
 
 
 def near_duplicates(docs: DataFrame, similarity: float = 0.8, shingle_words: int = 5) -> DataFrame:
@@ -475,20 +484,22 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, shingle_words: int
     Every pair at the similarity is a link (see :func:`similar_classes`). Null and empty texts are copies of each
     other. Rows of a null doc_id form no class and are not returned.
     """
-    prints, roots = similar_classes(need(docs, "doc_id", "text").where("doc_id IS NOT NULL"), similarity, shingle_words)
-    rooted = prints.join(roots, "node", "left").select("doc_id", F.coalesce("root", "node").alias("root"))
+    rooted = _rooted(docs, similarity, shingle_words)
     return rooted.join(rooted.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("doc_id", "component_id")
 
 
 def keep_first(docs: DataFrame, similarity: float = 0.8, shingle_words: int = 5) -> DataFrame:
     """All columns of ``docs``, of each class of near duplicates only the document with the smallest doc_id.
 
-    Rows that repeat both doc_id and text count as one document; rows with a null doc_id stay.
+    Rows that repeat both doc_id and text count as one document, rows of one doc_id with different texts as
+    several; rows with a null doc_id stay.
     """
-    gone = near_duplicates(docs, similarity, shingle_words).where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct()
-    gone = materialize(gone, "gone")
+    rooted = _rooted(docs, similarity, shingle_words)
+    first = rooted.groupBy("root").agg(F.min(F.struct("doc_id", "copy")).alias("first"))
+    gone = rooted.join(first, "root").where(F.struct("doc_id", "copy") != F.col("first"))
+    gone = materialize(gone.select(F.col("doc_id").alias("gone_id"), F.col("copy").alias("gone_copy")).distinct(), "gone")
     again = materialize(docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("gone_id")), "again")
-    kept = docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
+    kept = docs.join(gone, (docs["doc_id"] == gone["gone_id"]) & (F.xxhash64(docs["text"]) == gone["gone_copy"]), "left_anti")
     if again.isEmpty():
         return kept
     once = kept.join(again, kept["doc_id"] == again["gone_id"], "left_semi").dropDuplicates(["doc_id", "text"])
