@@ -222,6 +222,30 @@ def test_extract(spark):
     assert got[3].text == "own text 3" and got[50].text == "" and got[51].n_chars == len(got[51].text) == 15
 
 
+def test_extract_keeps_what_copies_share(spark):
+    from tidemark.llm.template_extract import extract, main_text
+
+    words = "<p>Shared opening of the story</p><p>date {}</p><p>Shared end of the story</p>"
+    full = "Heading\n\nShared opening of the story\n\ndate {}\n\nShared end of the story"
+    marks = ["<article>{}</article>", "<main>{}</main>", "<div role=main>{}</div>", "<div class='entry-content'>{}</div>"]
+    rows, want = [], {}
+    for h, mark in enumerate(marks):
+        for i in range(24):  # near copies of one host, exact copies of another
+            date = i if i < 12 else 0
+            page = "<body><nav>menu</nav>" + mark.format("<h1>Heading</h1>" + words.format(date)) + "<p>imprint</p></body>"
+            rows.append((100 * h + i, f"http://{'near' if i < 12 else 'same'}{h}.example/", page))
+            want[100 * h + i] = full.format(date)
+    plain = "<body><p>Welcome</p><p>{}</p></body>"  # nine copies of one page don't make its text a template
+    for i in range(20):
+        rows.append((900 + i, "http://plain.example/", plain.format("copied text" if i else "other text")))
+        want[900 + i] = f"Welcome\n\n{'copied text' if i else 'other text'}"
+    got = {r.page_id: r.text for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)).collect()}
+    assert got == want
+    for opening in ("<article class='post has-sidebar'>", "<article class='comments-open'>", "<div class='post no-sidebar'>", "<div class='with-share'>"):
+        assert main_text(f"<body>{opening}<p>all of it</p>") == "all of it"
+    assert main_text("<body><article><p>text</p><div class='related-posts'>more</div><div class='ad-banner'>buy</div></article>") == "text"
+
+
 def test_warc(spark, tmp_path):
     from tidemark.llm.warc_revisit import archive_round_trip
 

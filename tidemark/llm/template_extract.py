@@ -40,6 +40,8 @@ WORDS = frozenset("ad ads advert adverts advertisement advertising adsense spons
 HEADS = frozenset(("header", "topbar", "head"))
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 MAIN = frozenset("content main post entry story article body maincontent postcontent entrycontent articlebody".split())
+#: Class names that begin or end so tell a state (has-sidebar, comments-open), not what the element is.
+_STATE = re.compile(r"(?:has|have|no|not|with|without|is)-.*|.*-(?:open|opened|closed|enabled|disabled|on|off)")
 _CONTAINERS = frozenset("div section td main article body".split())
 
 
@@ -117,7 +119,10 @@ def blocks(page: str) -> list[tuple[int, str, str, bool]]:
                     bad = True
         if names:
             parts = {p for n in names for p in n.split("-")}
-            bad |= bool(parts & WORDS) and name not in ("body", "html") or bool(parts & HEADS) and rank < 2
+            # what wraps main text is judged by whole names, anything else by their parts too
+            wrapper = name in ("article", "main") or bool({n.replace("-", "") for n in names} & MAIN)
+            said_to_be = set(names) if wrapper else {p for n in names if not _STATE.fullmatch(n) for p in n.split("-")}
+            bad |= bool(said_to_be & WORDS) and name not in ("body", "html") or bool(said_to_be & HEADS) and rank < 2
             if not bad and name in _CONTAINERS and (parts & MAIN or {n.replace("-", "") for n in names} & MAIN):
                 rank = max(rank, 1)
         if name == "article":
@@ -167,9 +172,14 @@ def deduce_templates(pages: DataFrame, least_pages: int = LEAST_PAGES, share: fl
     """``(page_id, url, html)`` -> per host: ``fixed`` (text tokens of its template) and ``main`` (container token).
 
     A host's valid classes hold fewer tokens than its mean page times 1/share, so the arrays are bounded
-    by page size, however many pages the host has. Hosts with fewer than ``least_pages`` get no template.
+    by page size, however many pages the host has. Copies of a page count as one page of their host. Hosts
+    with fewer than ``least_pages`` get no template.
     """
-    rows = need(pages, "page_id", "url", "html").mapInArrow(_tokens, "host long, token long, is_text boolean, pages long, sig long, chars long")
+    pages = need(pages, "page_id", "url", "html")
+    prints = pages.select("page_id", "url", F.xxhash64("html").alias("copy")).mapInArrow(_host_prints, "page_id long, host long, copy long")
+    first = prints.groupBy("host", "copy").agg(F.min("page_id").alias("first_id")).select(F.col("first_id"), F.col("copy").alias("first_copy")).distinct()
+    pages = pages.join(first, F.col("page_id").eqNullSafe(F.col("first_id")) & (F.xxhash64("html") == F.col("first_copy")), "left_semi")
+    rows = pages.mapInArrow(_tokens, "host long, token long, is_text boolean, pages long, sig long, chars long")
     t = rows.groupBy("host", "token", "is_text").agg(F.sum("pages").alias("pages"), F.bit_xor("sig").alias("sig"), F.sum("chars").alias("chars"))
     t = materialize(t.where(f"pages >= {least_pages} OR token = 0"), "tokens")
     hosts = t.where("token = 0").where(f"pages >= {least_pages}").select("host", F.col("pages").alias("host_pages"))
@@ -189,9 +199,9 @@ def main_text(page: str | None, fixed: frozenset[int] | set[int] = frozenset(),
     if top == 0 and main is not None:
         inside = [x for x in kept if _key("path", x[0]) == main]
         kept = inside or kept
-    own = [said for path, said in kept if not fixed or _key("text", path, said) not in fixed]
-    # where a host's pages are copies, occurrences can't tell article from template: the markup decides
-    return "\n\n".join(own or [said for _, said in kept] if top == 3 else own)
+    # in a region marked as main text the markup decides: what a host's near copies share is their text too
+    own = [said for path, said in kept if top or not fixed or _key("text", path, said) not in fixed]
+    return "\n\n".join(own or [said for _, said in kept])
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,3 +230,9 @@ def _with_host(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         hosts = pa.array([_key(host_of(u)) for u in batch.column(1).to_pylist()], pa.int64())
         yield pa.RecordBatch.from_arrays([*batch.columns, hosts], ["page_id", "url", "html", "host"])
+
+
+def _host_prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        hosts = pa.array([_key(host_of(u)) for u in batch.column(1).to_pylist()], pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column(0), hosts, batch.column(2)], ["page_id", "host", "copy"])
