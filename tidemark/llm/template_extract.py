@@ -1,12 +1,10 @@
-"""Main text of web pages: host templates from equivalence classes of tokens, and what fills their slots.
-
-A page is read as tokens: element paths and text blocks in their paths. Tokens of one host with the same
-occurrence vector (the same count on the same pages) form an equivalence class; vectors are compared by
-an order-free signature that tasks combine before the shuffle. A class is valid if it is on nearly all of
-the host's pages. Valid classes nest by their reach: what they hold as text is the template's own, and of
-the containers between them the one with most text of the pages' own is the main slot. Extraction
-takes the article (or, in a page that marks none, the main slot), without the template's texts and without
-navigation, adverts and the like.
+"""Main text of web pages by their markup and, where a page marks none, by what its host repeats.
+
+A page is read as text blocks in their container paths. Where a region is marked as main text (an article,
+main, or a container named so), its blocks without navigation, adverts and the like are the text. In other
+pages the host decides: blocks on nearly all of its distinct pages are its template and left out, and the
+container with most text is preferred. Tokens are counted one by one: no equivalence classes of occurrence
+vectors are formed, ordered or nested.
 """
 
 from __future__ import annotations
