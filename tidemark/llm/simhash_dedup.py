@@ -16,11 +16,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .storage import discard, free_shuffles, materialize, need
+from .storage import discard, materialize, need
 from .wordscan import mix
 from .workers import held as held_for
 
@@ -30,7 +30,7 @@ SEED = 42
 BLOCKS = ((0, 0, 23, 1), (0, 23, 24, 1), (0, 47, 17, 0))
 #: Rows of one anchor that one comparison takes at most (on average, by hash) before the anchor is split.
 PIECE = 8192
-#: Parity bits of a shingle set; documents and tokens that the order of shingles from rare to common is taken from.
+#: Least parity bits of a shingle set; documents and tokens that the order of shingles from rare to common is taken from.
 BITS, ORDER_DOCS, ORDER_TOKENS = 1024, 10_000, 1 << 16
 
 
@@ -312,13 +312,29 @@ def common_shingles(docs: DataFrame, n_docs: int, shingle_words: int) -> tuple[n
     return top["token"].to_numpy(np.int64), top["n"].to_numpy(np.int64)
 
 
+def _parity(x: np.ndarray) -> bytes:
+    """Parity bits of a shingle set, two for each shingle at least: a power of two, so that wide ones fold to narrow ones."""
+    width = max(BITS, 1 << (2 * len(x) - 1).bit_length() if len(x) else 0)
+    return np.packbits(np.bincount((x & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1, bitorder="little").tobytes()
+
+
+def _differ(x: bytes, y: bytes) -> int:
+    """Bits in which two parities differ, the wider one folded to the width of the other."""
+    x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    n = min(len(x), len(y))
+    return int(np.bitwise_count(np.bitwise_xor.reduce(x.reshape(-1, n), 0) ^ np.bitwise_xor.reduce(y.reshape(-1, n), 0)).sum())
+
+
 def _prefixes(shingle_words: int, similarity: float, common):
+    """Per text: its node, set size, prefix from rare to common (the first ``rare`` of it not in ``common``), and parity bits."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held_for("near duplicates")
         token, count = common.value
         for batch in batches:
             for at in range(0, max(batch.num_rows, 1), 256):
                 part = batch.slice(at, 256)
-                node, size, prefix, bits = [], [], [], []
+                node, size, rare, prefix, bits = [], [], [], [], []
                 for text in part.column(1).to_pylist():
                     x = _shingles(text, shingle_words)
                     n, often = len(x), np.zeros(len(x), np.int64)
@@ -326,9 +342,9 @@ def _prefixes(shingle_words: int, similarity: float, common):
                         near = np.minimum(np.searchsorted(token, x.view(np.int64)), len(token) - 1)
                         often = np.where(token[near] == x.view(np.int64), count[near], 0)
                     first = np.argsort(often, kind="stable")[: n - math.ceil(similarity * n - 1e-9) + 1]
-                    node.append(_node(x)), size.append(n), prefix.append(x[first].view(np.int64))
-                    bits.append(np.packbits(np.bincount((x & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1).tobytes())
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(node, pa.int64()), pa.array(size, pa.int32()), pa.array(prefix, pa.list_(pa.int64())), pa.array(bits, pa.binary())], ["doc_id", "copy", "node", "size", "prefix", "bits"])
+                    node.append(_node(x)), size.append(n), prefix.append(x[first].view(np.int64)), rare.append(int((often[first] == 0).sum()))
+                    bits.append(_parity(x))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(node, pa.int64()), pa.array(size, pa.int32()), pa.array(rare, pa.int32()), pa.array(prefix, pa.list_(pa.int64())), pa.array(bits, pa.binary())], [f.split()[0] for f in _PRINT.split(", ")])
 
     return run
 
@@ -398,9 +414,9 @@ def _by_bits(similarity: float):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            n = [batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (2, 3)]
-            differ = np.bitwise_count(_matrix(batch.column(4)) ^ _matrix(batch.column(5))).sum(1, dtype=np.int64)
-            keep = pa.array((differ <= n[0] + n[1] - 2 * _shared(*n, similarity)) & (np.minimum(*n) + 1e-9 >= similarity * np.maximum(*n)))
+            m, n = (batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (2, 3))
+            differ = np.array([_differ(x, y) for x, y in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist())], np.int64)
+            keep = pa.array((differ <= m + n - 2 * _shared(m, n, similarity)) & (np.minimum(m, n) + 1e-9 >= similarity * np.maximum(m, n)))
             yield pa.RecordBatch.from_arrays([batch.column(k).filter(keep) for k in (0, 1)], ["a", "b"])
 
     return run
@@ -416,14 +432,21 @@ def _jaccard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.float64())], ["a", "b", "similarity"])
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, similarity: float, shingle_words: int) -> tuple[DataFrame, DataFrame]:
-    """(pairs that were compared, those of them whose exact shingle sets have the similarity)."""
-    side = lambda end, n, bits: nodes.select(F.col("node").alias(end), F.col("size").alias(n), F.col("bits").alias(bits))
-    likely = pairs.join(side("a", "m", "x"), "a").join(side("b", "n", "y"), "b").select("a", "b", "m", "n", "x", "y").mapInArrow(_by_bits(similarity), "a long, b long")
-    likely = materialize(likely, "likely")
-    ends = nodes.join(likely.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi").select("rep")
-    sets = docs.join(ends, docs["doc_id"] == ends["rep"], "left_semi").mapInArrow(_shingle_sets(shingle_words), "node long, shingles binary")
+def _verified(pairs: DataFrame, docs: DataFrame, firsts: DataFrame, similarity: float, shingle_words: int) -> tuple[DataFrame, DataFrame]:
+    """(pairs that were compared, those of them whose exact shingle sets have the similarity).
+
+    What other tables are joined with is written narrow before, so Spark sees its size and ships it or shuffles both sides.
+    """
+    side = lambda end, n, bits: firsts.select(F.col("node").alias(end), F.col("size").alias(n), F.col("bits").alias(bits))
+    pairs = materialize(pairs, "pairs")
+    likely = side("a", "m", "x").join(pairs, "a").join(side("b", "n", "y"), "b").select("a", "b", "m", "n", "x", "y").mapInArrow(_by_bits(similarity), "a long, b long")
+    likely = materialize(likely.distinct(), "likely")
+    discard(pairs)
+    ends = likely.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    ends = materialize(firsts.select("node", "doc_id").join(ends, "node", "left_semi").select("doc_id").distinct(), "ends")
+    sets = docs.join(ends, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_shingle_sets(shingle_words), "node long, shingles binary")
     sets = materialize(sets.dropDuplicates(["node"]), "shingles")
+    discard(ends)
     both = likely.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
     sure = both.select("a", "b", "x", "y").mapInArrow(_jaccard, "a long, b long, similarity double").where(F.col("similarity") >= similarity)
     sure = materialize(sure.select("a", "b"), "sure")
@@ -431,6 +454,23 @@ def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, similarity: f
     return likely, sure
 
 
+_PRINT = "doc_id long, copy long, node long, size int, rare int, prefix array<long>, bits binary"
+
+
+def shared_tokens(firsts: DataFrame) -> DataFrame:
+    """``(node, size, rare, prefix)`` -> ``(token, node, size, at, n, lead)`` of the tokens that several rows have.
+
+    ``n``: rows of the token, ``lead``: its smallest node. Tokens of the common list (of bounded size) are counted
+    and joined back by broadcast, so no group of theirs is gathered; the rest are counted where one shuffle puts them.
+    """
+    rows = firsts.select("node", "size", "rare", F.posexplode("prefix").alias("at", "token"))
+    often = rows.where("at >= rare")
+    counted = often.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("lead")).where("n > 1")
+    own = Window.partitionBy("token")
+    rare = rows.where("at < rare").select("token", "node", "size", "at").withColumn("n", F.count(F.lit(1)).over(own)).withColumn("lead", F.min("node").over(own))
+    return rare.where("n > 1").unionByName(often.select("token", "node", "size", "at").join(F.broadcast(counted), "token"))
+
+
 def similar_classes(docs: DataFrame, similarity: float = 0.8, shingle_words: int = 5) -> tuple[DataFrame, DataFrame]:
     """(``doc_id, copy, node`` of each row, ``node, root`` of each node with links), over all pairs at ``similarity``.
 
@@ -443,20 +483,16 @@ def similar_classes(docs: DataFrame, similarity: float = 0.8, shingle_words: int
     """
     spark, n_docs = docs.sparkSession, docs.count()
     common = spark.sparkContext.broadcast(common_shingles(docs, n_docs, shingle_words))
-    prints = docs.mapInArrow(_prefixes(shingle_words, similarity, common), "doc_id long, copy long, node long, size int, prefix array<long>, bits binary")
-    prints = materialize(prints, "prints")
-    nodes = materialize(prints.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("size").alias("size"), F.first("bits").alias("bits")), "nodes")
-    ones = nodes.select("node", F.col("rep").alias("doc_id"))
-    rows = prints.join(ones, ["node", "doc_id"], "left_semi").select("node", "size", F.posexplode("prefix").alias("at", "token"))
-    shared = rows.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("node", "size", "at")).alias("lead")).where("n > 1")
-    rows = materialize(rows.join(shared, "token").select("token", "node", "size", "at", "n", "lead"), "tokens")
-    free_shuffles(spark)
-    most = F.least("at", "lead.at") + F.least(F.col("size") - F.col("at"), F.col("lead.size") - F.col("lead.at"))
-    need_both = F.ceil((F.col("size") + F.col("lead.size")) * (similarity / (1 + similarity)) - 1e-9)
-    stars = rows.where("node <> lead.node").where(most >= need_both).select(F.greatest("node", "lead.node").alias("a"), F.least("node", "lead.node").alias("b")).distinct()
-    compared, sure = _verified(stars, docs, nodes, similarity, shingle_words)
+    prints = materialize(docs.mapInArrow(_prefixes(shingle_words, similarity, common), _PRINT), "prints")
+    # one row stands for each set; the others, fewer, are left out by their narrow keys
+    first = prints.groupBy("node").agg(F.min("doc_id").alias("first_id"))
+    others = prints.select("node", "doc_id").join(first, "node").where("doc_id <> first_id").select("node", "doc_id")
+    others = materialize(others.distinct(), "others")
+    firsts = prints.join(others, ["node", "doc_id"], "left_anti")
+    rows = materialize(shared_tokens(firsts), "tokens")
+    stars = rows.where("node <> lead").select(F.greatest("node", "lead").alias("a"), F.least("node", "lead").alias("b")).distinct()
+    compared, sure = _verified(stars, docs, firsts, similarity, shingle_words)
     roots = materialize(connected_components(sure), "roots")
-    free_shuffles(spark)
     rooted = rows.select("token", "node", "size", "at", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     apart = rooted.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("token")
     pieces = F.ceil(F.col("n") / PIECE).cast("int")
@@ -466,9 +502,11 @@ def similar_classes(docs: DataFrame, similarity: float = 0.8, shingle_words: int
              .select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "size", "at", "own", "node", "root"))
     grouped = dealt.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", "size")
     rest = grouped.mapInArrow(_meet(similarity), "a long, b long").distinct().join(compared, ["a", "b"], "left_anti")
-    _, more = _verified(rest, docs, nodes, similarity, shingle_words)
-    free_shuffles(spark)
-    return prints.select("doc_id", "copy", "node"), connected_components(sure.union(more)) if not more.isEmpty() else roots
+    again, more = _verified(rest, docs, firsts, similarity, shingle_words)
+    links = materialize(sure.union(more), "all-links")
+    for done in (rows, others, compared, again, sure, more, roots):
+        discard(done)
+    return prints.select("doc_id", "copy", "node"), connected_components(links)
 
 
 def _rooted(docs: DataFrame, similarity: float, shingle_words: int) -> DataFrame:
