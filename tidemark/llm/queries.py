@@ -71,10 +71,9 @@ def op8_debruijn(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    from .trie_bpe import decode, encode
+    from .trie_bpe import encode_and_decode
 
-    path = public_tokenizers.path("byte_bpe_50k.json")
-    back = decode(encode(_table(spark, sf_dir, "documents"), path), path)
+    back = encode_and_decode(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return back.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
 
 

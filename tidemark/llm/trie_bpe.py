@@ -14,6 +14,7 @@ import hashlib
 import json
 import os
 import struct
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -25,9 +26,9 @@ from .workers import held as held_for
 
 #: Distinct pre-tokens in the newer half of what a Python worker remembers. A full half becomes the older
 #: one, from which words still in use move up again, and the one before it goes.
-REMEMBERED = 150_000
+REMEMBERED = 100_000
 #: Pairs of neighbouring tokens that a Python worker remembers; it starts afresh beyond that.
-PAIRS = 400_000
+PAIRS = 250_000
 #: Longer pre-tokens are encoded but not remembered.
 LONG = 256
 #: Pre-tokenisation of byte-level BPE with its published pattern.
@@ -44,30 +45,30 @@ def byte_letters() -> dict[str, int]:
 class TrieBpe:
     """Encoder and decoder for one byte-level vocabulary with ranked merges."""
 
-    def __init__(self, spec: dict, decode_only: bool = False):
-        """``decode_only``: without the tables that encoding needs."""
+    def __init__(self, spec: dict):
         import regex
 
         model, letters = spec["model"], byte_letters()
+        vocab = model["vocab"]
         raw = lambda piece: bytes(letters[c] for c in piece)
-        self.bytes_of = {i: raw(t) for t, i in model["vocab"].items()}
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
-        self.bytes_of |= {i: t.encode() for t, i in self.special.items()}
-        if decode_only:
-            return
-        self.id_of = {raw(t): i for t, i in model["vocab"].items()}
-        self.rank: dict[tuple[int, int], int] = {}
-        self.parts: dict[int, tuple[int, int]] = {}
-        self.made_at: dict[int, int] = {}
+        size = max([*vocab.values(), *self.special.values()]) + 1
+        self.bytes_of: list[bytes] = [b""] * size
+        for t, i in vocab.items():
+            self.bytes_of[i] = raw(t)
+        for t, i in self.special.items():
+            self.bytes_of[i] = t.encode()
+        self.rank: dict[int, int] = {}
+        self.left, self.right, self.made_at = array("i", [-1]) * size, array("i", [-1]) * size, array("i", [-1]) * size
         for r, pair in enumerate(model["merges"]):
             left, right = pair if not isinstance(pair, str) else pair.split(" ")
-            a, b, c = model["vocab"][left], model["vocab"][right], model["vocab"][left + right]
-            self.rank.setdefault((a, b), r)
-            self.parts.setdefault(c, (a, b))
-            self.made_at.setdefault(c, r)
-        self.whole: dict[int, bool] = {}
+            a, b, c = vocab[left], vocab[right], vocab[left + right]
+            self.rank.setdefault(a << 24 | b, r)
+            if self.made_at[c] < 0:
+                self.left[c], self.right[c], self.made_at[c] = a, b, r
         self.fits: dict[int, bool] = {}
-        self.usable = {b: i for b, i in self.id_of.items() if self.reachable(i)}
+        whole: dict[int, bool] = {}
+        self.usable = {self.bytes_of[i]: i for i in vocab.values() if self.reachable(i, whole)}
         self.longest = max(map(len, self.usable))
         self.words: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
@@ -83,26 +84,26 @@ class TrieBpe:
         """
         left, right, ok = a, b, True
         while True:
-            r = self.rank.get((left, right))
+            r = self.rank.get(left << 24 | right)
             if r is not None and r < limit:
                 ok = False
                 break
-            ra, rb = self.made_at.get(left, -1), self.made_at.get(right, -1)
+            ra, rb = self.made_at[left], self.made_at[right]
             if ra < 0 and rb < 0:
                 break
             if ra > rb:  # of equal ranks the left one merges first
-                limit, left = ra, self.parts[left][1]
+                limit, left = ra, self.right[left]
             else:
-                limit, right = rb + 1, self.parts[right][0]
+                limit, right = rb + 1, self.left[right]
         return ok
 
-    def reachable(self, token: int) -> bool:
+    def reachable(self, token: int, known: dict[int, bool]) -> bool:
         """Whether the merges turn the token's own bytes into it."""
-        known = self.whole.get(token)
-        if known is None:
-            a, b = self.parts.get(token, (None, None))
-            known = self.whole[token] = a is None or self.reachable(a) and self.reachable(b) and self.kept_apart(a, b, self.made_at[token])
-        return known
+        ok = known.get(token)
+        if ok is None:
+            a, b = self.left[token], self.right[token]
+            ok = known[token] = a < 0 or self.reachable(a, known) and self.reachable(b, known) and self.kept_apart(a, b, self.made_at[token])
+        return ok
 
     def encode_words(self, words: Iterable[bytes]) -> Iterator[tuple[bytes, list[int]]]:
         """Token ids of distinct words, given in byte order."""
@@ -173,11 +174,11 @@ class TrieBpe:
         return b"".join([table[i] for i in np.frombuffer(ids, "<u4").tolist()]).decode("utf-8", "replace")
 
 
-def _tokenizer(held, use: str) -> TrieBpe:
-    mine, key = held_for(f"bpe {use}"), held.value[0]
+def _tokenizer(held) -> TrieBpe:
+    mine, key = held_for("bpe"), held.value[0]
     if key not in mine:
         mine.clear()
-        mine[key] = TrieBpe(json.loads(held.value[1]), use == "decode")
+        mine[key] = TrieBpe(json.loads(held.value[1]))
     return mine[key]
 
 
@@ -187,35 +188,45 @@ def _ship(spark: SparkSession, path: str):
     return spark.sparkContext.broadcast((hashlib.sha256(raw).hexdigest(), raw))
 
 
-def encode(docs: DataFrame, tokenizer_path: str) -> DataFrame:
-    """``(doc_id, text)`` -> ``(doc_id, n_tokens, ids binary)``: little-endian unsigned 32-bit ids.
+def _through(docs: DataFrame, tokenizer_path: str, schema: str, make) -> DataFrame:
+    """``make(tokenizer, slice of a batch)`` gives the columns of ``schema`` for each slice of ``docs``.
 
-    Whole texts, special tokens of the vocabulary recognised in the text, none added. Null and empty
-    texts have no ids. The vocabulary (of fixed size) is read on the driver and broadcast. No shuffle: each
-    batch's distinct words go through the trie where the batch is.
+    The vocabulary (of fixed size) is read on the driver and broadcast. No shuffle.
     """
-    held = _ship(docs.sparkSession, tokenizer_path)
+    held, names = _ship(docs.sparkSession, tokenizer_path), [f.split()[0] for f in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = _tokenizer(held, "encode")
+        bpe = _tokenizer(held)
         for batch in batches:
-            for at in range(0, max(batch.num_rows, 1), 512):
-                part = batch.slice(at, 512)
-                ids = bpe.encode_batch(part.column(1).to_pylist())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "n_tokens", "ids"])
+            for at in range(0, max(batch.num_rows, 1), 256):
+                yield pa.RecordBatch.from_arrays(make(bpe, batch.slice(at, 256)), names)
 
-    return need(docs, "doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids binary")
+    return docs.mapInArrow(run, schema)
+
+
+def _encoded(bpe: TrieBpe, part: pa.RecordBatch) -> list[pa.Array]:
+    ids = bpe.encode_batch(part.column(1).to_pylist())
+    return [part.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())]
+
+
+def _decoded(bpe: TrieBpe, columns: list[pa.Array]) -> list[pa.Array]:
+    return [*columns, pa.array([bpe.decode(x or b"") for x in columns[2].to_pylist()], pa.string())]
+
+
+def encode(docs: DataFrame, tokenizer_path: str) -> DataFrame:
+    """``(doc_id, text)`` -> ``(doc_id, n_tokens, ids binary)``: little-endian unsigned 32-bit ids.
+
+    Whole texts, special tokens of the vocabulary recognised in the text, none added. Null and empty
+    texts have no ids. Each batch's distinct words go through the trie where the batch is.
+    """
+    return _through(need(docs, "doc_id", "text"), tokenizer_path, "doc_id long, n_tokens long, ids binary", _encoded)
 
 
 def decode(encoded: DataFrame, tokenizer_path: str) -> DataFrame:
-    """``(doc_id, n_tokens, ids)`` and ``text``, the decoded ids with special tokens written out."""
-    held = _ship(encoded.sparkSession, tokenizer_path)
+    """``(doc_id, n_tokens, ids)`` and ``text``, the decoded ids with special tokens written out; null ids have an empty text."""
+    return _through(need(encoded, "doc_id", "n_tokens", "ids"), tokenizer_path, "doc_id long, n_tokens long, ids binary, text string", lambda bpe, part: _decoded(bpe, part.columns))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = _tokenizer(held, "decode")
-        for batch in batches:
-            for at in range(0, max(batch.num_rows, 1), 256):
-                part = batch.slice(at, 256)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([bpe.decode(x or b"") for x in part.column(2).to_pylist()], pa.string())], ["doc_id", "n_tokens", "ids", "text"])
 
-    return need(encoded, "doc_id", "n_tokens", "ids").mapInArrow(run, "doc_id long, n_tokens long, ids binary, text string")
+def encode_and_decode(docs: DataFrame, tokenizer_path: str) -> DataFrame:
+    """``(doc_id, text)`` -> ``(doc_id, n_tokens, ids, text)``, text decoded from the ids: both in one pass of one worker a task."""
+    return _through(need(docs, "doc_id", "text"), tokenizer_path, "doc_id long, n_tokens long, ids binary, text string", lambda bpe, part: _decoded(bpe, _encoded(bpe, part)))
