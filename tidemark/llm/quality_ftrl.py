@@ -95,12 +95,15 @@ class Ftrl:
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, epochs: int = 4) -> np.ndarray:
     """Weights learnt from at most ``sample`` labelled rows (``labels``: doc_id, label), in one bounded task.
 
-    The sample is the first rows by a hash of doc_id; rows with a null label, and labels without a
-    document, are left out. A document with several labels counts once for each.
+    The sample is the first labels by a hash of doc_id; null labels, and labels without a document, are left
+    out. A document counts once for each of its different labels, with the smallest of its texts where its
+    doc_id is repeated. No rows: all weights zero.
     """
     known = need(labels, "doc_id", "label").where("label IS NOT NULL AND doc_id IS NOT NULL")
     taken = known.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(sample)
-    rows = need(docs, "doc_id", "text").join(F.broadcast(taken), "doc_id").select(F.xxhash64("doc_id").alias("at"), "text", "label")
+    rows = need(docs, "doc_id", "text").join(F.broadcast(taken), "doc_id")
+    # a doc_id with many rows, or very many labels, is no more than its share of the sample
+    rows = rows.groupBy("doc_id", "label").agg(F.min("text").alias("text")).select(F.xxhash64("doc_id").alias("at"), "text", "label")
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = []
@@ -123,12 +126,14 @@ def score(docs: DataFrame, weights: np.ndarray, name: str = "score") -> DataFram
     """All columns of ``docs`` and the probability of label 1: a sparse dot product per whole text.
 
     The broadcast weights have a fixed size (2**BITS floats). Null and empty texts get the score of the
-    bias alone.
+    bias alone. A column of ``docs`` that has the name of the score already is replaced by it.
     """
+    docs = docs.drop(name)
     columns, text = docs.columns, docs.columns.index("text")
     held = docs.sparkSession.sparkContext.broadcast(weights.astype(np.float32))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held_for("quality")
         w = held.value.astype(float)
         for batch in batches:
             for at in range(0, max(batch.num_rows, 1), 512):
