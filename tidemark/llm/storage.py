@@ -2,29 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-SETTING = "spark.checkpoint.dir"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; on a local master without one, a new temporary folder."""
-    base = spark.conf.get(SETTING, None) or spark.sparkContext.getConf().get(SETTING, None)
-    if base:
-        return base.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError(f"set {SETTING} to a folder that the driver and all executors share")
-    base = "file://" + tempfile.mkdtemp(prefix="tidemark-")
-    spark.conf.set(SETTING, base)
-    return base
-
-
-def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+from pyspark.sql import DataFrame
 
+from ..sources.stored import new_path, shared_dir  # noqa: F401
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: cuts lineage, survives lost executors."""
@@ -50,17 +30,9 @@ def need(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[df[n] for n in names])
 
 
-def free_shuffles(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of frames that nothing refers to any more.
-
-    Shuffle files go when the driver's JVM collects the frames that made them, which may be long after a
-    written table has replaced them.
-    """
-    import gc
-    import time
-
-    spark.range(1).count()  # the last job that ran is still referred to by the scheduler
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.3)
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores behind it as no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
