@@ -20,17 +20,31 @@ LEAF_ROWS = 128
 QUERY_BLOCK = 32768
 
 
-def quantised(column: pa.Array, scale: float) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Rows whose vector is complete and finite, and floor(scale * x) of their components."""
-    rows, out = [], []
-    for i, v in enumerate(column.to_pylist()):
-        if v is None or None in v:
-            continue
-        x = np.array(v, np.float64)
-        if np.isfinite(x).all():
-            rows.append(i)
-            out.append(np.floor(scale * x).astype(np.int64))
-    return np.array(rows, np.int64), out
+def complete(vectors: DataFrame, scale: float) -> DataFrame:
+    """``(vec_id, embedding array<double>)`` of the rows that take part, with floor(scale * x) for each component x.
+
+    Rows with a null id, a null vector, or a null or non-finite component take no part, nor do vectors whose
+    scaled length is 2**31 or more: their products need not fit a long.
+    """
+    whole = F.transform("embedding", lambda x: x.cast("double"))
+    rows = need(vectors, "vec_id", "embedding").where("vec_id IS NOT NULL AND embedding IS NOT NULL").select("vec_id", whole.alias("embedding"))
+    finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
+    rows = rows.where(finite).select("vec_id", F.transform("embedding", lambda x: F.floor(x * F.lit(float(scale))).cast("double")).alias("embedding"))
+    return rows.where(F.aggregate("embedding", F.lit(0.0), lambda total, x: total + x * x) < F.lit(float(1 << 62)))
+
+
+def _by_dim(ids: pa.Array, vectors: pa.Array) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """(ids, integer vectors) of complete rows by their dimension."""
+    if not len(ids):
+        return {}
+    sizes = np.diff(vectors.offsets.to_numpy())
+    flat, starts = vectors.values.to_numpy(zero_copy_only=False), vectors.offsets.to_numpy()[:-1]
+    ids = ids.to_numpy(zero_copy_only=False)
+    out = {}
+    for dim in np.unique(sizes).tolist():
+        own = np.flatnonzero(sizes == dim)
+        out[dim] = ids[own], flat[starts[own][:, None] + np.arange(dim)].astype(np.int64)
+    return out
 
 
 class KdTree:
@@ -80,7 +94,10 @@ class KdTree:
         most = max(int(np.abs(queries).max(initial=0)), 1) * max(int(np.abs(self.vectors).max(initial=0)), 1) * max(1, queries.shape[1])
         kind = np.float64 if most < 1 << 53 else np.int64  # both exact
         q, vectors = queries.astype(kind), self.vectors.astype(kind)
-        bounds = np.maximum(q, 0) @ self.hi.astype(kind).T + np.minimum(q, 0) @ self.lo.astype(kind).T
+        up, down = np.maximum(queries, 0).astype(np.float64), np.minimum(queries, 0).astype(np.float64)
+        bounds = up @ self.hi.astype(np.float64).T + down @ self.lo.astype(np.float64).T
+        if kind is np.int64:  # a bound may be rounded, but never below the products
+            bounds += 1e-12 * (np.abs(queries).astype(np.float64) @ np.maximum(np.abs(self.hi), np.abs(self.lo)).astype(np.float64).T)
         for i, own in enumerate(query_ids.tolist()):
             heap, reach = best[i], bounds[i].tolist()
             kth = max(floor[i], heap[0][0]) if len(heap) == k else floor[i]
@@ -110,22 +127,21 @@ class KdTree:
 def build_index(vectors: DataFrame, scale: float = 256, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """``(vec_id, embedding)`` -> one row per shard and dimension: ``(seq, dim, n, tree binary)``, written once.
 
-    Rows are dealt evenly, so a hot vector or id cannot overfill a shard. Rows with a null id, a null
-    vector, or a null or non-finite component take no part.
+    Rows are dealt evenly, so a hot vector or id cannot overfill a shard. Rows that :func:`complete` leaves out
+    take no part; rows that repeat a vec_id each do.
     """
-    rows = need(vectors, "vec_id", "embedding").where("vec_id IS NOT NULL")
+    rows = complete(vectors, scale)
     shards = max(1, -(-rows.count() // shard_rows))
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by_dim: dict[int, list] = {}
+        found: dict[int, list] = {}
         for batch in batches:
-            at, made = quantised(batch.column(1), scale)
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for i, v in zip(at.tolist(), made):
-                by_dim.setdefault(len(v), []).append((int(ids[i]), v))
-        for dim, found in by_dim.items():
-            tree = KdTree(np.array([i for i, _ in found], np.int64), np.stack([v for _, v in found]))
-            yield pa.RecordBatch.from_arrays([pa.array([found[0][0]]), pa.array([dim], pa.int32()), pa.array([len(found)], pa.int64()), pa.array([tree.dump()], pa.binary())], ["seq", "dim", "n", "tree"])
+            for dim, part in _by_dim(batch.column(0), batch.column(1)).items():
+                found.setdefault(dim, []).append(part)
+        for dim, parts in found.items():
+            ids, v = (np.concatenate(x) for x in zip(*parts))
+            tree = KdTree(ids, v)
+            yield pa.RecordBatch.from_arrays([pa.array([int(ids[0])]), pa.array([dim], pa.int32()), pa.array([len(ids)], pa.int64()), pa.array([tree.dump()], pa.binary())], ["seq", "dim", "n", "tree"])
 
     return materialize(rows.repartition(shards).mapInArrow(build, "seq long, dim int, n long, tree binary"), "kdtree")
 
@@ -158,25 +174,21 @@ def _ranked(found: DataFrame, k: int) -> DataFrame:
 def top_k(queries: DataFrame, index: DataFrame, k: int = 5, scale: float = 256, block: int = QUERY_BLOCK) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: the k best other vectors of every query, ties to the smaller vec_id.
 
-    ``queries``: (vec_id, embedding); of rows that repeat a vec_id the one with the smallest vector asks.
+    ``queries``: (vec_id, embedding); of complete rows that repeat a vec_id the one with the smallest vector asks.
     The queries go over all shards in blocks of a fixed size. Each block first asks one shard, whose k-th
     scores travel with it as the floor; within a task they rise from shard to shard. A query without
     other vectors of its dimension gets no rows.
     """
     spark = queries.sparkSession
-    asked = need(queries, "vec_id", "embedding").where("vec_id IS NOT NULL").groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+    asked = complete(queries, scale).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
     asked = materialize(asked, "queries")
     blocks = max(1, -(-asked.count() // block))
     parts = []
     for b in range(blocks):
         own = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b)
-        table = own.toArrow()
-        at, made = quantised(table.column("embedding").combine_chunks() if table.num_rows else pa.array([]), scale)
-        ids = table.column("vec_id").to_numpy()
-        by_dim: dict[int, list] = {}
-        for i, v in zip(at.tolist(), made):
-            by_dim.setdefault(len(v), []).append((ids[i], v))
-        held = {d: (np.array([i for i, _ in f], np.int64), np.stack([v for _, v in f]), np.full(len(f), -(1 << 62))) for d, f in by_dim.items()}
+        table = own.toArrow().combine_chunks()
+        found = _by_dim(*(table.column(c).combine_chunks() for c in ("vec_id", "embedding"))) if table.num_rows else {}
+        held = {d: (ids, v, np.full(len(ids), -(1 << 62))) for d, (ids, v) in found.items()}
         first = spark.sparkContext.broadcast(held)
         seed = index.orderBy(F.desc("n"), "seq").limit(1).select("dim", "tree").mapInArrow(_searcher(first, k), "query_id long, vec_id long, score long")
         kth = {r[0]: r[1] for r in seed.groupBy("query_id").agg(F.min("score"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= k).collect()}
