@@ -11,7 +11,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .storage import need
+from .arrays import let, running
+from .storage import materialize, need, unused
 
 LEDGER = "blob string, rule string, version int, n_code_points long, spans array<struct<start:int,end:int>>"
 
@@ -53,14 +54,13 @@ def spans_of(text: Column, rule: Rule, lowered: Column) -> Column:
     part = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)) if rule.group else whole
     sized = F.zip_with(F.slice(gaps, 1, F.size(whole)), F.arrays_zip(whole.alias("w"), part.alias("p")),
                        lambda g, m: F.struct(F.length(g).alias("gap"), F.length(m["w"]).alias("size"), F.length(m["p"]).alias("key")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"))
 
-    def place(done: Column, m: Column) -> Column:
-        s = done["at"] + m["gap"]
-        span = F.array(F.struct(s.alias("start"), (s + m["size"]).alias("end")))
-        return F.struct((s + m["size"]).alias("at"), F.when(m["key"] >= rule.least, F.concat(done["spans"], span)).otherwise(done["spans"]).alias("spans"))
+    def place(found: Column) -> Column:
+        before = running(F.transform(found, lambda m: m["gap"] + m["size"]), lambda x, y: x + y)
+        spans = F.zip_with(found, before, lambda m, at: F.struct((at + m["gap"]).alias("start"), (at + m["gap"] + m["size"]).alias("end"), m["key"].alias("key")))
+        return F.transform(F.filter(spans, lambda x: x["key"] >= rule.least), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))
 
-    placed = F.aggregate(sized, start, place, lambda done: done["spans"])
+    placed = let(sized, place)
     wanted = F.lit(False) if rule.marks else text.rlike(rule.pattern)
     for m in rule.marks:
         wanted = wanted | lowered.contains(m)
@@ -106,10 +106,15 @@ def scan(versions: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES) -> D
     todo = todo.where(F.size("todo") > 0)
     fresh = rows.alias("r").join(todo.alias("t"), F.expr("r.blob = t.blob AND r.path <=> t.path")).select("r.blob", "r.text", "t.todo")
     scan_blobs(fresh, rules).write.mode("append").parquet(ledger)
-    order = F.create_map(*[x for k, r in enumerate(rules) for x in (F.lit(r.name), F.lit(k))])
     done = spark.read.schema(LEDGER).parquet(ledger).where(current & (F.size("spans") > 0))
-    done = done.select("blob", F.transform("spans", lambda s: F.struct(s["start"].alias("start"), order[F.col("rule")].alias("rank"), F.col("rule").alias("rule"), s["end"].alias("end"))).alias("f"))
-    done = done.groupBy("blob").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("f")))).alias("f"))
+    # a run that was cut short may have left a row twice; one of each rule counts
+    done = done.groupBy("blob").agg(*[F.first(F.when(F.col("rule") == r.name, F.col("spans")), ignorenulls=True).alias(f"of{k}") for k, r in enumerate(rules)])
+
+    def ranked(k: int, rule: Rule) -> Column:
+        spans = F.coalesce(f"of{k}", F.array().cast("array<struct<start:int,end:int>>"))
+        return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.lit(k).alias("rank"), F.lit(rule.name).alias("rule"), s["end"].alias("end")))
+
+    done = done.select("blob", F.array_sort(F.concat(*[ranked(k, r) for k, r in enumerate(rules)])).alias("f"))
     empty = F.array().cast("array<struct<rule:string,start:int,end:int>>")
     found = F.transform("f", lambda x: F.struct(x["rule"].alias("rule"), x["start"].alias("start"), x["end"].alias("end")))
     return rows.select("path", "blob").join(done, "blob", "left").select("path", "blob", F.coalesce(found, empty).alias("findings"))
@@ -124,23 +129,39 @@ def of_rules(findings: Column, rules: tuple[Rule, ...]) -> Column:
     return F.filter(findings, lambda x: x["rule"].isin(*[r.name for r in rules]))
 
 
+#: Code points of the pieces that a text is cut in before it is redacted.
+PIECE = 4096
+
+
 def redact(text: Column, findings: Column, by: str = "[SECRET]") -> Column:
     """``text`` with every stretch that findings cover replaced; overlapping findings are one stretch."""
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("text"))
 
-    def cut(done: Column, f: Column) -> Column:
-        fresh = f["start"] >= done["at"]
-        said = F.when(fresh, F.concat(done["text"], F.substring(text, done["at"] + 1, f["start"] - done["at"]), F.lit(by))).otherwise(done["text"])
-        return F.struct(F.greatest(done["at"], f["end"]).alias("at"), said.alias("text"))
+    def cut(pieces: Column, spans: Column) -> Column:
+        def said(start: Column, end: Column) -> Column:
+            own = lambda k: F.greatest(start - k * PIECE, F.lit(0))
+            parts = F.transform(F.sequence(F.floor(start / PIECE).cast("int"), F.floor((end - 1) / PIECE).cast("int")),
+                                lambda k: F.substring(F.element_at(pieces, k + 1), own(k) + 1, F.least(end - k * PIECE, F.lit(PIECE)) - own(k)))
+            return F.when(end > start, F.array_join(parts, "")).otherwise("")
+
+        reached = running(F.transform(spans, lambda f: f["end"]), lambda x, y: F.greatest(x, y))
+        cuts = F.filter(F.zip_with(spans, reached, lambda f, at: F.struct(at.alias("at"), f["start"].alias("to"))), lambda c: c["to"] >= c["at"])
+        last = F.array_max(F.transform(spans, lambda f: f["end"]))
+        return F.array_join(F.concat(F.transform(cuts, lambda c: said(c["at"], c["to"])), F.array(said(last, F.length(text)))), by)
 
     by_start = F.array_sort(F.transform(findings, lambda f: F.struct(f["start"].alias("start"), f["end"].alias("end"))))
-    done = F.aggregate(by_start, start, cut, lambda d: F.concat(d["text"], F.substring(text, d["at"] + 1, F.length(text))))
+    done = let(F.regexp_extract_all(text, F.lit("(?s).{1,%d}" % PIECE), F.lit(0)), lambda pieces: let(by_start, lambda spans: cut(pieces, spans)))
     return F.when(F.size(findings) > 0, done).otherwise(text)
 
 
 def redact_all(docs: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """All columns of ``docs`` (doc_id, text, ...), secrets replaced in ``text``. Rows of one doc_id may differ in text."""
-    found = scan(docs.select(F.col("doc_id").alias("path"), "text"), ledger, rules).where(F.size("findings") > 0)
-    found = found.select(F.col("path").alias("found_path"), F.col("blob").alias("found_blob"), F.col("findings").alias("found_spans")).distinct()
-    joined = docs.join(found, docs["doc_id"].eqNullSafe(found["found_path"]) & (F.sha2(F.coalesce(docs["text"], F.lit("")), 256) == found["found_blob"]), "left")
-    return joined.withColumn("text", F.when(F.col("found_spans").isNotNull(), redact(F.col("text"), F.col("found_spans"))).otherwise(F.col("text"))).select(*docs.columns)
+    """All columns of ``docs`` (doc_id, text, ...), secrets replaced in ``text``.
+
+    Rows of one doc_id may differ in text, repeated rows are kept, null texts stay null, and ``docs`` may have any
+    other columns: what is found travels under names that it doesn't have.
+    """
+    path, blob, spans = (unused(docs, n) for n in ("found_path", "found_blob", "found_spans"))
+    found = scan(docs.select(docs["doc_id"].alias("path"), docs["text"].alias("text")), ledger, rules).where(F.size("findings") > 0)
+    found = found.groupBy(F.col("path").alias(path), F.col("blob").alias(blob)).agg(F.first("findings").alias(spans))
+    found = materialize(found, "found")
+    joined = docs.join(found, docs["doc_id"].eqNullSafe(found[path]) & (F.sha2(F.coalesce(docs["text"], F.lit("")), 256) == found[blob]), "left")
+    return joined.withColumn("text", F.when(F.col(spans).isNotNull(), redact(F.col("text"), F.col(spans))).otherwise(F.col("text"))).select(*docs.columns)
