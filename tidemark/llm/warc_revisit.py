@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from datetime import datetime, timezone
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .storage import need, new_path
+from .storage import materialize, need, new_path
 
 #: Payload bytes below which a record is always written in full.
 LEAST_BYTES = 1000
@@ -66,11 +67,13 @@ def record_text(date: str) -> Column:
     return F.concat(F.concat_ws(CRLF, *lines), F.lit(CRLF + CRLF), body)
 
 
-def write_archives(resolved: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z") -> None:
+def write_archives(resolved: DataFrame, path: str, date: str | None = None) -> None:
     """One gzip-compressed archive per partition, written by Spark's text writer.
 
-    Its line separator is the CRLF CRLF that closes a WARC record, so that the files are plain WARC.
+    Its line separator is the CRLF CRLF that closes a WARC record, so that the files are plain WARC. ``date``
+    is the WARC-Date of all records: the time of writing, if none is given.
     """
+    date = date or datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
     resolved.select(record_text(date).alias("value")).write.option("lineSep", CRLF + CRLF).option("compression", "gzip").text(path)
 
 
@@ -151,15 +154,26 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInArrow(run, "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, content binary, content_digest string")
 
 
-def archive_round_trip(pages: DataFrame, path: str | None = None) -> DataFrame:
-    """Write ``pages`` as deduplicated archives, read them back, and describe each record by what was read.
+def resolve_revisits(records: DataFrame) -> DataFrame:
+    """Every record read, with ``payload_bytes`` and ``payload_digest`` of the content that stands for it.
 
-    A response's size and digest are those of the content read; a revisit's those of its headers.
+    A response's are those of its own content. A revisit is joined to the response that it refers to by id and
+    digest, and has that response's; where the archives hold no such response, its two fields are null.
     """
+    own = F.col("record_type") == "response"
+    heads = records.select("page_id", "record_type", "refers_to", F.when(own, F.length("content").cast("long")).alias("read_bytes"),
+                           F.when(own, F.col("content_digest")).otherwise(F.col("payload_digest")).alias("digest"))
+    heads = materialize(heads, "records")
+    originals = heads.where(own).select(F.col("page_id").alias("original"), "digest", F.col("read_bytes").alias("original_bytes"))
+    originals = originals.join(heads.where(~own).select(F.col("refers_to").alias("original"), "digest").distinct(), ["original", "digest"], "left_semi").distinct()
+    found = heads.where(~own).join(originals.withColumnRenamed("original", "refers_to"), ["refers_to", "digest"], "left")
+    columns = ["page_id", F.coalesce("read_bytes", "original_bytes").alias("payload_bytes"), F.when(own | F.col("original_bytes").isNotNull(), F.col("digest")).alias("payload_digest"), "record_type", "refers_to"]
+    return heads.where(own).withColumn("original_bytes", F.lit(None).cast("long")).select(*columns).union(found.select(*columns))
+
+
+def archive_round_trip(pages: DataFrame, path: str | None = None) -> DataFrame:
+    """Write ``pages`` as deduplicated archives, read them back, and describe each record by the content read for it."""
     spark = pages.sparkSession
     path = path or new_path(spark, "warc")
     write_archives(resolve(pages, files_of(pages)), path)
-    back = read_archives(spark, path)
-    stored = F.col("record_type") == "response"
-    return back.select("page_id", F.when(stored, F.length("content").cast("long")).otherwise(F.col("payload_bytes")).alias("payload_bytes"),
-                       F.when(stored, F.col("content_digest")).otherwise(F.col("payload_digest")).alias("payload_digest"), "record_type", "refers_to")
+    return resolve_revisits(read_archives(spark, path))
