@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +33,8 @@ BLOCKS = ((0, 0, 23, 1), (0, 23, 24, 1), (0, 47, 17, 0))
 PIECE = 8192
 #: Least parity bits of a shingle set; documents and tokens that the order of shingles from rare to common is taken from.
 BITS, ORDER_DOCS, ORDER_TOKENS = 1024, 10_000, 1 << 16
+#: Rounds in which each token's nodes are compared with one of them, before all that is still apart is.
+ROUNDS = 2
 
 
 def simhash(text: str | None, shingle_words: int = 4, width: int = 1) -> np.ndarray:
@@ -318,6 +321,11 @@ def _parity(x: np.ndarray) -> bytes:
     return np.packbits(np.bincount((x & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1, bitorder="little").tobytes()
 
 
+def _mark(parity: bytes) -> bytes:
+    """A parity folded to half its least width."""
+    return np.bitwise_xor.reduce(np.frombuffer(parity, np.uint64).reshape(-1, BITS // 128), 0).tobytes()
+
+
 def _differ(x: bytes, y: bytes) -> int:
     """Bits in which two parities differ, the wider one folded to the width of the other."""
     x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
@@ -334,7 +342,7 @@ def _prefixes(shingle_words: int, similarity: float, common):
         for batch in batches:
             for at in range(0, max(batch.num_rows, 1), 256):
                 part = batch.slice(at, 256)
-                node, size, rare, prefix, bits = [], [], [], [], []
+                node, size, rare, prefix, bits, mark = [], [], [], [], [], []
                 for text in part.column(1).to_pylist():
                     x = _shingles(text, shingle_words)
                     n, often = len(x), np.zeros(len(x), np.int64)
@@ -343,8 +351,8 @@ def _prefixes(shingle_words: int, similarity: float, common):
                         often = np.where(token[near] == x.view(np.int64), count[near], 0)
                     first = np.argsort(often, kind="stable")[: n - math.ceil(similarity * n - 1e-9) + 1]
                     node.append(_node(x)), size.append(n), prefix.append(x[first].view(np.int64)), rare.append(int((often[first] == 0).sum()))
-                    bits.append(_parity(x))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(node, pa.int64()), pa.array(size, pa.int32()), pa.array(rare, pa.int32()), pa.array(prefix, pa.list_(pa.int64())), pa.array(bits, pa.binary())], [f.split()[0] for f in _PRINT.split(", ")])
+                    bits.append(_parity(x)), mark.append(_mark(bits[-1]))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(node, pa.int64()), pa.array(size, pa.int32()), pa.array(rare, pa.int32()), pa.array(prefix, pa.list_(pa.int64())), pa.array(bits, pa.binary()), pa.array(mark, pa.binary())], [f.split()[0] for f in _PRINT.split(", ")])
 
     return run
 
@@ -360,7 +368,7 @@ def _meet(similarity: float):
     Rows are sorted by group and size; each row meets the later rows of its group that aren't too large for it.
     """
 
-    def links(group, size, at, own, cross, node, root):
+    def links(group, size, at, own, cross, node, root, mark):
         idx, k, last = np.arange(len(group)), 1, len(group)
         found, held = [], 0
         while len(idx):
@@ -368,11 +376,14 @@ def _meet(similarity: float):
             to = idx + k
             idx = idx[(group[to] == group[idx]) & (size[to] * similarity <= size[idx] + 1e-9)]
             to = idx + k
-            most = np.minimum(at[idx], at[to]) + np.minimum(size[idx] - at[idx], size[to] - at[to])
-            hit = (root[idx] != root[to]) & (~cross[idx] | (own[idx] != own[to])) & (most >= _shared(size[idx], size[to], similarity))
-            if hit.any():
+            most = np.minimum(size[idx] - at[idx], size[to] - at[to])  # if this is the first token that they share
+            need = _shared(size[idx], size[to], similarity)
+            hit = np.flatnonzero((root[idx] != root[to]) & (~cross[idx] | (own[idx] != own[to])) & (most >= need))
+            differ = np.bitwise_count(mark[idx[hit]] ^ mark[to[hit]]).sum(1, dtype=np.int64)
+            hit = hit[differ <= (size[idx] + size[to] - 2 * need)[hit]]
+            if len(hit):
                 found.append((node[idx[hit]], node[to[hit]]))
-                held += int(hit.sum())
+                held += len(hit)
                 if held > 300_000:
                     yield [np.concatenate(x) for x in zip(*found)]
                     found, held = [], 0
@@ -393,7 +404,7 @@ def _meet(similarity: float):
             if not batch.num_rows:
                 continue
             c = [batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(8)]
-            cols = [np.stack(c[:3], 1), *c[3:]]
+            cols = [np.stack(c[:3], 1), *c[3:], _matrix(batch.column(8))]
             if kept is not None:
                 cols = [np.concatenate(x) for x in zip(kept, cols)]
             change = np.flatnonzero(np.any(cols[0][1:] != cols[0][:-1], axis=1))
@@ -432,6 +443,14 @@ def _jaccard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.float64())], ["a", "b", "similarity"])
 
 
+def _all(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.union, parts)
+
+
+def _without(pairs: DataFrame, compared: list[DataFrame]) -> DataFrame:
+    return pairs.join(_all(compared), ["a", "b"], "left_anti") if compared else pairs
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, firsts: DataFrame, similarity: float, shingle_words: int) -> tuple[DataFrame, DataFrame]:
     """(pairs that were compared, those of them whose exact shingle sets have the similarity).
 
@@ -454,7 +473,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, firsts: DataFrame, similarity:
     return likely, sure
 
 
-_PRINT = "doc_id long, copy long, node long, size int, rare int, prefix array<long>, bits binary"
+_PRINT = "doc_id long, copy long, node long, size int, rare int, prefix array<long>, bits binary, mark binary"
 
 
 def shared_tokens(firsts: DataFrame) -> DataFrame:
@@ -476,10 +495,11 @@ def similar_classes(docs: DataFrame, similarity: float = 0.8, shingle_words: int
 
     ``docs`` are ``(doc_id, text, copy)``; copy is a digest of the text, which tells rows of one doc_id apart.
 
-    Two sets of that similarity share one of their rarest shingles, of which each needs only a prefix. First
-    each token's nodes are compared with one of them; then all pairs that components of these verified links
-    leave apart. Sizes, positions and parity bits rule out only what cannot reach the similarity, and exact
-    sets decide on the rest, so no pair at the similarity stays unlinked, and none below it is linked.
+    Two sets of that similarity share one of their rarest shingles, of which each needs only a prefix. In each of
+    ROUNDS rounds a token's nodes are compared with one of them, which joins most of what belongs together in
+    pairs that grow with the nodes; then all pairs that components of these verified links leave apart. Sizes,
+    positions and parity bits rule out only what cannot reach the similarity, and exact sets decide on the rest,
+    so no pair at the similarity stays unlinked, and none below it is linked.
     """
     spark, n_docs = docs.sparkSession, docs.count()
     common = spark.sparkContext.broadcast(common_shingles(docs, n_docs, shingle_words))
@@ -490,21 +510,32 @@ def similar_classes(docs: DataFrame, similarity: float = 0.8, shingle_words: int
     others = materialize(others.distinct(), "others")
     firsts = prints.join(others, ["node", "doc_id"], "left_anti")
     rows = materialize(shared_tokens(firsts), "tokens")
-    stars = rows.where("node <> lead").select(F.greatest("node", "lead").alias("a"), F.least("node", "lead").alias("b")).distinct()
-    compared, sure = _verified(stars, docs, firsts, similarity, shingle_words)
-    roots = materialize(connected_components(sure), "roots")
-    rooted = rows.select("token", "node", "size", "at", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    apart = rooted.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("token")
+    pairs = rows.where("node <> lead").select("node", "lead")
+    compared, sure, apart = [], [], rows
+    for k in range(ROUNDS):
+        ends = pairs.select(F.greatest("node", "lead").alias("a"), F.least("node", "lead").alias("b")).distinct()
+        new, verified = _verified(_without(ends, compared), docs, firsts, similarity, shingle_words)
+        compared.append(new), sure.append(verified)
+        roots = materialize(connected_components(_all(sure)), "roots")
+        rooted = apart.select("token", "node", "size", "at", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        # next leads a node that has few rarer shingles of its own, so one in the middle of its like: by a hash another each round
+        turn = F.floor(F.col("at") / (1 + 2 * k)).cast("long") * F.lit(1 << 40) + F.pmod(F.xxhash64("node", F.lit(k)), F.lit(1 << 40))
+        leads = rooted.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min_by("node", turn).alias("lead"), F.min_by("root", turn).alias("lead_root"))
+        before = apart
+        apart = materialize(rooted.join(leads.where("low <> high").select("token", "lead", "lead_root"), "token"), "apart")
+        for done in (before, roots):
+            discard(done)
+        pairs = apart.where("root <> lead_root")
     pieces = F.ceil(F.col("n") / PIECE).cast("int")
-    own = F.pmod(F.xxhash64("node"), pieces).cast("int")
-    dealt = (rooted.join(apart, "token", "left_semi").withColumn("own", own)
+    dealt = (apart.join(firsts.select("node", "mark").dropDuplicates(["node"]), "node")
+             .withColumn("own", F.pmod(F.xxhash64("node"), pieces).cast("int"))
              .withColumn("other", F.explode(F.sequence(F.lit(0), pieces - 1)))
-             .select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "size", "at", "own", "node", "root"))
+             .select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "size", "at", "own", "node", "root", "mark"))
     grouped = dealt.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", "size")
-    rest = grouped.mapInArrow(_meet(similarity), "a long, b long").distinct().join(compared, ["a", "b"], "left_anti")
-    again, more = _verified(rest, docs, firsts, similarity, shingle_words)
-    links = materialize(sure.union(more), "all-links")
-    for done in (rows, others, compared, again, sure, more, roots):
+    rest = grouped.mapInArrow(_meet(similarity), "a long, b long").distinct()
+    new, verified = _verified(_without(rest, compared), docs, firsts, similarity, shingle_words)
+    links = materialize(_all([*sure, verified]), "all-links")
+    for done in (others, apart, *compared, new, *sure, verified):
         discard(done)
     return prints.select("doc_id", "copy", "node"), connected_components(links)
 
