@@ -49,18 +49,87 @@ def test_price_csv(spark, tmp_path):
     assert sorted((r.date.isoformat(), r.close) for r in fi.read_price_csv(spark, str(tmp_path / "p.csv"), "abc").collect()) == [("2024-01-02", 1.4), ("2024-01-04", 1.6)]
 
 
-def test_refresh_touches_only_landed_companies(spark, tmp_path):
-    from tidemark.streaming.refresh import start_refresh
-
-    schema = "cik long, taxonomy string, concept string, unit string, period_start date, period_end date, filed date, accn string, val double"
-
-    def land(cik, filed, val):
-        row = (cik, "us-gaap", "Assets", "USD", None, day("2020-12-31"), day(filed), f"{cik}-{filed}", val)
-        spark.createDataFrame([row], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/landing")
-        start_refresh(spark, f"{tmp_path}/landing", spark.createDataFrame([], schema).schema, f"{tmp_path}/store", concept_map(spark), f"{tmp_path}/checkpoint").awaitTermination(60)
-
-    land(1, "2021-02-01", 5.0)
-    land(2, "2021-03-01", 7.0)
-    land(1, "2021-04-01", 6.0)
-    held = spark.read.parquet(f"{tmp_path}/store/fundamentals/generation=2")
-    assert sorted((r.cik, r.metric, r.val) for r in held.collect()) == [(1, "total_assets", 6.0), (2, "total_assets", 7.0)]
+FACT = "cik long, taxonomy string, concept string, unit string, period_start date, period_end date, filed date, accn string, val double"
+BAR = "ticker string, date date, open double, high double, low double, close double, volume double"
+
+
+@pytest.fixture
+def refreshed(spark, tmp_path):
+    from tidemark.streaming import refresh as rf
+
+    companies = spark.createDataFrame([(i, f"T{i}", f"Name {i}", "S", "X") for i in (1, 2)], "cik long, ticker string, name string, sic_description string, exchange string")
+    schema = lambda text: spark.createDataFrame([], text).schema
+    for folder in ("bars", "facts"):
+        (tmp_path / folder).mkdir()
+    r = rf.Refresh(rf.Store(spark, f"{tmp_path}/store", buckets=8), f"{tmp_path}/bars", schema(BAR), f"{tmp_path}/facts", schema(FACT), companies, concept_map(spark), "2021-06-01")
+
+    def land(facts=(), bars=()):
+        if facts:
+            spark.createDataFrame([(c, "us-gaap", "Assets", "USD", None, day("2020-12-31"), day(f), f"{c}-{f}", v) for c, f, v in facts], FACT).coalesce(1).write.mode("append").parquet(r.facts)
+        if bars:
+            spark.createDataFrame([(t, day(d), c, c, c, c, 10.0) for t, d, c in bars], BAR).coalesce(1).write.mode("append").parquet(r.bars)
+        return rf.run(r)
+
+    return r, land
+
+
+def test_refresh_steps_in_order_and_only_what_changed(refreshed):
+    r, land = refreshed
+    names = [s["name"] for s in land([(1, "2021-02-01", 5.0), (2, "2021-02-01", 7.0)], [("T1", "2021-01-04", 1.0), ("T2", "2021-01-04", 2.0)])]
+    assert names == ["prices", "snapshot", "sentiment", "filings", "normalise", "snapshot (after filings)"]
+    before = dict(r.store._generations("fundamentals"))
+    said = land([(1, "2021-04-01", 6.0)], [("T1", "2021-01-05", 3.0)])
+    assert all(s["state"] == "ok" for s in said)
+    touched = r.store.touched(r.companies.where("cik = 1"), "cik")
+    after = {b: max(g for c, g in r.store._generations("fundamentals") if c == b) for b in before}
+    assert {b for b in after if after[b] != before[b]} == set(touched)
+    assert sorted((x.cik, x.metric, x.val) for x in r.fundamentals().collect()) == [(1, "total_assets", 6.0), (2, "total_assets", 7.0)]
+    shown = r.store.spark.read.parquet(f"{r.store.path}/snapshot")
+    assert sorted((x.ticker, x.price, x.total_assets) for x in shown.collect()) == [("T1", 3.0, 6.0), ("T2", 2.0, 7.0)]
+
+
+def test_refresh_without_new_filings_skips_the_second_pass(refreshed):
+    r, land = refreshed
+    land([(1, "2021-02-01", 5.0)], [("T1", "2021-01-04", 1.0)])
+    assert [s["name"] for s in land([], [("T1", "2021-01-05", 2.0)])] == ["prices", "snapshot", "sentiment", "filings"]
+
+
+def test_a_failing_step_stops_none_of_the_others(refreshed):
+    r, land = refreshed
+    land([(1, "2021-02-01", 5.0)], [("T1", "2021-01-04", 1.0)])
+    r.bars = r.bars + "-not-there"
+    states = {s["name"]: s["state"] for s in land([(1, "2021-05-01", 9.0)])}
+    assert states["prices"] == "error" and {v for k, v in states.items() if k != "prices"} == {"ok"} and "normalise" in states
+
+
+def test_rebased_history_is_reported(refreshed):
+    _, land = refreshed
+    land([], [("T1", "2021-01-04", 10.0), ("T2", "2021-01-04", 10.0)])
+    said = land([], [("T1", "2021-01-04", 5.0), ("T2", "2021-01-04", 10.0), ("T2", "2021-01-05", 11.0)])
+    assert said[0]["detail"].startswith("1 rebased")
+
+
+def test_peers_are_the_nearest_of_all(spark):
+    import random
+
+    rnd = random.Random(4)
+    rows = [(i, f"T{rnd.randrange(1000):04d}{i}", f"S{i % 3}" if i % 10 else None, rnd.choice([None, 1.0, 2.0, 5.0, float(rnd.randrange(100))])) for i in range(150)]
+    want = set()
+    for cik, _, sic, cap in rows:
+        near = sorted((abs((cap or 0.0) - (c or 0.0)), t, k) for k, t, s, c in rows if s == sic and s is not None and k != cik)[:8]
+        want |= {(cik, k, t, g, n + 1) for n, (g, t, k) in enumerate(near)}
+    got = sc.peers(spark.createDataFrame(rows, "cik long, ticker string, sic_description string, market_cap double"))
+    assert {tuple(r) for r in got.collect()} == want
+
+
+def test_news_mentions(spark):
+    from tidemark.operators import picker as pk
+
+    companies = [("BRK", "Berkshire Hathaway Inc"), ("BRK-B", "Class B of Berkshire"), ("T", "Telephone & Telegraph"), ("SNOW", "Snowflake Inc"), ("FST", "First Solar"), ("NV", "Nvidia Corp"), ("AAA", "Acme One"), ("AAB", "Acme Two"), ("AAC", "Acme Three")]
+    c = spark.createDataFrame(companies, "ticker string, name string")
+    said = lambda *h: sorted(r.ticker for r in pk.news_mentions(c, spark.createDataFrame([(x,) for x in h], "headline string"), pk.common_first_words(c)).collect())
+    assert said("Shares of (BRK-B) rise", None) == ["BRK", "BRK-B"]
+    assert said("NYSE: T gains", "nvidia falls", "Nvidia rises") == ["NV", "T"]
+    assert said("snow covers the first city", "Acme again", "AT&T") == []
+    assert said("First Solar and acme two") == ["AAB", "FST"]
+    assert [(r.word, r.companies) for r in pk.common_first_words(c).collect()] == [("acme", 3)]

@@ -24,6 +24,17 @@ def keys_of(df: DataFrame) -> list[str]:
     return ["as_of", "cik"] if "as_of" in df.columns else ["cik"]
 
 
+def at_vintages(spans: DataFrame, vintages: DataFrame, since: str, until: str | None = None) -> DataFrame:
+    """``spans`` once for each ``as_of`` from ``since`` to before ``until`` (none: for good).
+
+    The vintages travel as one array in one row, so a span picks its own without a join on a range.
+    """
+    every = vintages.agg(F.sort_array(F.collect_set("as_of")).alias("vintages"))
+    ends = F.lit(None).cast("date") if until is None else F.col(until)
+    held = F.filter("vintages", lambda v: (v >= F.col(since)) & (ends.isNull() | (v < ends)))
+    return spans.crossJoin(F.broadcast(every)).withColumn("as_of", F.explode(held)).drop("vintages")
+
+
 def latest_facts(facts: DataFrame, vintages: DataFrame | None = None) -> DataFrame:
     """The value in force of each fact: of all versions, or of those filed by each ``as_of``.
 
@@ -35,8 +46,7 @@ def latest_facts(facts: DataFrame, vintages: DataFrame | None = None) -> DataFra
         return facts.groupBy(*FACT).agg(F.max_by("val", order).alias("val"))
     versions = Window.partitionBy(*FACT).orderBy("filed", "accn", "taxonomy")
     spans = facts.select(*FACT, "val", "filed", F.lead("filed").over(versions).alias("until"))
-    held = (F.col("filed") <= F.col("as_of")) & (F.col("until").isNull() | (F.col("as_of") < F.col("until")))
-    return spans.join(F.broadcast(vintages), held).select("as_of", *FACT, "val")
+    return at_vintages(spans, vintages, "filed", "until").select("as_of", *FACT, "val")
 
 
 def period_filed(facts: DataFrame, vintages: DataFrame | None = None) -> DataFrame:
@@ -49,8 +59,7 @@ def period_filed(facts: DataFrame, vintages: DataFrame | None = None) -> DataFra
     days = facts.groupBy(*period, "filed").agg(F.min("accn").alias("accn"))
     w = Window.partitionBy(*period).orderBy("filed")
     spans = days.select(*period, "filed", F.lead("filed").over(w).alias("until"), F.first("filed").over(w).alias("first_filed"), F.first("accn").over(w).alias("first_accn"))
-    held = (F.col("filed") <= F.col("as_of")) & (F.col("until").isNull() | (F.col("as_of") < F.col("until")))
-    return spans.join(F.broadcast(vintages), held).select("as_of", *period, "filed", "first_filed", "first_accn")
+    return at_vintages(spans, vintages, "filed", "until").select("as_of", *period, "filed", "first_filed", "first_accn")
 
 
 def resolve_metrics(latest: DataFrame, concept_map: DataFrame) -> DataFrame:

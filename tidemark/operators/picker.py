@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ranking import positions
+
 # Weights, words of names that say nothing, and words that name no single company alone.
 SIZE, NEWS, LUCK = 0.55, 0.45, 0.30
-NOISE = "inc corp corporation co company ltd plc holdings group the of and de new class".split()
+NOISE = ["inc", "corp", "corporation", "co", "company", "ltd", "plc", "holdings", "group", "the", "of", "and", "de", "new", "class"]
 GENERIC = "first general american united national community capital southern northern western eastern central pacific atlantic international global financial bancorp bancshares bankshares bank energy industries systems technologies technology resources services partners trust federal republic peoples citizens farmers merchants mutual commerce premier independent world washington texas california china russia europe london america states".split()
 
 
@@ -30,35 +32,36 @@ def size_percentile(df: DataFrame, key: str = "ticker", size: str = "size") -> D
 
 
 def _percent_rank(known: DataFrame, key: str, size: str) -> DataFrame:
-    """percent_rank without one task that sorts all: counts per distinct size, ranked within magnitudes, then across them."""
     counts = known.groupBy(size).agg(F.count(F.lit(1)).alias("n"))
-    magnitude = F.floor(F.signum(size) * F.log2(1 + F.abs(F.col(size))) * 16)
-    parts = counts.withColumn("part", magnitude)
-    inner = Window.partitionBy("part").orderBy(size)
-    parts = parts.withColumn("before", F.sum("n").over(inner) - F.col("n"))
-    totals = parts.groupBy("part").agg(F.sum("n").alias("total"))
-    offsets = totals.select("part", "total", F.coalesce(F.sum("total").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("offset"))
-    n = totals.agg(F.sum("total").alias("all"))
-    ranks = parts.join(F.broadcast(offsets.select("part", "offset")), "part").crossJoin(F.broadcast(n)).select(size, ((F.col("before") + F.col("offset")) / F.greatest(F.col("all") - 1, F.lit(1))).alias("p"))
+    n = known.agg(F.count(F.lit(1)).alias("all"))
+    ranks = positions(counts, size).crossJoin(F.broadcast(n)).select(size, (F.col("start") / F.greatest(F.col("all") - 1, F.lit(1))).alias("p"))
     return known.select(key, size).join(ranks, size).select(key, "p")
 
 
+def _bounded(token: Column) -> Column:
+    """A token's beginnings that end at a word boundary: BRK and BRK-B of BRK-B."""
+    word = lambda i: F.substring(token, i, F.lit(1)).rlike(r"[A-Za-z0-9_]")
+    ends = F.filter(F.sequence(F.lit(1), F.length(token)), lambda i: word(i) != word(i + 1))
+    return F.transform(ends, lambda i: F.substring(token, F.lit(1), i))
+
+
 def news_mentions(companies: DataFrame, headlines: DataFrame, common: DataFrame) -> DataFrame:
     """Tickers that headlines name: written as a ticker, by the two first words of the name, or by a distinctive first word.
 
-    Headlines are cut into tokens once and joined by equality, never company by company.
+    Headlines are cut into tokens once and met by equality, never company by company. Tokens meet the companies
+    before anything is made distinct, so only tickers that are named are shuffled where Spark can ship the companies.
     """
     c = companies.select("ticker", significant_words(F.col("name")).alias("w")).select("ticker", F.get("w", F.lit(0)).alias("w0"), F.get("w", F.lit(1)).alias("w1"))
     text = F.coalesce("headline", F.lit(""))
-    as_ticker = headlines.select(F.explode(F.regexp_extract_all(text, F.lit(r"(?:\$|\(|\b(?:NYSE|NASDAQ|NYSEARCA|AMEX)\s*:\s*)([A-Za-z0-9.#-]+)"), F.lit(1))).alias("token")).distinct()
-    by_ticker = c.join(as_ticker.select(F.regexp_extract("token", r"^[A-Za-z0-9.#-]*[A-Za-z0-9#]", 0).alias("ticker")).distinct(), "ticker", "left_semi").select("ticker")
+    as_ticker = headlines.select(F.explode(F.regexp_extract_all(text, F.lit(r"(?:\$|\(|\b(?:NYSE|NASDAQ|NYSEARCA|AMEX)\s*:\s*)([A-Za-z0-9.#-]+)"), F.lit(1))).alias("token"))
+    by_ticker = as_ticker.select(F.explode(_bounded(F.col("token"))).alias("ticker")).join(c.select("ticker"), "ticker").select("ticker")
     words = headlines.select(F.regexp_extract_all(text, F.lit(r"[\p{L}\p{N}_]+|[^\s\p{L}\p{N}_]+"), F.lit(0)).alias("t"))
-    bigram = words.select(F.explode(F.zip_with("t", F.slice("t", 2, 1 << 30), lambda a, b: F.struct(F.lower(a).alias("a"), F.lower(b).alias("b")))).alias("p")).select("p.a", "p.b").distinct()
-    by_name = c.where("w1 IS NOT NULL").join(bigram, (F.lower("w0") == F.col("a")) & (F.lower("w1") == F.col("b")), "left_semi").select("ticker")
-    token = words.select(F.explode("t").alias("token")).distinct()
-    lone = c.where((F.length("w0") >= 5) & ~F.lower("w0").isin(*GENERIC)).join(F.broadcast(common.select("word")), F.lower("w0") == F.col("word"), "left_anti")
+    bigram = words.select(F.explode(F.zip_with("t", F.slice("t", 2, 1 << 30), lambda a, b: F.struct(F.lower(a).alias("a"), F.lower(b).alias("b")))).alias("p")).select("p.a", "p.b")
+    named = c.where("w1 IS NOT NULL").select("ticker", F.lower("w0").alias("a"), F.lower("w1").alias("b"))
+    by_name = bigram.join(named, ["a", "b"]).select("ticker")
+    lone = c.where((F.length("w0") >= 5) & ~F.lower("w0").isin(*GENERIC)).join(common.select("word"), F.lower("w0") == F.col("word"), "left_anti")
     forms = lone.select("ticker", F.explode(F.array(F.initcap(F.lower("w0")), F.upper("w0"))).alias("token"))
-    by_word = forms.join(token, "token", "left_semi").select("ticker")
+    by_word = words.select(F.explode("t").alias("token")).join(forms, "token").select("ticker")
     return by_ticker.union(by_name).union(by_word).distinct()
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expressions import escape_like, mcap_band
+from .ranking import positions
 
 # The names that a screen may use, suffixes of its thresholds, curated screens and lists.
 FIELDS = {"price": "price", "market_cap": "market_cap", "mcap": "market_cap", "revenue": "revenue_ttm", "net_income": "net_income_ttm", "operating_income": "operating_income_ttm", "eps": "eps_ttm", "fcf": "fcf_ttm", "ocf": "ocf_ttm", "total_assets": "total_assets", "total_equity": "total_equity", "total_debt": "total_debt", "cash": "cash", "pe": "pe", "pb": "pb", "ps": "ps", "ev": "ev", "ev_ebit": "ev_to_ebit", "roe": "roe", "roa": "roa", "gross_margin": "gross_margin", "operating_margin": "operating_margin", "net_margin": "net_margin", "debt_to_equity": "debt_to_equity", "current_ratio": "current_ratio", "revenue_growth": "revenue_cagr_3y", "eps_growth": "eps_cagr_3y"}
@@ -82,10 +83,11 @@ def metric_ranges(snapshot: DataFrame) -> DataFrame:
     """5th and 95th percentile by offset of every screenable column that at least five companies have."""
     names = sorted(set(FIELDS.values()))
     long = snapshot.select(F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("v")) for c in names])).alias("x")).select("x.metric", "x.v").where("v IS NOT NULL")
-    n = long.groupBy("metric").agg(F.count(F.lit(1)).alias("n")).where("n >= 5")
-    ranked = long.join(F.broadcast(n), "metric").withColumn("rn", F.row_number().over(Window.partitionBy("metric").orderBy("v")) - 1)
-    hi_at = F.least(F.col("n") - 1, F.floor(F.col("n") * 0.95))
-    return ranked.groupBy("metric").agg(F.max(F.when(F.col("rn") == F.floor(F.col("n") * 0.05), F.col("v"))).alias("p5"), F.max(F.when(F.col("rn") == hi_at, F.col("v"))).alias("p95"))
+    counts = long.groupBy("metric", "v").agg(F.count(F.lit(1)).alias("n"))
+    every = counts.groupBy("metric").agg(F.sum("n").alias("all")).where("all >= 5")  # one row for each of FIELDS
+    placed = positions(counts, "v", ["metric"]).join(F.broadcast(every), "metric")
+    at = lambda k: F.max(F.when((F.col("start") <= k) & (k < F.col("start") + F.col("n")), F.col("v")))
+    return placed.groupBy("metric").agg(at(F.floor(F.col("all") * 0.05)).alias("p5"), at(F.least(F.col("all") - 1, F.floor(F.col("all") * 0.95))).alias("p95"))
 
 
 def search(snapshot: DataFrame, term: str, n: int = 50) -> DataFrame:
@@ -121,7 +123,7 @@ def browse(snapshot: DataFrame, bars: DataFrame, sectors: DataFrame, members: Da
     if band is not None:
         rows = rows.where(mcap_band(F.col("market_cap")) == band)
     if index is not None:
-        rows = rows.join(F.broadcast(members.where(F.col("index_slug") == index).select("ticker")), "ticker", "left_semi")
+        rows = rows.join(members.where(F.col("index_slug") == index).select("ticker"), "ticker", "left_semi")
     if letter is not None:
         rows = rows.where(F.upper("ticker").startswith(letter.upper()))
     column, desc = SORTS[sort]
@@ -130,9 +132,18 @@ def browse(snapshot: DataFrame, bars: DataFrame, sectors: DataFrame, members: Da
 
 
 def peers(snapshot: DataFrame, k: int = 8) -> DataFrame:
-    """For every company the k nearest by market value of those with its industry."""
-    a = snapshot.select("cik", "sic_description", F.coalesce("market_cap", F.lit(0.0)).alias("cap"))
-    b = snapshot.select(F.col("cik").alias("peer_cik"), F.col("ticker").alias("peer"), "sic_description", F.coalesce("market_cap", F.lit(0.0)).alias("peer_cap"))
-    pairs = a.join(b, "sic_description").where("cik <> peer_cik").withColumn("gap", F.abs(F.col("cap") - F.col("peer_cap")))
-    w = Window.partitionBy("cik").orderBy("gap", "peer")
-    return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("cik", "peer_cik", "peer", "gap", "rank")
+    """For every company the k nearest by market value of those with its industry, ties to the smaller ticker.
+
+    Of companies of one industry and value only the first k + 1 tickers can be a peer, and only the k values next
+    above and below a company's own: a window over the values of an industry, of k rows either way.
+    """
+    c = snapshot.where("sic_description IS NOT NULL").select("cik", "ticker", "sic_description", F.coalesce("market_cap", F.lit(0.0)).alias("cap"))
+    own = Window.partitionBy("sic_description", "cap").orderBy("ticker", "cik")
+    few = c.withColumn("rn", F.row_number().over(own)).where(F.col("rn") <= k + 1)
+    values = few.groupBy("sic_description", "cap").agg(F.collect_list(F.struct("cap", "ticker", "cik")).alias("near"))
+    around = Window.partitionBy("sic_description").orderBy("cap").rowsBetween(-k, k)
+    values = values.withColumn("near", F.flatten(F.collect_list("near").over(around)))
+    gap = lambda x: F.struct(F.abs(F.col("cap") - x["cap"]).alias("gap"), x["ticker"].alias("peer"), x["cik"].alias("peer_cik"))
+    others = F.filter(F.transform("near", gap), lambda x: x["peer_cik"] != F.col("cik"))
+    best = c.join(values, ["sic_description", "cap"]).select("cik", F.posexplode(F.slice(F.array_sort(others), 1, k)).alias("at", "p"))
+    return best.select("cik", "p.peer_cik", "p.peer", "p.gap", (F.col("at") + 1).alias("rank"))

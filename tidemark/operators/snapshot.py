@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .fundamentals import fundamentals, keys_of
+from .fundamentals import at_vintages, fundamentals, keys_of
 
+# Metrics of trailing and instant figures, and the columns of a snapshot.
 TTM_METRICS = ["revenue", "operating_income", "net_income", "eps_diluted", "operating_cash_flow", "capex", "shares_diluted", "gross_profit", "cost_of_revenue"]
 INSTANTS = ["total_assets", "total_equity", "cash", "current_assets", "current_liabilities", "short_term_debt", "long_term_debt", "shares_outstanding"]
 COLUMNS = ["price", "market_cap", "shares_diluted", "revenue_ttm", "gross_profit_ttm", "operating_income_ttm", "net_income_ttm", "eps_ttm", "ocf_ttm", "capex_ttm", "fcf_ttm", "total_assets", "total_equity", "total_debt", "cash", "pe", "pb", "ps", "ev", "ev_to_ebit", "roe", "roa", "gross_margin", "operating_margin", "net_margin", "debt_to_equity", "current_ratio", "revenue_cagr_3y", "eps_cagr_3y"]
@@ -49,14 +50,13 @@ def price_asof(prices: DataFrame, vintages: DataFrame | None = None) -> DataFram
         return p.groupBy("ticker").agg(F.max_by("close", "date").alias("price"), F.max("date").alias("price_date"))
     w = Window.partitionBy("ticker").orderBy("date")
     p = p.select("ticker", "date", "close", F.lead("date").over(w).alias("until"))
-    held = (F.col("date") <= F.col("as_of")) & (F.col("until").isNull() | (F.col("as_of") < F.col("until")))
-    return p.join(F.broadcast(vintages), held).select("as_of", "ticker", F.col("close").alias("price"), F.col("date").alias("price_date"))
+    return at_vintages(p, vintages, "date", "until").select("as_of", "ticker", F.col("close").alias("price"), F.col("date").alias("price_date"))
 
 
 def universe_asof(facts: DataFrame, vintages: DataFrame) -> DataFrame:
     """Companies with a filing by each ``as_of``."""
     first = facts.groupBy("cik").agg(F.min("filed").alias("first_filed"))
-    return first.join(F.broadcast(vintages), F.col("first_filed") <= F.col("as_of")).select("as_of", "cik")
+    return at_vintages(first, vintages, "first_filed").select("as_of", "cik")
 
 
 def data_age(facts: DataFrame, vintages: DataFrame) -> DataFrame:
@@ -64,8 +64,7 @@ def data_age(facts: DataFrame, vintages: DataFrame) -> DataFrame:
     days = facts.select("cik", "filed").distinct()
     w = Window.partitionBy("cik").orderBy("filed")
     days = days.withColumn("until", F.lead("filed").over(w))
-    held = (F.col("filed") <= F.col("as_of")) & (F.col("until").isNull() | (F.col("as_of") < F.col("until")))
-    return days.join(F.broadcast(vintages), held).select("as_of", "cik", F.datediff("as_of", "filed").alias("data_age_days"))
+    return at_vintages(days, vintages, "filed", "until").select("as_of", "cik", F.datediff("as_of", "filed").alias("data_age_days"))
 
 
 def ratios_wide(base: DataFrame, f: DataFrame, prices: DataFrame) -> DataFrame:
@@ -105,7 +104,11 @@ def snapshot(f: DataFrame, companies: DataFrame, prices: DataFrame) -> DataFrame
 
 
 def snapshot_asof(facts: DataFrame, concept_map: DataFrame, companies: DataFrame, prices: DataFrame, vintages: DataFrame) -> DataFrame:
-    """The same table as it could have been made on each ``as_of``, with the age of its data: one job for all vintages."""
+    """The same table as it could have been made on each ``as_of``, with the age of its data: one job for all vintages.
+
+    Facts are dealt by company once; the windows over versions, periods and filing days all start from there.
+    """
+    facts = facts.repartition("cik")
     f = fundamentals(facts, concept_map, vintages=vintages)
     who = companies.select("cik", "ticker", "name", "sic_description", "exchange")
     base = universe_asof(facts, vintages).join(who, "cik", "left").select("as_of", "cik", "ticker", "name", "sic_description", "exchange")

@@ -18,6 +18,8 @@ from ..operators import snapshot as sn
 from ..sources import filings as fi
 from ..sources.adapters import Inputs
 from ..sources.concepts import concept_map, metrics, sic_ranges
+from ..sources.stored import new_path
+from ..streaming import refresh as rf
 from .oracles import oracle
 
 TODAY = "2001-11-04"
@@ -78,8 +80,8 @@ query("SELECT DISTINCT v.as_of FROM vintages AS v JOIN facts AS f ON f.filed <=
 # ---- screens
 S3 = "cik, ticker, market_cap, roe, pe, debt_to_equity"
 cols3 = ["cik", "ticker", "market_cap", "roe", "pe", "debt_to_equity"]
-QUALITY = sc.SCREENS["quality-at-a-fair-price"]
-query(f"SELECT {S3} FROM c_snap WHERE roe > 15 AND pe < 25 AND debt_to_equity < 1 AND market_cap IS NOT NULL ORDER BY market_cap DESC, ticker LIMIT 50", "screen")(lambda x: sc.screen(snap(x), QUALITY).select(cols3))
+QUALITY = [[("roe", ">", 8), ("pe", "<", 25), ("debt_to_equity", "<", 1)]]
+query(f"SELECT {S3} FROM c_snap WHERE roe > 8 AND pe < 25 AND debt_to_equity < 1 AND market_cap IS NOT NULL ORDER BY market_cap DESC, ticker LIMIT 50", "screen")(lambda x: sc.screen(snap(x), QUALITY).select(cols3))
 query(f"SELECT {S3} FROM c_snap WHERE (pe < 6 OR roe > 40) AND market_cap IS NOT NULL ORDER BY market_cap DESC, ticker LIMIT 50", "screen_or")(lambda x: sc.screen(snap(x), [[("pe", "<", 6)], [("roe", ">", 40)]]).select(cols3))
 query(f"SELECT {S3} FROM v_snap WHERE as_of = DATE '1998-06-30' AND (pe < 6 OR roe > 20) AND market_cap IS NOT NULL ORDER BY market_cap DESC, ticker LIMIT 50", "screen_asof")(lambda x: sc.screen(vintages_snap(x), [[("pe", "<", 6)], [("roe", ">", 20)]], as_of="1998-06-30").select(cols3))
 query(f"SELECT {S3} FROM c_snap WHERE roe >= 5 AND roe <= 60 AND pe <= 30", "screen_ranges")(lambda x: sc.screen_ranges(snap(x), {"roe": (5, 60), "pe": (None, 30), "pb": (None, None)}).select(cols3))
@@ -109,7 +111,7 @@ query("SELECT cik, sector, sector_slug FROM sectors", "sector_of")(lambda x: sc.
 query("SELECT cik, ticker FROM sectors WHERE sector_slug = 'manufacturing'", "sector_filter")(lambda x: sc.with_sector(x.companies, sic_ranges(x.spark)).where("sector_slug = 'manufacturing'").select("cik", "ticker"))
 query("SELECT sector, count(*) AS companies FROM sectors GROUP BY sector", "sector_counts")(lambda x: sc.with_sector(x.companies, sic_ranges(x.spark)).groupBy("sector").agg(F.count(F.lit(1)).alias("companies")))
 query("SELECT band, count(*) AS companies FROM banded WHERE band IS NOT NULL GROUP BY band", "mcap_bands")(lambda x: snap(x).select(mcap_band(F.col("market_cap")).alias("band")).where("band IS NOT NULL").groupBy("band").agg(F.count(F.lit(1)).alias("companies")))
-query("SELECT s.cik, s.ticker FROM c_snap AS s JOIN members AS m ON s.ticker = m.ticker WHERE m.index_slug = 'i3'", "index_filter")(lambda x: snap(x).join(F.broadcast(x.members.where("index_slug = 'i3'").select("ticker")), "ticker").select("cik", "ticker"))
+query("SELECT s.cik, s.ticker FROM c_snap AS s JOIN members AS m ON s.ticker = m.ticker WHERE m.index_slug = 'i3'", "index_filter")(lambda x: snap(x).join(x.members.where("index_slug = 'i3'").select("ticker"), "ticker").select("cik", "ticker"))
 query("SELECT index_slug, count(*) AS companies FROM c_snap AS s JOIN members AS m ON s.ticker = m.ticker GROUP BY index_slug", "index_counts")(lambda x: snap(x).join(x.members, "ticker").groupBy("index_slug").agg(F.count(F.lit(1)).alias("companies")))
 query("SELECT ticker, date, close, volume, prev_close, change_pct FROM bars", "last_bar")(lambda x: sc.last_bar(x.prices))
 query("SELECT ticker, close, change_pct FROM bars", "latest_change")(lambda x: sc.last_bar(x.prices).select("ticker", "close", "change_pct"))
@@ -252,14 +254,51 @@ query("SELECT DISTINCT cik FROM facts WHERE cik % 3 <> 0", "due_companies")(lamb
 query("SELECT DISTINCT ticker FROM prices WHERE cast(right(ticker, 9) AS int) % 3 = 0", "rebased_tickers")(lambda x: fi.rebased_tickers(x.prices, x.prices.select("ticker", "date", F.when(F.substring("ticker", -9, 9).cast("int") % 3 == 0, F.col("close") * 1.01).otherwise(F.col("close") * 1.001).alias("close"))))
 query("SELECT DISTINCT c.ticker, c.cik % 2 = 0 AS priced, CASE WHEN c.cik % 2 = 0 THEN '3mo' ELSE 'max' END AS pull FROM companies AS c JOIN facts AS f ON c.cik = f.cik", "price_refresh_plan")(lambda x: fi.price_refresh_plan(x.companies, x.facts, x.prices.where(F.substring("ticker", -9, 9).cast("int") % 2 == 0).withColumn("date", F.least("date", F.lit("2001-10-01").cast("date"))), TODAY))
 query("SELECT 'facts' AS item, count(*) AS n FROM facts UNION ALL SELECT 'prices', count(*) FROM prices UNION ALL SELECT 'companies', count(*) FROM companies UNION ALL SELECT 'ingested', count(DISTINCT cik) FROM facts", "summary_counts")(lambda x: fi.summary_counts({"facts": x.facts, "prices": x.prices, "companies": x.companies}, {"ingested": ("facts", "cik")}))
+
+
+def _price_csv(x: Inputs) -> DataFrame:
+    """The bars as CSV files with another provider's headings, absent figures and lines that are no bars, read back."""
+    path = new_path(x.spark, "bars-csv")
+    day = F.dayofmonth("date")
+    p = x.prices.select(F.when(day == 2, "no trade").otherwise(F.col("date").cast("string")).alias("Date"), F.col("open").alias("Open"), F.col("high").alias("High"), F.col("low").alias("Low"),
+                        F.when(day == 3, "null").otherwise(F.col("close").cast("string")).alias("Close"), F.when(day % 5 == 0, (F.col("close") / 2).cast("string")).otherwise(F.when(day % 2 == 0, "N/A")).alias("Adj Close"), F.col("volume").alias("Volume"), F.lower("ticker").alias("Ticker"))
+    p.write.option("header", True).csv(path)
+    return fi.read_price_csv(x.spark, path)
+
+
+def _index_members(x: Inputs) -> DataFrame:
+    path = new_path(x.spark, "members-csv")
+    x.members.withColumn("as_of", F.lit("2001-01-01").cast("date")).write.option("header", True).csv(path)
+    return fi.read_index_members(x.spark, path)
+
+
+def _refreshed(x: Inputs) -> DataFrame:
+    """Fundamentals after two refreshes: of what was filed up to 1997, then of all that landed since."""
+    base = new_path(x.spark, "refresh")
+    facts, prices = x.facts, x.prices
+    refresh = rf.Refresh(rf.Store(x.spark, f"{base}/store"), f"{base}/bars", prices.schema, f"{base}/facts", facts.schema, x.companies, concept_map(x.spark), TODAY)
+    for early in (True, False):
+        for rows, column, folder in ((facts, "filed", "facts"), (prices, "date", "bars")):
+            rows.where(F.col(column) < "1998-01-01" if early else F.col(column) >= "1998-01-01").write.mode("append").parquet(f"{base}/{folder}")
+        failed = [s for s in rf.run(refresh) if s["state"] == "error"]
+        if failed:
+            raise RuntimeError(f"refresh failed: {failed}")
+    return refresh.fundamentals().select("cik", *fu.COLUMNS)
+
+
+query("SELECT upper(ticker) AS ticker, date, open, high, low, CASE WHEN day(date) % 5 = 0 THEN close / 2 ELSE close END AS close, cast(volume AS double) AS volume FROM prices WHERE day(date) NOT IN (2, 3)", "price_csv")(_price_csv)
+query("SELECT index_slug, index_name, ticker, DATE '2001-01-01' AS as_of FROM members", "index_members")(_index_members)
+query(f"SELECT cik, {F_COLS} FROM c_f", "incremental_refresh")(_refreshed)
+
 # ---- picking
-NAMES = "(SELECT cast(item_id AS varchar) AS ticker, array_to_string(regexp_extract_all(text, '[A-Za-z]+')[1:2], ' ') AS name FROM benchmark)"
+NAMES = "(SELECT cast(item_id AS varchar) AS ticker, array_to_string(regexp_extract_all(text, '[A-Za-z]+')[1:2], ' ') AS name FROM benchmark UNION ALL SELECT concat('P', p_partkey), concat('The ', p_name) FROM part)"
 NOISE = ", ".join(f"'{w}'" for w in pk.NOISE)
 WORDS = f"(SELECT ticker, list_filter(regexp_extract_all(name, '[A-Za-z]+'), lambda w: lower(w) NOT IN ({NOISE})) AS w FROM {NAMES})"
 
 
 def _names(x: Inputs) -> DataFrame:
-    return x.table("benchmark").select(F.col("item_id").cast("string").alias("ticker"), F.array_join(F.slice(F.regexp_extract_all(F.col("text"), F.lit("[A-Za-z]+"), F.lit(0)), 1, 2), " ").alias("name"))
+    items = x.table("benchmark").select(F.col("item_id").cast("string").alias("ticker"), F.array_join(F.slice(F.regexp_extract_all(F.col("text"), F.lit("[A-Za-z]+"), F.lit(0)), 1, 2), " ").alias("name"))
+    return items.union(x.table("part").select(F.concat(F.lit("P"), F.col("p_partkey")), F.concat(F.lit("The "), F.col("p_name"))))
 
 
 query(f"SELECT lower(w[1]) AS word, count(*) AS companies FROM {WORDS} WHERE w[1] IS NOT NULL GROUP BY 1 HAVING count(*) >= 3", "common_first_words")(lambda x: pk.common_first_words(_names(x)))
@@ -267,7 +306,8 @@ query("SELECT ticker, CASE WHEN (SELECT count(net_income_ttm) FROM c_snap) <= 1
 GENERIC = ", ".join(f"'{w}'" for w in pk.GENERIC)
 query(f"""WITH n AS (SELECT ticker, w[1] AS a, w[2] AS b FROM {WORDS}), common AS (SELECT lower(a) AS w FROM n WHERE a IS NOT NULL GROUP BY 1 HAVING count(*) >= 3),
  t AS (SELECT doc_id, regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+|[^\\s\\p{{L}}\\p{{N}}_]+') AS l FROM documents), u AS (SELECT DISTINCT l[i] AS x, lower(l[i]) AS a, lower(l[i + 1]) AS b FROM (SELECT l, unnest(range(1, len(l) + 1)) AS i FROM t)),
- k AS (SELECT DISTINCT unnest(regexp_extract_all(text, '(?:\\$|\\(|\\b(?:NYSE|NASDAQ|NYSEARCA|AMEX)\\s*:\\s*)([A-Za-z0-9.#-]*[A-Za-z0-9#])', 1)) AS ticker FROM documents)
+ k0 AS (SELECT DISTINCT unnest(regexp_extract_all(text, '(?:\\$|\\(|\\b(?:NYSE|NASDAQ|NYSEARCA|AMEX)\\s*:\\s*)([A-Za-z0-9.#-]+)', 1)) AS x FROM documents),
+ k AS (SELECT DISTINCT x[1:i] AS ticker FROM (SELECT x, unnest(range(1, len(x) + 1)) AS i FROM k0) WHERE regexp_matches(x[i], '[A-Za-z0-9_]') <> regexp_matches(concat(x[i + 1], ''), '[A-Za-z0-9_]'))
  SELECT ticker FROM n WHERE ticker IN (SELECT ticker FROM k) OR (n.b IS NOT NULL AND EXISTS (SELECT 1 FROM u WHERE u.a = lower(n.a) AND u.b = lower(n.b))) OR (length(n.a) >= 5 AND lower(n.a) NOT IN ({GENERIC}) AND lower(n.a) NOT IN (SELECT w FROM common) AND EXISTS (SELECT 1 FROM u WHERE u.x IN (upper(n.a), concat(upper(n.a[1]), lower(n.a[2:])))))""", "news_mentions")(lambda x: pk.news_mentions(_names(x), x.headlines, pk.common_first_words(_names(x))))
 query("SELECT ticker, name, 0.55 * CASE WHEN known <= 1 THEN 0.5 ELSE coalesce(p, 0) END + CASE WHEN cik % 7 = 0 THEN 0.45 ELSE 0 END AS score, concat('size p', cast(floor(CASE WHEN known <= 1 THEN 0.5 ELSE coalesce(p, 0) END * 100) AS bigint), CASE WHEN cik % 7 = 0 THEN ', in the news' ELSE '' END) AS reason FROM (SELECT *, percent_rank() OVER (ORDER BY size) AS p, count(size) OVER () AS known FROM (SELECT cik, ticker, name, nullif(greatest(coalesce(revenue_ttm, 0), coalesce(total_assets, 0)), 0) AS size FROM c_snap WHERE cik % 2 = 1)) ORDER BY score DESC, ticker DESC LIMIT 20", "pick_unpriced")(
     lambda x: (lambda s: pk.pick_unpriced(s, s.where("cik % 2 = 0"), s.where("cik % 7 = 0").select("ticker"), luck=0.0))(snap(x)))

@@ -1,6 +1,6 @@
 """Engine inputs made from the star-schema tables, one SQL text for Spark and DuckDB alike.
 
-A supplier is a company. Amounts are whole cents and share counts powers of two, so that every sum is exact.
+A supplier is a company; all its shipments count, and a year is filed as one where it has four quarters. Amounts are whole cents and share counts powers of two, so that every sum is exact.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from .stored import store
 
 _Q = """SELECT l_suppkey AS s, year(l_shipdate) AS y, quarter(l_shipdate) AS q, power(2, l_suppkey % 12) AS k,
  sum(cast(round(l_extendedprice * 100) AS bigint)) AS c, sum(cast(round(l_extendedprice * 100) AS bigint) * cast(round(l_discount * 100) AS bigint)) AS cd
- FROM {lineitem} WHERE l_shipdate >= DATE '1995-01-01' AND l_shipdate < DATE '2001-01-01' GROUP BY l_suppkey, year(l_shipdate), quarter(l_shipdate)"""
+ FROM {lineitem} GROUP BY l_suppkey, year(l_shipdate), quarter(l_shipdate)"""
 
 _V = f"""SELECT s, y, q, k, cast(c AS double) * k AS rev, CASE WHEN s % 7 = 6 THEN -1 ELSE 1 END * floor(cast(cd AS double) / 100) * k AS ni FROM ({_Q}) AS q"""
 
@@ -22,9 +22,9 @@ FACTS = f"""WITH v AS ({_V}),
 per AS (
  SELECT s, y, k, make_date(y, 3 * q - 2, 1) AS ps, last_day(make_date(y, 3 * q, 1)) AS pe, cast(last_day(make_date(y, 3 * q, 1)) + INTERVAL 35 DAY AS date) AS filed, '10-Q' AS form, concat('Q', q) AS fp, concat(s, '-', y, '-', q) AS accn, rev, ni FROM v WHERE q <= 3
  UNION ALL
- SELECT s, y, k, make_date(y, 1, 1), make_date(y, 12, 31), cast(make_date(y, 12, 31) + INTERVAL 52 DAY AS date), '10-K', 'FY', concat(s, '-', y, '-K'), sum(rev), sum(ni) FROM v GROUP BY s, y, k),
+ SELECT s, y, k, make_date(y, 1, 1), make_date(y, 12, 31), cast(make_date(y, 12, 31) + INTERVAL 52 DAY AS date), '10-K', 'FY', concat(s, '-', y, '-K'), sum(rev), sum(ni) FROM v GROUP BY s, y, k HAVING count(*) = 4),
 ytd AS (
- SELECT a.s, a.y, a.k, a.q, make_date(a.y, 1, 1) AS ps, last_day(make_date(a.y, 3 * a.q, 1)) AS pe, sum(b.ni) AS ni FROM v AS a JOIN v AS b ON a.s = b.s AND a.y = b.y AND b.q <= a.q GROUP BY a.s, a.y, a.k, a.q),
+ SELECT a.s, a.y, a.k, a.q, make_date(a.y, 1, 1) AS ps, last_day(make_date(a.y, 3 * a.q, 1)) AS pe, sum(b.ni) AS ni FROM v AS a JOIN v AS b ON a.s = b.s AND a.y = b.y AND b.q <= a.q GROUP BY a.s, a.y, a.k, a.q HAVING count(*) = a.q),
 inst AS (
  SELECT v.s, v.y, v.k, v.q, last_day(make_date(v.y, 3 * v.q, 1)) AS pe, t.rev FROM v JOIN (SELECT s, y, sum(rev) AS rev FROM v GROUP BY s, y) AS t ON v.s = t.s AND v.y = t.y),
 rows AS (

@@ -22,7 +22,7 @@ def flatten_docs(docs: DataFrame, concept_map: DataFrame | None = None) -> DataF
     """``(cik, taxonomy, concept, unit, period_start, ..., val)`` per entry with a value; only mapped tags if a map is given."""
     t = docs.where("facts IS NOT NULL").select("cik", F.explode("facts").alias("taxonomy", "tags")).select("cik", "taxonomy", F.explode("tags").alias("concept", "tag"))
     if concept_map is not None:
-        t = t.join(F.broadcast(concept_map.select("concept").distinct()), "concept", "left_semi")
+        t = t.join(concept_map.select("concept").distinct(), "concept", "left_semi")
     e = t.select("cik", "taxonomy", "concept", F.explode("tag.units").alias("unit", "entries")).select("cik", "taxonomy", "concept", "unit", F.explode("entries").alias("e"))
     day = lambda c: F.to_date(F.nullif(F.col(c), F.lit("")))
     return e.where("e.val IS NOT NULL").select("cik", "taxonomy", "concept", "unit", day("e.start").alias("period_start"), day("e.end").alias("period_end"), F.col("e.fy").alias("fy"), F.col("e.fp").alias("fp"), F.col("e.form").alias("form"), day("e.filed").alias("filed"), F.col("e.accn").alias("accn"), F.col("e.val").alias("val"))
@@ -53,14 +53,18 @@ def primary_ticker(listed: DataFrame) -> DataFrame:
     return best.select("cik", F.upper(F.trim("b.ticker")).alias("ticker"), F.trim("b.name").alias("name"))
 
 
-def read_price_csv(spark: SparkSession, path: str, ticker: str) -> DataFrame:
-    """Daily bars of a CSV file with any usual heading style; unreadable lines are dropped."""
+def read_price_csv(spark: SparkSession, path: str, ticker: str | None = None) -> DataFrame:
+    """Daily bars of CSV files with any usual heading style; unreadable lines are dropped.
+
+    ``ticker`` names the bars of files that have no ticker column.
+    """
     raw = spark.read.option("header", True).csv(path)
     raw = raw.toDF(*[c.strip().lower().replace(" ", "_") for c in raw.columns])
     number = lambda c: F.expr(f"try_cast(CASE WHEN upper(trim(`{c}`)) IN ('', 'N/A', 'NULL') THEN NULL ELSE trim(`{c}`) END AS DOUBLE)") if c in raw.columns else F.lit(None).cast("double")
     close = F.coalesce(number("adjusted_close"), number("adj_close"), number("close"))
+    who = F.upper(F.trim("ticker")) if ticker is None else F.lit(ticker.upper())
     d = raw.where(F.col("date").rlike(r"^\d{4}-\d{2}-\d{2}$"))
-    return d.select(F.lit(ticker.upper()).alias("ticker"), F.to_date("date").alias("date"), number("open").alias("open"), number("high").alias("high"), number("low").alias("low"), close.alias("close"), number("volume").alias("volume")).where("close IS NOT NULL")
+    return d.select(who.alias("ticker"), F.expr("try_to_date(date, 'yyyy-MM-dd')").alias("date"), number("open").alias("open"), number("high").alias("high"), number("low").alias("low"), close.alias("close"), number("volume").alias("volume")).where("date IS NOT NULL AND close IS NOT NULL")
 
 
 def normalize_bars(bars: DataFrame) -> DataFrame:

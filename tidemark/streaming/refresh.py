@@ -1,40 +1,207 @@
-"""Incremental refresh: landed fact files renormalise only the companies they touch."""
+"""Incremental refresh: landed files change only what they touch.
+
+Prices, facts and fundamentals are kept as Parquet in buckets of their key and generations of a bucket. A batch
+writes a new generation of the buckets that it touches and nothing else, so a batch that was cut short is simply
+run again; generations before the one that a bucket had are deleted.
+"""
 
 from __future__ import annotations
 
+import threading
+import time
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..operators.fundamentals import detect_splits, fundamentals
-from ..sources.filings import replace_keys, upsert_latest
+from ..operators.sentiment import sentiment
+from ..operators.snapshot import snapshot
+from ..sources.filings import rebased_tickers, replace_keys, upsert_latest
 
 FACT_KEYS = ["cik", "taxonomy", "concept", "unit", "period_start", "period_end", "accn"]
+BAR_KEYS = ["ticker", "date"]
+BUCKETS = 64
+
+
+@dataclass
+class Store:
+    """Tables under one folder. ``buckets`` must stay what it was when the folder was first written."""
+
+    spark: SparkSession
+    path: str
+    buckets: int = BUCKETS
+
+    def _fs(self, path: str):
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
+
+    def has(self, table: str) -> bool:
+        fs, p = self._fs(f"{self.path}/{table}")
+        return fs.exists(p)
+
+    def bucketed(self, df: DataFrame, key: str) -> DataFrame:
+        return df.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(self.buckets)).cast("int"))
+
+    def _generations(self, table: str) -> list[tuple[int, int]]:
+        """(bucket, generation) folders, read from their names."""
+        root = self._fs(f"{self.path}/{table}")
+        out = []
+        if root[0].exists(root[1]):
+            for b in root[0].listStatus(root[1]):
+                if b.getPath().getName().startswith("bucket="):
+                    for g in root[0].listStatus(b.getPath()):
+                        out.append((int(b.getPath().getName()[7:]), int(g.getPath().getName()[11:])))
+        return out
 
+    def read(self, table: str, schema: StructType, before: int | None = None, buckets: list[int] | None = None) -> DataFrame:
+        """The newest generation of each bucket (of generations below ``before``): a pruned scan of their folders."""
+        newest: dict[int, int] = {}
+        for b, g in self._generations(table):
+            if (before is None or g < before) and (buckets is None or b in buckets):
+                newest[b] = max(g, newest.get(b, g))
+        paths = [f"{self.path}/{table}/bucket={b}/generation={g}" for b, g in sorted(newest.items())]
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
-def renormalise(stored_facts: DataFrame, batch: DataFrame, stored: DataFrame, concept_map: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(facts, fundamentals) after a batch; fundamentals of untouched companies are carried over as they are."""
-    touched = batch.select("cik").distinct()
-    facts = upsert_latest(stored_facts, batch, FACT_KEYS)
-    own = facts.join(touched, "cik", "left_semi")
+    def write(self, df: DataFrame, table: str, key: str, generation: int) -> None:
+        """``df`` holds all rows of the buckets that it touches."""
+        rows = self.bucketed(df, key).withColumn("generation", F.lit(generation))
+        rows.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "generation").parquet(f"{self.path}/{table}")
+        known = self._generations(table)
+        for b, g in known:
+            later = sorted(x for c, x in known if c == b and x > g)
+            if len(later) > 1 and later[-1] == generation:
+                fs, p = self._fs(f"{self.path}/{table}/bucket={b}/generation={g}")
+                fs.delete(p, True)
+
+    def touched(self, df: DataFrame, key: str) -> list[int]:
+        return sorted(r["bucket"] for r in self.bucketed(df.select(key), key).select("bucket").distinct().collect())
+
+    def upsert(self, table: str, batch: DataFrame, keys: list[str], generation: int) -> None:
+        """Last write wins by ``keys``, whose first column deals rows to buckets."""
+        held = self.read(table, batch.schema, generation, self.touched(batch, keys[0]))
+        self.write(upsert_latest(held, batch, keys), table, keys[0], generation)
+
+
+def normalise(store: Store, facts: DataFrame, changed: DataFrame, concept_map: DataFrame, generation: int) -> None:
+    """Fundamentals of the changed companies anew; those of all others are carried over as they are."""
+    own = facts.join(changed, "cik", "left_semi")
     fresh = fundamentals(own, concept_map, detect_splits(own))
-    return facts, replace_keys(stored, fresh, ["cik"], touched)
+    held = store.read("fundamentals", fresh.schema, generation, store.touched(changed, "cik"))
+    store.write(replace_keys(held, fresh, ["cik"], changed), "fundamentals", "cik", generation)
+
+
+def _drain(landed: DataFrame, apply: Callable[[DataFrame, int], None], checkpoint: str) -> None:
+    """All landed files, batch by batch, then stop."""
+    query = landed.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+
+
+@dataclass
+class Refresh:
+    """What a refresh reads and where it keeps its tables, stream checkpoints among them."""
+
+    store: Store
+    bars: str
+    bar_schema: StructType
+    facts: str
+    fact_schema: StructType
+    companies: DataFrame
+    concept_map: DataFrame
+    as_of: str
+
+    files_per_batch: int = 1000
+
+    def _landed(self, path: str, schema: StructType) -> DataFrame:
+        return self.store.spark.readStream.schema(schema).option("maxFilesPerTrigger", self.files_per_batch).parquet(path)
+
+    def step_prices(self) -> tuple[str, str]:
+        rebased: set[str] = set()
+
+        def apply(batch: DataFrame, batch_id: int) -> None:
+            held = self.store.read("prices", self.bar_schema, batch_id, self.store.touched(batch, "ticker"))
+            rebased.update(r["ticker"] for r in rebased_tickers(held, batch).collect())
+            self.store.upsert("prices", batch, BAR_KEYS, batch_id)
+
+        _drain(self._landed(self.bars, self.bar_schema), apply, f"{self.store.path}/_checkpoints/prices")
+        return "ok", f"{len(rebased)} rebased tickers need their history again" if rebased else "up to date"
+
+    def prices(self) -> DataFrame:
+        return self.store.read("prices", self.bar_schema)
+
+    def fundamentals(self) -> DataFrame:
+        schema = fundamentals(self.store.spark.createDataFrame([], self.fact_schema), self.concept_map).schema
+        return self.store.read("fundamentals", schema)
+
+    def step_snapshot(self) -> tuple[str, str]:
+        if not self.store.has("fundamentals"):
+            return "skipped", "no fundamentals yet"
+        snapshot(self.fundamentals(), self.companies, self.prices()).write.mode("overwrite").parquet(f"{self.store.path}/snapshot")
+        return "ok", "written"
+
+    def step_sentiment(self) -> tuple[str, str]:
+        """One reading a date; a second one of the same date replaces it."""
+        reading = sentiment(self.prices(), self.as_of).where("score IS NOT NULL")
+        reading.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date").parquet(f"{self.store.path}/sentiment")
+        return "ok", "written"
+
+    def step_filings(self) -> tuple[str, str]:
+        def apply(batch: DataFrame, batch_id: int) -> None:
+            # which companies a batch changed is on record before its facts are, so none is forgotten
+            changed = batch.select("cik").distinct().withColumn("batch", F.lit(batch_id))
+            changed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(f"{self.store.path}/changed")
+            self.store.upsert("facts", batch, FACT_KEYS, batch_id)
+
+        _drain(self._landed(self.facts, self.fact_schema), apply, f"{self.store.path}/_checkpoints/facts")
+        return "ok", "up to date"
+
+    def pending(self) -> tuple[DataFrame, int] | None:
+        """Companies changed since fundamentals were last made, and the batch of the newest change."""
+        if not self.store.has("changed"):
+            return None
+        changed = self.store.spark.read.parquet(f"{self.store.path}/changed")
+        done = max((g for _, g in self.store._generations("fundamentals")), default=-1)
+        newest = changed.agg(F.max("batch")).first()[0]
+        return None if newest is None or newest <= done else (changed.where(F.col("batch") > done).select("cik").distinct(), int(newest))
+
+    def step_normalise(self) -> tuple[str, str]:
+        changed, newest = self.pending()
+        facts = self.store.read("facts", self.fact_schema, buckets=self.store.touched(changed, "cik"))
+        normalise(self.store, facts, changed, self.concept_map, newest)
+        return "ok", f"{changed.count()} companies"
+
+
+_LOCK = threading.Lock()
 
 
-def start_refresh(spark: SparkSession, landing: str, schema, store: str, concept_map: DataFrame, checkpoint: str):
-    """Process all landed Parquet files of facts once, then stop. Each batch writes a new generation of both tables,
-    so a run that was cut short repeats its batch and changes nothing else. Returns the streaming query."""
+def run(refresh: Refresh) -> list[dict]:
+    """Prices, snapshot, gauge, filings; then, only if filings changed, fundamentals of those companies and the snapshot again.
 
-    def path(table: str, generation: int) -> str:
-        return f"{store}/{table}/generation={generation}"
+    Returns one ``{name, state, detail, seconds}`` a step. A step that fails is recorded as an error and stops
+    none of the others. A call while another one of the process runs does nothing.
+    """
+    if not _LOCK.acquire(blocking=False):
+        return []
+    steps: list[dict] = []
 
-    def apply(batch: DataFrame, batch_id: int) -> None:
-        s = batch.sparkSession
-        if batch_id == 0:
-            splits = detect_splits(batch)
-            facts, f = upsert_latest(batch.limit(0), batch, FACT_KEYS), fundamentals(batch, concept_map, splits)
-        else:
-            facts, f = renormalise(s.read.parquet(path("facts", batch_id - 1)), batch, s.read.parquet(path("fundamentals", batch_id - 1)), concept_map)
-        facts.write.mode("overwrite").parquet(path("facts", batch_id))
-        f.write.mode("overwrite").parquet(path("fundamentals", batch_id))
+    def timed(name: str, step: Callable[[], tuple[str, str]]) -> None:
+        began = time.monotonic()
+        try:
+            state, detail = step()
+        except Exception as e:  # noqa: BLE001  a failed step is reported, the next one still has its turn
+            state, detail = "error", f"{type(e).__name__}: {e}"[:300]
+        steps.append({"name": name, "state": state, "detail": detail, "seconds": time.monotonic() - began})
 
-    landed = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(landing)
-    return landed.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    try:
+        timed("prices", refresh.step_prices)
+        timed("snapshot", refresh.step_snapshot)
+        timed("sentiment", refresh.step_sentiment)
+        timed("filings", refresh.step_filings)
+        if refresh.pending() is not None:
+            timed("normalise", refresh.step_normalise)
+            timed("snapshot (after filings)", refresh.step_snapshot)
+    finally:
+        _LOCK.release()
+    return steps
