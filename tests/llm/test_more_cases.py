@@ -213,3 +213,47 @@ def test_near_duplicates_of_the_given_documents(spark):
     assert links > 200
     for parts in (3, 8):
         assert {r.doc_id: r.component_id for r in near_duplicates(d.repartition(parts)).collect()} == {i: find(i) for i in sets}
+
+
+def brute_repeats(texts):
+    first, want = {}, []
+    for i, t in texts:
+        w = (t or "").split(" ")
+        for k in range(len(w) - 12):
+            g = tuple(w[k : k + 13])
+            first[g] = min(i, first.get(g, i))
+    for i, t in texts:
+        w, gone = (t or "").split(" "), set()
+        for k in range(len(w) - 12):
+            if first[tuple(w[k : k + 13])] < i:
+                gone |= set(range(k, k + 13))
+        want.append((i, len(w), len(gone), " ".join(x for k, x in enumerate(w) if k not in gone)))
+    return sorted(want)
+
+
+def test_a_source_of_very_many_spans(spark):
+    from tidemark.llm.debruijn_dedup import remove_repeats
+
+    rng = np.random.default_rng(12)
+    source = [f"s{i}" for i in range(200_000)]
+    texts = [(1, " ".join(source))]
+    for d in range(20):  # 500 passages each of 14 to 30 words, parted by words of their own
+        said = []
+        for k in range(500):
+            at, n = int(rng.integers(0, 199_000)), int(rng.integers(14, 31))
+            said += [*source[at : at + n], f"o{d}-{k}"]
+        texts.append((2 + d, " ".join(said)))
+    got = remove_repeats(spark.createDataFrame(texts, "doc_id long, text string").repartition(6)).collect()
+    assert sorted(tuple(r) for r in got) == brute_repeats(texts)
+
+
+def test_deeper_dealing_finds_the_same_repeats(spark, monkeypatch):
+    from tidemark.llm import debruijn_dedup as d
+
+    rng = np.random.default_rng(13)
+    words = [f"w{i}" for i in range(40)]
+    base = list(rng.choice(words, 300))
+    texts = [(i, " ".join([*rng.choice(words, 30), *base[int(rng.integers(0, 200)) :], *rng.choice(words, 10)])) for i in range(60)]
+    monkeypatch.setattr(d, "FAN_BITS", 2)
+    got = d.remove_repeats(spark.createDataFrame(texts, "doc_id long, text string").repartition(5)).collect()
+    assert sorted(tuple(r) for r in got) == brute_repeats(texts)

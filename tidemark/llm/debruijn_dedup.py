@@ -8,7 +8,9 @@ words at the source coordinates then verify each span.
 
 Edges travel as packed arrays: a task combines the edges of some million words before it ships them,
 keeps only those of an edge's smallest document there (the others already have a source), and deals them
-to buckets of the hash space. So an edge that very many documents share costs one entry per such chunk.
+to ranges of the hash space, FAN at a time: where the input needs more ranges, each is dealt on in a further
+step, so a packed row stays large however many ranges there are. An edge that very many documents share
+costs one entry per such chunk.
 """
 
 from __future__ import annotations
@@ -23,21 +25,53 @@ from pyspark.sql import functions as F
 
 from .storage import materialize, need
 from .wordscan import pieces, text_bytes, windows, words
+from .workers import held as held_for
 
 #: Maps bytes to word bytes; 0 for white space (U+0000 takes the place that the space leaves).
 TABLE = np.array([0 if c == 32 or 9 <= c <= 13 else 32 if c == 0 else c for c in range(256)], np.uint8)
 CHUNK_WORDS = 1_000_000
-#: Edges that one bucket holds, about; the number of buckets follows the input.
-BUCKET_EDGES = 2_000_000
-_EDGES = "bucket int, chunk long, resolved boolean, hashes binary, docs binary, counts binary, pos binary, src_docs binary, src_pos binary"
+#: Edges that one bucket holds, about; the number of buckets follows the input. Bits of the hash that one step deals by.
+BUCKET_EDGES, FAN_BITS = 2_000_000, 10
+_EDGES = "bucket long, chunk long, resolved boolean, hashes binary, docs binary, counts binary, chunks binary, pos binary, src_docs binary, src_pos binary"
 _HITS = "chunk long, docs binary, pos binary, src_docs binary, src_pos binary"
 _SPANS = "doc_id long, start int, n int, src_doc long, src_start int"
 
 
-def _edges(k: int, buckets: int):
-    names = [f.split()[0] for f in _EDGES.split(", ")]
-    kinds = [pa.int32(), pa.int64(), pa.bool_(), *[pa.binary()] * 6]
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int64(), pa.int64(), pa.bool_(), *[pa.binary()] * 7]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], [f.split()[0] for f in _EDGES.split(", ")])
+
+
+def _dealt(bits: int, edge: np.ndarray, doc: np.ndarray, chunk: np.ndarray, pos: np.ndarray) -> list[tuple]:
+    """Packed rows of the ranges of the first ``bits`` of the hash that have edges; documents come in runs."""
+    bucket = (edge >> np.uint64(64 - bits)).astype(np.int64)
+    by = np.argsort(bucket, kind="stable")
+    cuts = np.concatenate((np.flatnonzero(np.diff(bucket[by], prepend=-1)), [len(by)]))
+    narrow = np.uint16 if int(pos.max()) < 1 << 16 else np.uint32
+    out = []
+    for a, b in zip(cuts, cuts[1:]):
+        e = by[a:b]
+        runs = np.flatnonzero(np.concatenate(([True], (doc[e][1:] != doc[e][:-1]) | (chunk[e][1:] != chunk[e][:-1]))))
+        counts = np.diff(np.append(runs, len(e))).astype(np.uint32)
+        own = chunk[e][runs]
+        one = bool((own == own[0]).all())  # a chunk that all have is said once
+        out.append((int(bucket[e[0]]), int(own[0]), False, edge[e].tobytes(), doc[e][runs].tobytes(), counts.tobytes(), None if one else own.tobytes(), pos[e].astype(narrow).tobytes(), None, None))
+    return out
+
+
+def _unpacked(rows: list[dict]) -> tuple[np.ndarray, ...]:
+    """(edge, document, chunk, position) of packed rows."""
+    edge, doc, chunk, pos = [], [], [], []
+    for r in rows:
+        h, counts = np.frombuffer(r["hashes"], np.uint64), np.frombuffer(r["counts"], np.uint32)
+        edge.append(h)
+        doc.append(np.repeat(np.frombuffer(r["docs"], np.int64), counts))
+        chunk.append(np.full(len(h), r["chunk"], np.int64) if r["chunks"] is None else np.repeat(np.frombuffer(r["chunks"], np.int64), counts))
+        pos.append(np.frombuffer(r["pos"], np.uint16 if len(r["pos"]) == 2 * len(h) else np.uint32).astype(np.uint32))
+    return tuple(np.concatenate(x) for x in (edge, doc, chunk, pos))
+
 
+def _edges(k: int, bits: int):
     def pack(held: list[tuple[int, np.ndarray]], chunk: int) -> pa.RecordBatch | None:
         held.sort(key=lambda x: x[0])
         ids = np.array([i for i, _ in held], np.int64)
@@ -47,7 +81,7 @@ def _edges(k: int, buckets: int):
         first, edge = windows(np.concatenate([h for _, h in held]), row, k)
         if not len(first):
             return None
-        doc, pos = row[first], first - begin[row[first]]
+        doc, pos = row[first], (first - begin[row[first]]).astype(np.uint32)
         order = np.argsort(edge, kind="stable")
         fresh = np.concatenate(([True], edge[order][1:] != edge[order][:-1]))
         source = order[np.maximum.accumulate(np.where(fresh, np.arange(len(order)), 0))]
@@ -55,24 +89,14 @@ def _edges(k: int, buckets: int):
         out = []
         if known.any():
             own, src = order[known], source[known]
-            out.append((chunk % buckets, chunk, True, None, ids[doc[own]].tobytes(), None, pos[own].astype(np.uint32).tobytes(), ids[doc[src]].tobytes(), pos[src].astype(np.uint32).tobytes()))
+            out.append((int(edge[0] >> np.uint64(64 - bits)), chunk, True, None, ids[doc[own]].tobytes(), None, None, pos[own].tobytes(), ids[doc[src]].tobytes(), pos[src].tobytes()))
         ship = np.sort(order[~known])
-        bucket = ((edge[ship] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
-        by = np.argsort(bucket.astype(np.uint16) if buckets < 1 << 16 else bucket, kind="stable")
-        ship, cuts = ship[by], np.searchsorted(bucket[by], np.arange(buckets + 1))
-        narrow = np.uint16 if int(pos.max()) < 1 << 16 else np.uint32
-        for b in range(buckets):
-            e = ship[cuts[b] : cuts[b + 1]]
-            if not len(e):
-                continue
-            runs = np.flatnonzero(np.concatenate(([True], doc[e][1:] != doc[e][:-1])))
-            counts = np.diff(np.append(runs, len(e))).astype(np.uint32)
-            out.append((b, chunk, False, edge[e].tobytes(), ids[doc[e][runs]].tobytes(), counts.tobytes(), pos[e].astype(narrow).tobytes(), None, None))
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names)
+        return _batch(out + _dealt(bits, edge[ship], ids[doc[ship]], np.full(len(ship), chunk, np.int64), pos[ship]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        held_for("repeats")
         chunk, held, total = TaskContext.get().partitionId() << 24, [], 0
         for batch in batches:
             for at, n in pieces(batch.column(1)):
@@ -95,25 +119,43 @@ def _edges(k: int, buckets: int):
     return run
 
 
+def _deal_on(bits: int):
+    """Rows of ranges that came together here, dealt to the narrower ranges of ``bits``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, total = [], 0
+        for batch in batches:
+            for r in batch.to_pylist():
+                if r["resolved"]:
+                    yield _batch([tuple(r.values())])
+                    continue
+                held.append(r)
+                total += len(r["hashes"]) // 8
+                if total >= 2 * CHUNK_WORDS:
+                    yield _batch(_dealt(bits, *_unpacked(held)))
+                    held, total = [], 0
+        if held:
+            yield _batch(_dealt(bits, *_unpacked(held)))
+
+    return run
+
+
 def _hit_table(chunks, docs, pos, src_docs, src_pos) -> pa.Table:
     return pa.Table.from_arrays([pa.array(chunks, pa.int64())] + [pa.array(x, pa.binary()) for x in (docs, pos, src_docs, src_pos)], ["chunk", "docs", "pos", "src_docs", "src_pos"])
 
 
 def _match_bucket(table: pa.Table) -> pa.Table:
     """The edges of a bucket that a smaller document has, with their source coordinates, packed by chunk."""
-    out, hashes, docs, pos, chunk = [[] for _ in range(5)], [], [], [], []
+    out, packed = [[] for _ in range(5)], []
     for r in table.to_pylist():
-        if r["resolved"]:
-            for col, f in zip(out, ("chunk", "docs", "pos", "src_docs", "src_pos")):
-                col.append(r[f])
+        if not r["resolved"]:
+            packed.append(r)
             continue
-        h = np.frombuffer(r["hashes"], np.uint64)
-        hashes.append(h)
-        docs.append(np.repeat(np.frombuffer(r["docs"], np.int64), np.frombuffer(r["counts"], np.uint32)))
-        pos.append(np.frombuffer(r["pos"], np.uint16 if len(r["pos"]) == 2 * len(h) else np.uint32).astype(np.uint32))
-        chunk.append(np.full(len(h), r["chunk"], np.int64))
-    if hashes:
-        h, doc, p, c = (np.concatenate(x) for x in (hashes, docs, pos, chunk))
+        for col, f in zip(out, ("chunk", "docs", "pos", "src_docs", "src_pos")):
+            col.append(r[f])
+    if packed:
+        h, doc, c, p = _unpacked(packed)
+        packed.clear()
         order = np.argsort(h)
         same = h[order][1:] == h[order][:-1]
         shared = order[np.concatenate((same, [False])) | np.concatenate(([False], same))]
@@ -149,27 +191,38 @@ def repeated_paths(docs: DataFrame, k: int = 13) -> DataFrame:
     """``(doc_id, text)`` -> compacted paths ``(doc_id, start, n, src_doc, src_start)``; n edges, word positions from 0."""
     d = need(docs, "doc_id", "text")
     size = d.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    buckets = max(64, int(size) // 6 // BUCKET_EDGES + 1)
-    edges = d.mapInArrow(_edges(k, buckets), _EDGES)
+    bits = max(6, (int(size) // 6 // BUCKET_EDGES).bit_length())
+    edges = d.mapInArrow(_edges(k, min(bits, FAN_BITS)), _EDGES)
+    for deeper in range(2 * FAN_BITS, bits + FAN_BITS, FAN_BITS):
+        edges = edges.repartition("bucket").mapInArrow(_deal_on(min(bits, deeper)), _EDGES)
     hits = edges.groupBy("bucket").applyInArrow(_match_bucket, _HITS)
     return hits.groupBy("chunk").applyInArrow(_compact, _SPANS)
 
 
-def _digest(tokens: list[bytes], start: int, n: int) -> bytes:
-    return hashlib.blake2b(b" ".join(tokens[start : start + n]), digest_size=16).digest()
+class Words:
+    """The words of a text, joined by one space, and where each begins."""
+
+    def __init__(self, text: str | None):
+        self.tokens = (text or "").encode("utf-8", "surrogatepass").split()
+        self.joined = b" ".join(self.tokens)
+        self.starts = np.concatenate(([0], np.cumsum([len(t) + 1 for t in self.tokens], dtype=np.int64)))
+
+    def digest(self, start: int, n: int) -> bytes:
+        return hashlib.blake2b(self.joined[self.starts[start] : self.starts[start + n] - 1], digest_size=16).digest()
 
 
 def _source_digests(k: int):
+    """The digests of all spans that are asked of a text, worked out where the text is."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, max(batch.num_rows, 1), 256):
-                part = batch.slice(at, 256)
-                last, tokens, out = None, [], []
-                for text, start, n in zip(*(part.column(i).to_pylist() for i in (0, 2, 3))):
-                    if text != last:
-                        last, tokens = text, (text or "").encode("utf-8", "surrogatepass").split()
-                    out.append(_digest(tokens, start, n + k - 1))
-                yield pa.RecordBatch.from_arrays([part.column(1), part.column(2), part.column(3), pa.array(out, pa.binary())], ["src_doc", "src_start", "n", "digest"])
+            for i in range(batch.num_rows):
+                own, spans = Words(batch.column(0)[i].as_py()), batch.column(2)[i].as_py()
+                spans = [s for s in spans if s["src_start"] + s["n"] + k - 1 <= len(own.tokens)]
+                for at in range(0, len(spans), 65536):
+                    part = spans[at : at + 65536]
+                    yield pa.RecordBatch.from_arrays([pa.array([batch.column(1)[i].as_py()] * len(part), pa.int64()), pa.array([s["src_start"] for s in part], pa.int32()), pa.array([s["n"] for s in part], pa.int32()),
+                                                      pa.array([own.digest(s["src_start"], s["n"] + k - 1) for s in part], pa.binary())], ["src_doc", "src_start", "n", "digest"])
 
     return run
 
@@ -181,13 +234,14 @@ def _remove(k: int):
                 part = batch.slice(at, 512)
                 total, gone, kept = [], [], []
                 for text, paths in zip(part.column(1).to_pylist(), part.column(2).to_pylist()):
-                    tokens = (text or "").encode("utf-8", "surrogatepass").split()
-                    drop = np.zeros(len(tokens), bool)
+                    own = Words(text)
+                    n = len(own.tokens)
+                    drop = np.zeros(n, bool)
                     for p in paths or ():
-                        if p["start"] + p["n"] + k - 1 <= len(tokens) and _digest(tokens, p["start"], p["n"] + k - 1) == p["digest"]:
+                        if p["start"] + p["n"] + k - 1 <= n and own.digest(p["start"], p["n"] + k - 1) == p["digest"]:
                             drop[p["start"] : p["start"] + p["n"] + k - 1] = True
-                    total.append(len(tokens)), gone.append(int(drop.sum()))
-                    kept.append(b" ".join([t for t, d in zip(tokens, drop.tolist()) if not d] if gone[-1] else tokens).decode("utf-8", "surrogatepass"))
+                    total.append(n), gone.append(int(drop.sum()))
+                    kept.append((b" ".join([t for t, d in zip(own.tokens, drop.tolist()) if not d]) if gone[-1] else own.joined).decode("utf-8", "surrogatepass"))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())], ["doc_id", "n_words", "n_removed", "kept"])
 
     return run
@@ -203,9 +257,10 @@ def remove_repeats(docs: DataFrame, k: int = 13) -> DataFrame:
     """
     d = need(docs, "doc_id", "text")
     paths = materialize(repeated_paths(d, k), "paths")
-    asked = paths.select("src_doc", "src_start", "n").distinct()
-    sources = asked.join(d, asked["src_doc"] == d["doc_id"]).select("text", "src_doc", "src_start", "n")
-    digests = materialize(sources.mapInArrow(_source_digests(k), "src_doc long, src_start int, n int, digest binary"), "sources")
+    asked = paths.select("src_doc", "src_start", "n").distinct().groupBy("src_doc").agg(F.collect_list(F.struct("src_start", "n")).alias("spans"))
+    sources = d.join(asked, d["doc_id"] == asked["src_doc"]).select("text", "src_doc", "spans")
+    digests = sources.mapInArrow(_source_digests(k), "src_doc long, src_start int, n int, digest binary")
+    digests = materialize(digests.distinct(), "sources")
     verified = paths.join(digests, ["src_doc", "src_start", "n"]).groupBy("doc_id").agg(F.collect_set(F.struct("start", "n", "digest")).alias("paths"))
     out = d.join(verified, "doc_id", "left").select("doc_id", "text", "paths")
     return out.mapInArrow(_remove(k), "doc_id long, n_words long, n_removed long, kept string")
