@@ -257,3 +257,83 @@ def test_deeper_dealing_finds_the_same_repeats(spark, monkeypatch):
     monkeypatch.setattr(d, "FAN_BITS", 2)
     got = d.remove_repeats(spark.createDataFrame(texts, "doc_id long, text string").repartition(5)).collect()
     assert sorted(tuple(r) for r in got) == brute_repeats(texts)
+
+
+def test_quality_by_plain_updates(spark):
+    """FTRL over dictionaries, one coordinate at a time, against what train and score give."""
+    import math
+
+    from tidemark.llm import quality_ftrl as q
+
+    rng = np.random.default_rng(14)
+    words = ["sun", "Moon", "tree", "RIVER", "12", "--", "...", "stone", "été", "x_y"]
+    texts = [" ".join(rng.choice(words[:6] if i % 3 else words[3:], int(rng.integers(0, 40)))) for i in range(80)] + [None, "", "sun " * 30_000]
+    labels = [(i, int(i % 3 == 0)) for i in range(60)] + [(5, 1), (70, None), (500, 1)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(7, texts[7])], "doc_id long, text string").repartition(3)
+    known = spark.createDataFrame(labels, "doc_id long, label int")
+    order = {r.doc_id: r.h for r in docs.select("doc_id", F.xxhash64("doc_id").alias("h")).collect()}
+    seen = sorted((order[i], y, i) for i, y in labels if y is not None and i in order)
+    z, n = collections.defaultdict(float), collections.defaultdict(float)
+
+    def weight(s):
+        return 0.0 if abs(z[s]) <= 0.02 else -(z[s] - math.copysign(0.02, z[s])) / ((1.0 + math.sqrt(n[s])) / 0.6 + 0.05)
+
+    def share(text):
+        return list(zip(*(x.tolist() for x in q.features(text))))
+
+    def chance(text):
+        return 1 / (1 + math.exp(-max(-35, min(35, sum(weight(s) * v for s, v in share(text))))))
+
+    for _ in range(4):
+        for _, y, i in seen:
+            p, own = chance(texts[i]), share(texts[i])
+            for s, w, v in [(s, weight(s), v) for s, v in own]:
+                g = (p - y) * v
+                z[s] += g - (math.sqrt(n[s] + g * g) - math.sqrt(n[s])) / 0.6 * w
+                n[s] += g * g
+    got = q.score(docs, q.train(docs, known)).collect()
+    assert len(got) == len(texts) + 1 and all(abs(r.score - chance(texts[r.doc_id])) < 1e-5 for r in got)
+    assert q.score(docs.limit(0), np.zeros(1 << q.BITS)).count() == 0
+
+
+def test_quality_on_labels_held_out(spark):
+    from tidemark.llm.queries import op2_quality
+
+    sf = "/root/testdata/sf0.1"
+    got = op2_quality(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out AND quality IS NOT NULL").select("score", "predicted", "quality").toPandas()
+    good, bad = got.score[got.quality == 1].to_numpy(), got.score[got.quality == 0].to_numpy()
+    right, auc = float((got.predicted == got.quality).mean()), float((good[:, None] > bad[None, :]).mean())
+    print(f"held out: {len(got)} labels, right {right:.4f}, AUC {auc:.4f}")
+    assert len(got) > 500 and right > 0.97 and auc > 0.98
+
+
+def test_bpe_of_empty_tables_and_odd_texts(spark):
+    import public_tokenizers
+    from tidemark.llm.trie_bpe import decode, encode, encode_and_decode
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    assert encode_and_decode(spark.createDataFrame([], "doc_id long, text string"), path).count() == 0
+    rng = np.random.default_rng(15)
+    odd = ["".join(chr(int(c)) for c in rng.choice([9, 10, 32, 39, 65, 97, 115, 233, 0x4E2D, 0x1F600, 0x301, 48], 200)) for _ in range(60)] + ["a" * 100_000, "<|endoftext|> a <|endoftext|>", " \n" * 5000]
+    d = spark.createDataFrame([(i, t, 1, "x") for i, t in enumerate(odd)] + [(0, odd[0], 1, "x"), (None, None, 1, "x")], "doc_id long, text string, ids int, n_tokens string")
+    t = Tokenizer.from_file(path)
+    both = sorted((r.doc_id if r.doc_id is not None else -1, r.n_tokens, bytes(r.ids), r.text) for r in encode_and_decode(d, path).collect())
+    assert both == sorted((r.doc_id if r.doc_id is not None else -1, r.n_tokens, bytes(r.ids), r.text) for r in decode(encode(d, path), path).collect())
+    for i, n, ids, text in both:
+        want = t.encode(odd[i] if i >= 0 else "", add_special_tokens=False).ids
+        assert n == len(want) and np.frombuffer(ids, "<u4").tolist() == want and text == t.decode(want, skip_special_tokens=False)
+
+
+def test_chat_of_long_turns_and_conversations(spark):
+    from tidemark.llm.chat_windows import read_back, windows
+
+    long = "<|im_end|>\\ é" * 100_000
+    rows = [(1, 0, "system", "s"), (1, 1, "user", long), (1, 2, "assistant", long)] + [(2, i, "assistant" if i % 2 else "user", f"turn {i}") for i in range(5000)]
+    d = spark.createDataFrame([(*r, "x", 1, "y") for r in rows], "conv_id long, turn long, role string, text string, span string, window int, message string").repartition(4)
+    got = {r.conv_id: r for r in read_back(windows(d)).collect()}
+    for c in (1, 2):
+        own = [r for r in rows if r[0] == c]
+        learnt = "".join(t for _, _, role, t in own if role == "assistant")
+        assert got[c].n_turns == len(own) and got[c].loss_chars == len(learnt)
+        assert got[c].turns_sha256 == hashlib.sha256("".join(f"{a}\n{b}\n" for _, _, a, b in own).encode()).hexdigest() and got[c].loss_sha256 == hashlib.sha256(learnt.encode()).hexdigest()
