@@ -133,3 +133,77 @@ def test_news_mentions(spark):
     assert said("snow covers the first city", "Acme again", "AT&T") == []
     assert said("First Solar and acme two") == ["AAB", "FST"]
     assert [(r.word, r.companies) for r in pk.common_first_words(c).collect()] == [("acme", 3)]
+
+
+def filed(rows, cik=7):
+    """(concept, unit, start, end, val, filed, form) -> facts of one company."""
+    return [(cik, "us-gaap", c, u, day(s), day(e), day(f), f"{cik}-{k}", v) for k, (c, u, s, e, v, f) in enumerate(rows)]
+
+
+def test_trailing_earnings_use_the_newest_quarter(spark):
+    """A fiscal year that ends in January: the fourth quarter is the year less three, and the trailing sum moves on with the next one."""
+    from tidemark.operators import snapshot as sn
+
+    eps = lambda s, e, v, f: ("EarningsPerShareDiluted", "USD/shares", s, e, v, f)
+    rows = [eps("2025-01-27", "2026-01-25", 4.90, "2026-02-25"), eps("2025-01-27", "2025-04-27", 0.76, "2025-05-28"), eps("2025-04-28", "2025-07-27", 1.08, "2025-08-27"),
+            eps("2025-07-28", "2025-10-26", 1.30, "2025-11-19"), eps("2026-01-26", "2026-04-26", 2.39, "2026-05-20")]
+    facts = spark.createDataFrame(filed(rows), FACT)
+    f = fu.fundamentals(facts, concept_map(spark), fu.detect_splits(facts))
+    q4 = f.where("metric = 'eps_diluted' AND period_type = 'Q' AND derived = 1").collect()
+    assert [(r.period_end, round(r.val, 9)) for r in q4] == [(day("2026-01-25"), 1.76)]
+    assert [round(r.ttm, 9) for r in sn.ttm(f).where("metric = 'eps_diluted'").collect()] == [6.53]
+    vintages = spark.createDataFrame([(day("2026-06-30"),)], "as_of date")
+    assert fu.fundamentals(facts, concept_map(spark), vintages=vintages).where("derived = 1").count() == 0
+
+
+def test_a_vintage_shows_the_value_before_its_restatement(spark):
+    rows = [("Revenues", "USD", "2022-01-01", "2022-03-31", 100.0, "2022-05-05"), ("Revenues", "USD", "2022-01-01", "2022-03-31", 150.0, "2023-06-01")]
+    facts = spark.createDataFrame(filed(rows), FACT)
+    vintages = spark.createDataFrame([(day(d),) for d in ("2022-03-31", "2022-12-31", "2023-12-31")], "as_of date")
+    got = fu.fundamentals(facts, concept_map(spark), vintages=vintages).select("as_of", "val").collect()
+    assert sorted((r.as_of.isoformat(), r.val) for r in got) == [("2022-12-31", 100.0), ("2023-12-31", 150.0)]
+    assert [r.val for r in fu.fundamentals(facts, concept_map(spark)).collect()] == [150.0]
+
+
+def test_the_preferred_tag_wins_and_a_fiscal_year_may_end_in_september(spark):
+    year = [("2023-10-01", "2023-12-30"), ("2023-12-31", "2024-03-30"), ("2024-03-31", "2024-06-29")]
+    rows = [("RevenueFromContractWithCustomerExcludingAssessedTax", "USD", s, e, 10.0 + k, "2024-08-01") for k, (s, e) in enumerate(year)]
+    rows += [("Revenues", "USD", s, e, 99.0, "2024-08-01") for s, e in year]
+    rows += [("RevenueFromContractWithCustomerExcludingAssessedTax", "USD", "2023-10-01", "2024-09-28", 50.0, "2024-11-01")]
+    f = fu.fundamentals(spark.createDataFrame(filed(rows), FACT), concept_map(spark)).where("metric = 'revenue'").collect()
+    assert sorted(r.val for r in f if r.period_type == "Q") == [10.0, 11.0, 12.0, 17.0] and [r.val for r in f if r.period_type == "FY"] == [50.0]
+
+
+def test_ratios_on_negative_equity_are_null(spark):
+    from tidemark.operators import snapshot as sn
+
+    rows = [(c, "USD", None, "2024-12-31", v, "2025-02-01") for c, v in (("StockholdersEquity", -5.0), ("Assets", 100.0), ("LongTermDebtNoncurrent", 10.0))]
+    rows += [("NetIncomeLoss", "USD", "2024-01-01", "2024-12-31", 20.0, "2025-02-01"), ("CommonStockSharesOutstanding", "shares", None, "2024-12-31", 4.0, "2025-02-01")]
+    companies = spark.createDataFrame([(7, "NEG", "Neg", "S", "X")], "cik long, ticker string, name string, sic_description string, exchange string")
+    bars = spark.createDataFrame([("NEG", day("2025-03-01"), 3.0)], "ticker string, date date, close double")
+    r = sn.snapshot(fu.fundamentals(spark.createDataFrame(filed(rows), FACT), concept_map(spark)), companies, bars).first()
+    assert r.roe is None and r.pb is None and r.debt_to_equity is None and r.market_cap == 12.0 and r.roa == 20.0
+
+
+def test_one_restated_quarter_is_no_split(spark):
+    eps = lambda s, e, v, f: ("EarningsPerShareDiluted", "USD/shares", s, e, v, f)
+    near = [eps("2023-01-01", "2023-12-31", 2.00, "2024-02-01"), eps("2023-01-01", "2023-12-31", 2.15, "2025-02-01")]
+    odd = [eps("2023-01-01", "2023-03-31", 0.41, "2023-05-01"), eps("2023-01-01", "2023-03-31", 0.01, "2024-05-01"), eps("2023-04-01", "2023-06-30", 0.42, "2023-08-01"), eps("2023-04-01", "2023-06-30", 0.02, "2024-05-01")]
+    assert fu.detect_splits(spark.createDataFrame(filed(near), FACT)).count() == 0
+    assert fu.detect_splits(spark.createDataFrame(filed(odd), FACT)).count() == 0
+
+
+def test_labels(spark):
+    from pyspark.sql import functions as F
+
+    from tidemark.functions.expressions import fiscal_quarter_label, zone
+    from tidemark.sources.concepts import sic_ranges
+
+    ends = [("2024-09-28", "0926", "Q4 2024"), ("2024-12-28", "0926", "Q1 2025"), ("2025-03-29", "0926", "Q2 2025"), ("2025-06-28", "0926", "Q3 2025"), ("2025-01-31", "0131", "Q4 2025"), ("2025-04-30", "0131", "Q1 2026"), ("2025-06-30", None, "Q2 2025")]
+    d = spark.createDataFrame([(day(e), y, w) for e, y, w in ends], "e date, y string, want string")
+    assert [r.got for r in d.withColumn("got", fiscal_quarter_label(F.col("e"), F.col("y"))).collect()] == [w for *_, w in ends]
+    scores = [(0.0, "extreme-fear"), (19.9, "extreme-fear"), (20.0, "fear"), (50.0, "neutral"), (79.9, "greed"), (80.0, "extreme-greed"), (100.0, "extreme-greed"), (None, None)]
+    assert [r.got for r in spark.createDataFrame(scores, "s double, want string").withColumn("got", zone(F.col("s"))).collect()] == [w for _, w in scores]
+    codes = [("6022", "Banking"), ("3674", "Semiconductors"), ("7372", "Software & IT services"), ("2834", "Biotech & Pharma"), ("3711", "Manufacturing"), ("5812", "Retail trade"), (None, "Unclassified"), ("garbage", "Unclassified")]
+    got = sc.with_sector(spark.createDataFrame([(i, c) for i, (c, _) in enumerate(codes)], "cik long, sic string"), sic_ranges(spark)).collect()
+    assert {r.cik: r.sector for r in got} == {i: w for i, (_, w) in enumerate(codes)}
