@@ -17,7 +17,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
@@ -33,8 +33,10 @@ BLOCKS = ((0, 0, 23, 1), (0, 23, 24, 1), (0, 47, 17, 0))
 PIECE = 8192
 #: Least parity bits of a shingle set; documents and tokens that the order of shingles from rare to common is taken from.
 BITS, ORDER_DOCS, ORDER_TOKENS = 1024, 10_000, 1 << 16
+#: Nodes that a task remembers to have said.
+NODES_SAID = 500_000
 #: Rounds in which each token's nodes are compared with one of them, before all that is still apart is.
-ROUNDS = 2
+ROUNDS = 1
 
 
 def simhash(text: str | None, shingle_words: int = 4, width: int = 1) -> np.ndarray:
@@ -334,11 +336,16 @@ def _differ(x: bytes, y: bytes) -> int:
 
 
 def _prefixes(shingle_words: int, similarity: float, common):
-    """Per text: its node, set size, prefix from rare to common (the first ``rare`` of it not in ``common``), and parity bits."""
+    """Per text: its node, set size, prefix from rare to common (the first ``rare`` of it not in ``common``), and parity bits.
+
+    Of the texts of one node that a task meets, the first has the last three, the others have none (a task that
+    meets very many nodes forgets and says them again).
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held_for("near duplicates")
         token, count = common.value
+        said: set[int] = set()
         for batch in batches:
             for at in range(0, max(batch.num_rows, 1), 256):
                 part = batch.slice(at, 256)
@@ -349,8 +356,14 @@ def _prefixes(shingle_words: int, similarity: float, common):
                     if n and len(token):
                         near = np.minimum(np.searchsorted(token, x.view(np.int64)), len(token) - 1)
                         often = np.where(token[near] == x.view(np.int64), count[near], 0)
+                    node.append(_node(x)), size.append(n)
+                    if node[-1] in said:
+                        rare.append(0), prefix.append(None), bits.append(None), mark.append(None)
+                        continue
+                    said = said if len(said) < NODES_SAID else set()
+                    said.add(node[-1])
                     first = np.argsort(often, kind="stable")[: n - math.ceil(similarity * n - 1e-9) + 1]
-                    node.append(_node(x)), size.append(n), prefix.append(x[first].view(np.int64)), rare.append(int((often[first] == 0).sum()))
+                    prefix.append(x[first].view(np.int64)), rare.append(int((often[first] == 0).sum()))
                     bits.append(_parity(x)), mark.append(_mark(bits[-1]))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(node, pa.int64()), pa.array(size, pa.int32()), pa.array(rare, pa.int32()), pa.array(prefix, pa.list_(pa.int64())), pa.array(bits, pa.binary()), pa.array(mark, pa.binary())], [f.split()[0] for f in _PRINT.split(", ")])
 
@@ -451,18 +464,18 @@ def _without(pairs: DataFrame, compared: list[DataFrame]) -> DataFrame:
     return pairs.join(_all(compared), ["a", "b"], "left_anti") if compared else pairs
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, firsts: DataFrame, similarity: float, shingle_words: int) -> tuple[DataFrame, DataFrame]:
+def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, similarity: float, shingle_words: int) -> tuple[DataFrame, DataFrame]:
     """(pairs that were compared, those of them whose exact shingle sets have the similarity).
 
     What other tables are joined with is written narrow before, so Spark sees its size and ships it or shuffles both sides.
     """
-    side = lambda end, n, bits: firsts.select(F.col("node").alias(end), F.col("size").alias(n), F.col("bits").alias(bits))
+    side = lambda end, n, bits: nodes.select(F.col("node").alias(end), F.col("size").alias(n), F.col("bits").alias(bits))
     pairs = materialize(pairs, "pairs")
     likely = side("a", "m", "x").join(pairs, "a").join(side("b", "n", "y"), "b").select("a", "b", "m", "n", "x", "y").mapInArrow(_by_bits(similarity), "a long, b long")
-    likely = materialize(likely.distinct(), "likely")
+    likely = materialize(likely, "likely")
     discard(pairs)
     ends = likely.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    ends = materialize(firsts.select("node", "doc_id").join(ends, "node", "left_semi").select("doc_id").distinct(), "ends")
+    ends = materialize(nodes.select("node", "doc_id").join(ends, "node", "left_semi").select("doc_id").distinct(), "ends")
     sets = docs.join(ends, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_shingle_sets(shingle_words), "node long, shingles binary")
     sets = materialize(sets.dropDuplicates(["node"]), "shingles")
     discard(ends)
@@ -476,18 +489,25 @@ def _verified(pairs: DataFrame, docs: DataFrame, firsts: DataFrame, similarity:
 _PRINT = "doc_id long, copy long, node long, size int, rare int, prefix array<long>, bits binary, mark binary"
 
 
+def _central(k: int) -> Column:
+    """Least for a node in the middle of its like: it has few rarer shingles of its own. ``k`` tells rounds apart."""
+    return F.floor(F.col("at") / (1 + 2 * k)).cast("long") * F.lit(1 << 40) + F.pmod(F.xxhash64("node", F.lit(k)), F.lit(1 << 40))
+
+
 def shared_tokens(firsts: DataFrame) -> DataFrame:
-    """``(node, size, rare, prefix)`` -> ``(token, node, size, at, n, lead)`` of the tokens that several rows have.
+    """``(node, size, rare, prefix)`` -> ``(token, node, size, at, n, lead)`` of the tokens that several nodes have.
 
-    ``n``: rows of the token, ``lead``: its smallest node. Tokens of the common list (of bounded size) are counted
+    A node may have several rows, which are the same. ``n``: rows of the token, ``lead``: a central one of its nodes. Tokens of the common list (of bounded size) are counted
     and joined back by broadcast, so no group of theirs is gathered; the rest are counted where one shuffle puts them.
     """
     rows = firsts.select("node", "size", "rare", F.posexplode("prefix").alias("at", "token"))
     often = rows.where("at >= rare")
-    counted = often.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("lead")).where("n > 1")
+    counted = often.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min_by("node", _central(0)).alias("lead"), F.min("node").alias("low"), F.max("node").alias("high"))
+    counted = counted.where("low <> high").select("token", "n", "lead")
     own = Window.partitionBy("token")
-    rare = rows.where("at < rare").select("token", "node", "size", "at").withColumn("n", F.count(F.lit(1)).over(own)).withColumn("lead", F.min("node").over(own))
-    return rare.where("n > 1").unionByName(often.select("token", "node", "size", "at").join(F.broadcast(counted), "token"))
+    rare = rows.where("at < rare").select("token", "node", "size", "at").withColumn("n", F.count(F.lit(1)).over(own)).withColumn("lead", F.min_by("node", _central(0)).over(own))
+    rare = rare.withColumn("low", F.min("node").over(own)).withColumn("high", F.max("node").over(own)).where("low <> high").drop("low", "high")
+    return rare.unionByName(often.select("token", "node", "size", "at").join(F.broadcast(counted), "token"))
 
 
 def similar_classes(docs: DataFrame, similarity: float = 0.8, shingle_words: int = 5) -> tuple[DataFrame, DataFrame]:
@@ -504,22 +524,18 @@ def similar_classes(docs: DataFrame, similarity: float = 0.8, shingle_words: int
     spark, n_docs = docs.sparkSession, docs.count()
     common = spark.sparkContext.broadcast(common_shingles(docs, n_docs, shingle_words))
     prints = materialize(docs.mapInArrow(_prefixes(shingle_words, similarity, common), _PRINT), "prints")
-    # one row stands for each set; the others, fewer, are left out by their narrow keys
-    first = prints.groupBy("node").agg(F.min("doc_id").alias("first_id"))
-    others = prints.select("node", "doc_id").join(first, "node").where("doc_id <> first_id").select("node", "doc_id")
-    others = materialize(others.distinct(), "others")
-    firsts = prints.join(others, ["node", "doc_id"], "left_anti")
+    firsts = prints.where("prefix IS NOT NULL")
+    nodes = materialize(firsts.select("node", "doc_id", "size", "bits", "mark").dropDuplicates(["node"]), "nodes")
     rows = materialize(shared_tokens(firsts), "tokens")
     pairs = rows.where("node <> lead").select("node", "lead")
     compared, sure, apart = [], [], rows
     for k in range(ROUNDS):
         ends = pairs.select(F.greatest("node", "lead").alias("a"), F.least("node", "lead").alias("b")).distinct()
-        new, verified = _verified(_without(ends, compared), docs, firsts, similarity, shingle_words)
+        new, verified = _verified(_without(ends, compared), docs, nodes, similarity, shingle_words)
         compared.append(new), sure.append(verified)
         roots = materialize(connected_components(_all(sure)), "roots")
         rooted = apart.select("token", "node", "size", "at", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        # next leads a node that has few rarer shingles of its own, so one in the middle of its like: by a hash another each round
-        turn = F.floor(F.col("at") / (1 + 2 * k)).cast("long") * F.lit(1 << 40) + F.pmod(F.xxhash64("node", F.lit(k)), F.lit(1 << 40))
+        turn = _central(k + 1)
         leads = rooted.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min_by("node", turn).alias("lead"), F.min_by("root", turn).alias("lead_root"))
         before = apart
         apart = materialize(rooted.join(leads.where("low <> high").select("token", "lead", "lead_root"), "token"), "apart")
@@ -527,15 +543,15 @@ def similar_classes(docs: DataFrame, similarity: float = 0.8, shingle_words: int
             discard(done)
         pairs = apart.where("root <> lead_root")
     pieces = F.ceil(F.col("n") / PIECE).cast("int")
-    dealt = (apart.join(firsts.select("node", "mark").dropDuplicates(["node"]), "node")
+    dealt = (apart.join(nodes.select("node", "mark"), "node")
              .withColumn("own", F.pmod(F.xxhash64("node"), pieces).cast("int"))
              .withColumn("other", F.explode(F.sequence(F.lit(0), pieces - 1)))
              .select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "size", "at", "own", "node", "root", "mark"))
     grouped = dealt.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", "size")
     rest = grouped.mapInArrow(_meet(similarity), "a long, b long").distinct()
-    new, verified = _verified(_without(rest, compared), docs, firsts, similarity, shingle_words)
+    new, verified = _verified(_without(rest, compared), docs, nodes, similarity, shingle_words)
     links = materialize(_all([*sure, verified]), "all-links")
-    for done in (others, apart, *compared, new, *sure, verified):
+    for done in (nodes, apart, *compared, new, *sure, verified):
         discard(done)
     return prints.select("doc_id", "copy", "node"), connected_components(links)
 
