@@ -160,8 +160,9 @@ def redact_all(docs: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES) ->
     other columns: what is found travels under names that it doesn't have.
     """
     path, blob, spans = (unused(docs, n) for n in ("found_path", "found_blob", "found_spans"))
+    short = lambda digest: F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")  # noqa: E731  tells texts of one doc_id apart
     found = scan(docs.select(docs["doc_id"].alias("path"), docs["text"].alias("text")), ledger, rules).where(F.size("findings") > 0)
-    found = found.groupBy(F.col("path").alias(path), F.col("blob").alias(blob)).agg(F.first("findings").alias(spans))
+    found = found.groupBy(F.col("path").alias(path), short(F.col("blob")).alias(blob)).agg(F.first(F.transform("findings", lambda f: F.struct(f["start"].alias("start"), f["end"].alias("end")))).alias(spans))
     found = materialize(found, "found")
-    joined = docs.join(found, docs["doc_id"].eqNullSafe(found[path]) & (F.sha2(F.coalesce(docs["text"], F.lit("")), 256) == found[blob]), "left")
+    joined = docs.join(found, docs["doc_id"].eqNullSafe(found[path]) & (short(F.sha2(F.coalesce(docs["text"], F.lit("")), 256)) == found[blob]), "left")
     return joined.withColumn("text", F.when(F.col(spans).isNotNull(), redact(F.col("text"), F.col(spans))).otherwise(F.col("text"))).select(*docs.columns)
