@@ -109,12 +109,13 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, epochs: int
         seen = []
         for batch in batches:
             for at, text, label in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                seen.append((at, int(label == 1), *features(text)))
+                slots, values = features(text)
+                seen.append((at, int(label == 1), slots.astype(np.int32), values.astype(np.float32)))
         seen.sort(key=lambda x: x[:2])
         model = Ftrl()
         for _ in range(epochs):
             for _, label, slots, values in seen:
-                model.update(slots, values, label)
+                model.update(slots, values.astype(float), label)
         w = model.weights(slice(None))
         yield pa.RecordBatch.from_arrays([pa.array([w.astype("<f4").tobytes()], pa.binary())], ["w"])
 
