@@ -31,7 +31,9 @@ from .workers import held as held_for
 TABLE = np.array([0 if c == 32 or 9 <= c <= 13 else 32 if c == 0 else c for c in range(256)], np.uint8)
 CHUNK_WORDS = 1_000_000
 #: Edges that one bucket holds, about; the number of buckets follows the input. Bits of the hash that one step deals by.
-BUCKET_EDGES, FAN_BITS = 2_000_000, 10
+BUCKET_EDGES, FAN_BITS = 1_000_000, 10
+#: Bytes of text whose edges one task takes, about.
+TASK_BYTES = 16 << 20
 _EDGES = "bucket long, chunk long, resolved boolean, hashes binary, docs binary, counts binary, chunks binary, pos binary, src_docs binary, src_pos binary"
 _HITS = "chunk long, docs binary, pos binary, src_docs binary, src_pos binary"
 _SPANS = "doc_id long, start int, n int, src_doc long, src_start int"
@@ -45,7 +47,7 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 def _dealt(bits: int, edge: np.ndarray, doc: np.ndarray, chunk: np.ndarray, pos: np.ndarray) -> list[tuple]:
     """Packed rows of the ranges of the first ``bits`` of the hash that have edges; documents come in runs."""
     bucket = (edge >> np.uint64(64 - bits)).astype(np.int64)
-    by = np.argsort(bucket, kind="stable")
+    by = np.argsort(bucket.astype(np.uint16) if bits <= 16 else bucket, kind="stable")
     cuts = np.concatenate((np.flatnonzero(np.diff(bucket[by], prepend=-1)), [len(by)]))
     narrow = np.uint16 if int(pos.max()) < 1 << 16 else np.uint32
     out = []
@@ -195,7 +197,8 @@ def repeated_paths(docs: DataFrame, k: int = 13) -> DataFrame:
     edges = d.mapInArrow(_edges(k, min(bits, FAN_BITS)), _EDGES)
     for deeper in range(2 * FAN_BITS, bits + FAN_BITS, FAN_BITS):
         edges = edges.repartition("bucket").mapInArrow(_deal_on(min(bits, deeper)), _EDGES)
-    hits = edges.groupBy("bucket").applyInArrow(_match_bucket, _HITS)
+    tasks = min(max(1, int(size) // TASK_BYTES), 1 << bits)
+    hits = edges.repartition(tasks, "bucket").groupBy("bucket").applyInArrow(_match_bucket, _HITS)
     return hits.groupBy("chunk").applyInArrow(_compact, _SPANS)
 
 
