@@ -26,9 +26,9 @@ from .workers import held as held_for
 
 #: Distinct pre-tokens in the newer half of what a Python worker remembers. A full half becomes the older
 #: one, from which words still in use move up again, and the one before it goes.
-REMEMBERED = 100_000
+REMEMBERED = 160_000
 #: Pairs of neighbouring tokens that a Python worker remembers; it starts afresh beyond that.
-PAIRS = 250_000
+PAIRS = 400_000
 #: Longer pre-tokens are encoded but not remembered.
 LONG = 256
 #: Pre-tokenisation of byte-level BPE with its published pattern.
@@ -69,7 +69,12 @@ class TrieBpe:
         self.fits: dict[int, bool] = {}
         whole: dict[int, bool] = {}
         self.usable = {self.bytes_of[i]: i for i in vocab.values() if self.reachable(i, whole)}
-        self.longest = max(map(len, self.usable))
+        ending: dict[bytes, set[int]] = {}
+        for t in self.usable:
+            if len(t) > 2:
+                ending.setdefault(t[-3:], set()).add(len(t))
+        #: Lengths of the tokens that end with three bytes, long ones first; those of two bytes and one are always tried.
+        self.ending = {e: (*sorted(n, reverse=True), 2, 1) for e, n in ending.items()}
         self.words: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.find = regex.compile(PATTERN).findall
@@ -109,16 +114,16 @@ class TrieBpe:
         """Token ids of distinct words, given in byte order."""
         last: list[int] = [-1]
         path = b""
-        get, longest, fits, known = self.usable.get, self.longest, self.fits, self.fits.get
+        get, ending, fits, known = self.usable.get, self.ending.get, self.fits, self.fits.get
         for word in words:
             if len(fits) > PAIRS:
                 fits.clear()
             shared = len(os.path.commonprefix((path, word)))
             del last[shared + 1 :]
             for end in range(shared + 1, len(word) + 1):
-                for start in range(max(0, end - longest), end):
-                    token = get(word[start:end])
-                    if token is None:
+                for n in ending(word[end - 3 : end], (2, 1)) if end > 2 else (2, 1):
+                    start = end - n
+                    if start < 0 or (token := get(word[start:end])) is None:
                         continue
                     if start:
                         key = last[start] << 24 | token
