@@ -175,6 +175,11 @@ def read(page: str) -> Page:
     return out
 
 
+def blocks(page: str) -> list[tuple[int, int, str, bool, bool, int]]:
+    """The text blocks of a page."""
+    return read(page).blocks
+
+
 def host_of(url: str | None) -> str:
     try:
         return (urlsplit(url or "").hostname or "").lower()
@@ -247,7 +252,7 @@ def distinct_pages(pages: DataFrame) -> DataFrame:
 
 
 def deduce_classes(pages: DataFrame, least_pages: int = LEAST_PAGES, share: float = SHARE, least_tokens: int = LEAST_TOKENS) -> DataFrame:
-    """``(page_id, url, html)`` -> the valid equivalence classes ``(host, host_pages, pages, sig, tokens)``.
+    """``(page_id, url, html)`` -> equivalence classes ``(host, host_pages, pages, sig, tokens, valid)`` of what most pages have.
 
     Tokens of a host with the same occurrence vector (which pages, how often on each) are one class; it is valid
     with ``least_tokens`` tokens or more on a ``share`` of the host's pages or more. Vectors are told apart by
@@ -261,18 +266,19 @@ def deduce_classes(pages: DataFrame, least_pages: int = LEAST_PAGES, share: floa
     hosts = t.where("token = 0").select("host", F.col("pages").alias("host_pages"))
     t = t.where("token <> 0").join(hosts, "host").where(F.col("pages") >= F.ceil(F.col("host_pages") * share))
     token = F.struct("token", "parent", "is_text", "total", "chars", "links", "heads", "mark")
-    return t.groupBy("host", "host_pages", "pages", "sig").agg(F.collect_list(token).alias("tokens")).where(F.size("tokens") >= least_tokens)
+    classes = t.groupBy("host", "host_pages", "pages", "sig").agg(F.collect_list(token).alias("tokens"))
+    return classes.withColumn("valid", F.size("tokens") >= least_tokens)
 
 
 def main_element(classes: list[dict]) -> tuple[int | None, bool, list[int]]:
-    """(main element, whether its own markup or that around it says so, fixed texts) of one host's valid classes.
+    """(main element, whether its own markup or that around it says so, fixed texts) of one host's classes.
 
-    The classes nest by the paths of their elements: an element whose parent is in no valid class is left out.
-    Candidates are elements that every page of their class has once. Text that the template fixes is no slot's
+    Valid classes nest by the paths of their elements, of which those in smaller classes are only links. Candidates
+    are elements of valid classes that every page of their class has once. Text that the template fixes is no slot's
     and doesn't count, nor does text in links.
     """
-    nodes = {t["token"]: {**t, "once": t["total"] == c["pages"], "slots": t["chars"] - t["links"], "inside": False} for c in classes for t in c["tokens"] if not t["is_text"]}
-    fixed = [t for c in classes for t in c["tokens"] if t["is_text"]]
+    nodes = {t["token"]: {**t, "once": c["valid"] and t["total"] == c["pages"], "slots": t["chars"] - t["links"], "inside": False} for c in classes for t in c["tokens"] if not t["is_text"]}
+    fixed = [t for c in classes if c["valid"] for t in c["tokens"] if t["is_text"]]
     below: dict[int, list[int]] = {}
     for t, n in nodes.items():
         below.setdefault(n["parent"], []).append(t)
@@ -327,7 +333,7 @@ def deduce_templates(pages: DataFrame, least_pages: int = LEAST_PAGES, share: fl
     A host's classes are gathered in one row, which is bounded by page size, however many pages the host has.
     """
     classes = deduce_classes(pages, least_pages, share)
-    hosts = classes.groupBy("host").agg(F.collect_list(F.struct("pages", "tokens")).alias("classes"))
+    hosts = classes.groupBy("host").agg(F.collect_list(F.struct("pages", "tokens", "valid")).alias("classes"))
     return hosts.mapInArrow(_choose, "host long, main long, fixed array<long>").where("main IS NOT NULL")
 
 
