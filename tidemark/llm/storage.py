@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import gc
+import time
+
+from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.stored import new_path, shared_dir  # noqa: F401
 
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
@@ -36,3 +40,16 @@ def unused(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+def free_shuffles(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of frames that nothing refers to any more.
+
+    Shuffle files go when the driver's JVM collects the frames that made them, which may be long after a
+    written table has replaced them.
+    """
+    spark.range(1).count()  # the last job that ran is still referred to by the scheduler
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
