@@ -86,6 +86,24 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(windows(rows.unionByName(own)))
 
 
+def op11_drift_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .drift_clusters import cluster_report
+
+    return cluster_report(_table(spark, sf_dir, "embeddings"), k=8, rounds=10, scale=1024, dim=64, seed=3)
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .filter_audit import audit
+
+    return audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op13_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .source_mix import mix_report
+
+    return mix_report(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
@@ -117,6 +135,45 @@ k AS (SELECT d.doc_id, len(d.w) AS n, p.p, d.w[p.p] AS word FROM d CROSS JOIN LA
 r AS (SELECT k.doc_id, string_agg(k.word, ' ' ORDER BY k.p) AS kept, count(*) AS n FROM k LEFT JOIN c ON k.doc_id = c.doc_id AND k.p = c.p WHERE c.p IS NULL GROUP BY k.doc_id)
 SELECT d.doc_id, cast(len(d.w) AS bigint) AS n_words, cast(len(d.w) - coalesce(r.n, 0) AS bigint) AS n_removed, sha256(coalesce(r.kept, '')) AS kept_sha256 FROM d LEFT JOIN r ON d.doc_id = r.doc_id"""
 
+
+
+def _op11(k: int = 8, rounds: int = 10, dim: int = 64, seed: int = 3) -> str:
+    """Lloyd's rounds as a chain of common table expressions: assign, take floors of means, assign again."""
+    parts = [
+        f"v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: cast(floor(1024 * cast(x AS double)) AS bigint)) AS e FROM embeddings WHERE len(embedding) = {dim} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)",
+        f"x AS MATERIALIZED (SELECT r, unnest(range(1, {dim} + 1)) AS d, unnest(e) AS x FROM v)",
+        f"c0 AS MATERIALIZED (SELECT c, unnest(range(1, {dim} + 1)) AS d, unnest(e) AS y FROM (SELECT row_number() OVER (ORDER BY sha256(concat('{seed}:', vec_id)), e) - 1 AS c, e FROM v QUALIFY c < {k}))",
+    ]
+    for n in range(rounds + 1):
+        parts.append(f"a{n} AS MATERIALIZED (SELECT r, c, s FROM (SELECT r, c, sum((x - y) * (x - y)) AS s FROM x JOIN c{n} USING (d) GROUP BY r, c) QUALIFY row_number() OVER (PARTITION BY r ORDER BY s, c) = 1)")
+        if n < rounds:
+            parts.append(f"m{n} AS (SELECT c, d, sum(x) AS s, count(*) AS n FROM a{n} JOIN x USING (r) GROUP BY c, d)")
+            parts.append(f"c{n + 1} AS MATERIALIZED (SELECT o.c, o.d, coalesce(cast((m.s - ((m.s % m.n) + m.n) % m.n) // m.n AS bigint), o.y) AS y FROM c{n} AS o LEFT JOIN m{n} AS m ON o.c = m.c AND o.d = m.d)")
+    last = f"a{rounds}"
+    return "WITH " + ",\n".join(parts) + f"""
+SELECT v.vec_id, cast(a.c AS int) AS cluster, cast(a.s AS bigint) AS distance, cast(sum(a.s) OVER (PARTITION BY a.c) AS bigint) AS cluster_inertia, cast(sum(a.s) OVER () AS bigint) AS inertia, h.centroid_sha256
+FROM {last} AS a JOIN v ON a.r = v.r JOIN (SELECT c, sha256(string_agg(cast(y AS varchar), ',' ORDER BY d)) AS centroid_sha256 FROM c{rounds} GROUP BY c) AS h ON a.c = h.c"""
+
+
+OP12 = """WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+l AS (SELECT doc_id, max((quality = 1)::int) AS good, max((toxic = 1)::int) AS toxic FROM labels GROUP BY doc_id),
+f AS (SELECT d.part, coalesce(l.good, 0) AS good, coalesce(l.toxic, 0) AS toxic, {'A': len(w) < 200, 'B': 100 * len(list_distinct(w)) < 50 * len(w), 'C': 100 * (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g'))) > 2 * length(text), 'D': regexp_matches(text, '[#$%&*|]'), 'E': coalesce(d.doc_id > min(d.doc_id) OVER (PARTITION BY text), false)} AS m FROM d LEFT JOIN l ON d.doc_id = l.doc_id),
+g AS (SELECT part, [m['A'], m['B'], m['C'], m['D'], m['E']] AS fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY ALL),
+k AS (SELECT * FROM (VALUES (1), (2), (3), (4), (5)) AS t(k)),
+o AS (SELECT [a.k, b.k, c.k, d.k, e.k] AS o FROM k AS a, k AS b, k AS c, k AS d, k AS e WHERE len(list_distinct([a.k, b.k, c.k, d.k, e.k])) = 5),
+s AS (SELECT part, o, step, o[step] AS k, n, good, toxic, fails[o[step]] AS own, len(list_filter(o[1:step - 1], lambda q: fails[q])) > 0 AS gone, len(list_filter(fails, lambda x: x)) AS many FROM g CROSS JOIN o CROSS JOIN (SELECT k AS step FROM k)),
+r AS (SELECT part, o, step, k, sum(CASE WHEN NOT own AND NOT gone THEN n ELSE 0 END) AS kept, sum(CASE WHEN own AND NOT gone THEN n ELSE 0 END) AS removed, sum(CASE WHEN own AND gone THEN n ELSE 0 END) AS redundant, sum(CASE WHEN own AND many = 1 THEN n ELSE 0 END) AS unique_fails, sum(CASE WHEN own AND NOT gone THEN good ELSE 0 END) AS good_lost, sum(CASE WHEN own AND NOT gone THEN toxic ELSE 0 END) AS toxic_lost FROM s GROUP BY part, o, step, k)
+SELECT part, array_to_string(list_transform(o, lambda q: substr('ABCDE', cast(q AS bigint), 1)), '') AS filter_order, cast(step AS int) AS step, cast(kept AS bigint) AS kept, cast(removed AS bigint) AS removed, cast(redundant AS bigint) AS redundant, cast(unique_fails AS bigint) AS unique_fails, cast(good_lost AS bigint) AS good_lost, cast(toxic_lost AS bigint) AS toxic_lost, cast(sum(removed) OVER (PARTITION BY part, k) AS bigint) AS shapley FROM r"""
+
+OP13 = """WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size, substr(sha256(concat_ws(':', cast(doc_id AS varchar), text)), 1, 32) AS key FROM documents),
+s AS (SELECT source, sum(size) AS n, [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w FROM d GROUP BY source),
+o AS (SELECT *, sum(n) OVER () AS total, row_number() OVER (ORDER BY 3 * n / w, source NULLS LAST) AS place, coalesce(sum(3 * n) OVER (ORDER BY 3 * n / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below, sum(w) OVER (ORDER BY 3 * n / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS others FROM s),
+h AS (SELECT coalesce(arg_min(cast(total - below AS double) / others, place) FILTER (WHERE cast(total - below AS double) / others * w <= 3 * n), 0) AS share FROM o),
+t AS (SELECT source, n, least(w * share, cast(3 * n AS double)) AS target, cast(round(least(w * share, cast(3 * n AS double))) AS bigint) AS quota FROM s CROSS JOIN h),
+p AS (SELECT d.*, t.n, t.target, t.quota, coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY key, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, cast(size AS bigint) AS size, cast(n AS bigint) AS source_size, target, cast(CASE WHEN size = 0 THEN 0 ELSE quota // n * size + least(greatest(quota % n - start, 0), size) END AS bigint) AS taken FROM p"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL for what SQL can state; the others are tested against brute force in tests/llm."""
-    return {"op3_kdtree_topk": OP3, "op4_decontaminate": OP4, "op7_warc": OP7, "op8_debruijn": OP8}
+    return {"op3_kdtree_topk": OP3, "op4_decontaminate": OP4, "op7_warc": OP7, "op8_debruijn": OP8, "op11_drift_clusters": _op11(), "op12_filter_audit": OP12, "op13_source_mix": OP13}
