@@ -41,6 +41,10 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead tr ul".split())
 SKIP = frozenset("nav footer aside form button select option dialog menu head audio video canvas map datalist".split())
 WORDS = frozenset("ad ads advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promotion banner cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login sidebar widget widgets menu nav navbar navigation breadcrumb breadcrumbs footer masthead toolbar comment comments reply replies respond disqus related recommended share sharing social pagination pager copyright".split())
+#: Of WORDS, those that as a part of a name tell what an element is only outside main text.
+PLAIN = frozenset("ad ads sponsor promo promotion banner notice notices notification alert overlay subscribe subscription signup login comment comments reply replies respond related recommended share sharing social menu widget copyright".split())
+#: What may stand beside one of WORDS in a name without making it another thing: related-posts, but not related-work.
+BESIDE = frozenset("a ads all area article articles author bar block body bottom box btn button buttons card center col column container content cta desktop entry fixed form global group head header holder icon icons in inline inner item items layer layout left link links list lower main message mid mobile module nav of page panel placeholder popup post posts primary right root row secondary section sidebar site slot small social stack sticky stories story strip text thread title to tools top unit upper view widget wide with wrap wrapper zone".split())
 HEADS = frozenset(("header", "topbar", "head"))
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 MAIN = frozenset("content main post entry story article body maincontent postcontent entrycontent articlebody".split())
@@ -62,18 +66,36 @@ class Page:
     keys: list[int] = field(default_factory=list)
     parents: list[int] = field(default_factory=list)
     marks: list[int] = field(default_factory=list)
-    #: (element, rank of the region, text, skipped, in a heading, characters in links)
-    blocks: list[tuple[int, int, str, bool, bool, int]] = field(default_factory=list)
+    #: (element, rank of the region, text, skipped, in a heading, characters in links); skipped is 2 where an element is
+    #: no main text by its kind or a whole name, 1 where only a part of a name says so, which no template's main element heeds
+    blocks: list[tuple[int, int, str, int, bool, int]] = field(default_factory=list)
+
+
+def _named(name: str, words: frozenset[str]) -> bool:
+    """Whether a class name as a whole is one of ``words``, alone or with what may stand beside it."""
+    parts = [p for p in name.split("-") if p and not p.isdigit()]
+    return not words.isdisjoint(parts) and all(p in words or p in BESIDE for p in parts)
+
+
+def _skips(names: list[str], wrapper: bool, inside: bool) -> int:
+    """How far the class names and id of an element say that it is no main text. What wraps main text is judged by plain names only, what is inside it by whole ones."""
+    if wrapper:
+        return 2 * (not WORDS.isdisjoint(names) or not inside and not HEADS.isdisjoint(names))
+    names = [n for n in names if not _STATE.fullmatch(n)]
+    if any(_named(n, WORDS) for n in names) or not inside and any(_named(n, HEADS) for n in names):
+        return 2
+    parts = {p for n in names for p in n.split("-")}
+    return int(not inside and not parts.isdisjoint((WORDS - PLAIN) | HEADS))
 
 
 def read(page: str) -> Page:
     """The elements and text blocks of a page, in one pass over its tags."""
     out = Page()
-    stack: list[tuple[str, bool, int, int, bool]] = []  # name, skipped, rank, element, in a heading
+    stack: list[tuple[str, int, int, int, bool]] = []  # name, skipped, rank, element, in a heading
     text: list[str] = []
     opened: dict[str, int] = {}
     numbers: dict[tuple[int, str], int] = {}
-    skipped, rank, at_node, heading, links, linked = False, 0, -1, False, 0, 0
+    skipped, rank, at_node, heading, links, linked = 0, 0, -1, False, 0, 0
 
     def flush() -> None:
         nonlocal linked
@@ -89,7 +111,7 @@ def read(page: str) -> Page:
         for closed in stack[k:]:
             opened[closed[0]] -= 1
         del stack[k:]
-        _, skipped, rank, at_node, heading = stack[-1] if stack else ("", False, 0, -1, False)
+        _, skipped, rank, at_node, heading = stack[-1] if stack else ("", 0, 0, -1, False)
 
     at, size = 0, len(page)
     while at < size:
@@ -137,28 +159,27 @@ def read(page: str) -> Page:
                     break
         attributes = m[3] or m[6] or ""
         names: list[str] = []
-        bad, mark = name in SKIP or name == "header" and rank < 2, 0
+        bad, mark = 2 * (name in SKIP or name == "header" and rank < 2), 0
         if attributes:
             for a, v in _ATTR.findall(attributes):
                 a, v = a.lower(), v.strip("\"'").lower()
                 if a in ("class", "id"):
                     names += re.split(r"[\s_]+", v)
                 elif a == "role":
-                    bad |= v in ROLES
+                    bad = 2 if v in ROLES else bad
                     mark = max(mark, {"main": 2, "article": 3}.get(v, 0))
                 elif a == "hidden" or a == "aria-hidden" and v == "true" or a == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", v):
-                    bad = True
+                    bad = 2
         if names:
             parts = {p for n in names for p in n.split("-")}
-            # what wraps main text is judged by whole names, anything else by their parts too
             wrapper = name in ("article", "main") or bool({n.replace("-", "") for n in names} & MAIN)
-            said_to_be = set(names) if wrapper else {p for n in names if not _STATE.fullmatch(n) for p in n.split("-")}
-            bad |= bool(said_to_be & WORDS) and name not in ("body", "html") or bool(said_to_be & HEADS) and max(rank, mark) < 2
+            if name not in ("body", "html"):
+                bad = max(bad, _skips(names, wrapper, max(rank, mark) >= 2))
             if not bad and name in _CONTAINERS and (parts & MAIN or {n.replace("-", "") for n in names} & MAIN):
                 mark = max(mark, 1)
         mark = 3 if name == "article" else max(mark, 2) if name == "main" else mark
         rank = max(rank, mark)
-        skipped |= bad
+        skipped = max(skipped, bad)
         if name in BLOCK or name in _CONTAINERS:
             label = name + "".join(f".{n}" for n in sorted(set(names)) if n and not re.search(r"\d", n)) if names else name
             if label == name and name in _NUMBERED:
@@ -175,7 +196,7 @@ def read(page: str) -> Page:
     return out
 
 
-def blocks(page: str) -> list[tuple[int, int, str, bool, bool, int]]:
+def blocks(page: str) -> list[tuple[int, int, str, int, bool, int]]:
     """The text blocks of a page."""
     return read(page).blocks
 
@@ -229,11 +250,11 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, 1024):
             rows: dict[tuple[int, int, bool], list[int]] = {}
-            for page_id, url, page in zip(*(batch.column(i).slice(at, 1024).to_pylist() for i in range(3))):
-                host = _key(host_of(url))
+            for url, page in zip(*(batch.column(i).slice(at, 1024).to_pylist() for i in (1, 2))):
+                host, print_ = _key(host_of(url)), str(_key(page or ""))
                 for (token, is_text), (parent, n, chars, links, heads, mark) in [*page_tokens(page).items(), ((0, False), (0, 1, 0, 0, 0, 0))]:
                     e = rows.setdefault((host, token, is_text), [parent, 0, 0, 0, 0, 0, 0, mark])
-                    e[3] ^= _key(str(page_id), str(n))
+                    e[3] ^= _key(print_, str(n))
                     for k, v in ((1, 1), (2, n), (4, chars), (5, links), (6, heads)):
                         e[k] += v
             keys, values = list(rows), list(rows.values())
@@ -344,7 +365,7 @@ def main_text(page: str | None, fixed: frozenset[int] | set[int] = frozenset(),
         inside = []
         for key, up in zip(p.keys, p.parents):
             inside.append(key == main or up >= 0 and inside[up])
-        held = [(node, said) for node, _, said, skipped, _, _ in p.blocks if node >= 0 and inside[node] and not skipped]
+        held = [(node, said) for node, _, said, skipped, _, _ in p.blocks if node >= 0 and inside[node] and skipped < 2]
         own = [said for node, said in held if not fixed or _key("text", str(p.keys[node]), said) not in fixed] or [said for _, said in held]
         if own:
             return "\n\n".join(own)
