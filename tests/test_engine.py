@@ -8,6 +8,7 @@ import pytest
 from oracle_check import database, differs
 
 from tidemark.operators import fundamentals as fu
+from tidemark.operators import history as hi
 from tidemark.operators import screening as sc
 from tidemark.plans.registry import oracle_sql, queries
 from tidemark.sources import filings as fi
@@ -153,14 +154,14 @@ def test_trailing_earnings_use_the_newest_quarter(spark):
     assert [(r.period_end, round(r.val, 9)) for r in q4] == [(day("2026-01-25"), 1.76)]
     assert [round(r.ttm, 9) for r in sn.ttm(f).where("metric = 'eps_diluted'").collect()] == [6.53]
     vintages = spark.createDataFrame([(day("2026-06-30"),)], "as_of date")
-    assert fu.fundamentals(facts, concept_map(spark), vintages=vintages).where("derived = 1").count() == 0
+    assert hi.fundamentals_asof(facts, concept_map(spark), vintages).where("derived = 1").count() == 0
 
 
 def test_a_vintage_shows_the_value_before_its_restatement(spark):
     rows = [("Revenues", "USD", "2022-01-01", "2022-03-31", 100.0, "2022-05-05"), ("Revenues", "USD", "2022-01-01", "2022-03-31", 150.0, "2023-06-01")]
     facts = spark.createDataFrame(filed(rows), FACT)
     vintages = spark.createDataFrame([(day(d),) for d in ("2022-03-31", "2022-12-31", "2023-12-31")], "as_of date")
-    got = fu.fundamentals(facts, concept_map(spark), vintages=vintages).select("as_of", "val").collect()
+    got = hi.fundamentals_asof(facts, concept_map(spark), vintages).select("as_of", "val").collect()
     assert sorted((r.as_of.isoformat(), r.val) for r in got) == [("2022-12-31", 100.0), ("2023-12-31", 150.0)]
     assert [r.val for r in fu.fundamentals(facts, concept_map(spark)).collect()] == [150.0]
 

@@ -1,7 +1,6 @@
 """From filed facts to canonical fundamentals: restatements, tag choice, derived quarters, splits.
 
-Every function works on the whole market. The current view is keyed by ``cik``; a point-in-time view has
-``as_of`` beside it, so that all vintages are one job.
+Every function works on the whole market, keyed by ``cik``; :mod:`history` has the same steps for every past day.
 """
 
 from __future__ import annotations
@@ -20,54 +19,33 @@ STAGES = ("Q", "H", "T9", "FY")
 FACT = ["cik", "unit", "concept", "period_start", "period_end"]
 
 
-def keys_of(df: DataFrame) -> list[str]:
-    return ["as_of", "cik"] if "as_of" in df.columns else ["cik"]
+def stage() -> Column:
+    """The place of a row's type among STAGES, from 1; 0 elsewhere."""
+    return F.array_position(F.array(*[F.lit(s) for s in STAGES]), F.col("period_type")).cast("int")
 
 
-def at_vintages(spans: DataFrame, vintages: DataFrame, since: str, until: str | None = None) -> DataFrame:
-    """``spans`` once for each ``as_of`` from ``since`` to before ``until`` (none: for good).
-
-    The vintages travel as one array in one row, so a span picks its own without a join on a range.
-    """
-    every = vintages.agg(F.sort_array(F.collect_set("as_of")).alias("vintages"))
-    ends = F.lit(None).cast("date") if until is None else F.col(until)
-    held = F.filter("vintages", lambda v: (v >= F.col(since)) & (ends.isNull() | (v < ends)))
-    return spans.crossJoin(F.broadcast(every)).withColumn("as_of", F.explode(held)).drop("vintages")
-
+def precedence() -> list[Column]:
+    """Reported beats derived, then the later first sighting wins."""
+    return [F.asc("derived"), F.desc("first_filed"), F.desc("first_accn"), F.desc_nulls_last("period_start")]
 
-def latest_facts(facts: DataFrame, vintages: DataFrame | None = None) -> DataFrame:
-    """The value in force of each fact: of all versions, or of those filed by each ``as_of``.
 
-    For vintages each version is in force from its filing to the next one's, so a fact joins a vintage at
-    most once, and nothing is aggregated after the join.
-    """
-    order = F.struct("filed", "accn", "taxonomy")
-    if vintages is None:
-        return facts.groupBy(*FACT).agg(F.max_by("val", order).alias("val"))
-    versions = Window.partitionBy(*FACT).orderBy("filed", "accn", "taxonomy")
-    spans = facts.select(*FACT, "val", "filed", F.lead("filed").over(versions).alias("until"))
-    return at_vintages(spans, vintages, "filed", "until").select("as_of", *FACT, "val")
+def latest_facts(facts: DataFrame) -> DataFrame:
+    """The value in force of each fact, of all versions."""
+    return facts.groupBy(*FACT).agg(F.max_by("val", F.struct("filed", "accn", "taxonomy")).alias("val"))
 
 
-def period_filed(facts: DataFrame, vintages: DataFrame | None = None) -> DataFrame:
+def period_filed(facts: DataFrame) -> DataFrame:
     """Per period: the latest filing of any of its facts, and its first one (``first_filed``, ``first_accn``)."""
     period = ["cik", "period_start", "period_end"]
-    first = F.min(F.struct("filed", "accn")).alias("first")
-    if vintages is None:
-        out = facts.groupBy(*period).agg(F.max("filed").alias("filed"), first)
-        return out.select(*period, "filed", F.col("first.filed").alias("first_filed"), F.col("first.accn").alias("first_accn"))
-    days = facts.groupBy(*period, "filed").agg(F.min("accn").alias("accn"))
-    w = Window.partitionBy(*period).orderBy("filed")
-    spans = days.select(*period, "filed", F.lead("filed").over(w).alias("until"), F.first("filed").over(w).alias("first_filed"), F.first("accn").over(w).alias("first_accn"))
-    return at_vintages(spans, vintages, "filed", "until").select("as_of", *period, "filed", "first_filed", "first_accn")
+    out = facts.groupBy(*period).agg(F.max("filed").alias("filed"), F.min(F.struct("filed", "accn")).alias("first"))
+    return out.select(*period, "filed", F.col("first.filed").alias("first_filed"), F.col("first.accn").alias("first_accn"))
 
 
 def resolve_metrics(latest: DataFrame, concept_map: DataFrame) -> DataFrame:
     """Per period and metric the first tag, in order of preference, that has a value in the metric's unit."""
-    keys = keys_of(latest)
     joined = latest.join(F.broadcast(concept_map.select("metric", "unit", "concept", "priority")), ["unit", "concept"])
-    best = joined.groupBy(*keys, "period_start", "period_end", "metric", "unit").agg(F.min_by(F.struct("val", "concept"), "priority").alias("best"))
-    return best.select(*keys, "period_start", "period_end", "metric", "unit", "best.val", F.col("best.concept").alias("source_concept"))
+    best = joined.groupBy("cik", "period_start", "period_end", "metric", "unit").agg(F.min_by(F.struct("val", "concept"), "priority").alias("best"))
+    return best.select("cik", "period_start", "period_end", "metric", "unit", "best.val", F.col("best.concept").alias("source_concept"))
 
 
 def classify(df: DataFrame) -> DataFrame:
@@ -75,9 +53,8 @@ def classify(df: DataFrame) -> DataFrame:
 
 
 def dedupe(rows: DataFrame) -> DataFrame:
-    """Reported beats derived, then the later first sighting wins."""
-    keys = keys_of(rows)
-    w = Window.partitionBy(*keys, "metric", "period_end", "period_type").orderBy("derived", F.desc("first_filed"), F.desc("first_accn"), F.desc_nulls_last("period_start"))
+    """One row for each metric, period end and type, by :func:`precedence`."""
+    w = Window.partitionBy("cik", "metric", "period_end", "period_type").orderBy(*precedence())
     return rows.withColumn("rn", F.row_number().over(w)).where("rn = 1").drop("rn")
 
 
@@ -91,10 +68,9 @@ def _with_derived(rows: DataFrame, val: Column, keep: Column) -> DataFrame:
 
 def diff_ytd(rows: DataFrame) -> DataFrame:
     """Rows of type Q, FY and INSTANT, and quarters from year-to-date figures: each stage less the one before it, dollars only."""
-    keys, columns = keys_of(rows), rows.columns
-    stage = F.array_position(F.array(*[F.lit(s) for s in STAGES]), F.col("period_type")).cast("int")
-    w = Window.partitionBy(*keys, "metric", "period_start").orderBy("stage", "period_end")
-    out = rows.withColumn("stage", stage).withColumn("prev", F.lag("val").over(w)).withColumn("step", F.col("stage") - F.lag("stage").over(w))
+    columns = rows.columns
+    w = Window.partitionBy("cik", "metric", "period_start").orderBy("stage", "period_end")
+    out = rows.withColumn("stage", stage()).withColumn("prev", F.lag("val").over(w)).withColumn("step", F.col("stage") - F.lag("stage").over(w))
     val = F.when((F.col("unit") == "USD") & (F.col("stage") > 0) & (F.col("step") == 1), F.col("val") - F.col("prev"))
     return _with_derived(out, val, F.col("period_type").isin("Q", "FY", "INSTANT")).select(*columns)
 
@@ -105,10 +81,10 @@ def derive_q4(rows: DataFrame, per_share: bool = False) -> DataFrame:
     Dollar metrics; with ``per_share`` earnings per share. A metric's quarters travel with its rows as an
     array, which is as long as the company has quarters on file.
     """
-    keys, columns = keys_of(rows), rows.columns
+    columns = rows.columns
     wanted = F.col("metric").isin(*PER_SHARE) if per_share else F.col("unit") == "USD"
     quarter = F.when(F.col("period_type") == "Q", F.struct(F.col("period_end").alias("at"), F.col("val").alias("v")))
-    out = rows.withColumn("quarters", F.collect_list(quarter).over(Window.partitionBy(*keys, "metric")))
+    out = rows.withColumn("quarters", F.collect_list(quarter).over(Window.partitionBy("cik", "metric")))
     own = F.filter("quarters", lambda q: q["at"].between(F.col("period_start"), F.col("period_end")) & q["v"].isNotNull())
     out = out.withColumn("own", F.when(wanted & (F.col("period_type") == "FY"), own))
     ends_with = F.exists("quarters", lambda q: q["at"] == F.col("period_end"))
@@ -149,14 +125,13 @@ def adjust_splits(rows: DataFrame, splits: DataFrame) -> DataFrame:
     return out.withColumn("val", val).drop("split_factor")
 
 
-def reported_rows(facts: DataFrame, concept_map: DataFrame, vintages: DataFrame | None = None) -> DataFrame:
+def reported_rows(facts: DataFrame, concept_map: DataFrame) -> DataFrame:
     """Resolved, classified rows with their filing dates; of two periods with one start and type the later seen one."""
-    resolved = classify(resolve_metrics(latest_facts(facts, vintages), concept_map))
-    keys = keys_of(resolved)
-    dates = period_filed(facts, vintages)
-    cond = [resolved[k].eqNullSafe(dates[k]) for k in [*keys, "period_start", "period_end"]]
+    resolved = classify(resolve_metrics(latest_facts(facts), concept_map))
+    dates = period_filed(facts)
+    cond = [resolved[k].eqNullSafe(dates[k]) for k in ("cik", "period_start", "period_end")]
     rows = resolved.join(dates, cond).select(*[resolved[c] for c in resolved.columns], "filed", "first_filed", "first_accn")
-    w = Window.partitionBy(*keys, "period_start", "period_type")
+    w = Window.partitionBy("cik", "period_start", "period_type")
     best = F.max(F.struct("first_filed", "first_accn", "period_end")).over(w)
     return rows.withColumn("best", best).where((F.col("period_type") == "INSTANT") | (F.col("best.period_end") == F.col("period_end"))).drop("best").withColumn("derived", F.lit(0))
 
@@ -164,9 +139,9 @@ def reported_rows(facts: DataFrame, concept_map: DataFrame, vintages: DataFrame
 COLUMNS = ["metric", "period_end", "period_type", "val", "source_concept", "derived", "filed"]
 
 
-def fundamentals(facts: DataFrame, concept_map: DataFrame, splits: DataFrame | None = None, vintages: DataFrame | None = None) -> DataFrame:
-    """Canonical rows by metric, period and type. Splits and fourth-quarter EPS only in the current view."""
-    known = derive_q4(dedupe(diff_ytd(reported_rows(facts, concept_map, vintages))))
-    if vintages is None and splits is not None:
+def fundamentals(facts: DataFrame, concept_map: DataFrame, splits: DataFrame | None = None) -> DataFrame:
+    """Canonical rows by metric, period and type, of all that is filed. Split adjustment and fourth-quarter EPS with ``splits``."""
+    known = derive_q4(dedupe(diff_ytd(reported_rows(facts, concept_map))))
+    if splits is not None:
         known = derive_q4(adjust_splits(known, splits), per_share=True)
-    return known.select(*keys_of(known), *COLUMNS)
+    return known.select("cik", *COLUMNS)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.expressions import fiscal_quarter_label, mcap_band
 from ..operators import analysis as an
 from ..operators import fundamentals as fu
+from ..operators import history as hi
 from ..operators import picker as pk
 from ..operators import screening as sc
 from ..operators import sentiment as se
@@ -47,7 +48,7 @@ def snap(x: Inputs) -> DataFrame:
 
 
 def vintages_snap(x: Inputs) -> DataFrame:
-    return x.keep("snapshot_history", lambda: sn.snapshot_asof(x.facts, concept_map(x.spark), x.companies, x.prices, x.vintages))
+    return x.keep("snapshot_history", lambda: hi.snapshot_asof(x.facts, concept_map(x.spark), x.companies, x.prices, x.vintages))
 
 
 F_COLS = "metric, period_end, period_type, val, source_concept, derived, filed"
@@ -74,6 +75,8 @@ query("SELECT v.as_of, f.cik, v.as_of - max(f.filed) AS data_age_days FROM facts
 query("SELECT * FROM c_snap", "snapshot")(snap)
 query("SELECT * FROM v_snap", "snapshot_asof")(vintages_snap)
 query("SELECT as_of, count(*) AS companies, count(pe) AS with_pe, sum(data_age_days) AS age FROM v_snap GROUP BY as_of", "history")(lambda x: vintages_snap(x).groupBy("as_of").agg(F.count(F.lit(1)).alias("companies"), F.count("pe").alias("with_pe"), F.sum("data_age_days").alias("age")))
+query("SELECT as_of, cik, metric, period_end, period_type, val, source_concept, derived, filed FROM v_f", "fundamentals_asof")(lambda x: hi.fundamentals_asof(x.facts, concept_map(x.spark), x.vintages))
+query("SELECT ticker, as_of, price, price_date FROM (SELECT a.ticker, a.as_of, p.close AS price, p.date AS price_date, row_number() OVER (PARTITION BY a.ticker, a.as_of ORDER BY p.date DESC) AS rn FROM (SELECT DISTINCT c.ticker, f.filed AS as_of FROM facts AS f JOIN companies AS c ON f.cik = c.cik) AS a JOIN prices AS p ON p.ticker = a.ticker AND p.date <= a.as_of) WHERE rn = 1", "price_at_filing")(lambda x: sn.price_asof(x.prices, x.facts.select("cik", F.col("filed").alias("as_of")).join(x.companies.select("cik", "ticker"), "cik")))
 query("SELECT DISTINCT as_of FROM v_snap", "vintages")(lambda x: vintages_snap(x).select("as_of").distinct())
 query("SELECT DISTINCT v.as_of FROM vintages AS v JOIN facts AS f ON f.filed <= v.as_of", "quarter_ends")(lambda x: sn.quarter_ends("1996-01-01", "2000-12-31", x.spark).join(x.facts.agg(F.min("filed").alias("first")), F.col("first") <= F.col("as_of")).select("as_of"))
 
