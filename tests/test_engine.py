@@ -60,9 +60,9 @@ def refreshed(spark, tmp_path):
 
     companies = spark.createDataFrame([(i, f"T{i}", f"Name {i}", "S", "X") for i in (1, 2)], "cik long, ticker string, name string, sic_description string, exchange string")
     schema = lambda text: spark.createDataFrame([], text).schema
-    for folder in ("bars", "facts"):
+    for folder in ("bars", "facts", "histories"):
         (tmp_path / folder).mkdir()
-    r = rf.Refresh(rf.Store(spark, f"{tmp_path}/store", buckets=8), f"{tmp_path}/bars", schema(BAR), f"{tmp_path}/facts", schema(FACT), companies, concept_map(spark), "2021-06-01")
+    r = rf.Refresh(rf.Store(spark, f"{tmp_path}/store", buckets=8), f"{tmp_path}/bars", schema(BAR), f"{tmp_path}/facts", schema(FACT), companies, concept_map(spark), "2021-06-01", f"{tmp_path}/histories")
 
     def land(facts=(), bars=()):
         if facts:
@@ -81,11 +81,11 @@ def test_refresh_steps_in_order_and_only_what_changed(refreshed):
     before = dict(r.store._generations("fundamentals"))
     said = land([(1, "2021-04-01", 6.0)], [("T1", "2021-01-05", 3.0)])
     assert all(s["state"] == "ok" for s in said)
-    touched = r.store.touched(r.companies.where("cik = 1"), "cik")
+    touched = r.store.touched("fundamentals", r.companies.where("cik = 1"), "cik")
     after = {b: max(g for c, g in r.store._generations("fundamentals") if c == b) for b in before}
     assert {b for b in after if after[b] != before[b]} == set(touched)
     assert sorted((x.cik, x.metric, x.val) for x in r.fundamentals().collect()) == [(1, "total_assets", 6.0), (2, "total_assets", 7.0)]
-    shown = r.store.spark.read.parquet(f"{r.store.path}/snapshot")
+    shown = r.snapshot()
     assert sorted((x.ticker, x.price, x.total_assets) for x in shown.collect()) == [("T1", 3.0, 6.0), ("T2", 2.0, 7.0)]
 
 

@@ -5,44 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-ENTRY = "struct<start:string,end:string,val:double,accn:string,fy:int,fp:string,form:string,filed:string,frame:string>"
-COMPANY_FACTS = f"cik bigint, entityName string, facts map<string,map<string,struct<label:string,units:map<string,array<{ENTRY}>>>>>, _corrupt_record string"
 SUBMISSIONS = "cik string, tickers array<string>, exchanges array<string>, name string, sic string, sicDescription string, fiscalYearEnd string, filings struct<recent:struct<form:array<string>,accessionNumber:array<string>,filingDate:array<string>>>"
-PERIODIC = ("10-K", "10-Q", "20-F", "40-F", "10-K/A", "10-Q/A", "20-F/A")
+# Forms that carry statements.
+PERIODIC = ("10-K", "10-K/A", "10-KT", "10-Q", "10-Q/A", "20-F", "40-F")
 #: Window names of a price pull, by the days they reach back.
 PULLS = (("1mo", 31), ("3mo", 92), ("6mo", 183), ("1y", 366), ("2y", 731), ("5y", 1827))
 
 
-def read_docs(spark: SparkSession, path: str) -> DataFrame:
-    """One row per filing document; unreadable ones have ``_corrupt_record``."""
-    return spark.read.schema(COMPANY_FACTS).option("mode", "PERMISSIVE").option("multiLine", True).json(path)
-
-
-def flatten_docs(docs: DataFrame, concept_map: DataFrame | None = None) -> DataFrame:
-    """``(cik, taxonomy, concept, unit, period_start, ..., val)`` per entry with a value; only mapped tags if a map is given."""
-    t = docs.where("facts IS NOT NULL").select("cik", F.explode("facts").alias("taxonomy", "tags")).select("cik", "taxonomy", F.explode("tags").alias("concept", "tag"))
-    if concept_map is not None:
-        t = t.join(concept_map.select("concept").distinct(), "concept", "left_semi")
-    e = t.select("cik", "taxonomy", "concept", F.explode("tag.units").alias("unit", "entries")).select("cik", "taxonomy", "concept", "unit", F.explode("entries").alias("e"))
-    day = lambda c: F.to_date(F.nullif(F.col(c), F.lit("")))
-    return e.where("e.val IS NOT NULL").select("cik", "taxonomy", "concept", "unit", day("e.start").alias("period_start"), day("e.end").alias("period_end"), F.col("e.fy").alias("fy"), F.col("e.fp").alias("fp"), F.col("e.form").alias("form"), day("e.filed").alias("filed"), F.col("e.accn").alias("accn"), F.col("e.val").alias("val"))
-
-
-def census_of_docs(docs: DataFrame) -> DataFrame:
-    """Entries of every tag of every company, mapped or not."""
-    t = docs.where("facts IS NOT NULL").select("cik", F.explode("facts").alias("taxonomy", "tags")).select("cik", "taxonomy", F.explode("tags").alias("concept", "tag"))
-    sizes = t.select("cik", "taxonomy", "concept", F.explode("tag.units").alias("unit", "entries"))
-    return sizes.groupBy("cik", "taxonomy", "concept").agg(F.sum(F.size("entries")).alias("n_facts")).where("n_facts > 0")
-
-
-def ingest_log(docs: DataFrame, facts: DataFrame) -> DataFrame:
-    """Load status of every document: ok, empty, or error."""
-    n = facts.groupBy("cik").agg(F.count(F.lit(1)).alias("n_facts"))
-    bad = F.col("_corrupt_record").isNotNull() | F.col("cik").isNull() if "_corrupt_record" in docs.columns else F.col("cik").isNull()
-    d = docs.withColumn("bad", bad).select("cik", "bad")
-    return d.join(n, "cik", "left").select("cik", F.coalesce("n_facts", F.lit(0)).alias("n_facts"), F.when(F.col("bad"), "error").when(F.col("n_facts").isNull(), "empty").otherwise("ok").alias("status"))
-
-
 def company_meta(submissions: DataFrame) -> DataFrame:
     return submissions.select(F.expr("try_cast(cik AS BIGINT)").alias("cik"), F.upper(F.get("tickers", F.lit(0))).alias("ticker"), "name", "sic", F.col("sicDescription").alias("sic_description"), F.get("exchanges", F.lit(0)).alias("exchange"), F.col("fiscalYearEnd").alias("fiscal_year_end"))
 
@@ -80,11 +49,17 @@ def read_index_members(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("index_slug string, index_name string, ticker string, as_of date").option("header", True).csv(path)
 
 
-def upsert_latest(existing: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:
-    """Keyed upsert: an incoming row replaces the existing one of its key."""
-    both = existing.withColumn("_batch", F.lit(0)).unionByName(incoming.withColumn("_batch", F.lit(1)))
-    w = Window.partitionBy(*keys).orderBy(F.desc("_batch"))
-    return both.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn", "_batch")
+def last_written(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """Of rows of one key the last in ``order``, a column that goes."""
+    w = Window.partitionBy(*keys).orderBy(F.desc_nulls_last(order))
+    return rows.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn", order)
+
+
+def upsert_latest(existing: DataFrame, incoming: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
+    """Keyed upsert: an incoming row replaces the existing one of its key; of several, the last in ``order``, a column of ``incoming``."""
+    new = incoming.withColumn("_order", F.struct(F.lit(1).alias("batch"), F.lit(0) if order is None else F.col(order)))
+    old = existing.withColumn("_order", F.lit(None).cast(new.schema["_order"].dataType))
+    return last_written(old.unionByName(new if order is None else new.drop(order)), keys, "_order")
 
 
 def upsert_partial(existing: DataFrame, incoming: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
@@ -100,9 +75,13 @@ def replace_keys(existing: DataFrame, incoming: DataFrame, keys: list[str], touc
     return existing.join(gone, keys, "left_anti").unionByName(incoming)
 
 
-def export_screen(df: DataFrame, headings: dict[str, str], most: int = 5000) -> DataFrame:
-    """The first rows of a screen under display headings, to be written as CSV."""
-    return df.select(*headings).limit(most).toDF(*headings.values())
+def export_screen(df: DataFrame, headings: dict[str, str], path: str, most: int = 5000) -> str:
+    """Write the first rows of a screen, in its order, as one CSV file under display headings; returns ``path``.
+
+    One task writes the file, of at most ``most`` rows.
+    """
+    df.select(*headings).limit(most).toDF(*headings.values()).coalesce(1).write.option("header", True).csv(path)
+    return path
 
 
 def ingest_targets(companies: DataFrame, log: DataFrame, refresh: bool = False) -> DataFrame:

@@ -1,8 +1,8 @@
 """Incremental refresh: landed files change only what they touch.
 
-Prices, facts and fundamentals are kept as Parquet in buckets of their key and generations of a bucket. A batch
-writes a new generation of the buckets that it touches and nothing else, so a batch that was cut short is simply
-run again; generations before the one that a bucket had are deleted.
+Prices, facts, fundamentals, snapshot rows and the gauge's figures of each ticker are kept in a :mod:`store`; what one
+step changes the next ones learn from a :mod:`feed`. Of rows of one key the one that landed last wins: by the time of
+its file, the file's name, then its place in the file.
 """
 
 from __future__ import annotations
@@ -12,85 +12,21 @@ import time
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..operators.fundamentals import detect_splits, fundamentals
-from ..operators.sentiment import sentiment
+from ..operators.sentiment import reading, ticker_figures
 from ..operators.snapshot import snapshot
-from ..sources.filings import rebased_tickers, replace_keys, upsert_latest
+from ..sources.filings import last_written, rebased_tickers, replace_keys, upsert_latest
+from .feed import Feed
+from .store import Store
 
 FACT_KEYS = ["cik", "taxonomy", "concept", "unit", "period_start", "period_end", "accn"]
 BAR_KEYS = ["ticker", "date"]
-BUCKETS = 64
-
-
-@dataclass
-class Store:
-    """Tables under one folder. ``buckets`` must stay what it was when the folder was first written."""
-
-    spark: SparkSession
-    path: str
-    buckets: int = BUCKETS
-
-    def _fs(self, path: str):
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
-
-    def has(self, table: str) -> bool:
-        fs, p = self._fs(f"{self.path}/{table}")
-        return fs.exists(p)
-
-    def bucketed(self, df: DataFrame, key: str) -> DataFrame:
-        return df.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(self.buckets)).cast("int"))
-
-    def _generations(self, table: str) -> list[tuple[int, int]]:
-        """(bucket, generation) folders, read from their names."""
-        root = self._fs(f"{self.path}/{table}")
-        out = []
-        if root[0].exists(root[1]):
-            for b in root[0].listStatus(root[1]):
-                if b.getPath().getName().startswith("bucket="):
-                    for g in root[0].listStatus(b.getPath()):
-                        out.append((int(b.getPath().getName()[7:]), int(g.getPath().getName()[11:])))
-        return out
-
-    def read(self, table: str, schema: StructType, before: int | None = None, buckets: list[int] | None = None) -> DataFrame:
-        """The newest generation of each bucket (of generations below ``before``): a pruned scan of their folders."""
-        newest: dict[int, int] = {}
-        for b, g in self._generations(table):
-            if (before is None or g < before) and (buckets is None or b in buckets):
-                newest[b] = max(g, newest.get(b, g))
-        paths = [f"{self.path}/{table}/bucket={b}/generation={g}" for b, g in sorted(newest.items())]
-        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
-
-    def write(self, df: DataFrame, table: str, key: str, generation: int) -> None:
-        """``df`` holds all rows of the buckets that it touches."""
-        rows = self.bucketed(df, key).withColumn("generation", F.lit(generation))
-        rows.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "generation").parquet(f"{self.path}/{table}")
-        known = self._generations(table)
-        for b, g in known:
-            later = sorted(x for c, x in known if c == b and x > g)
-            if len(later) > 1 and later[-1] == generation:
-                fs, p = self._fs(f"{self.path}/{table}/bucket={b}/generation={g}")
-                fs.delete(p, True)
-
-    def touched(self, df: DataFrame, key: str) -> list[int]:
-        return sorted(r["bucket"] for r in self.bucketed(df.select(key), key).select("bucket").distinct().collect())
-
-    def upsert(self, table: str, batch: DataFrame, keys: list[str], generation: int) -> None:
-        """Last write wins by ``keys``, whose first column deals rows to buckets."""
-        held = self.read(table, batch.schema, generation, self.touched(batch, keys[0]))
-        self.write(upsert_latest(held, batch, keys), table, keys[0], generation)
-
-
-def normalise(store: Store, facts: DataFrame, changed: DataFrame, concept_map: DataFrame, generation: int) -> None:
-    """Fundamentals of the changed companies anew; those of all others are carried over as they are."""
-    own = facts.join(changed, "cik", "left_semi")
-    fresh = fundamentals(own, concept_map, detect_splits(own))
-    held = store.read("fundamentals", fresh.schema, generation, store.touched(changed, "cik"))
-    store.write(replace_keys(held, fresh, ["cik"], changed), "fundamentals", "cik", generation)
+LANDED = "_landed"
+READERS = {"normalise": ("facts",), "snapshot": ("bars", "fundamentals"), "sentiment": ("bars",)}
 
 
 def _drain(landed: DataFrame, apply: Callable[[DataFrame, int], None], checkpoint: str) -> None:
@@ -101,7 +37,10 @@ def _drain(landed: DataFrame, apply: Callable[[DataFrame, int], None], checkpoin
 
 @dataclass
 class Refresh:
-    """What a refresh reads and where it keeps its tables, stream checkpoints among them."""
+    """What a refresh reads and where it keeps its tables, stream checkpoints among them.
+
+    ``histories``: a folder for whole price histories, which replace all that is stored of their tickers.
+    """
 
     store: Store
     bars: str
@@ -111,66 +50,145 @@ class Refresh:
     companies: DataFrame
     concept_map: DataFrame
     as_of: str
+    histories: str | None = None
 
     files_per_batch: int = 1000
 
+    def __post_init__(self) -> None:
+        self.feed = Feed(self.store, READERS)
+
     def _landed(self, path: str, schema: StructType) -> DataFrame:
-        return self.store.spark.readStream.schema(schema).option("maxFilesPerTrigger", self.files_per_batch).parquet(path)
+        rows = self.store.spark.readStream.schema(schema).option("maxFilesPerTrigger", self.files_per_batch).parquet(path)
+        place = F.struct(F.col("_metadata.file_modification_time").alias("time"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+        return rows.select("*", place.alias(LANDED))
+
+    def _checkpoint(self, name: str) -> str:
+        return f"{self.store.path}/_checkpoints/{name}"
+
+    def _record(self, table: str, rows: DataFrame, batch_id: int) -> None:
+        """Rows of a batch beside those of other batches; a batch that is run again replaces its own."""
+        rows.withColumn("batch", F.lit(batch_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(f"{self.store.path}/{table}")
+
+    # ---- prices
+
+    def _apply_bars(self, batch: DataFrame, batch_id: int) -> None:
+        """Bars are put in by ticker and date. A whole history takes the place of all that landed before it, stored or in the batch.
+
+        Tickers whose first bar that overlaps the store has another close are put on the list of those wanted whole.
+        """
+        self.feed.publish("bars", batch.select("ticker"), batch_id)
+        touched = self.store.touched("prices", batch, "ticker", batch_id)
+        held = self.store.read("prices", self.bar_schema, batch_id, touched)
+        file = F.struct(f"{LANDED}.time", f"{LANDED}.file")
+        whole = batch.where("whole").groupBy("ticker").agg(F.max(file).alias("newest"))
+        self._record("replaced", whole.select("ticker"), batch_id)
+        known = batch.join(whole, "ticker", "left")
+        fresh = known.where(F.col("newest").isNull() | F.when(F.col("whole"), file == F.col("newest")).otherwise(file > F.col("newest"))).drop("newest", "whole")
+        self._record("rebased", rebased_tickers(held, last_written(known.where("newest IS NULL").drop("newest", "whole"), BAR_KEYS, LANDED)), batch_id)
+        kept = held.join(whole.select("ticker"), "ticker", "left_anti").select(held.columns)
+        self.store.write(upsert_latest(kept, fresh, BAR_KEYS, LANDED), "prices", "ticker", batch_id, touched)
 
     def step_prices(self) -> tuple[str, str]:
-        rebased: set[str] = set()
-
-        def apply(batch: DataFrame, batch_id: int) -> None:
-            held = self.store.read("prices", self.bar_schema, batch_id, self.store.touched(batch, "ticker"))
-            rebased.update(r["ticker"] for r in rebased_tickers(held, batch).collect())
-            self.store.upsert("prices", batch, BAR_KEYS, batch_id)
-
-        _drain(self._landed(self.bars, self.bar_schema), apply, f"{self.store.path}/_checkpoints/prices")
-        return "ok", f"{len(rebased)} rebased tickers need their history again" if rebased else "up to date"
+        landed = self._landed(self.bars, self.bar_schema).withColumn("whole", F.lit(False))
+        if self.histories is not None:
+            landed = landed.unionByName(self._landed(self.histories, self.bar_schema).withColumn("whole", F.lit(True)))
+        _drain(landed, self._apply_bars, self._checkpoint("prices"))
+        n = self.wanted().count()
+        return "ok", f"{n} rebased tickers need their history again" if n else "up to date"
+
+    def wanted(self) -> DataFrame:
+        """``(ticker)``: rebased since their whole history last came."""
+        spark = self.store.spark
+        if not self.store.names("rebased"):
+            return spark.createDataFrame([], "ticker string")
+        read = lambda t: spark.read.schema("ticker string, batch int").parquet(f"{self.store.path}/{t}") if self.store.names(t) else spark.createDataFrame([], "ticker string, batch int")
+        newest = read("rebased").groupBy("ticker").agg(F.max("batch").alias("batch"))
+        came = read("replaced").groupBy("ticker").agg(F.max("batch").alias("came"))
+        return newest.join(came, "ticker", "left").where("came IS NULL OR came < batch").select("ticker")
 
     def prices(self) -> DataFrame:
         return self.store.read("prices", self.bar_schema)
 
-    def fundamentals(self) -> DataFrame:
-        schema = fundamentals(self.store.spark.createDataFrame([], self.fact_schema), self.concept_map).schema
-        return self.store.read("fundamentals", schema)
+    def _prices_of(self, tickers: DataFrame) -> DataFrame:
+        """Bars of some tickers, from their buckets alone."""
+        return self.store.read("prices", self.bar_schema, buckets=self.store.touched("prices", tickers, "ticker")).join(tickers, "ticker", "left_semi")
 
-    def step_snapshot(self) -> tuple[str, str]:
-        if not self.store.has("fundamentals"):
-            return "skipped", "no fundamentals yet"
-        snapshot(self.fundamentals(), self.companies, self.prices()).write.mode("overwrite").parquet(f"{self.store.path}/snapshot")
-        return "ok", "written"
+    # ---- gauge
 
     def step_sentiment(self) -> tuple[str, str]:
-        """One reading a date; a second one of the same date replaces it."""
-        reading = sentiment(self.prices(), self.as_of).where("score IS NOT NULL")
-        reading.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date").parquet(f"{self.store.path}/sentiment")
+        """Figures of changed tickers anew, then one reading from those of all; one a date, a second one replaces it."""
+        upto = self.feed.pending("sentiment")
+        if upto:
+            tickers = self.feed.keys("sentiment", *upto).select(F.col("key").alias("ticker"))
+            fresh = ticker_figures(self._prices_of(tickers))
+            generation, touched = self.store.next_generation("figures"), self.store.touched("figures", tickers, "ticker")
+            held = self.store.read("figures", fresh.schema, buckets=touched)
+            self.store.write(replace_keys(held, fresh, ["ticker"], tickers), "figures", "ticker", generation, touched)
+            self.feed.done("sentiment", upto)
+        figures = self.store.read("figures", ticker_figures(self.store.spark.createDataFrame([], self.bar_schema)).schema)
+        made = reading(figures, self.as_of).where("score IS NOT NULL")
+        made.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date").parquet(f"{self.store.path}/sentiment")
         return "ok", "written"
 
-    def step_filings(self) -> tuple[str, str]:
-        def apply(batch: DataFrame, batch_id: int) -> None:
-            # which companies a batch changed is on record before its facts are, so none is forgotten
-            changed = batch.select("cik").distinct().withColumn("batch", F.lit(batch_id))
-            changed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(f"{self.store.path}/changed")
-            self.store.upsert("facts", batch, FACT_KEYS, batch_id)
+    # ---- filings
 
-        _drain(self._landed(self.facts, self.fact_schema), apply, f"{self.store.path}/_checkpoints/facts")
+    def _apply_facts(self, batch: DataFrame, batch_id: int) -> None:
+        self.feed.publish("facts", batch.select("cik"), batch_id)
+        self.store.upsert("facts", batch, FACT_KEYS, batch_id, LANDED)
+
+    def step_filings(self) -> tuple[str, str]:
+        _drain(self._landed(self.facts, self.fact_schema), self._apply_facts, self._checkpoint("facts"))
         return "ok", "up to date"
 
-    def pending(self) -> tuple[DataFrame, int] | None:
-        """Companies changed since fundamentals were last made, and the batch of the newest change."""
-        if not self.store.has("changed"):
-            return None
-        changed = self.store.spark.read.parquet(f"{self.store.path}/changed")
-        done = max((g for _, g in self.store._generations("fundamentals")), default=-1)
-        newest = changed.agg(F.max("batch")).first()[0]
-        return None if newest is None or newest <= done else (changed.where(F.col("batch") > done).select("cik").distinct(), int(newest))
+    def fundamentals(self) -> DataFrame:
+        return self.store.read("fundamentals", self._fundamental_schema())
+
+    def _fundamental_schema(self) -> StructType:
+        return fundamentals(self.store.spark.createDataFrame([], self.fact_schema), self.concept_map).schema
 
     def step_normalise(self) -> tuple[str, str]:
-        changed, newest = self.pending()
-        facts = self.store.read("facts", self.fact_schema, buckets=self.store.touched(changed, "cik"))
-        normalise(self.store, facts, changed, self.concept_map, newest)
-        return "ok", f"{changed.count()} companies"
+        """Fundamentals of the changed companies anew; those of all others are carried over as they are."""
+        upto = self.feed.pending("normalise")
+        if not upto:
+            return "ok", "up to date"
+        changed = self.feed.keys("normalise", *upto).select(F.col("key").cast("long").alias("cik"))
+        own = self.store.read("facts", self.fact_schema, buckets=self.store.touched("facts", changed, "cik")).join(changed, "cik", "left_semi")
+        fresh = fundamentals(own, self.concept_map, detect_splits(own))
+        generation, touched = self.store.next_generation("fundamentals"), self.store.touched("fundamentals", changed, "cik")
+        held = self.store.read("fundamentals", fresh.schema, buckets=touched)
+        self.feed.publish("fundamentals", changed, max(upto.values()))
+        self.store.write(replace_keys(held, fresh, ["cik"], changed), "fundamentals", "cik", generation, touched)
+        n = changed.count()
+        self.feed.done("normalise", upto)
+        return "ok", f"{n} companies"
+
+    # ---- snapshot
+
+    def _snapshot_schema(self) -> StructType:
+        empty = self.store.spark.createDataFrame
+        return snapshot(empty([], self._fundamental_schema()), self.companies.limit(0), empty([], self.bar_schema)).schema
+
+    def snapshot(self) -> DataFrame:
+        return self.store.read("snapshot", self._snapshot_schema())
+
+    def step_snapshot(self) -> tuple[str, str]:
+        """Rows of companies whose fundamentals or bars have changed; all others stay as they are."""
+        if not self.store.has("fundamentals"):
+            return "skipped", "no fundamentals yet"
+        upto = self.feed.pending("snapshot")
+        if not upto:
+            return "ok", "up to date"
+        by_bars = self.companies.join(self.feed.keys("snapshot", "bars"), F.col("ticker") == F.col("key"), "left_semi").select("cik")
+        changed = by_bars.union(self.feed.keys("snapshot", "fundamentals").select(F.col("key").cast("long"))).distinct()
+        touched = self.store.touched("snapshot", changed, "cik")
+        own = self.store.read("fundamentals", self._fundamental_schema(), buckets=self.store.touched("fundamentals", changed, "cik")).join(changed, "cik", "left_semi")
+        who = self.companies.join(changed, "cik", "left_semi")
+        fresh = snapshot(own, who, self._prices_of(who.where("ticker IS NOT NULL").select("ticker")))
+        generation = self.store.next_generation("snapshot")
+        held = self.store.read("snapshot", fresh.schema, buckets=touched)
+        self.store.write(replace_keys(held, fresh, ["cik"], changed), "snapshot", "cik", generation, touched)
+        self.feed.done("snapshot", upto)
+        return "ok", f"{len(touched)} buckets written"
 
 
 _LOCK = threading.Lock()
@@ -194,14 +212,20 @@ def run(refresh: Refresh) -> list[dict]:
             state, detail = "error", f"{type(e).__name__}: {e}"[:300]
         steps.append({"name": name, "state": state, "detail": detail, "seconds": time.monotonic() - began})
 
+    def changed() -> tuple[str, str]:
+        if refresh.feed.pending("normalise"):
+            timed("normalise", refresh.step_normalise)
+            timed("snapshot (after filings)", refresh.step_snapshot)
+        return "ok", ""
+
     try:
         timed("prices", refresh.step_prices)
         timed("snapshot", refresh.step_snapshot)
         timed("sentiment", refresh.step_sentiment)
         timed("filings", refresh.step_filings)
-        if refresh.pending() is not None:
-            timed("normalise", refresh.step_normalise)
-            timed("snapshot (after filings)", refresh.step_snapshot)
+        timed("changes", changed)
+        if steps[-1]["state"] == "ok":
+            steps.pop()  # only a failure to tell what changed is worth a line
     finally:
         _LOCK.release()
     return steps
