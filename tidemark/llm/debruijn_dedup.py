@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import free_shuffles, materialize, need
+from .storage import materialize, need
 from .wordscan import pieces, text_bytes, windows, words
 from .workers import held as held_for
 
@@ -259,13 +259,11 @@ def remove_repeats(docs: DataFrame, k: int = 13) -> DataFrame:
     sources for each other; where their texts differ, each keeps to the paths that its own words verify.
     """
     d = need(docs, "doc_id", "text")
-    paths = materialize(repeated_paths(d, k), "paths")
-    free_shuffles(d.sparkSession)
+    paths = materialize(repeated_paths(d, k), "paths", drop_shuffles=True)
     asked = paths.select("src_doc", "src_start", "n").distinct().groupBy("src_doc").agg(F.collect_list(F.struct("src_start", "n")).alias("spans"))
     sources = d.join(asked, d["doc_id"] == asked["src_doc"]).select("text", "src_doc", "spans")
     digests = sources.mapInArrow(_source_digests(k), "src_doc long, src_start int, n int, digest binary")
-    digests = materialize(digests.distinct(), "sources")
-    free_shuffles(d.sparkSession)
+    digests = materialize(digests.distinct(), "sources", drop_shuffles=True)
     verified = paths.join(digests, ["src_doc", "src_start", "n"]).groupBy("doc_id").agg(F.collect_set(F.struct("start", "n", "digest")).alias("paths"))
     out = d.join(verified, "doc_id", "left").select("doc_id", "text", "paths")
     return out.mapInArrow(_remove(k), "doc_id long, n_words long, n_removed long, kept string")

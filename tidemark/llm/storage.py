@@ -2,19 +2,31 @@
 
 from __future__ import annotations
 
-import gc
-import time
-
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.stored import new_path, shared_dir  # noqa: F401
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back: cuts lineage, survives lost executors."""
+#: Spark's own setting: shuffle files go when the execution that made them ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def materialize(df: DataFrame, label: str, drop_shuffles: bool = False) -> DataFrame:
+    """Write ``df`` once to the shared folder and read it back: cuts lineage, survives lost executors.
+
+    ``drop_shuffles``: its shuffle files go with the write, which the written table replaces; for a ``df`` that
+    nothing else will run.
+    """
     spark = df.sparkSession
     path = new_path(spark, label)
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    try:
+        if drop_shuffles:
+            spark.conf.set(CLEANUP, "true")
+        df.write.parquet(path)
+    finally:
+        if drop_shuffles:
+            spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out.materialized_path = path
     return out
@@ -40,16 +52,3 @@ def unused(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
-
-
-def free_shuffles(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of frames that nothing refers to any more.
-
-    Shuffle files go when the driver's JVM collects the frames that made them, which may be long after a
-    written table has replaced them.
-    """
-    spark.range(1).count()  # the last job that ran is still referred to by the scheduler
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.3)
