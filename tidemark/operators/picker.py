@@ -10,7 +10,7 @@ from .ranking import positions
 # Weights, words of names that say nothing, and words that name no single company alone.
 SIZE, NEWS, LUCK = 0.55, 0.45, 0.30
 NOISE = ["inc", "corp", "corporation", "co", "company", "ltd", "plc", "holdings", "group", "the", "of", "and", "de", "new", "class"]
-GENERIC = "first general american united national community capital southern northern western eastern central pacific atlantic international global financial bancorp bancshares bankshares bank energy industries systems technologies technology resources services partners trust federal republic peoples citizens farmers merchants mutual commerce premier independent world washington texas california china russia europe london america states".split()
+GENERIC = ["first", "general", "american", "united", "national", "community", "capital", "southern", "northern", "western", "eastern", "central", "pacific", "atlantic", "international", "global", "financial", "bancorp", "bancshares", "bankshares", "bank", "energy", "industries", "systems", "technologies", "technology", "resources", "services", "partners", "trust", "federal", "republic", "peoples", "citizens", "farmers", "merchants", "mutual", "commerce", "premier", "independent", "world", "washington", "texas", "california", "china", "russia", "europe", "london", "america", "states"]
 
 
 def significant_words(name: Column) -> Column:
@@ -48,21 +48,22 @@ def _bounded(token: Column) -> Column:
 def news_mentions(companies: DataFrame, headlines: DataFrame, common: DataFrame) -> DataFrame:
     """Tickers that headlines name: written as a ticker, by the two first words of the name, or by a distinctive first word.
 
-    Headlines are cut into tokens once and met by equality, never company by company. Tokens meet the companies
-    before anything is made distinct, so only tickers that are named are shuffled where Spark can ship the companies.
+    A headline is cut into tokens once and says each of its tickers, words and pairs of words once; these meet what
+    companies can be named by in one join on equality, never company by company.
     """
+    key = lambda kind, said: F.concat(F.lit(kind), said)
     c = companies.select("ticker", significant_words(F.col("name")).alias("w")).select("ticker", F.get("w", F.lit(0)).alias("w0"), F.get("w", F.lit(1)).alias("w1"))
-    text = F.coalesce("headline", F.lit(""))
-    as_ticker = headlines.select(F.explode(F.regexp_extract_all(text, F.lit(r"(?:\$|\(|\b(?:NYSE|NASDAQ|NYSEARCA|AMEX)\s*:\s*)([A-Za-z0-9.#-]+)"), F.lit(1))).alias("token"))
-    by_ticker = as_ticker.select(F.explode(_bounded(F.col("token"))).alias("ticker")).join(c.select("ticker"), "ticker").select("ticker")
-    words = headlines.select(F.regexp_extract_all(text, F.lit(r"[\p{L}\p{N}_]+|[^\s\p{L}\p{N}_]+"), F.lit(0)).alias("t"))
-    bigram = words.select(F.explode(F.zip_with("t", F.slice("t", 2, 1 << 30), lambda a, b: F.struct(F.lower(a).alias("a"), F.lower(b).alias("b")))).alias("p")).select("p.a", "p.b")
-    named = c.where("w1 IS NOT NULL").select("ticker", F.lower("w0").alias("a"), F.lower("w1").alias("b"))
-    by_name = bigram.join(named, ["a", "b"]).select("ticker")
     lone = c.where((F.length("w0") >= 5) & ~F.lower("w0").isin(*GENERIC)).join(common.select("word"), F.lower("w0") == F.col("word"), "left_anti")
-    forms = lone.select("ticker", F.explode(F.array(F.initcap(F.lower("w0")), F.upper("w0"))).alias("token"))
-    by_word = words.select(F.explode("t").alias("token")).join(forms, "token").select("ticker")
-    return by_ticker.union(by_name).union(by_word).distinct()
+    names = c.select("ticker", key("t", F.col("ticker")).alias("said")).union(c.where("w1 IS NOT NULL").select("ticker", key("p", F.concat(F.lower("w0"), F.lit(" "), F.lower("w1")))))
+    names = names.union(lone.select("ticker", F.explode(F.array(key("w", F.initcap(F.lower("w0"))), key("w", F.upper("w0"))))))
+    text = F.coalesce("headline", F.lit(""))
+    cut = headlines.select(F.regexp_extract_all(text, F.lit(r"(?:\$|\(|\b(?:NYSE|NASDAQ|NYSEARCA|AMEX)\s*:\s*)([A-Za-z0-9.#-]+)"), F.lit(1)).alias("marked"),
+                           F.regexp_extract_all(text, F.lit(r"[\p{L}\p{N}_]+|[^\s\p{L}\p{N}_]+"), F.lit(0)).alias("words"))
+    cut = cut.withColumn("low", F.transform("words", F.lower))
+    tickers = F.transform(F.flatten(F.transform("marked", _bounded)), lambda t: key("t", t))
+    pairs = F.zip_with(F.slice("low", 1, F.greatest(F.size("low") - 1, F.lit(0))), F.slice("low", 2, 1 << 30), lambda a, b: F.concat(F.lit("p"), a, F.lit(" "), b))
+    said = cut.select(F.explode(F.array_distinct(F.concat(tickers, F.transform("words", lambda w: key("w", w)), pairs))).alias("said"))
+    return said.join(names, "said").select("ticker").distinct()
 
 
 def pick_unpriced(snapshot: DataFrame, prices: DataFrame, mentions: DataFrame, n: int = 20, luck: float = LUCK, seed: int = 0) -> DataFrame:

@@ -5,11 +5,11 @@ from __future__ import annotations
 import operator
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from ..functions.expressions import escape_like, mcap_band
-from .ranking import positions
+from .ranking import neighbours, positions
 
 # The names that a screen may use, suffixes of its thresholds, curated screens and lists.
 FIELDS = {"price": "price", "market_cap": "market_cap", "mcap": "market_cap", "revenue": "revenue_ttm", "net_income": "net_income_ttm", "operating_income": "operating_income_ttm", "eps": "eps_ttm", "fcf": "fcf_ttm", "ocf": "ocf_ttm", "total_assets": "total_assets", "total_equity": "total_equity", "total_debt": "total_debt", "cash": "cash", "pe": "pe", "pb": "pb", "ps": "ps", "ev": "ev", "ev_ebit": "ev_to_ebit", "roe": "roe", "roa": "roa", "gross_margin": "gross_margin", "operating_margin": "operating_margin", "net_margin": "net_margin", "debt_to_equity": "debt_to_equity", "current_ratio": "current_ratio", "revenue_growth": "revenue_cagr_3y", "eps_growth": "eps_cagr_3y"}
@@ -90,12 +90,29 @@ def metric_ranges(snapshot: DataFrame) -> DataFrame:
     return placed.groupBy("metric").agg(at(F.floor(F.col("all") * 0.05)).alias("p5"), at(F.least(F.col("all") - 1, F.floor(F.col("all") * 0.95))).alias("p95"))
 
 
-def search(snapshot: DataFrame, term: str, n: int = 50) -> DataFrame:
-    """Companies whose ticker or name holds the term: exact tickers first, then prefixes, then by size."""
-    like = escape_like(term)
+GRAM = 3
+
+
+def name_index(snapshot: DataFrame) -> DataFrame:
+    """``(gram, cik)``: every run of one to GRAM letters of each ticker and name, in lower case, sorted by ``gram`` so that a reader skips what it does not ask for."""
+    said = snapshot.select("cik", F.explode(F.array("ticker", "name")).alias("said")).where("said <> ''").select("cik", F.lower("said").alias("said"))
+    one = lambda n: F.when(F.length("said") >= n, F.transform(F.sequence(F.lit(1), F.length("said") - n + 1), lambda i: F.substring("said", i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    grams = said.select("cik", F.explode(F.array_distinct(F.concat(*[one(n) for n in range(1, GRAM + 1)]))).alias("gram")).distinct()
+    return grams.repartitionByRange("gram").sortWithinPartitions("gram", "cik")
+
+
+def search(snapshot: DataFrame, term: str, index: DataFrame, n: int = 50) -> DataFrame:
+    """Companies whose ticker or name holds the term: exact tickers first, then prefixes, then by size.
+
+    Companies that have all of the term's runs of GRAM letters come from ``index`` (:func:`name_index`), and only
+    those are read and looked at.
+    """
+    low, like = term.lower(), escape_like(term)
+    grams = sorted({low[i : i + GRAM] for i in range(max(1, len(low) - GRAM + 1))})
+    there = index.where(F.col("gram").isin(grams)).groupBy("cik").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == len(grams)) if low else index.select("cik").distinct()
     hit = F.col("ticker").ilike(f"%{like}%") | F.col("name").ilike(f"%{like}%")
     rank = F.when(F.upper("ticker") == term.upper(), 0).when(F.col("ticker").ilike(f"{like}%"), 1).otherwise(2)
-    return snapshot.where(hit).withColumn("rank", rank).orderBy("rank", F.desc_nulls_last("market_cap"), "ticker").limit(n)
+    return snapshot.join(there, "cik", "left_semi").where(hit).withColumn("rank", rank).orderBy("rank", F.desc_nulls_last("market_cap"), "ticker").limit(n)
 
 
 def with_sector(companies: DataFrame, sic_ranges: DataFrame) -> DataFrame:
@@ -115,8 +132,11 @@ def last_bar(prices: DataFrame) -> DataFrame:
 
 
 def browse(snapshot: DataFrame, bars: DataFrame, sectors: DataFrame, members: DataFrame, sector: str | None = None, band: str | None = None, index: str | None = None,
-           letter: str | None = None, sort: str = "active", page: int = 1, per_page: int = 50) -> DataFrame:
-    """One page of companies under all given filters, with the newest bar."""
+           letter: str | None = None, sort: str = "active", after: Row | None = None, per_page: int = 50) -> DataFrame:
+    """One page of companies under all given filters, with the newest bar: the first, or the one that follows ``after``, the last row of the page before.
+
+    A page is found by its key, so a late page costs what the first one does.
+    """
     rows = snapshot.where("ticker IS NOT NULL").join(sectors.select("cik", "sector", "sector_slug"), "cik", "left").join(bars, "ticker", "left")
     if sector is not None:
         rows = rows.where(F.col("sector_slug") == sector)
@@ -127,22 +147,30 @@ def browse(snapshot: DataFrame, bars: DataFrame, sectors: DataFrame, members: Da
     if letter is not None:
         rows = rows.where(F.upper("ticker").startswith(letter.upper()))
     column, desc = SORTS[sort]
-    rows = rows.orderBy(F.col(column).desc_nulls_last() if desc else F.col(column).asc_nulls_last(), "ticker")
-    return rows.offset((page - 1) * per_page).limit(per_page) if page > 1 else rows.limit(per_page)
+    order = [F.col(column).desc_nulls_last() if desc else F.col(column).asc_nulls_last(), F.col("ticker"), F.col("cik")]
+    if after is not None:
+        v = F.lit(after[column]).cast(rows.schema[column].dataType)
+        later = (F.col("ticker") > after["ticker"]) | ((F.col("ticker") == after["ticker"]) & (F.col("cik") > after["cik"]))
+        if after[column] is None:
+            rows = rows.where(F.col(column).isNull() & later)
+        else:
+            rows = rows.where(F.col(column).isNull() | ((F.col(column) < v) if desc else (F.col(column) > v)) | ((F.col(column) == v) & later))
+    return rows.orderBy(*order).limit(per_page)
 
 
 def peers(snapshot: DataFrame, k: int = 8) -> DataFrame:
     """For every company the k nearest by market value of those with its industry, ties to the smaller ticker.
 
     Of companies of one industry and value only the first k + 1 tickers can be a peer, and only the k values next
-    above and below a company's own: a window over the values of an industry, of k rows either way.
+    above and below a company's own. The values of an industry are numbered in order and looked at in blocks that
+    lend each other k rows at their borders, so an industry of any size is many tasks.
     """
     c = snapshot.where("sic_description IS NOT NULL").select("cik", "ticker", "sic_description", F.coalesce("market_cap", F.lit(0.0)).alias("cap"))
     own = Window.partitionBy("sic_description", "cap").orderBy("ticker", "cik")
     few = c.withColumn("rn", F.row_number().over(own)).where(F.col("rn") <= k + 1)
     values = few.groupBy("sic_description", "cap").agg(F.collect_list(F.struct("cap", "ticker", "cik")).alias("near"))
-    around = Window.partitionBy("sic_description").orderBy("cap").rowsBetween(-k, k)
-    values = values.withColumn("near", F.flatten(F.collect_list("near").over(around)))
+    numbered = positions(values.select("sic_description", "cap", F.lit(1).alias("n")), "cap", ["sic_description"]).select("sic_description", "cap", "start")
+    values = neighbours(values.join(numbered, ["sic_description", "cap"]), "start", ["sic_description"], "near", k).withColumn("near", F.flatten("near"))
     gap = lambda x: F.struct(F.abs(F.col("cap") - x["cap"]).alias("gap"), x["ticker"].alias("peer"), x["cik"].alias("peer_cik"))
     others = F.filter(F.transform("near", gap), lambda x: x["peer_cik"] != F.col("cik"))
     best = c.join(values, ["sic_description", "cap"]).select("cik", F.posexplode(F.slice(F.array_sort(others), 1, k)).alias("at", "p"))

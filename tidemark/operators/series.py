@@ -42,23 +42,59 @@ def last_n_bars(prices: DataFrame, n: int = 5) -> DataFrame:
     return prices.where("close IS NOT NULL").withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= n).drop("rn")
 
 
-def price_series(prices: DataFrame, range_name: str, today: str) -> DataFrame:
-    """Every ticker's series for a range: the window up to today, else up to its own last bar, else all of its history."""
-    days, preferred = RANGES[range_name]
+def cutoff(range_name: str, anchor: Column) -> Column | None:
+    """The first day of a range that ends at ``anchor``; a year to date begins with the last close of the year before."""
+    days = RANGES[range_name][0]
+    if days is None:
+        return None
+    return F.make_date(F.year(anchor) - 1, F.lit(12), F.lit(31)) if range_name == "ytd" else F.date_sub(anchor, days)
+
+
+def _windowed(prices: DataFrame, range_name: str, today: str) -> DataFrame:
+    """Every ticker's bars of a range, with ``first``, ``last``, ``span`` of them, ``full_span`` of its history and ``fell_back``.
+
+    The window up to today; if that has fewer than two bars, the same one up to the ticker's own last bar; if that
+    has too, the whole history. Five days are the last five bars.
+    """
     p = prices.where("close IS NOT NULL").select("ticker", "date", "close")
     end = F.lit(today).cast("date")
-    begin = F.lit("0001-01-01").cast("date") if days is None else F.make_date(F.year(end), F.lit(1), F.lit(1)) if range_name == "ytd" else F.date_sub(end, days)
-    last = p.groupBy("ticker").agg(F.max("date").alias("last"))
-    r = p.join(last, "ticker").withColumn("own", F.lit("0001-01-01").cast("date") if days is None else F.date_sub("last", days))
-    counts = r.groupBy("ticker").agg(F.count_if(F.col("date").between(begin, end)).alias("n_today"), F.count_if(F.col("date") >= F.col("own")).alias("n_own"), F.first("own").alias("own"))
-    choice = F.when(F.col("n_today") >= 2, "window").when(F.col("n_own") >= 2, "own").otherwise("all")
-    chosen = p.join(counts.select("ticker", choice.alias("choice"), "own"), "ticker").where(
-        (F.col("choice") == "all") | ((F.col("choice") == "window") & F.col("date").between(begin, end)) | ((F.col("choice") == "own") & (F.col("date") >= F.col("own"))))
+    whole = p.groupBy("ticker").agg(F.min("date").alias("oldest"), F.max("date").alias("newest"))
+    begin, own = cutoff(range_name, end), cutoff(range_name, F.col("newest"))
+    r = p.join(whole, "ticker").withColumn("own", own if own is not None else F.col("oldest"))
+    in_window = F.col("date").between(begin, end) if begin is not None else F.lit(True)
+    stale = (F.col("newest") < end) & (F.col("date") >= F.col("own"))
+    every = Window.partitionBy("ticker")
+    r = r.withColumn("n_window", F.count_if(in_window).over(every)).withColumn("n_own", F.count_if(stale).over(every))
+    fell_back = (F.col("n_window") < 2) & (F.col("n_own") < 2) if begin is not None else F.lit(False)
+    chosen = r.withColumn("fell_back", fell_back).where(F.when(F.col("fell_back"), True).when(F.col("n_window") >= 2, in_window).otherwise(stale) if begin is not None else F.lit(True))
     if range_name == "5d":
-        chosen = last_n_bars(chosen, 5)
-    span = chosen.groupBy("ticker", "choice").agg(F.datediff(F.max("date"), F.min("date")).alias("span"))
-    out = downsample(chosen.drop("choice").join(span, "ticker").withColumn("pick", adaptive_bucket(F.col("span"), preferred)), F.col("pick"))
-    return out.join(span.select("ticker", (F.col("choice") == "all").alias("fell_back")), "ticker").select("ticker", "date", "close", "fell_back")
+        chosen = chosen.withColumn("rn", F.row_number().over(every.orderBy(F.desc("date")))).where("fell_back OR rn <= 5").drop("rn")
+    span = F.datediff(F.max("date").over(every), F.min("date").over(every))
+    return chosen.withColumn("span", span).withColumn("full_span", F.datediff("newest", "oldest")).select("ticker", "date", "close", "span", "full_span", "fell_back")
+
+
+def price_series(prices: DataFrame, range_name: str, today: str) -> DataFrame:
+    """Every ticker's points of a range: the last close of each bucket that suits the span, with what is true of the whole series.
+
+    ``fell_back``: all of the history is shown as there is too little for the range. ``partial``: less than 85 % of
+    what the range asks for is covered, or all of it is shown for want of more.
+    """
+    preferred, end = RANGES[range_name][1], F.lit(today).cast("date")
+    rows = _windowed(prices, range_name, today).withColumn("bucket", adaptive_bucket(F.col("span"), preferred))
+    points = rows.groupBy("ticker", "bucket", "span", "full_span", "fell_back", bucket_key(F.col("date"), F.col("bucket")).alias("key")).agg(F.max("date").alias("date"), F.max_by("close", "date").alias("close"))
+    begin = cutoff(range_name, end)
+    short = (F.col("span") > 0) & (F.col("span") < F.datediff(end, begin) * 0.85) if begin is not None and range_name != "5d" else F.lit(False)
+    partial = F.col("fell_back") | short | (F.lit(range_name == "max") & (F.col("full_span") < WEEK_SPAN))
+    return points.select("ticker", "date", "close", "bucket", "fell_back", partial.alias("partial"), F.col("span").alias("span_days"), F.col("full_span").alias("full_span_days"))
+
+
+def price_series_meta(points: DataFrame) -> DataFrame:
+    """One row a ticker of :func:`price_series`: its flags and spans, figures of the points shown, and which ranges its history can fill."""
+    of_series = ["bucket", "fell_back", "partial", "span_days", "full_span_days"]
+    flags = points.groupBy("ticker").agg(*[F.first(c).alias(c) for c in of_series])
+    full = F.col("full_span_days")
+    ranges = [(full >= 45).alias("has_6m"), (full >= 90).alias("has_1y"), (full >= DAY_SPAN).alias("has_5y")]
+    return series_meta(points.select("ticker", "date", "close")).drop("span_days").join(flags, "ticker").select("ticker", "n", "first_date", "last_date", "first_close", "last_close", "low", "high", "change", "pct", *of_series, *ranges)
 
 
 def normalize_intraday(bars: DataFrame, zone: str = "America/New_York") -> DataFrame:

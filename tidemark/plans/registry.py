@@ -53,6 +53,15 @@ def vintages_snap(x: Inputs) -> DataFrame:
     return x.keep("snapshot_history", lambda: hi.snapshot_asof(x.facts, concept_map(x.spark), x.companies, x.prices, x.vintages))
 
 
+def _history_store(x: Inputs) -> DataFrame:
+    """All vintages written by folder, then one of them again, from every second company."""
+    path = new_path(x.spark, "history")
+    hi.write_history(vintages_snap(x), path)
+    again = x.vintages.where("as_of = DATE '1998-06-30'")
+    hi.write_history(hi.snapshot_asof(x.facts.where("cik % 2 = 0"), concept_map(x.spark), x.companies, x.prices, again), path)
+    return x.spark.read.parquet(path)
+
+
 F_COLS = "metric, period_end, period_type, val, source_concept, derived, filed"
 
 # ---- facts and fundamentals
@@ -79,6 +88,7 @@ query("SELECT * FROM v_snap", "snapshot_asof")(vintages_snap)
 query("SELECT as_of, count(*) AS companies, count(pe) AS with_pe, sum(data_age_days) AS age FROM v_snap GROUP BY as_of", "history")(lambda x: vintages_snap(x).groupBy("as_of").agg(F.count(F.lit(1)).alias("companies"), F.count("pe").alias("with_pe"), F.sum("data_age_days").alias("age")))
 query("SELECT as_of, cik, metric, period_end, period_type, val, source_concept, derived, filed FROM v_f", "fundamentals_asof")(lambda x: hi.fundamentals_asof(x.facts, concept_map(x.spark), x.vintages))
 query("SELECT ticker, as_of, price, price_date FROM (SELECT a.ticker, a.as_of, p.close AS price, p.date AS price_date, row_number() OVER (PARTITION BY a.ticker, a.as_of ORDER BY p.date DESC) AS rn FROM (SELECT DISTINCT c.ticker, f.filed AS as_of FROM facts AS f JOIN companies AS c ON f.cik = c.cik) AS a JOIN prices AS p ON p.ticker = a.ticker AND p.date <= a.as_of) WHERE rn = 1", "price_at_filing")(lambda x: sn.price_asof(x.prices, x.facts.select("cik", F.col("filed").alias("as_of")).join(x.companies.select("cik", "ticker"), "cik")))
+query("SELECT * FROM v_snap WHERE as_of <> DATE '1998-06-30' OR cik % 2 = 0", "history_store")(lambda x: _history_store(x))
 query("SELECT DISTINCT as_of FROM v_snap", "vintages")(lambda x: vintages_snap(x).select("as_of").distinct())
 query("SELECT DISTINCT v.as_of FROM vintages AS v JOIN facts AS f ON f.filed <= v.as_of", "quarter_ends")(lambda x: sn.quarter_ends("1996-01-01", "2000-12-31", x.spark).join(x.facts.agg(F.min("filed").alias("first")), F.col("first") <= F.col("as_of")).select("as_of"))
 
@@ -111,7 +121,7 @@ def _lists(x: Inputs) -> DataFrame:
 
 
 query("SELECT metric, max(CASE WHEN rn = floor(n * 0.05) THEN v END) AS p5, max(CASE WHEN rn = least(n - 1, floor(n * 0.95)) THEN v END) AS p95 FROM (SELECT *, row_number() OVER (PARTITION BY metric ORDER BY v) - 1 AS rn, count(*) OVER (PARTITION BY metric) AS n FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS metric, {c} AS v FROM c_snap WHERE {c} IS NOT NULL" for c in sorted(set(sc.FIELDS.values()))) + ")) WHERE n >= 5 GROUP BY metric", "metric_ranges")(lambda x: sc.metric_ranges(snap(x)))
-query("SELECT cik, ticker, CASE WHEN upper(ticker) = '0000001' THEN 0 WHEN ticker ILIKE '0000001%' THEN 1 ELSE 2 END AS rank FROM c_snap WHERE ticker ILIKE '%0000001%' OR name ILIKE '%0000001%' ORDER BY rank, market_cap DESC NULLS LAST, ticker LIMIT 50", "search")(lambda x: sc.search(snap(x), "0000001").select("cik", "ticker", "rank"))
+query("SELECT cik, ticker, CASE WHEN upper(ticker) = '0000001' THEN 0 WHEN ticker ILIKE '0000001%' THEN 1 ELSE 2 END AS rank FROM c_snap WHERE ticker ILIKE '%0000001%' OR name ILIKE '%0000001%' ORDER BY rank, market_cap DESC NULLS LAST, ticker LIMIT 50", "search")(lambda x: sc.search(snap(x), "0000001", x.keep("name-index", lambda: sc.name_index(snap(x)))).select("cik", "ticker", "rank"))
 query("SELECT cik, sector, sector_slug FROM sectors", "sector_of")(lambda x: sc.with_sector(x.companies, sic_ranges(x.spark)).select("cik", "sector", "sector_slug"))
 query("SELECT cik, ticker FROM sectors WHERE sector_slug = 'manufacturing'", "sector_filter")(lambda x: sc.with_sector(x.companies, sic_ranges(x.spark)).where("sector_slug = 'manufacturing'").select("cik", "ticker"))
 query("SELECT sector, count(*) AS companies FROM sectors GROUP BY sector", "sector_counts")(lambda x: sc.with_sector(x.companies, sic_ranges(x.spark)).groupBy("sector").agg(F.count(F.lit(1)).alias("companies")))
@@ -129,7 +139,7 @@ def _browse(x: Inputs, **how) -> DataFrame:
 
 
 query(f"{BROWSE} WHERE s.band = 'small' AND s.ticker IN (SELECT ticker FROM members WHERE index_slug = 'i3') AND upper(s.ticker) LIKE 'S%' ORDER BY b.volume DESC NULLS LAST, s.ticker LIMIT 50", "browse")(lambda x: _browse(x, band="small", index="i3", letter="s"))
-query(f"{BROWSE} ORDER BY b.change_pct DESC NULLS LAST, s.ticker LIMIT 20 OFFSET 20", "browse_sorted")(lambda x: _browse(x, sort="gainers", page=2, per_page=20))
+query(f"{BROWSE} ORDER BY b.change_pct DESC NULLS LAST, s.ticker LIMIT 20 OFFSET 20", "browse_sorted")(lambda x: _browse(x, sort="gainers", per_page=20, after=_browse(x, sort="gainers", per_page=20).collect()[-1]))
 query(f"{BROWSE} ORDER BY b.volume DESC NULLS LAST, s.ticker LIMIT 10", "most_active")(lambda x: _browse(x, per_page=10))
 query("SELECT cik, ticker, market_cap FROM c_snap WHERE market_cap IS NOT NULL ORDER BY market_cap DESC, ticker LIMIT 12", "largest")(lambda x: snap(x).where("market_cap IS NOT NULL").orderBy(F.desc("market_cap"), "ticker").limit(12).select("cik", "ticker", "market_cap"))
 query("SELECT * FROM (SELECT a.cik, b.cik AS peer_cik, b.ticker AS peer, abs(coalesce(a.market_cap, 0) - coalesce(b.market_cap, 0)) AS gap, row_number() OVER (PARTITION BY a.cik ORDER BY abs(coalesce(a.market_cap, 0) - coalesce(b.market_cap, 0)), b.ticker) AS rank FROM c_snap AS a JOIN c_snap AS b ON a.sic_description = b.sic_description AND a.cik <> b.cik) WHERE rank <= 8", "peers")(lambda x: sc.peers(snap(x)))
@@ -181,8 +191,12 @@ query("SELECT ticker, max(date) - min(date) AS span_days, CASE WHEN max(date) -
 query("SELECT ticker, max(date) - min(date) AS span_days FROM prices GROUP BY ticker", "full_span")(lambda x: ts.full_span(x.prices))
 query("SELECT ticker, count(*) AS n, min(date) AS first_date, max(date) AS last_date, arg_min(close, date) AS first_close, arg_max(close, date) AS last_close, min(close) AS low, max(close) AS high, arg_max(close, date) - arg_min(close, date) AS change, arg_max(close, date) / nullif(arg_min(close, date), 0) * 100 - 100 AS pct, max(date) - min(date) AS span_days FROM prices GROUP BY ticker", "series_meta")(lambda x: ts.series_meta(x.prices))
 query("SELECT ticker, date, close FROM prices QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY date DESC) <= 5", "last_5_bars")(lambda x: ts.last_n_bars(x.prices, 5).select("ticker", "date", "close"))
-query("""SELECT ticker, date, close, choice = 'all' AS fell_back FROM (SELECT p.ticker, p.date, p.close, c.choice, row_number() OVER (PARTITION BY p.ticker, strftime(p.date, '%G-%V') ORDER BY p.date DESC) AS w, row_number() OVER (PARTITION BY p.ticker, p.date) AS d, max(p.date) OVER (PARTITION BY p.ticker) - min(p.date) OVER (PARTITION BY p.ticker) AS span
- FROM prices AS p JOIN (SELECT ticker, max(date) - 1827 AS own, CASE WHEN count(CASE WHEN date BETWEEN DATE '2001-11-04' - 1827 AND DATE '2001-11-04' THEN 1 END) >= 2 THEN 'window' ELSE 'own' END AS choice FROM prices GROUP BY ticker) AS c ON p.ticker = c.ticker WHERE (c.choice = 'window' AND p.date BETWEEN DATE '2001-11-04' - 1827 AND DATE '2001-11-04') OR (c.choice = 'own' AND p.date >= c.own)) WHERE span <= 400 OR w = 1""", "price_series")(lambda x: ts.price_series(x.prices, "5y", TODAY))
+SERIES = """(SELECT ticker, date, close, bucket, fell_back, fell_back OR (span > 0 AND span < 1827 * 0.85) AS partial, span AS span_days, full_span AS full_span_days FROM (SELECT *, CASE WHEN span <= 400 THEN 'day' ELSE 'week' END AS bucket, row_number() OVER (PARTITION BY ticker, strftime(date, '%G-%V') ORDER BY date DESC) AS w
+ FROM (SELECT p.ticker, p.date, p.close, c.choice = 'all' AS fell_back, c.full_span, max(p.date) OVER (PARTITION BY p.ticker) - min(p.date) OVER (PARTITION BY p.ticker) AS span
+ FROM prices AS p JOIN (SELECT ticker, max(date) - 1827 AS own, max(date) - min(date) AS full_span, CASE WHEN count(CASE WHEN date BETWEEN DATE '2001-11-04' - 1827 AND DATE '2001-11-04' THEN 1 END) >= 2 THEN 'window' WHEN max(date) < DATE '2001-11-04' THEN 'own' ELSE 'all' END AS choice FROM prices GROUP BY ticker) AS c ON p.ticker = c.ticker
+ WHERE c.choice = 'all' OR (c.choice = 'window' AND p.date BETWEEN DATE '2001-11-04' - 1827 AND DATE '2001-11-04') OR (c.choice = 'own' AND p.date >= c.own))) WHERE span <= 400 OR w = 1)"""
+query(f"SELECT * FROM {SERIES}", "price_series")(lambda x: ts.price_series(x.prices, "5y", TODAY))
+query(f"SELECT ticker, count(*) AS n, min(date) AS first_date, max(date) AS last_date, arg_min(close, date) AS first_close, arg_max(close, date) AS last_close, min(close) AS low, max(close) AS high, arg_max(close, date) - arg_min(close, date) AS change, arg_max(close, date) / nullif(arg_min(close, date), 0) * 100 - 100 AS pct, min(bucket) AS bucket, bool_or(fell_back) AS fell_back, bool_or(partial) AS partial, max(span_days) AS span_days, max(full_span_days) AS full_span_days, max(full_span_days) >= 45 AS has_6m, max(full_span_days) >= 90 AS has_1y, max(full_span_days) >= 400 AS has_5y FROM {SERIES} GROUP BY ticker", "price_series_meta")(lambda x: ts.price_series_meta(ts.price_series(x.prices, "5y", TODAY)))
 INTRA = "(SELECT cast(user_id AS varchar) AS ticker, ts, value AS close FROM events)"
 LOCAL = f"(SELECT ticker, strftime((ts AT TIME ZONE 'UTC') AT TIME ZONE 'America/New_York', '%Y-%m-%d %H:%M') AS minute, cast((ts AT TIME ZONE 'UTC') AT TIME ZONE 'America/New_York' AS date) AS session, close FROM {INTRA} WHERE close IS NOT NULL)"
 

@@ -7,7 +7,9 @@ what is asked of them reads only its own columns of that table. A document is pa
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,21 +58,16 @@ class Landed:
         return there.select("file", "cik", F.coalesce("n", F.lit(0)).alias("n_facts"), status.alias("status"), F.col("problem").alias("message"))
 
 
-def _names(spark: SparkSession, path: str, pattern: str) -> DataFrame:
-    """Files of the folder and of those inside it; their contents are not read."""
-    return spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(path).select(F.col("path").alias("file"))
-
-
 def scan(spark: SparkSession, path: str, concept_map: DataFrame | None = None, first: int | None = None, pattern: str = "*.json") -> Landed:
     """All documents of a folder, or only the ``first`` files by name; with ``concept_map`` only mapped tags become facts."""
-    names = _names(spark, path, pattern)
     read = spark.read.schema(DOCUMENT).option("mode", "PERMISSIVE").option("multiLine", True).option("pathGlobFilter", pattern).option("recursiveFileLookup", True)
-    if first is None:
-        docs = read.json(path)
-    else:
-        chosen = [r["file"] for r in names.orderBy("file").limit(first).collect()]
-        names = names.where(F.col("file").isin(chosen))
-        docs = read.json(chosen) if chosen else spark.createDataFrame([], DOCUMENT).withColumn("_metadata", F.struct(F.lit("").alias("file_path")))
+    docs = read.json(path)
+    # the names that Spark has listed, empty files among them, as its metadata column writes them
+    listed = sorted(re.sub(r"^(\w+):///", r"\1:/", f) for f in docs.inputFiles())
+    if first is not None:
+        listed = listed[:first]
+        docs = read.json([unquote(f) for f in listed]) if listed else docs.where("false")
+    names = spark.createDataFrame([(f,) for f in listed], "file string")
     docs = docs.withColumn("file", F.col("_metadata.file_path")).withColumn("cik", F.expr("try_cast(cik AS BIGINT)"))
     bad = F.when(F.col("_corrupt_record").isNotNull(), "not a filing document").when(F.col("cik").isNull(), "no company number")
     docs = docs.select("file", "cik", F.col("entityName").alias("name"), bad.alias("problem"), F.when(bad.isNull(), F.col("facts")).alias("facts"))
