@@ -45,10 +45,15 @@ def _bounded(token: Column) -> Column:
     return F.transform(ends, lambda i: F.substring(token, F.lit(1), i))
 
 
+#: Stands beside a token that is written as a ticker; no text has it as a word.
+_MARK = "\u0001"
+
+
 def news_mentions(companies: DataFrame, headlines: DataFrame, common: DataFrame) -> DataFrame:
     """Tickers that headlines name: written as a ticker, by the two first words of the name, or by a distinctive first word.
 
-    A headline is cut into tokens once and says each of its tickers, words and pairs of words once; these meet what
+    Headlines are read once and cut into tokens with the next one beside each. Only tokens that begin a company's
+    name, or are written as a ticker, go on; each of those pairs once says what it can mean, which meets what
     companies can be named by in one join on equality, never company by company.
     """
     key = lambda kind, said: F.concat(F.lit(kind), said)
@@ -59,11 +64,13 @@ def news_mentions(companies: DataFrame, headlines: DataFrame, common: DataFrame)
     text = F.coalesce("headline", F.lit(""))
     cut = headlines.select(F.regexp_extract_all(text, F.lit(r"(?:\$|\(|\b(?:NYSE|NASDAQ|NYSEARCA|AMEX)\s*:\s*)([A-Za-z0-9.#-]+)"), F.lit(1)).alias("marked"),
                            F.regexp_extract_all(text, F.lit(r"[\p{L}\p{N}_]+|[^\s\p{L}\p{N}_]+"), F.lit(0)).alias("words"))
-    cut = cut.withColumn("low", F.transform("words", F.lower))
-    tickers = F.transform(F.flatten(F.transform("marked", _bounded)), lambda t: key("t", t))
-    pairs = F.zip_with(F.slice("low", 1, F.greatest(F.size("low") - 1, F.lit(0))), F.slice("low", 2, 1 << 30), lambda a, b: F.concat(F.lit("p"), a, F.lit(" "), b))
-    said = cut.select(F.explode(F.array_distinct(F.concat(tickers, F.transform("words", lambda w: key("w", w)), pairs))).alias("said"))
-    return said.join(names, "said").select("ticker").distinct()
+    beside = F.concat(F.slice("words", 2, 1 << 30), F.slice(F.array(F.lit("")), 1, F.least(F.size("words"), F.lit(1))), F.array_repeat(F.lit(_MARK), F.size("marked")))
+    cut = cut.select(F.concat("words", "marked").alias("x"), beside.alias("y"))
+    tokens = cut.select(F.inline(F.arrays_zip("x", "y"))).withColumn("first", F.when(F.col("y") == _MARK, _MARK).otherwise(F.lower("x")))
+    begins = c.where("w0 IS NOT NULL").select(F.lower("w0").alias("first")).union(c.sparkSession.range(1).select(F.lit(_MARK))).distinct()
+    tokens = tokens.join(begins, "first", "left_semi").select("x", "y").distinct()
+    means = F.when(F.col("y") == _MARK, F.transform(_bounded(F.col("x")), lambda t: key("t", t))).otherwise(F.array_compact(F.array(key("w", F.col("x")), key("p", F.concat(F.lower("x"), F.lit(" "), F.lower("y"))))))
+    return tokens.select(F.explode(means).alias("said")).join(names, "said").select("ticker").distinct()
 
 
 def pick_unpriced(snapshot: DataFrame, prices: DataFrame, mentions: DataFrame, n: int = 20, luck: float = LUCK, seed: int = 0) -> DataFrame:
