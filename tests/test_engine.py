@@ -77,7 +77,7 @@ def refreshed(spark, tmp_path):
 def test_refresh_steps_in_order_and_only_what_changed(refreshed):
     r, land = refreshed
     names = [s["name"] for s in land([(1, "2021-02-01", 5.0), (2, "2021-02-01", 7.0)], [("T1", "2021-01-04", 1.0), ("T2", "2021-01-04", 2.0)])]
-    assert names == ["prices", "snapshot", "sentiment", "filings", "normalise", "snapshot (after filings)"]
+    assert names == ["prices", "snapshot", "sentiment", "levels", "filings", "normalise", "snapshot (after filings)"]
     before = dict(r.store._generations("fundamentals"))
     said = land([(1, "2021-04-01", 6.0)], [("T1", "2021-01-05", 3.0)])
     assert all(s["state"] == "ok" for s in said)
@@ -92,7 +92,7 @@ def test_refresh_steps_in_order_and_only_what_changed(refreshed):
 def test_refresh_without_new_filings_skips_the_second_pass(refreshed):
     r, land = refreshed
     land([(1, "2021-02-01", 5.0)], [("T1", "2021-01-04", 1.0)])
-    assert [s["name"] for s in land([], [("T1", "2021-01-05", 2.0)])] == ["prices", "snapshot", "sentiment", "filings"]
+    assert [s["name"] for s in land([], [("T1", "2021-01-05", 2.0)])] == ["prices", "snapshot", "sentiment", "levels", "filings"]
 
 
 def test_a_failing_step_stops_none_of_the_others(refreshed):

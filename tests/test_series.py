@@ -69,3 +69,22 @@ def test_a_delayed_quote_tips_the_series(spark):
     tips = lambda q: {r.ticker: (r.last_date.isoformat(), r.last_close, r.n) for r in ts.series_meta(ts.apply_quote(points, q)).collect()}
     assert tips(quote(("A", 112.5, "2025-01-03", "delayed"), ("B", 8.0, "2025-01-06", "delayed"))) == {"A": ("2025-01-03", 112.5, 2), "B": ("2025-01-06", 8.0, 2)}
     assert tips(quote(("A", 999.0, "2025-01-03", "close"), ("B", 1.0, "2025-01-01", "delayed"))) == {"A": ("2025-01-03", 110.0, 2), "B": ("2025-01-03", 9.0, 1)}
+
+
+def test_levels_give_the_points_of_all_bars(spark):
+    import random
+
+    from tidemark.operators import levels as lv
+
+    rnd = random.Random(3)
+    rows = []
+    for k, (first, n, step) in enumerate([("2010-03-01", 900, 5), ("2024-06-03", 300, 2), ("2023-01-02", 150, 5), ("2026-09-28", 1, 1), ("2015-01-05", 40, 3), ("2020-12-28", 700, 3), ("2021-09-30", 500, 4)]):
+        d = day(first)
+        for _ in range(n):
+            rows.append((f"T{k}", d, None if rnd.random() < 0.03 else float(rnd.randrange(1, 500))))
+            d += dt.timedelta(rnd.randint(1, step))
+    prices = spark.createDataFrame(rows, "ticker string, date date, close double").cache()
+    held = {k: lv.rollup(prices, k).cache() for k in lv.LEVELS}
+    for name, today in (("5y", "2026-09-30"), ("5y", "2024-02-13"), ("max", "2026-09-30"), ("1y", "2026-09-30")):
+        want = sorted(map(tuple, ts.price_series(prices, name, today).collect()))
+        assert sorted(map(tuple, lv.series_from_levels(prices, held, name, today).collect())) == want and len(want) > 100

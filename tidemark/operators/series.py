@@ -79,9 +79,15 @@ def price_series(prices: DataFrame, range_name: str, today: str) -> DataFrame:
     ``fell_back``: all of the history is shown as there is too little for the range. ``partial``: less than 85 % of
     what the range asks for is covered, or all of it is shown for want of more.
     """
-    preferred, end = RANGES[range_name][1], F.lit(today).cast("date")
+    preferred = RANGES[range_name][1]
     rows = _windowed(prices, range_name, today).withColumn("bucket", adaptive_bucket(F.col("span"), preferred))
     points = rows.groupBy("ticker", "bucket", "span", "full_span", "fell_back", bucket_key(F.col("date"), F.col("bucket")).alias("key")).agg(F.max("date").alias("date"), F.max_by("close", "date").alias("close"))
+    return flagged(points, range_name, today)
+
+
+def flagged(points: DataFrame, range_name: str, today: str) -> DataFrame:
+    """Points with the flags and spans of their series; ``span`` and ``full_span`` in days."""
+    end = F.lit(today).cast("date")
     begin = cutoff(range_name, end)
     short = (F.col("span") > 0) & (F.col("span") < F.datediff(end, begin) * 0.85) if begin is not None and range_name != "5d" else F.lit(False)
     partial = F.col("fell_back") | short | (F.lit(range_name == "max") & (F.col("full_span") < WEEK_SPAN))

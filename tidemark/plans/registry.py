@@ -11,6 +11,7 @@ from ..functions.expressions import fiscal_quarter_label, mcap_band
 from ..operators import analysis as an
 from ..operators import fundamentals as fu
 from ..operators import history as hi
+from ..operators import levels as lv
 from ..operators import picker as pk
 from ..operators import screening as sc
 from ..operators import sentiment as se
@@ -197,6 +198,7 @@ SERIES = """(SELECT ticker, date, close, bucket, fell_back, fell_back OR (span >
  WHERE c.choice = 'all' OR (c.choice = 'window' AND p.date BETWEEN DATE '2001-11-04' - 1827 AND DATE '2001-11-04') OR (c.choice = 'own' AND p.date >= c.own))) WHERE span <= 400 OR w = 1)"""
 query(f"SELECT * FROM {SERIES}", "price_series")(lambda x: ts.price_series(x.prices, "5y", TODAY))
 query(f"SELECT ticker, count(*) AS n, min(date) AS first_date, max(date) AS last_date, arg_min(close, date) AS first_close, arg_max(close, date) AS last_close, min(close) AS low, max(close) AS high, arg_max(close, date) - arg_min(close, date) AS change, arg_max(close, date) / nullif(arg_min(close, date), 0) * 100 - 100 AS pct, min(bucket) AS bucket, bool_or(fell_back) AS fell_back, bool_or(partial) AS partial, max(span_days) AS span_days, max(full_span_days) AS full_span_days, max(full_span_days) >= 45 AS has_6m, max(full_span_days) >= 90 AS has_1y, max(full_span_days) >= 400 AS has_5y FROM {SERIES} GROUP BY ticker", "price_series_meta")(lambda x: ts.price_series_meta(ts.price_series(x.prices, "5y", TODAY)))
+query(f"SELECT * FROM {SERIES}", "series_from_levels")(lambda x: lv.series_from_levels(x.prices, {k: x.keep(f"level-{k}", lambda k=k: lv.rollup(x.prices, k)) for k in lv.LEVELS}, "5y", TODAY))
 INTRA = "(SELECT cast(user_id AS varchar) AS ticker, ts, value AS close FROM events)"
 LOCAL = f"(SELECT ticker, strftime((ts AT TIME ZONE 'UTC') AT TIME ZONE 'America/New_York', '%Y-%m-%d %H:%M') AS minute, cast((ts AT TIME ZONE 'UTC') AT TIME ZONE 'America/New_York' AS date) AS session, close FROM {INTRA} WHERE close IS NOT NULL)"
 
@@ -358,6 +360,8 @@ query("SELECT index_slug, index_name, ticker, DATE '2001-01-01' AS as_of FROM me
 query(f"SELECT cik, {F_COLS} FROM c_f", "incremental_refresh")(lambda x: _refreshed(x).fundamentals().select("cik", *fu.COLUMNS))
 query("SELECT * FROM c_snap", "refreshed_snapshot")(lambda x: _refreshed(x).snapshot())
 query("SELECT ticker, date, close FROM prices", "refreshed_prices")(lambda x: _refreshed(x).prices().select("ticker", "date", "close"))
+query("""SELECT ticker, date, close, bucket, false AS fell_back, span < 1400 AS partial, span AS span_days, span AS full_span_days FROM (SELECT *, row_number() OVER (PARTITION BY ticker, CASE bucket WHEN 'day' THEN cast(date AS varchar) WHEN 'week' THEN strftime(date, '%G-%V') ELSE strftime(date, '%Y-%m') END ORDER BY date DESC) AS rn
+ FROM (SELECT *, CASE WHEN span <= 400 THEN 'day' WHEN span <= 1400 THEN 'week' ELSE 'month' END AS bucket FROM (SELECT ticker, date, close, max(date) OVER (PARTITION BY ticker) - min(date) OVER (PARTITION BY ticker) AS span FROM prices))) WHERE rn = 1""", "refreshed_series")(lambda x: (lambda r: lv.series_from_levels(r.prices(), r.levels(), "max", TODAY))(_refreshed(x)))
 query(f"SELECT * FROM {GAUGE}", "refreshed_gauge")(lambda x: x.spark.read.parquet(f"{_refreshed(x).store.path}/sentiment"))
 
 # ---- picking

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..operators.fundamentals import detect_splits, fundamentals
+from ..operators.levels import LEVELS, rollup
 from ..operators.sentiment import reading, ticker_figures
 from ..operators.snapshot import snapshot
 from ..sources.filings import last_written, rebased_tickers, replace_keys, upsert_latest
@@ -26,7 +27,7 @@ from .store import Store
 FACT_KEYS = ["cik", "taxonomy", "concept", "unit", "period_start", "period_end", "accn"]
 BAR_KEYS = ["ticker", "date"]
 LANDED = "_landed"
-READERS = {"normalise": ("facts",), "snapshot": ("bars", "fundamentals"), "sentiment": ("bars",)}
+READERS = {"normalise": ("facts",), "snapshot": ("bars", "fundamentals"), "sentiment": ("bars",), "levels": ("bars",)}
 
 
 def _drain(landed: DataFrame, apply: Callable[[DataFrame, int], None], checkpoint: str) -> None:
@@ -130,6 +131,29 @@ class Refresh:
         made.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date").parquet(f"{self.store.path}/sentiment")
         return "ok", "written"
 
+    # ---- weeks and months
+
+    def level(self, name: str) -> DataFrame:
+        return self.store.read(name, rollup(self.store.spark.createDataFrame([], self.bar_schema), name).schema)
+
+    def levels(self) -> dict[str, DataFrame]:
+        return {name: self.level(name) for name in LEVELS}
+
+    def step_levels(self) -> tuple[str, str]:
+        """Weeks and months of changed tickers anew."""
+        upto = self.feed.pending("levels")
+        if not upto:
+            return "ok", "up to date"
+        tickers = self.feed.keys("levels", *upto).select(F.col("key").alias("ticker"))
+        bars = self._prices_of(tickers)
+        for name in LEVELS:
+            fresh = rollup(bars, name)
+            generation, touched = self.store.next_generation(name), self.store.touched(name, tickers, "ticker")
+            held = self.store.read(name, fresh.schema, buckets=touched)
+            self.store.write(replace_keys(held, fresh, ["ticker"], tickers), name, "ticker", generation, touched)
+        self.feed.done("levels", upto)
+        return "ok", "written"
+
     # ---- filings
 
     def _apply_facts(self, batch: DataFrame, batch_id: int) -> None:
@@ -195,7 +219,7 @@ _LOCK = threading.Lock()
 
 
 def run(refresh: Refresh) -> list[dict]:
-    """Prices, snapshot, gauge, filings; then, only if filings changed, fundamentals of those companies and the snapshot again.
+    """Prices, snapshot, gauge, weeks and months, filings; then, only if filings changed, fundamentals of those companies and the snapshot again.
 
     Returns one ``{name, state, detail, seconds}`` a step. A step that fails is recorded as an error and stops
     none of the others. A call while another one of the process runs does nothing.
@@ -222,6 +246,7 @@ def run(refresh: Refresh) -> list[dict]:
         timed("prices", refresh.step_prices)
         timed("snapshot", refresh.step_snapshot)
         timed("sentiment", refresh.step_sentiment)
+        timed("levels", refresh.step_levels)
         timed("filings", refresh.step_filings)
         timed("changes", changed)
         if steps[-1]["state"] == "ok":
