@@ -11,6 +11,7 @@ import threading
 import time
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -165,8 +166,9 @@ class Refresh:
         return "ok", "up to date"
 
     def fundamentals(self) -> DataFrame:
-        return self.store.read("fundamentals", self._fundamental_schema())
+        return self.store.read("fundamentals", self._fundamental_schema)
 
+    @cached_property
     def _fundamental_schema(self) -> StructType:
         return fundamentals(self.store.spark.createDataFrame([], self.fact_schema), self.concept_map).schema
 
@@ -188,12 +190,13 @@ class Refresh:
 
     # ---- snapshot
 
+    @cached_property
     def _snapshot_schema(self) -> StructType:
         empty = self.store.spark.createDataFrame
-        return snapshot(empty([], self._fundamental_schema()), self.companies.limit(0), empty([], self.bar_schema)).schema
+        return snapshot(empty([], self._fundamental_schema), self.companies.limit(0), empty([], self.bar_schema)).schema
 
     def snapshot(self) -> DataFrame:
-        return self.store.read("snapshot", self._snapshot_schema())
+        return self.store.read("snapshot", self._snapshot_schema)
 
     def step_snapshot(self) -> tuple[str, str]:
         """Rows of companies whose fundamentals or bars have changed; all others stay as they are."""
@@ -205,7 +208,7 @@ class Refresh:
         by_bars = self.companies.join(self.feed.keys("snapshot", "bars"), F.col("ticker") == F.col("key"), "left_semi").select("cik")
         changed = by_bars.union(self.feed.keys("snapshot", "fundamentals").select(F.col("key").cast("long"))).distinct()
         touched = self.store.touched("snapshot", changed, "cik")
-        own = self.store.read("fundamentals", self._fundamental_schema(), buckets=self.store.touched("fundamentals", changed, "cik")).join(changed, "cik", "left_semi")
+        own = self.store.read("fundamentals", self._fundamental_schema, buckets=self.store.touched("fundamentals", changed, "cik")).join(changed, "cik", "left_semi")
         who = self.companies.join(changed, "cik", "left_semi")
         fresh = snapshot(own, who, self._prices_of(who.where("ticker IS NOT NULL").select("ticker")))
         generation = self.store.next_generation("snapshot")
