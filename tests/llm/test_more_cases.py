@@ -259,6 +259,21 @@ def test_deeper_dealing_finds_the_same_repeats(spark, monkeypatch):
     assert sorted(tuple(r) for r in got) == brute_repeats(texts)
 
 
+def test_edges_that_share_a_hash_lose_no_repeat(spark):
+    """With 3 bits of the first hash nearly all edges share it with others; the second one must tell them apart."""
+    from tidemark.llm.debruijn_dedup import remove_repeats
+
+    rng = np.random.default_rng(15)
+    words = [f"w{i}" for i in range(60)]
+    base = list(rng.choice(words, 400))
+    texts = [(i, " ".join([*rng.choice(words, 25), *base[int(rng.integers(0, 300)) :], *rng.choice(words, 15)])) for i in range(50)]
+    want = brute_repeats(texts)
+    assert sum(r[2] for r in want) > 1000
+    for bits in (3, 64):
+        got = remove_repeats(spark.createDataFrame(texts, "doc_id long, text string").repartition(5), hash_bits=bits).collect()
+        assert sorted(tuple(r) for r in got) == want
+
+
 def test_quality_by_plain_updates(spark):
     """FTRL over dictionaries, one coordinate at a time, against what train and score give."""
     import math
