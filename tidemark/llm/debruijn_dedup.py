@@ -38,7 +38,7 @@ CHUNK_WORDS = 1_000_000
 #: Edges that one bucket holds, about; the number of buckets follows the input. Bits of the hash that one step deals by.
 BUCKET_EDGES, FAN_BITS = 1_000_000, 10
 #: Parts of the edges that are matched in turn, a power of two; bytes of text for which a slice has one task, about.
-SLICES, TASK_BYTES = 4, 32 << 20
+SLICES, TASK_BYTES = 4, 16 << 20
 #: Tells the second hash of a run from the first.
 _SECOND = np.uint64(0xA24BAED4963EE407)
 _EDGES = "bucket long, chunk long, resolved boolean, hashes binary, checks binary, docs binary, counts binary, chunks binary, pos binary, src_docs binary, src_pos binary"
