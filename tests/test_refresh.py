@@ -85,6 +85,29 @@ def test_a_rebased_ticker_gets_its_whole_history_again(landing):
     assert sorted((r.ticker, r.price) for r in landing.r.snapshot().collect()) == [("T1", 52.0), ("T2", 7.0)]
 
 
+@pytest.mark.parametrize("files_per_batch", [1000, 2])
+def test_a_whole_history_may_lie_in_several_files(landing, files_per_batch):
+    bar = lambda d, c: ("T1", f"2021-01-{d:02d}", c)
+    landing.bars([bar(d, 100.0) for d in range(4, 9)])
+    landing.go()
+    landing.r.files_per_batch = files_per_batch
+
+    def history(rows, at):
+        before, path = set(os.listdir(landing.r.histories)), landing.r.histories
+        landing.spark.createDataFrame([(t, day(d), c, c, c, c, 10.0) for t, d, c in rows], BAR).repartition(4, "date").write.mode("append").parquet(path)
+        new = sorted(f for f in set(os.listdir(path)) - before if f.endswith(".parquet"))
+        for i, f in enumerate(new):
+            os.utime(f"{path}/{f}", (at + i, at + i))
+        return len(new)
+
+    assert history([bar(d, 50.0) for d in range(5, 29)], 1_900_000_000) > 2
+    landing.go()
+    assert landing.closes("T1") == {f"2021-01-{d:02d}": 50.0 for d in range(5, 29)}
+    assert history([bar(d, 40.0) for d in range(6, 20)], 1_900_001_000) + history([bar(d, 20.0) for d in range(8, 25)], 1_900_002_000) > 4
+    landing.go()
+    assert landing.closes("T1") == {f"2021-01-{d:02d}": 20.0 for d in range(8, 25)}
+
+
 def test_only_what_is_on_the_feed_gets_new_snapshot_rows(landing):
     landing.facts([(i, "2021-02-01", float(i)) for i in range(1, 31)])
     landing.bars([(f"T{i}", "2021-01-04", float(i)) for i in range(1, 31)])

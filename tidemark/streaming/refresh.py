@@ -13,7 +13,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from functools import cached_property
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -37,6 +37,11 @@ def _drain(landed: DataFrame, apply: Callable[[DataFrame, int], None], checkpoin
     query.awaitTermination()
 
 
+def _written_as(file: Column) -> Column:
+    """What tells histories apart: the files of one Spark write carry its id in their names and are one, any other file is one alone."""
+    return F.regexp_replace(file, r"part-\d+-([0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12})[^/]*$", "$1")
+
+
 @dataclass
 class Refresh:
     """What a refresh reads and where it keeps its tables, stream checkpoints among them.
@@ -71,23 +76,33 @@ class Refresh:
         """Rows of a batch beside those of other batches; a batch that is run again replaces its own."""
         rows.withColumn("batch", F.lit(batch_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(f"{self.store.path}/{table}")
 
+    def _noted(self, table: str, schema: str) -> DataFrame:
+        """What :meth:`_record` has written."""
+        spark = self.store.spark
+        return spark.read.schema(schema).parquet(f"{self.store.path}/{table}") if self.store.names(table) else spark.createDataFrame([], schema)
+
     # ---- prices
 
     def _apply_bars(self, batch: DataFrame, batch_id: int) -> None:
         """Bars are put in by ticker and date. A whole history takes the place of all that landed before it, stored or in the batch.
 
-        Tickers whose first bar that overlaps the store has another close are put on the list of those wanted whole.
+        A history may lie in several files (:func:`_written_as`) and, if it is large, in several batches: those after its
+        first add to it. Tickers whose first bar that overlaps the store has another close are put on the list of those wanted whole.
         """
         self.feed.publish("bars", batch.select("ticker"), batch_id)
         touched = self.store.touched("prices", batch, "ticker", batch_id)
         held = self.store.read("prices", self.bar_schema, batch_id, touched)
         file = F.struct(f"{LANDED}.time", f"{LANDED}.file")
-        whole = batch.where("whole").groupBy("ticker").agg(F.max(file).alias("newest"))
-        self._record("replaced", whole.select("ticker"), batch_id)
+        written = _written_as(F.col(f"{LANDED}.file"))
+        whole = batch.where("whole").groupBy("ticker").agg(F.max(file).alias("newest")).withColumn("history", _written_as(F.col("newest.file")))
+        self._record("replaced", whole.select("ticker", "history"), batch_id)
         known = batch.join(whole, "ticker", "left")
-        fresh = known.where(F.col("newest").isNull() | F.when(F.col("whole"), file == F.col("newest")).otherwise(file > F.col("newest"))).drop("newest", "whole")
-        self._record("rebased", rebased_tickers(held, last_written(known.where("newest IS NULL").drop("newest", "whole"), BAR_KEYS, LANDED)), batch_id)
-        kept = held.join(whole.select("ticker"), "ticker", "left_anti").select(held.columns)
+        own = F.when(F.col("whole"), written == F.col("history")).otherwise(file > F.col("newest"))
+        fresh = known.where(F.col("newest").isNull() | own).drop("newest", "history", "whole")
+        self._record("rebased", rebased_tickers(held, last_written(known.where("newest IS NULL").drop("newest", "history", "whole"), BAR_KEYS, LANDED)), batch_id)
+        before = self._noted("replaced", "ticker string, history string, batch int").where(F.col("batch") < batch_id)
+        begun = before.groupBy("ticker").agg(F.max_by("history", "batch").alias("history"))
+        kept = held.join(whole.join(begun, ["ticker", "history"], "left_anti").select("ticker"), "ticker", "left_anti").select(held.columns)
         self.store.write(upsert_latest(kept, fresh, BAR_KEYS, LANDED), "prices", "ticker", batch_id, touched)
 
     def step_prices(self) -> tuple[str, str]:
@@ -100,12 +115,8 @@ class Refresh:
 
     def wanted(self) -> DataFrame:
         """``(ticker)``: rebased since their whole history last came."""
-        spark = self.store.spark
-        if not self.store.names("rebased"):
-            return spark.createDataFrame([], "ticker string")
-        read = lambda t: spark.read.schema("ticker string, batch int").parquet(f"{self.store.path}/{t}") if self.store.names(t) else spark.createDataFrame([], "ticker string, batch int")
-        newest = read("rebased").groupBy("ticker").agg(F.max("batch").alias("batch"))
-        came = read("replaced").groupBy("ticker").agg(F.max("batch").alias("came"))
+        newest = self._noted("rebased", "ticker string, batch int").groupBy("ticker").agg(F.max("batch").alias("batch"))
+        came = self._noted("replaced", "ticker string, batch int").groupBy("ticker").agg(F.max("batch").alias("came"))
         return newest.join(came, "ticker", "left").where("came IS NULL OR came < batch").select("ticker")
 
     def prices(self) -> DataFrame:
