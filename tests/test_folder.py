@@ -52,3 +52,19 @@ def test_the_first_files_by_name(spark, folder):
     found = ff.scan(spark, folder, concept_map(spark), first=3)
     assert [s[0] for s in status(found)] == ["a.json", "b.json", "c.json"] and found.facts().count() == 2
     assert ff.scan(spark, folder, first=0).log().count() == 0
+
+
+def test_the_registered_folder_queries_read_every_company():
+    from tidemark.plans.registry import oracle_sql
+
+    assert "% 10" not in oracle_sql()["ingest_companyfacts"].rsplit("SELECT", 1)[1] and "% 10" not in oracle_sql()["census_of_docs"].rsplit("SELECT", 1)[1]
+
+
+def test_whole_documents_of_all_companies_are_landed(spark):
+    from tidemark.plans.registry import queries
+    from tidemark.sources.adapters import Inputs
+
+    sf = "/root/testdata/sf0.001"
+    q, facts = queries(), Inputs(spark, sf).facts
+    assert q["ingest_companyfacts"](spark, sf).count() == facts.count()
+    assert q["census_of_docs"](spark, sf).select("cik").distinct().count() == facts.select("cik").distinct().count()

@@ -245,14 +245,14 @@ query(f"SELECT date, score, CASE WHEN score < 20 THEN 'extreme-fear' WHEN score
 READ = "cik % 10 NOT IN (3, 5, 7, 9)"
 
 
-def _folder(x: Inputs) -> str:
-    """A folder of filing documents, one file a company, some of them broken."""
+def _folder(x: Inputs, broken: bool) -> str:
+    """A folder of filing documents, one file a company: all of them whole, or some of them ``broken``."""
     e = F.struct(F.col("period_start").cast("string").alias("start"), F.col("period_end").cast("string").alias("end"), "val", "accn", "fy", "fp", "form", F.col("filed").cast("string").alias("filed"))
     u = x.facts.groupBy("cik", "taxonomy", "concept", "unit").agg(F.collect_list(e).alias("entries"))
     t = u.groupBy("cik", "taxonomy", "concept").agg(F.map_from_entries(F.collect_list(F.struct("unit", "entries"))).alias("units"))
     c = t.groupBy("cik", "taxonomy").agg(F.map_from_entries(F.collect_list(F.struct(F.col("concept"), F.struct(F.col("concept").alias("label"), F.col("units")).alias("tag")))).alias("tags"))
     d = c.groupBy("cik").agg(F.map_from_entries(F.collect_list(F.struct("taxonomy", "tags"))).alias("facts"))
-    kind = F.col("cik") % 10
+    kind = F.col("cik") % 10 if broken else F.lit(0)
     doc = F.to_json(F.struct(F.when(kind != 9, F.lpad(F.col("cik").cast("string"), 10, "0")).alias("cik"), F.concat(F.lit("Company "), "cik").alias("entityName"), F.when(kind != 7, F.col("facts")).alias("facts")))
     text = F.when(kind == 3, F.substring(doc, 1, 200)).when(kind == 5, "").otherwise(doc)
     path = new_path(x.spark, "filing-documents")
@@ -260,14 +260,14 @@ def _folder(x: Inputs) -> str:
     return path
 
 
-def _scan(x: Inputs, **how) -> ff.Landed:
-    return ff.scan(x.spark, _folder(x), concept_map(x.spark), pattern="part-*", **how)
+def _scan(x: Inputs, broken: bool = True, **how) -> ff.Landed:
+    return ff.scan(x.spark, _folder(x, broken), concept_map(x.spark), pattern="part-*", **how)
 
 
 FACT_COLUMNS = ["cik", "concept", "unit", "period_start", "period_end", "filed", "accn", "val"]
-query(f"SELECT {', '.join(FACT_COLUMNS)} FROM facts WHERE {READ}", "ingest_companyfacts")(lambda x: _scan(x).facts().select(FACT_COLUMNS))
+query(f"SELECT {', '.join(FACT_COLUMNS)} FROM facts", "ingest_companyfacts")(lambda x: _scan(x, broken=False).facts().select(FACT_COLUMNS))
 query(f"SELECT {', '.join(FACT_COLUMNS)} FROM facts WHERE {READ} AND cik IN (SELECT DISTINCT cik FROM facts ORDER BY cik LIMIT 9)", "ingest_first_files")(lambda x: _scan(x, first=9).facts().select(FACT_COLUMNS))
-query(f"SELECT cik, taxonomy, concept, count(*) AS n_facts FROM facts WHERE {READ} GROUP BY cik, taxonomy, concept", "census_of_docs")(lambda x: _scan(x).census())
+query("SELECT cik, taxonomy, concept, count(*) AS n_facts FROM facts GROUP BY cik, taxonomy, concept", "census_of_docs")(lambda x: _scan(x, broken=False).census())
 query("SELECT DISTINCT cik, concat('Company ', cik) AS name FROM facts WHERE cik % 10 NOT IN (3, 5, 9)", "ingest_companies")(lambda x: _scan(x).companies())
 query("SELECT cik AS company, CASE WHEN cik % 10 NOT IN (3, 5, 9) THEN cik END AS cik, CASE WHEN cik % 10 NOT IN (3, 5, 7, 9) THEN count(*) ELSE 0 END AS n_facts, CASE WHEN cik % 10 = 7 THEN 'empty' WHEN cik % 10 IN (3, 5, 9) THEN 'error' ELSE 'ok' END AS status, CASE cik % 10 WHEN 3 THEN 'not a filing document' WHEN 5 THEN 'no document' WHEN 9 THEN 'no company number' END AS message FROM facts GROUP BY cik", "ingest_log")(
     lambda x: _scan(x).log().select(F.regexp_extract("file", "company=(\\d+)", 1).cast("long").alias("company"), "cik", "n_facts", "status", "message"))
