@@ -30,7 +30,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by a similarity of 0.8 of their five-word shingles, the smallest doc_id stays."""
+    """Of documents linked by a similarity of 0.8 of their five-word shingles, the smallest doc_id stays: SimHash anchors first, exact sets decide."""
     return simhash_dedup.keep_first(docs, similarity=0.8, shingle_words=5)
 
 

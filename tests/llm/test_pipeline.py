@@ -62,3 +62,28 @@ def test_run_returns_tokens_of_what_is_kept(spark, tables):
         want = t.encode(r.text, add_special_tokens=False).ids
         assert bytes(r.ids) == struct.pack(f"<{len(want)}I", *want) and r.n_tokens == len(want)
     assert os.path.exists(corpus_pipeline.__file__) and {r.text for r in rows if r.doc_id == 7} == {texts[7]}
+
+
+def test_near_duplicates_meet_by_their_fingerprints_anchors(spark, tables, monkeypatch):
+    from tidemark.llm import simhash_dedup
+
+    folder, _ = tables
+    seen, links = [], simhash_dedup.fingerprint_links
+
+    def watched(nodes, n_nodes, *more):
+        out = links(nodes, n_nodes, *more)
+        seen.append((n_nodes, out.count()))
+        return out
+
+    monkeypatch.setattr(simhash_dedup, "fingerprint_links", watched)
+    docs = spark.read.parquet(f"{folder}/documents.parquet").where("doc_id < 100 OR doc_id > 199")
+    kept = {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, folder).collect()}
+    assert len(seen) == 1 and seen[0][0] > 60 and seen[0][1] > 0
+    assert not {200, 201} & kept and set(range(60)) <= kept
+
+
+def test_equal_and_near_fingerprints_make_pairs(spark):
+    from tidemark.llm.simhash_dedup import fingerprint_pairs
+
+    nodes = spark.createDataFrame([(1, 0), (2, 0), (3, 0b1111), (4, -1), (5, -2)], "node long, fp long")
+    assert {(r.a, r.b) for r in fingerprint_pairs(nodes).collect()} == {(2, 1), (3, 1), (5, 4)}

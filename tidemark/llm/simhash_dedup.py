@@ -55,10 +55,14 @@ def simhash(text: str | None, shingle_words: int = 4, width: int = 1) -> np.ndar
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))[: len(words) - k + 1]
     ends = ends[k - 1 :]
-    counts, digest = np.zeros(64 * width, np.int64), xxhash.xxh64_intdigest
+    digest = xxhash.xxh64_intdigest
     every = np.fromiter((digest(joined[i:j], SEED) for i, j in zip(starts.tolist(), ends.tolist())), np.uint64, len(starts))
-    every = np.unique(every) if width > 1 else every
-    n = len(every)
+    return _majority(np.unique(every) if width > 1 else every, width)
+
+
+def _majority(every: np.ndarray, width: int = 1) -> np.ndarray:
+    """The bits that over half of the hashes have; zero without any."""
+    counts, n = np.zeros(64 * width, np.int64), len(every)
     for at in range(0, n, 16384):
         h = every[at : at + 16384]
         wide = np.stack([h] + [mix(h + np.uint64(w * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) for w in range(1, width)], 1)
@@ -336,9 +340,9 @@ def _differ(x: bytes, y: bytes) -> int:
 
 
 def _prefixes(shingle_words: int, similarity: float, common):
-    """Per text: its node, set size, prefix from rare to common (the first ``rare`` of it not in ``common``), and parity bits.
+    """Per text: its node, set size, prefix from rare to common (the first ``rare`` of it not in ``common``), parity bits, and SimHash fingerprint of the set.
 
-    Of the texts of one node that a task meets, the first has the last three, the others have none (a task that
+    Of the texts of one node that a task meets, the first has the last four, the others have none (a task that
     meets very many nodes forgets and says them again).
     """
 
@@ -349,7 +353,7 @@ def _prefixes(shingle_words: int, similarity: float, common):
         for batch in batches:
             for at in range(0, max(batch.num_rows, 1), 256):
                 part = batch.slice(at, 256)
-                node, size, rare, prefix, bits, mark = [], [], [], [], [], []
+                node, size, rare, prefix, bits, mark, fp = [], [], [], [], [], [], []
                 for text in part.column(1).to_pylist():
                     x = _shingles(text, shingle_words)
                     n, often = len(x), np.zeros(len(x), np.int64)
@@ -358,14 +362,14 @@ def _prefixes(shingle_words: int, similarity: float, common):
                         often = np.where(token[near] == x.view(np.int64), count[near], 0)
                     node.append(_node(x)), size.append(n)
                     if node[-1] in said:
-                        rare.append(0), prefix.append(None), bits.append(None), mark.append(None)
+                        rare.append(0), prefix.append(None), bits.append(None), mark.append(None), fp.append(None)
                         continue
                     said = said if len(said) < NODES_SAID else set()
                     said.add(node[-1])
                     first = np.argsort(often, kind="stable")[: n - math.ceil(similarity * n - 1e-9) + 1]
                     prefix.append(x[first].view(np.int64)), rare.append(int((often[first] == 0).sum()))
-                    bits.append(_parity(x)), mark.append(_mark(bits[-1]))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(node, pa.int64()), pa.array(size, pa.int32()), pa.array(rare, pa.int32()), pa.array(prefix, pa.list_(pa.int64())), pa.array(bits, pa.binary()), pa.array(mark, pa.binary())], [f.split()[0] for f in _PRINT.split(", ")])
+                    bits.append(_parity(x)), mark.append(_mark(bits[-1])), fp.append(int(_majority(x).view(np.int64)[0]))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(node, pa.int64()), pa.array(size, pa.int32()), pa.array(rare, pa.int32()), pa.array(prefix, pa.list_(pa.int64())), pa.array(bits, pa.binary()), pa.array(mark, pa.binary()), pa.array(fp, pa.int64())], [f.split()[0] for f in _PRINT.split(", ")])
 
     return run
 
@@ -486,7 +490,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, similarity: f
     return likely, sure
 
 
-_PRINT = "doc_id long, copy long, node long, size int, rare int, prefix array<long>, bits binary, mark binary"
+_PRINT = "doc_id long, copy long, node long, size int, rare int, prefix array<long>, bits binary, mark binary, fp long"
 
 
 def _central(k: int) -> Column:
@@ -510,12 +514,20 @@ def shared_tokens(firsts: DataFrame) -> DataFrame:
     return rare.unionByName(often.select("token", "node", "size", "at").join(F.broadcast(counted), "token"))
 
 
+def fingerprint_pairs(nodes: DataFrame) -> DataFrame:
+    """``(node, fp)`` -> pairs ``(a, b)``, a > b, that join all nodes whose fingerprints are linked: equal ones through their least node, others by :func:`fingerprint_links`."""
+    reps = materialize(nodes.groupBy("fp").agg(F.min("node").alias("rep")), "fingerprints")
+    equal = nodes.join(reps, "fp").where("node <> rep").select(F.col("node").alias("a"), F.col("rep").alias("b"))
+    return equal.union(fingerprint_links(reps, reps.count()).select("a", "b"))
+
+
 def similar_classes(docs: DataFrame, similarity: float = 0.8, shingle_words: int = 5) -> tuple[DataFrame, DataFrame]:
     """(``doc_id, copy, node`` of each row, ``node, root`` of each node with links), over all pairs at ``similarity``.
 
     ``docs`` are ``(doc_id, text, copy)``; copy is a digest of the text, which tells rows of one doc_id apart.
 
-    Two sets of that similarity share one of their rarest shingles, of which each needs only a prefix. In each of
+    Nodes whose SimHash fingerprints are linked by anchors (:func:`fingerprint_pairs`) are compared first. What these
+    verified links leave apart follows, as a fingerprint's distance only estimates a similarity: two sets of that similarity share one of their rarest shingles, of which each needs only a prefix. In each of
     ROUNDS rounds a token's nodes are compared with one of them, which joins most of what belongs together in
     pairs that grow with the nodes; then all pairs that components of these verified links leave apart. Sizes,
     positions and parity bits rule out only what cannot reach the similarity, and exact sets decide on the rest,
@@ -525,10 +537,11 @@ def similar_classes(docs: DataFrame, similarity: float = 0.8, shingle_words: int
     common = spark.sparkContext.broadcast(common_shingles(docs, n_docs, shingle_words))
     prints = materialize(docs.mapInArrow(_prefixes(shingle_words, similarity, common), _PRINT), "prints")
     firsts = prints.where("prefix IS NOT NULL")
-    nodes = materialize(firsts.select("node", "doc_id", "size", "bits", "mark").dropDuplicates(["node"]), "nodes")
+    nodes = materialize(firsts.select("node", "doc_id", "size", "bits", "mark", "fp").dropDuplicates(["node"]), "nodes")
     rows = materialize(shared_tokens(firsts), "tokens")
     pairs = rows.where("node <> lead").select("node", "lead")
-    compared, sure, apart = [], [], rows
+    new, verified = _verified(fingerprint_pairs(nodes.select("node", "fp")), docs, nodes, similarity, shingle_words)
+    compared, sure, apart = [new], [verified], rows
     for k in range(ROUNDS):
         ends = pairs.select(F.greatest("node", "lead").alias("a"), F.least("node", "lead").alias("b")).distinct()
         new, verified = _verified(_without(ends, compared), docs, nodes, similarity, shingle_words)
