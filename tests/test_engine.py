@@ -208,3 +208,21 @@ def test_labels(spark):
     codes = [("6022", "Banking"), ("3674", "Semiconductors"), ("7372", "Software & IT services"), ("2834", "Biotech & Pharma"), ("3711", "Manufacturing"), ("5812", "Retail trade"), (None, "Unclassified"), ("garbage", "Unclassified")]
     got = sc.with_sector(spark.createDataFrame([(i, c) for i, (c, _) in enumerate(codes)], "cik long, sic string"), sic_ranges(spark)).collect()
     assert {r.cik: r.sector for r in got} == {i: w for i, (_, w) in enumerate(codes)}
+
+
+def test_facts_read_lineitem_once_and_companies_are_dealt_by_their_number(spark):
+    from tidemark.operators import fundamentals as fu
+    from tidemark.sources import adapters
+    from tidemark.sources.concepts import concept_map
+
+    x = adapters.Inputs(spark, "/root/testdata/sf0.001")
+    assert "{lineitem}" not in adapters.FACTS_SPARK and adapters._V.count("{lineitem}") == 1
+    tasks = fu.by_company(x.facts).rdd.getNumPartitions()
+    fu_rows, fu.TASK_FACTS = fu.TASK_FACTS, 100
+    try:
+        many = fu.by_company(x.facts).rdd.getNumPartitions()
+    finally:
+        fu.TASK_FACTS = fu_rows
+    assert many == max(tasks, -(-x.facts.count() // 100))
+    plan = fu.fundamentals(x.facts, concept_map(spark))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= 3 and "REPARTITION_BY_NUM" in plan

@@ -16,6 +16,8 @@ CLEAN_RATIOS = (2, 3, 4, 5, 6, 7, 8, 10, 15, 20, 25, 30, 40, 50)
 TOLERANCE = 0.03
 PER_SHARE, SHARE_COUNT = ("eps_basic", "eps_diluted"), ("shares_diluted", "shares_outstanding")
 STAGES = ("Q", "H", "T9", "FY")
+#: Facts that one task takes, about.
+TASK_FACTS = 50_000
 FACT = ["cik", "unit", "concept", "period_start", "period_end"]
 
 
@@ -29,9 +31,15 @@ def precedence() -> list[Column]:
     return [F.asc("derived"), F.desc("first_filed"), F.desc("first_accn"), F.desc_nulls_last("period_start")]
 
 
-def latest_facts(facts: DataFrame) -> DataFrame:
-    """The value in force of each fact, of all versions."""
-    return facts.groupBy(*FACT).agg(F.max_by("val", F.struct("filed", "accn", "taxonomy")).alias("val"))
+def by_company(facts: DataFrame) -> DataFrame:
+    """Facts dealt by company to as many tasks as they need: windows and groups within companies shuffle no more, and a task's share doesn't grow with the table."""
+    tasks = max(facts.sparkSession.sparkContext.defaultParallelism, -(-facts.count() // TASK_FACTS))
+    return facts.repartition(tasks, "cik")
+
+
+def latest_facts(facts: DataFrame, beside: tuple[str, ...] = ()) -> DataFrame:
+    """The value in force of each fact, of all versions; ``beside``: columns that a period has once."""
+    return facts.groupBy(*FACT).agg(F.max_by("val", F.struct("filed", "accn", "taxonomy")).alias("val"), *[F.first(c).alias(c) for c in beside])
 
 
 def period_filed(facts: DataFrame) -> DataFrame:
@@ -41,11 +49,11 @@ def period_filed(facts: DataFrame) -> DataFrame:
     return out.select(*period, "filed", F.col("first.filed").alias("first_filed"), F.col("first.accn").alias("first_accn"))
 
 
-def resolve_metrics(latest: DataFrame, concept_map: DataFrame) -> DataFrame:
-    """Per period and metric the first tag, in order of preference, that has a value in the metric's unit."""
+def resolve_metrics(latest: DataFrame, concept_map: DataFrame, beside: tuple[str, ...] = ()) -> DataFrame:
+    """Per period and metric the first tag, in order of preference, that has a value in the metric's unit; ``beside``: columns that a period has once."""
     joined = latest.join(F.broadcast(concept_map.select("metric", "unit", "concept", "priority")), ["unit", "concept"])
-    best = joined.groupBy("cik", "period_start", "period_end", "metric", "unit").agg(F.min_by(F.struct("val", "concept"), "priority").alias("best"))
-    return best.select("cik", "period_start", "period_end", "metric", "unit", "best.val", F.col("best.concept").alias("source_concept"))
+    best = joined.groupBy("cik", "period_start", "period_end", "metric", "unit").agg(F.min_by(F.struct("val", "concept"), "priority").alias("best"), *[F.first(c).alias(c) for c in beside])
+    return best.select("cik", "period_start", "period_end", "metric", "unit", "best.val", F.col("best.concept").alias("source_concept"), *beside)
 
 
 def classify(df: DataFrame) -> DataFrame:
@@ -127,10 +135,11 @@ def adjust_splits(rows: DataFrame, splits: DataFrame) -> DataFrame:
 
 def reported_rows(facts: DataFrame, concept_map: DataFrame) -> DataFrame:
     """Resolved, classified rows with their filing dates; of two periods with one start and type the later seen one."""
-    resolved = classify(resolve_metrics(latest_facts(facts), concept_map))
-    dates = period_filed(facts)
-    cond = [resolved[k].eqNullSafe(dates[k]) for k in ("cik", "period_start", "period_end")]
-    rows = resolved.join(dates, cond).select(*[resolved[c] for c in resolved.columns], "filed", "first_filed", "first_accn")
+    period = Window.partitionBy("cik", "period_start", "period_end")
+    dates = F.struct(F.max("filed").over(period).alias("filed"), F.min(F.struct("filed", "accn")).over(period).alias("first"))
+    dated = by_company(facts).withColumn("dates", dates)
+    resolved = classify(resolve_metrics(latest_facts(dated, ("dates",)), concept_map, ("dates",)))
+    rows = resolved.select(*[c for c in resolved.columns if c != "dates"], "dates.filed", F.col("dates.first.filed").alias("first_filed"), F.col("dates.first.accn").alias("first_accn"))
     w = Window.partitionBy("cik", "period_start", "period_type")
     best = F.max(F.struct("first_filed", "first_accn", "period_end")).over(w)
     return rows.withColumn("best", best).where((F.col("period_type") == "INSTANT") | (F.col("best.period_end") == F.col("period_end"))).drop("best").withColumn("derived", F.lit(0))

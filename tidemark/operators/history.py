@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .fundamentals import COLUMNS, FACT, classify, precedence, stage
+from .fundamentals import COLUMNS, FACT, by_company, classify, precedence, stage
 from .intervals import at_vintages, first_in_force, let, pieces, versions
 from .snapshot import GROWTH, INSTANTS, TTM_METRICS, growth_of, price_asof, ratio_columns, trailing
 
@@ -77,7 +77,7 @@ def q4_spans(rows: DataFrame) -> DataFrame:
 
 def fundamentals_spans(facts: DataFrame, concept_map: DataFrame) -> DataFrame:
     """Canonical rows with the interval in which each was known; at any day one row a metric, period end and type."""
-    rows = ytd_spans(replaced_periods(resolved_spans(facts.repartition("cik"), concept_map)))
+    rows = ytd_spans(replaced_periods(resolved_spans(by_company(facts), concept_map)))
     return q4_spans(first_in_force(rows, ["cik", "metric", "period_end", "period_type"], precedence()))
 
 
@@ -120,7 +120,6 @@ def filing_days(facts: DataFrame) -> DataFrame:
 
 def snapshot_asof(facts: DataFrame, concept_map: DataFrame, companies: DataFrame, prices: DataFrame, vintages: DataFrame) -> DataFrame:
     """The snapshot as it could have been made on each ``as_of``, with the age of its data: one job for all vintages."""
-    facts = facts.repartition("cik")
     figures = at_vintages(figure_spans(fundamentals_spans(facts, concept_map)), vintages)
     pick = lambda kind, metric, name: F.max(F.when((F.col("kind") == kind) & (F.col("metric") == metric), F.col("v"))).alias(name)
     wide = figures.groupBy("as_of", "cik").agg(*[pick("t", m, f"t_{m}") for m in TTM_METRICS], *[pick("i", m, f"i_{m}") for m in INSTANTS], *[pick("g", m, f"g_{m}") for m in GROWTH])

@@ -40,11 +40,14 @@ rows AS (
  UNION ALL SELECT s, 'EarningsPerShareDiluted', 'USD/shares', ps, pe, y, fp, '10-K/A', DATE '1999-11-01', concat(s, '-1999-S'), ni / (1048576 * k) / 4 FROM per WHERE s % 5 = 0 AND y IN (1997, 1998) AND fp = 'FY')
 SELECT s AS cik, 'us-gaap' AS taxonomy, concept, unit, cast(ps AS date) AS period_start, cast(pe AS date) AS period_end, cast(y AS int) AS fy, fp, form, filed, accn, cast(val AS double) AS val FROM rows"""
 
+#: Spark reads the quarterly sums from where they are kept: the text names them in some fifteen places, each a scan and a shuffle of lineitem.
+FACTS_SPARK = FACTS.replace(f"WITH v AS ({_V})", "WITH v AS (SELECT * FROM {quarters})", 1)
+
 COMPANIES = """SELECT s_suppkey AS cik, s_name AS ticker, s_name AS name, CASE WHEN s_suppkey % 17 = 16 THEN NULL ELSE cast(100 + (s_suppkey * 397) % 9900 AS varchar(9)) END AS sic,
  concat('SIC ', s_suppkey % 20) AS sic_description, 'X' AS exchange, '1231' AS fiscal_year_end FROM {supplier}"""
 
 _BARS = """SELECT s.s_name AS ticker, cast(l_shipdate AS date) AS date, l_extendedprice / 256.0 AS px, l_quantity AS qty, l_orderkey, l_linenumber, l_extendedprice FROM {lineitem} JOIN {supplier} AS s ON l_suppkey = s.s_suppkey"""
-PRICES_SPARK = f"""SELECT ticker, date, min_by(px, struct(l_orderkey, l_linenumber, l_extendedprice)) AS open, max(px) AS high, min(px) AS low, max_by(px, struct(l_orderkey, l_linenumber, l_extendedprice)) AS close, sum(qty) AS volume FROM ({_BARS}) AS b GROUP BY ticker, date"""
+PRICES_SPARK = f"""SELECT ticker, date, min_by(px, struct(l_orderkey, l_linenumber, l_extendedprice)) AS open, max(px) AS high, min(px) AS low, max_by(px, struct(l_orderkey, l_linenumber, l_extendedprice)) AS close, sum(qty) AS volume FROM (SELECT /*+ REPARTITION(ticker) */ * FROM ({_BARS})) AS b GROUP BY ticker, date"""
 PRICES_DUCK = f"""SELECT ticker, date, arg_min(px, struct_pack(a := l_orderkey, b := l_linenumber, c := l_extendedprice)) AS open, max(px) AS high, min(px) AS low, arg_max(px, struct_pack(a := l_orderkey, b := l_linenumber, c := l_extendedprice)) AS close, sum(qty) AS volume FROM ({_BARS}) AS b GROUP BY ticker, date"""
 
 MEMBERS = """SELECT concat('i', m.k) AS index_slug, concat('Index ', m.k) AS index_name, s_name AS ticker FROM {supplier} JOIN (VALUES (3), (5), (7)) AS m(k) ON s_suppkey % m.k = 0"""
@@ -84,7 +87,10 @@ class Inputs:
 
     @property
     def facts(self) -> DataFrame:
-        return self._keep("facts", FACTS, "lineitem")
+        def make() -> DataFrame:
+            return self.spark.sql(FACTS_SPARK, quarters=self._keep("quarters", _V, "lineitem"))
+
+        return self.keep("facts", make)
 
     @property
     def companies(self) -> DataFrame:
