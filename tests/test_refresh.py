@@ -6,6 +6,7 @@ import datetime as dt
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.sources import filings as fi
 from tidemark.sources.concepts import concept_map
@@ -159,3 +160,24 @@ def test_buckets_split_as_they_grow(spark, tmp_path):
         assert set(store.touched("t", store.read("t", rows(0, 1, 0).schema, buckets=[b]), "k")) <= {b}
     with pytest.raises(ValueError):
         Store(spark, "x", buckets=3)
+
+
+def test_a_table_has_few_buckets_however_small_their_limit(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("tidemark.streaming.store.MOST", 4, raising=False)
+    s = Store(spark, str(tmp_path), buckets=1, limit=1)
+    for n in range(7):
+        rows = spark.range(64).select(F.col("id").alias("k"), F.lit(n).alias("v"))
+        s.upsert("t", rows, ["k"], n)
+    assert 4 <= len(s._newest("t", None)) <= 16
+    back = s.read("t", rows.schema).collect()
+    assert sorted(r.k for r in back) == list(range(64)) and {r.v for r in back} == {6}
+
+
+def test_only_the_first_days_of_a_batch_tell_a_rebased_ticker(landing):
+    landing.bars([("T1", f"2021-01-{d:02d}", 2.0) for d in range(4, 14)] + [("T2", f"2021-01-{d:02d}", 2.0) for d in range(4, 14)])
+    landing.go()
+    # T1: the first day that overlaps is another, though it landed before a row with the stored close; T2: only a later day is
+    landing.bars([("T1", "2021-01-04", 2.0)] + [("T1", f"2021-01-{d:02d}", 1.0) for d in range(5, 13)], at=1_900_000_000)
+    landing.bars([("T1", "2021-01-04", 1.0), ("T2", "2021-01-12", 1.0)] + [("T2", f"2021-01-{d:02d}", 2.0) for d in range(4, 12)], at=1_900_000_100)
+    landing.go()
+    assert [r.ticker for r in landing.r.wanted().collect()] == ["T1"]

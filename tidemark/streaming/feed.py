@@ -28,6 +28,10 @@ class Feed:
         rows = keys.select(F.col(key).cast("string").alias("key")).distinct().withColumn("batch", F.lit(batch))
         rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(f"{self.store.path}/feed/{source}")
 
+    def published(self, source: str, batch: int) -> DataFrame:
+        """``(key)``: what :meth:`publish` has written for a batch."""
+        return self.store.spark.read.schema("key string").parquet(f"{self.store.path}/feed/{source}/batch={batch}")
+
     def _position(self, reader: str, source: str) -> int:
         return max((int(n.split("@")[1]) for n in self.store.names("positions", reader) if n.startswith(f"{source}@")), default=-1)
 
@@ -43,7 +47,7 @@ class Feed:
         """``(key)``: what has changed in ``sources`` since ``reader`` last came by."""
         spark = self.store.spark
         paths = [f"{self.store.path}/feed/{s}/batch={b}" for s in sources for b in self._batches(s) if b > self._position(reader, s)]
-        return spark.read.schema("key string").parquet(*paths).distinct() if paths else spark.createDataFrame([], "key string")
+        return spark.read.schema("key string").parquet(*paths).distinct() if paths else self.store.empty("key string")
 
     def done(self, reader: str, upto: dict[str, int]) -> None:
         for source, batch in upto.items():

@@ -13,7 +13,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -76,10 +76,10 @@ class Refresh:
         """Rows of a batch beside those of other batches; a batch that is run again replaces its own."""
         rows.withColumn("batch", F.lit(batch_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(f"{self.store.path}/{table}")
 
-    def _noted(self, table: str, schema: str) -> DataFrame:
+    def _noted(self, table: str, schema: str | StructType) -> DataFrame:
         """What :meth:`_record` has written."""
         spark = self.store.spark
-        return spark.read.schema(schema).parquet(f"{self.store.path}/{table}") if self.store.names(table) else spark.createDataFrame([], schema)
+        return spark.read.schema(schema).parquet(f"{self.store.path}/{table}") if self.store.names(table) else self.store.empty(schema)
 
     # ---- prices
 
@@ -89,22 +89,34 @@ class Refresh:
         A history may lie in several files (:func:`_written_as`) and, if it is large, in several batches: those after its
         first add to it. Tickers whose first bar that overlaps the store has another close are put on the list of those wanted whole.
         """
-        self.feed.publish("bars", batch.select("ticker"), batch_id)
-        touched = self.store.touched("prices", batch, "ticker", batch_id)
-        held = self.store.read("prices", self.bar_schema, batch_id, touched)
         file = F.struct(f"{LANDED}.time", f"{LANDED}.file")
         written = _written_as(F.col(f"{LANDED}.file"))
-        whole = batch.where("whole").groupBy("ticker").agg(F.max(file).alias("newest")).withColumn("history", _written_as(F.col("newest.file")))
+        # a batch is read whole each time, so what is asked of it ticker by ticker is asked once
+        asked = batch.groupBy("ticker").agg(F.max(F.when(F.col("whole"), file)).alias("newest"))
+        self._record("arrived", asked, batch_id)
+        arrived = self._noted("arrived", asked.withColumn("batch", F.lit(0)).schema).where(F.col("batch") == batch_id).drop("batch")
+        self.feed.publish("bars", arrived.select("ticker"), batch_id)
+        first = not self.store.has("prices")
+        touched = self.store.touched("prices", arrived, "ticker", batch_id)
+        held = self.store.read("prices", self.bar_schema, batch_id, touched)
+        whole = arrived.where("newest IS NOT NULL").withColumn("history", _written_as(F.col("newest.file")))
         self._record("replaced", whole.select("ticker", "history"), batch_id)
         known = batch.join(whole, "ticker", "left")
         own = F.when(F.col("whole"), written == F.col("history")).otherwise(file > F.col("newest"))
         fresh = known.where(F.col("newest").isNull() | own).drop("newest", "history", "whole")
-        self._record("rebased", rebased_tickers(held, last_written(known.where("newest IS NULL").drop("newest", "history", "whole"), BAR_KEYS, LANDED)), batch_id)
+        if not first:
+            self._record("rebased", rebased_tickers(held, self._head(known.where("newest IS NULL").drop("newest", "history", "whole"))), batch_id)
         before = self._noted("replaced", "ticker string, history string, batch int").where(F.col("batch") < batch_id)
         begun = before.groupBy("ticker").agg(F.max_by("history", "batch").alias("history"))
         kept = held.join(whole.join(begun, ["ticker", "history"], "left_anti").select("ticker"), "ticker", "left_anti").select(held.columns)
         self.store.write(upsert_latest(kept, fresh, BAR_KEYS, LANDED), "prices", "ticker", batch_id, touched)
 
+    @staticmethod
+    def _head(bars: DataFrame, days: int = 6) -> DataFrame:
+        """The first days of each ticker, all that tells whether it was rebased, as they landed last."""
+        w = Window.partitionBy("ticker").orderBy("date")
+        return last_written(bars.withColumn("_day", F.dense_rank().over(w)).where(F.col("_day") <= days).drop("_day"), BAR_KEYS, LANDED)
+
     def step_prices(self) -> tuple[str, str]:
         landed = self._landed(self.bars, self.bar_schema).withColumn("whole", F.lit(False))
         if self.histories is not None:
@@ -170,7 +182,8 @@ class Refresh:
 
     def _apply_facts(self, batch: DataFrame, batch_id: int) -> None:
         self.feed.publish("facts", batch.select("cik"), batch_id)
-        self.store.upsert("facts", batch, FACT_KEYS, batch_id, LANDED)
+        having = self.feed.published("facts", batch_id).select(F.col("key").cast(batch.schema["cik"].dataType).alias("cik"))
+        self.store.upsert("facts", batch, FACT_KEYS, batch_id, LANDED, having)
 
     def step_filings(self) -> tuple[str, str]:
         _drain(self._landed(self.facts, self.fact_schema), self._apply_facts, self._checkpoint("facts"))

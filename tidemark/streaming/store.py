@@ -6,7 +6,8 @@ simply run again: it reads the generations before its own. Generations before th
 Buckets are the leaves of a trie over the low bits of the key's hash. A bucket that has grown beyond ``limit`` bytes is
 written as two of one more bit in its next generation, so tasks stay of one size however large a table becomes. A split
 counts once it is on record, which is after both halves are written; what it replaces is kept until the generation
-after it.
+after it. Each bucket costs the driver a listing and a value in an expression, so a large table's are not cut below a
+share of it: it has some ``MOST`` of them, and a large one is written by several tasks.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ from pyspark.sql.types import StructType
 from ..sources.filings import upsert_latest
 
 BUCKETS, LIMIT = 64, 256 << 20
+#: A bucket splits only if it holds more than this part of its table.
+MOST = 64
 #: Bits of the hash that tell buckets apart at most; rows of one key cannot be told apart by any.
 DEEPEST = 30
 
@@ -38,6 +41,10 @@ class Store:
         if self.buckets != 1 << self.bits:
             raise ValueError("buckets must be a power of two")
 
+    def empty(self, schema: StructType | str) -> DataFrame:
+        """No rows: with a limit of none Spark plans nothing, while an empty list alone is read by Python workers."""
+        return self.spark.createDataFrame([], schema).limit(0)
+
     def fs(self, *parts: str):
         p = self.spark._jvm.org.apache.hadoop.fs.Path("/".join((self.path, *parts)))
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
@@ -61,8 +68,9 @@ class Store:
 
     def _generations(self, table: str) -> list[tuple[str, int]]:
         """(bucket, generation) folders, read from their names."""
-        found = [b for b in self.names(table) if b.startswith("bucket=")]
-        return [(b[7:], int(g[11:])) for b in found for g in self.names(table, b) if g.startswith("generation=")]
+        fs, p = self.fs(table, "bucket=*", "generation=*")
+        found = (s.getPath().toString().split("/")[-2:] for s in fs.globStatus(p) or ())
+        return [(b[7:], int(g[11:])) for b, g in found]
 
     def _splits(self, table: str, before: int | None) -> dict[str, int]:
         """Buckets that are split, by a generation below ``before``, and by which."""
@@ -100,7 +108,7 @@ class Store:
     def read(self, table: str, schema: StructType, before: int | None = None, buckets: list[str] | None = None) -> DataFrame:
         """The newest generation of each bucket (of generations below ``before``): a pruned scan of their folders."""
         paths = [f"{self.path}/{table}/bucket={b}/generation={g}" for b, g in sorted(self._newest(table, before, buckets).items())]
-        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.empty(schema)
 
     def touched(self, table: str, df: DataFrame, key: str, before: int | None = None) -> list[str]:
         """Buckets of the table that the keys of ``df`` fall into; there are no more of them than buckets."""
@@ -111,12 +119,18 @@ class Store:
         fs, p = self.fs(table, f"bucket={bucket}", f"generation={generation}")
         return fs.getContentSummary(p).getLength()
 
+    def _grown(self, table: str, generation: int, touched: list[str]) -> set[str]:
+        """Buckets to split: beyond ``limit`` and beyond their share of the table."""
+        newest = self._newest(table, generation)
+        sizes = {b: self._size(table, b, g) for b, g in newest.items()}
+        most = max(self.limit, sum(sizes.values()) // MOST)
+        return {b for b in touched if sizes.get(b, 0) > most and int(b.split("-")[0]) < DEEPEST}
+
     def write(self, df: DataFrame, table: str, key: str, generation: int, touched: list[str]) -> None:
         """``df`` holds all rows of the ``touched`` buckets. Those that have grown too large split."""
-        split, before = self._splits(table, generation), self._newest(table, generation, touched)
-        grown = {b for b, g in before.items() if int(b.split("-")[0]) < DEEPEST and self._size(table, b, g) > self.limit}
+        split, grown = self._splits(table, generation), self._grown(table, generation, touched)
         rows = df.withColumn("bucket", self._bucket(key, {*split, *grown})).withColumn("generation", F.lit(generation))
-        rows.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "generation").parquet(f"{self.path}/{table}")
+        rows.hint("rebalance", "bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "generation").parquet(f"{self.path}/{table}")
         for b in sorted(grown):
             self.note(table, "_splits", f"{b}@{generation}")
         for b in split:  # by an earlier generation, so nothing reads it again
@@ -127,8 +141,11 @@ class Store:
             if len(later) > 1 and later[-1] == generation:
                 self.delete(table, f"bucket={b}", f"generation={g}")
 
-    def upsert(self, table: str, batch: DataFrame, keys: list[str], generation: int, order: str | None = None) -> None:
-        """Last write wins by ``keys``, whose first column deals rows to buckets; within the batch, the last in ``order``."""
-        touched = self.touched(table, batch, keys[0], generation)
+    def upsert(self, table: str, batch: DataFrame, keys: list[str], generation: int, order: str | None = None, having: DataFrame | None = None) -> None:
+        """Last write wins by ``keys``, whose first column deals rows to buckets; within the batch, the last in ``order``.
+
+        ``having``: the batch's values of the first key, if they are known already.
+        """
+        touched = self.touched(table, batch if having is None else having, keys[0], generation)
         schema = StructType([f for f in batch.schema if f.name != order])
         self.write(upsert_latest(self.read(table, schema, generation, touched), batch, keys, order), table, keys[0], generation, touched)
