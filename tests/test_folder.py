@@ -6,6 +6,8 @@ import json
 
 import pytest
 
+from tidemark.plans import registry
+from tidemark.sources.adapters import Inputs
 from tidemark.sources import filing_folder as ff
 from tidemark.sources.concepts import concept_map
 
@@ -68,3 +70,10 @@ def test_whole_documents_of_all_companies_are_landed(spark):
     q, facts = queries(), Inputs(spark, sf).facts
     assert q["ingest_companyfacts"](spark, sf).count() == facts.count()
     assert q["census_of_docs"](spark, sf).select("cik").distinct().count() == facts.select("cik").distinct().count()
+
+
+def test_documents_are_made_with_one_shuffle_by_company(spark):
+    d = registry._documents(Inputs(spark, "/root/testdata/sf0.001"), False)
+    plan = d._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    assert d.count() == d.select("company").distinct().count() > 0

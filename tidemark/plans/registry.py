@@ -245,18 +245,27 @@ query(f"SELECT date, score, CASE WHEN score < 20 THEN 'extreme-fear' WHEN score
 READ = "cik % 10 NOT IN (3, 5, 7, 9)"
 
 
-def _folder(x: Inputs, broken: bool) -> str:
-    """A folder of filing documents, one file a company: all of them whole, or some of them ``broken``."""
+def _documents(x: Inputs, broken: bool) -> DataFrame:
+    """``(value, company)``: the filing document of each company, all of them whole or some of them ``broken``.
+
+    Facts are dealt by company once, to tasks that write as many files each however many companies there are.
+    """
+    facts = fu.by_company(x.facts)
     e = F.struct(F.col("period_start").cast("string").alias("start"), F.col("period_end").cast("string").alias("end"), "val", "accn", "fy", "fp", "form", F.col("filed").cast("string").alias("filed"))
-    u = x.facts.groupBy("cik", "taxonomy", "concept", "unit").agg(F.collect_list(e).alias("entries"))
+    u = facts.groupBy("cik", "taxonomy", "concept", "unit").agg(F.collect_list(e).alias("entries"))
     t = u.groupBy("cik", "taxonomy", "concept").agg(F.map_from_entries(F.collect_list(F.struct("unit", "entries"))).alias("units"))
     c = t.groupBy("cik", "taxonomy").agg(F.map_from_entries(F.collect_list(F.struct(F.col("concept"), F.struct(F.col("concept").alias("label"), F.col("units")).alias("tag")))).alias("tags"))
     d = c.groupBy("cik").agg(F.map_from_entries(F.collect_list(F.struct("taxonomy", "tags"))).alias("facts"))
     kind = F.col("cik") % 10 if broken else F.lit(0)
     doc = F.to_json(F.struct(F.when(kind != 9, F.lpad(F.col("cik").cast("string"), 10, "0")).alias("cik"), F.concat(F.lit("Company "), "cik").alias("entityName"), F.when(kind != 7, F.col("facts")).alias("facts")))
     text = F.when(kind == 3, F.substring(doc, 1, 200)).when(kind == 5, "").otherwise(doc)
+    return d.select(text.alias("value"), F.lpad(F.col("cik").cast("string"), 10, "0").alias("company"))
+
+
+def _folder(x: Inputs, broken: bool) -> str:
+    """A folder of those documents, one file a company."""
     path = new_path(x.spark, "filing-documents")
-    d.select(text.alias("value"), F.lpad(F.col("cik").cast("string"), 10, "0").alias("company")).repartition("company").write.partitionBy("company").text(path)
+    _documents(x, broken).write.partitionBy("company").text(path)
     return path
 
 
