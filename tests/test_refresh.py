@@ -181,3 +181,25 @@ def test_only_the_first_days_of_a_batch_tell_a_rebased_ticker(landing):
     landing.bars([("T1", "2021-01-04", 1.0), ("T2", "2021-01-12", 1.0)] + [("T2", f"2021-01-{d:02d}", 2.0) for d in range(4, 12)], at=1_900_000_100)
     landing.go()
     assert [r.ticker for r in landing.r.wanted().collect()] == ["T1"]
+
+
+def test_a_bucket_of_many_files_is_put_together_again(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("tidemark.streaming.store.MANY", 4)
+    s = Store(spark, str(tmp_path), buckets=1)
+    files = []
+    for g in range(8):
+        rows = spark.createDataFrame([(k, g, f"{k}-{g}") for k in range(20)], "k long, at int, v string")
+        rows.groupBy("k").agg(F.min("at").alias("lo"), F.max("at").alias("hi")).write.parquet(f"{tmp_path}/reach-{g}")
+        s.upsert("t", rows, ["k", "at"], g, reach=spark.read.parquet(f"{tmp_path}/reach-{g}"), along="at")
+        files.append(s._sizes("t", s._newest("t", None))["0-0"][1])
+    assert sorted(map(tuple, s.read("t", rows.schema).collect())) == sorted((k, g, f"{k}-{g}") for k in range(20) for g in range(8))
+    assert max(files) <= 12 and files[-1] < 8, files
+
+
+def test_fundamentals_with_splits_deal_facts_once(spark):
+    from tidemark.operators import fundamentals as fu
+
+    facts = spark.createDataFrame([(1, "us-gaap", "Revenues", "USD", day("2020-01-01"), day("2020-03-31"), day("2020-05-01"), "a", 5.0)], FACT)
+    plan = fu.fundamentals(facts, concept_map(spark))._jdf.queryExecution().executedPlan().toString()
+    plan = plan[:plan.index("Initial Plan")] if "Initial Plan" in plan else plan
+    assert plan.count("Exchange hashpartitioning") == 1

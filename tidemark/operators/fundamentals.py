@@ -67,11 +67,18 @@ def dedupe(rows: DataFrame) -> DataFrame:
 
 
 def _with_derived(rows: DataFrame, val: Column, keep: Column) -> DataFrame:
-    """``rows`` that are kept, and beside them a derived quarter where ``val`` is not NULL: one pass, no second read."""
+    """``rows`` that are kept, and beside them a derived quarter where ``val`` is not NULL: one pass, no second read.
+
+    Only what differs travels in the array; all other columns stay what they are to Spark, so rows dealt by company need not be dealt again.
+    """
     made = {"val": val, "period_type": F.lit("Q"), "derived": F.lit(1)}
-    own = F.struct(*[F.col(c) for c in rows.columns])
-    new = F.struct(*[made.get(c, F.col(c)).alias(c) for c in rows.columns])
-    return rows.select(F.explode(F.array_compact(F.array(F.when(keep, own), F.when(val.isNotNull(), new)))).alias("r")).select("r.*")
+    out = rows.withColumn("_derived", val).withColumn("_keep", keep)
+    made["val"] = F.col("_derived")
+    own, new = F.struct(*[F.col(c) for c in made]), F.struct(*[v.alias(c) for c, v in made.items()])
+    there = F.col("_derived").isNotNull()
+    each = F.when(there & F.col("_keep"), F.array(own, new)).when(there, F.array(new)).when(F.col("_keep"), F.array(own))
+    out = out.select(*[c for c in rows.columns if c not in made], F.explode(each).alias("_made"))
+    return out.select(*[F.col(f"_made.{c}") if c in made else F.col(c) for c in rows.columns])
 
 
 def diff_ytd(rows: DataFrame) -> DataFrame:
@@ -91,7 +98,8 @@ def derive_q4(rows: DataFrame, per_share: bool = False) -> DataFrame:
     """
     columns = rows.columns
     wanted = F.col("metric").isin(*PER_SHARE) if per_share else F.col("unit") == "USD"
-    quarter = F.when(F.col("period_type") == "Q", F.struct(F.col("period_end").alias("at"), F.col("val").alias("v")))
+    of_metric = F.col("metric").isin(*PER_SHARE) if per_share else F.lit(True)  # arrays of metrics that nobody asks for stay empty
+    quarter = F.when((F.col("period_type") == "Q") & of_metric, F.struct(F.col("period_end").alias("at"), F.col("val").alias("v")))
     out = rows.withColumn("quarters", F.collect_list(quarter).over(Window.partitionBy("cik", "metric")))
     own = F.filter("quarters", lambda q: q["at"].between(F.col("period_start"), F.col("period_end")) & q["v"].isNotNull())
     out = out.withColumn("own", F.when(wanted & (F.col("period_type") == "FY"), own))

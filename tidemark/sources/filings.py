@@ -49,17 +49,28 @@ def read_index_members(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("index_slug string, index_name string, ticker string, as_of date").option("header", True).csv(path)
 
 
-def last_written(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """Of rows of one key the last in ``order``, a column that goes."""
-    w = Window.partitionBy(*keys).orderBy(F.desc_nulls_last(order))
-    return rows.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn", order)
-
-
-def upsert_latest(existing: DataFrame, incoming: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
-    """Keyed upsert: an incoming row replaces the existing one of its key; of several, the last in ``order``, a column of ``incoming``."""
+def last_written(rows: DataFrame, keys: list[str], order: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """Of rows of one key the last in ``order``, a column that goes. ``by``: columns that follow from the first key, to sort by first."""
+    if not by:
+        w = Window.partitionBy(*keys).orderBy(F.desc_nulls_last(order))
+        return rows.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn", order)
+    # most keys come once: a row is looked at beside the one before it, not in a window of its own
+    w = Window.partitionBy(*by, keys[0]).orderBy(*keys[1:], F.desc_nulls_last(order))
+    again = F.row_number().over(w) > 1
+    for k in keys[1:]:
+        again = again & F.col(k).eqNullSafe(F.lag(k).over(w))
+    return rows.withColumn("_again", again).where("NOT _again").drop("_again", order)
+
+
+def upsert_latest(existing: DataFrame, incoming: DataFrame, keys: list[str], order: str | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+    """Keyed upsert: an incoming row replaces the existing one of its key; of several, the last in ``order``, a column of ``incoming``.
+
+    ``by``: columns of both that follow from the first key. Rows are dealt by the last of them alone, and sorted by them first.
+    """
     new = incoming.withColumn("_order", F.struct(F.lit(1).alias("batch"), F.lit(0) if order is None else F.col(order)))
     old = existing.withColumn("_order", F.lit(None).cast(new.schema["_order"].dataType))
-    return last_written(old.unionByName(new if order is None else new.drop(order)), keys, "_order")
+    both = old.unionByName(new if order is None else new.drop(order))
+    return last_written(both.repartition(by[-1]) if by else both, keys, "_order", by)
 
 
 def upsert_partial(existing: DataFrame, incoming: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:

@@ -25,7 +25,7 @@ from ..sources.filings import last_written, rebased_tickers, replace_keys, upser
 from .feed import Feed
 from .store import Store
 
-FACT_KEYS = ["cik", "taxonomy", "concept", "unit", "period_start", "period_end", "accn"]
+FACT_KEYS = ["cik", "period_end", "concept", "accn", "period_start", "unit", "taxonomy"]
 BAR_KEYS = ["ticker", "date"]
 LANDED = "_landed"
 READERS = {"normalise": ("facts",), "snapshot": ("bars", "fundamentals"), "sentiment": ("bars",), "levels": ("bars",)}
@@ -181,9 +181,11 @@ class Refresh:
     # ---- filings
 
     def _apply_facts(self, batch: DataFrame, batch_id: int) -> None:
-        self.feed.publish("facts", batch.select("cik"), batch_id)
-        having = self.feed.published("facts", batch_id).select(F.col("key").cast(batch.schema["cik"].dataType).alias("cik"))
-        self.store.upsert("facts", batch, FACT_KEYS, batch_id, LANDED, having)
+        asked = batch.groupBy("cik").agg(F.min("period_end").alias("lo"), F.max("period_end").alias("hi"))
+        self._record("filed", asked, batch_id)
+        filed = self._noted("filed", asked.withColumn("batch", F.lit(0)).schema).where(F.col("batch") == batch_id).drop("batch")
+        self.feed.publish("facts", filed.select("cik"), batch_id)
+        self.store.upsert("facts", batch, FACT_KEYS, batch_id, LANDED, filed, "period_end")
 
     def step_filings(self) -> tuple[str, str]:
         _drain(self._landed(self.facts, self.fact_schema), self._apply_facts, self._checkpoint("facts"))
@@ -204,10 +206,8 @@ class Refresh:
         changed = self.feed.keys("normalise", *upto).select(F.col("key").cast("long").alias("cik"))
         own = self.store.read("facts", self.fact_schema, buckets=self.store.touched("facts", changed, "cik")).join(changed, "cik", "left_semi")
         fresh = fundamentals(own, self.concept_map, detect_splits(own))
-        generation, touched = self.store.next_generation("fundamentals"), self.store.touched("fundamentals", changed, "cik")
-        held = self.store.read("fundamentals", fresh.schema, buckets=touched)
         self.feed.publish("fundamentals", changed, max(upto.values()))
-        self.store.write(replace_keys(held, fresh, ["cik"], changed), "fundamentals", "cik", generation, touched)
+        self.store.replace("fundamentals", "cik", fresh, changed)
         n = changed.count()
         self.feed.done("normalise", upto)
         return "ok", f"{n} companies"
@@ -231,13 +231,10 @@ class Refresh:
             return "ok", "up to date"
         by_bars = self.companies.join(self.feed.keys("snapshot", "bars"), F.col("ticker") == F.col("key"), "left_semi").select("cik")
         changed = by_bars.union(self.feed.keys("snapshot", "fundamentals").select(F.col("key").cast("long"))).distinct()
-        touched = self.store.touched("snapshot", changed, "cik")
         own = self.store.read("fundamentals", self._fundamental_schema, buckets=self.store.touched("fundamentals", changed, "cik")).join(changed, "cik", "left_semi")
         who = self.companies.join(changed, "cik", "left_semi")
         fresh = snapshot(own, who, self._prices_of(who.where("ticker IS NOT NULL").select("ticker")))
-        generation = self.store.next_generation("snapshot")
-        held = self.store.read("snapshot", fresh.schema, buckets=touched)
-        self.store.write(replace_keys(held, fresh, ["cik"], changed), "snapshot", "cik", generation, touched)
+        touched = self.store.replace("snapshot", "cik", fresh, changed)
         self.feed.done("snapshot", upto)
         return "ok", f"{len(touched)} buckets written"
 

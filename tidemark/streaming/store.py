@@ -8,6 +8,10 @@ written as two of one more bit in its next generation, so tasks stay of one size
 counts once it is on record, which is after both halves are written; what it replaces is kept until the generation
 after it. Each bucket costs the driver a listing and a value in an expression, so a large table's are not cut below a
 share of it: it has some ``MOST`` of them, and a large one is written by several tasks.
+
+What a batch leaves as it was is most of a bucket. Such rows are written from where they are read: a file's rows are of
+one bucket, so they need no shuffle to get there. Only what the batch can have changed is shuffled, once, by place: a
+bucket or a part of one.
 """
 
 from __future__ import annotations
@@ -19,10 +23,17 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..sources.filings import upsert_latest
+from ..sources.stored import shuffles_dropped
 
 BUCKETS, LIMIT = 64, 256 << 20
 #: A bucket splits only if it holds more than this part of its table.
 MOST = 64
+#: Files of a bucket from which on all of its rows are shuffled, so that they come to lie in few files again.
+MANY = 24
+#: More keys than these are not given to all tasks at once.
+SENT = 4_000_000
+#: Bits of the hash that tell places of a bucket apart.
+PLACES = 2
 #: Bits of the hash that tell buckets apart at most; rows of one key cannot be told apart by any.
 DEEPEST = 30
 
@@ -115,22 +126,45 @@ class Store:
         found = df.select(self._bucket(key, set(self._splits(table, before))).alias("bucket")).distinct()
         return sorted(r["bucket"] for r in found.collect())
 
-    def _size(self, table: str, bucket: str, generation: int) -> int:
-        fs, p = self.fs(table, f"bucket={bucket}", f"generation={generation}")
-        return fs.getContentSummary(p).getLength()
-
-    def _grown(self, table: str, generation: int, touched: list[str]) -> set[str]:
-        """Buckets to split: beyond ``limit`` and beyond their share of the table."""
-        newest = self._newest(table, generation)
-        sizes = {b: self._size(table, b, g) for b, g in newest.items()}
-        most = max(self.limit, sum(sizes.values()) // MOST)
-        return {b for b in touched if sizes.get(b, 0) > most and int(b.split("-")[0]) < DEEPEST}
-
-    def write(self, df: DataFrame, table: str, key: str, generation: int, touched: list[str]) -> None:
-        """``df`` holds all rows of the ``touched`` buckets. Those that have grown too large split."""
-        split, grown = self._splits(table, generation), self._grown(table, generation, touched)
-        rows = df.withColumn("bucket", self._bucket(key, {*split, *grown})).withColumn("generation", F.lit(generation))
-        rows.hint("rebalance", "bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "generation").parquet(f"{self.path}/{table}")
+    def _sizes(self, table: str, newest: dict[str, int]) -> dict[str, tuple[int, int]]:
+        """Bytes and files of buckets in a generation."""
+        out = {}
+        for b, g in newest.items():
+            fs, p = self.fs(table, f"bucket={b}", f"generation={g}")
+            held = fs.getContentSummary(p)
+            out[b] = held.getLength(), held.getFileCount()
+        return out
+
+    def sent(self, keys: DataFrame) -> DataFrame:
+        """``keys``, read from a table, given to every task if they are not too many: what they are joined to is not shuffled."""
+        return F.broadcast(keys) if keys.count() <= SENT else keys
+
+    def write(self, df: DataFrame, table: str, key: str, generation: int, touched: list[str], kept: DataFrame | None = None) -> None:
+        """``df`` and ``kept`` hold all rows of the ``touched`` buckets. Those that have grown too large split.
+
+        ``kept``: rows as the table has them. They are not shuffled, but for those of buckets in many files. Rows of
+        ``df`` that have a ``_place`` are dealt by it already.
+        """
+        split, sizes = self._splits(table, generation), self._sizes(table, self._newest(table, generation))
+        most = max(self.limit, sum(n for n, _ in sizes.values()) // MOST)
+        grown = {b for b in touched if sizes.get(b, (0, 0))[0] > most and int(b.split("-")[0]) < DEEPEST}
+        crowded = [b for b in touched if sizes.get(b, (0, 0))[1] >= MANY]
+
+        def placed(rows: DataFrame) -> DataFrame:
+            return rows.withColumn("bucket", self._bucket(key, {*split, *grown})).withColumn("generation", F.lit(generation))
+
+        dealt = "_place" in df.columns
+        rows = placed(df.drop("_hash", "_place"))
+        if not dealt:
+            rows = rows.hint("rebalance", "bucket")
+        if kept is not None:
+            if crowded:
+                among = self._bucket(key, set(split)).isin(crowded)
+                rows = rows.unionByName(placed(kept.where(among)).hint("rebalance", "bucket"))
+                kept = kept.where(~among)
+            rows = rows.unionByName(placed(kept))
+        with shuffles_dropped(rows.sparkSession):
+            rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "generation").parquet(f"{self.path}/{table}")
         for b in sorted(grown):
             self.note(table, "_splits", f"{b}@{generation}")
         for b in split:  # by an earlier generation, so nothing reads it again
@@ -141,11 +175,37 @@ class Store:
             if len(later) > 1 and later[-1] == generation:
                 self.delete(table, f"bucket={b}", f"generation={g}")
 
-    def upsert(self, table: str, batch: DataFrame, keys: list[str], generation: int, order: str | None = None, having: DataFrame | None = None) -> None:
+    def replace(self, table: str, key: str, fresh: DataFrame, keys: DataFrame) -> list[str]:
+        """All rows of ``keys`` (one column, read from a table) give way to ``fresh``, in a new generation. Returns the buckets written."""
+        generation, touched = self.next_generation(table), self.touched(table, keys, key)
+        held = self.read(table, fresh.schema, buckets=touched)
+        self.write(fresh, table, key, generation, touched, held.join(self.sent(keys), key, "left_anti"))
+        return touched
+
+    def _dealt(self, rows: DataFrame, table: str, key: str, generation: int) -> DataFrame:
+        """``rows`` with the hash of their key and their place, which is never of two buckets."""
+        depth = max([self.bits, *(int(b.split("-")[0]) + 1 for b in self._splits(table, generation))]) + PLACES
+        return rows.withColumn("_hash", F.xxhash64(key)).withColumn("_place", F.pmod("_hash", F.lit(1 << depth)))
+
+    def apart(self, held: DataFrame, reach: DataFrame, key: str, along: str) -> tuple[DataFrame, DataFrame]:
+        """``held`` outside of what ``reach`` says of its key, and all else of it: what a batch can have changed."""
+        there = self.sent(reach.select(F.col(key).alias("_key"), "lo", "hi", F.lit(True).alias("_there")))
+        known = held.join(there, F.col(key).eqNullSafe(F.col("_key")), "left")
+        outside = F.col("_there").isNull() | F.coalesce((F.col(along) < F.col("lo")) | (F.col(along) > F.col("hi")), F.lit(False))
+        return known.where(outside).select(held.columns), known.where(~outside).select(held.columns)
+
+    def upsert(self, table: str, batch: DataFrame, keys: list[str], generation: int, order: str | None = None, reach: DataFrame | None = None, along: str | None = None, held: DataFrame | None = None) -> None:
         """Last write wins by ``keys``, whose first column deals rows to buckets; within the batch, the last in ``order``.
 
-        ``having``: the batch's values of the first key, if they are known already.
+        ``reach``, read from a table: ``lo`` and ``hi`` of ``along``, another of the keys, for each first key of the
+        batch. Stored rows outside of them are kept without a look at the batch. ``held``: what of the touched buckets
+        takes part, if not all.
         """
-        touched = self.touched(table, batch if having is None else having, keys[0], generation)
-        schema = StructType([f for f in batch.schema if f.name != order])
-        self.write(upsert_latest(self.read(table, schema, generation, touched), batch, keys, order), table, keys[0], generation, touched)
+        touched = self.touched(table, batch if reach is None else reach, keys[0], generation)
+        if held is None:
+            held = self.read(table, StructType([f for f in batch.schema if f.name != order]), generation, touched)
+        kept = None
+        if reach is not None and self._newest(table, generation, touched):
+            kept, held = self.apart(held, reach, keys[0], along)
+        dealt = lambda rows: self._dealt(rows, table, keys[0], generation)
+        self.write(upsert_latest(dealt(held), dealt(batch), keys, order, ("_hash", "_place")), table, keys[0], generation, touched, kept)
