@@ -203,3 +203,33 @@ def test_fundamentals_with_splits_deal_facts_once(spark):
     plan = fu.fundamentals(facts, concept_map(spark))._jdf.queryExecution().executedPlan().toString()
     plan = plan[:plan.index("Initial Plan")] if "Initial Plan" in plan else plan
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+def _written(monkeypatch):
+    """What the store writes from here on: (table, how many rows are kept or None if all are shuffled, joins that shuffle those kept)."""
+    seen, write = [], Store.write
+
+    def spy(self, df, table, key, generation, touched, kept=None):
+        plan = "" if kept is None else kept._jdf.queryExecution().executedPlan().toString()
+        seen.append((table, None if kept is None else kept.count(), plan.count("SortMergeJoin") + plan.count("ShuffledHashJoin")))
+        return write(self, df, table, key, generation, touched, kept)
+
+    monkeypatch.setattr(Store, "write", spy)
+    return seen
+
+
+def test_bars_that_a_batch_cannot_have_changed_are_not_shuffled(landing, monkeypatch):
+    days = [f"2021-01-{d:02d}" for d in range(4, 29)]
+    landing.bars([(f"T{i}", d, 1.0) for i in range(1, 9) for d in days] + [(None, days[0], 1.0)])
+    landing.go()
+    seen = _written(monkeypatch)
+    # T1: a day again and a new one; T2: a day before all that is stored; without a ticker: the day again
+    landing.bars([("T1", days[-1], 1.0), ("T1", "2021-02-01", 3.0), ("T2", "2021-01-01", 4.0), (None, days[0], 5.0)])
+    landing.go()
+    got = {(r.ticker, r.date.isoformat()): r.close for r in landing.r.prices().collect()}
+    assert got == {(f"T{i}", d): 1.0 for i in range(1, 9) for d in days} | {("T1", "2021-02-01"): 3.0, ("T2", "2021-01-01"): 4.0, (None, days[0]): 5.0}
+    assert landing.r.prices().count() == len(got)
+    [(kept, shuffles)] = [(k, n) for t, k, n in seen if t == "prices"]
+    touched = landing.r.store.touched("prices", landing.spark.createDataFrame([("T1",), ("T2",), (None,)], "ticker string"), "ticker")
+    inside = landing.r.store.read("prices", landing.r.bar_schema, buckets=touched).count() - 4  # the rows of the batch
+    assert kept == inside and shuffles == 0

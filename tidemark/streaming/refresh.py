@@ -21,7 +21,7 @@ from ..operators.fundamentals import detect_splits, fundamentals
 from ..operators.levels import LEVELS, rollup
 from ..operators.sentiment import reading, ticker_figures
 from ..operators.snapshot import snapshot
-from ..sources.filings import last_written, rebased_tickers, replace_keys, upsert_latest
+from ..sources.filings import last_written, rebased_tickers, replace_keys
 from .feed import Feed
 from .store import Store
 
@@ -92,24 +92,26 @@ class Refresh:
         file = F.struct(f"{LANDED}.time", f"{LANDED}.file")
         written = _written_as(F.col(f"{LANDED}.file"))
         # a batch is read whole each time, so what is asked of it ticker by ticker is asked once
-        asked = batch.groupBy("ticker").agg(F.max(F.when(F.col("whole"), file)).alias("newest"))
+        asked = batch.groupBy("ticker", F.when(F.col("whole"), file).alias("file")).agg(F.min("date").alias("lo"), F.max("date").alias("hi"))
+        asked = asked.groupBy("ticker").agg(F.max("file").alias("newest"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
         self._record("arrived", asked, batch_id)
         arrived = self._noted("arrived", asked.withColumn("batch", F.lit(0)).schema).where(F.col("batch") == batch_id).drop("batch")
         self.feed.publish("bars", arrived.select("ticker"), batch_id)
-        first = not self.store.has("prices")
-        touched = self.store.touched("prices", arrived, "ticker", batch_id)
-        held = self.store.read("prices", self.bar_schema, batch_id, touched)
-        whole = arrived.where("newest IS NOT NULL").withColumn("history", _written_as(F.col("newest.file")))
+        held = self.store.read("prices", self.bar_schema, batch_id, self.store.touched("prices", arrived, "ticker", batch_id))
+        whole = arrived.where("newest IS NOT NULL").select("ticker", "newest", _written_as(F.col("newest.file")).alias("history"))
         self._record("replaced", whole.select("ticker", "history"), batch_id)
-        known = batch.join(whole, "ticker", "left")
+        known = batch.join(self.store.sent(whole), "ticker", "left")
         own = F.when(F.col("whole"), written == F.col("history")).otherwise(file > F.col("newest"))
         fresh = known.where(F.col("newest").isNull() | own).drop("newest", "history", "whole")
-        if not first:
-            self._record("rebased", rebased_tickers(held, self._head(known.where("newest IS NULL").drop("newest", "history", "whole"))), batch_id)
+        if self.store.has("prices"):
+            stored, among = held.agg(F.max("date").alias("last")), self.store.apart(held, arrived, "ticker", "date")[1]
+            added = known.where("newest IS NULL").drop("newest", "history", "whole").join(F.broadcast(stored), F.col("date").isNull() | (F.col("date") <= F.col("last"))).drop("last")
+            self._record("rebased", rebased_tickers(among, self._head(added)), batch_id)
         before = self._noted("replaced", "ticker string, history string, batch int").where(F.col("batch") < batch_id)
         begun = before.groupBy("ticker").agg(F.max_by("history", "batch").alias("history"))
-        kept = held.join(whole.join(begun, ["ticker", "history"], "left_anti").select("ticker"), "ticker", "left_anti").select(held.columns)
-        self.store.write(upsert_latest(kept, fresh, BAR_KEYS, LANDED), "prices", "ticker", batch_id, touched)
+        gone = whole.join(begun, ["ticker", "history"], "left_anti").select("ticker")
+        left = held.join(self.store.sent(gone), "ticker", "left_anti").select(held.columns)
+        self.store.upsert("prices", fresh, BAR_KEYS, batch_id, LANDED, arrived, "date", left)
 
     @staticmethod
     def _head(bars: DataFrame, days: int = 6) -> DataFrame:
