@@ -233,3 +233,18 @@ def test_bars_that_a_batch_cannot_have_changed_are_not_shuffled(landing, monkeyp
     touched = landing.r.store.touched("prices", landing.spark.createDataFrame([("T1",), ("T2",), (None,)], "ticker string"), "ticker")
     inside = landing.r.store.read("prices", landing.r.bar_schema, buckets=touched).count() - 4  # the rows of the batch
     assert kept == inside and shuffles == 0
+
+
+@pytest.mark.parametrize("level", ["week", "month", "day"])
+def test_a_level_is_grouped_before_its_buckets_are_named(spark, level):
+    from tidemark.operators.levels import rollup
+    from tidemark.operators.series import bucket_key
+
+    bars = spark.createDataFrame([(f"T{i % 3}", day("2019-12-20") + dt.timedelta(days=i), float(i)) for i in range(60)] + [("T1", None, 1.0), ("T1", day("2020-01-01"), None)], "ticker string, date date, close double")
+    want = bars.where("close IS NOT NULL").groupBy("ticker", bucket_key(F.col("date"), F.lit(level)).alias("key")).agg(F.count(F.lit(1)), F.min("date"), F.max("date"), F.max_by("close", "date"))
+    order = lambda rows: sorted((tuple(r) for r in rows), key=str)
+    got = rollup(bars, level)
+    assert order(got.collect()) == order(want.collect())
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "weekofyear" not in plan[plan.index("Aggregate"):] or level != "week"
+    assert "date_format" not in plan[plan.index("Aggregate"):] or level != "month"

@@ -20,8 +20,9 @@ ROW = ["ticker", "key", "n", "first", "date", "close"]
 
 def rollup(prices: DataFrame, level: str) -> DataFrame:
     """``(ticker, key, n, first, date, close)`` of each day, week or month; a ticker's rows change only with its own bars."""
-    p = prices.where("close IS NOT NULL").withColumn("key", bucket_key(F.col("date"), F.lit(level)))
-    return p.groupBy("ticker", "key").agg(F.count(F.lit(1)).alias("n"), F.min("date").alias("first"), F.max("date").alias("last"), F.max_by("close", "date").alias("close")).select("ticker", "key", "n", "first", F.col("last").alias("date"), "close")
+    begins = F.col("date") if level == "day" else F.trunc("date", level)  # grouped by a day, named once it is whole
+    g = prices.where("close IS NOT NULL").groupBy("ticker", begins.alias("begins")).agg(F.count(F.lit(1)).alias("n"), F.min("date").alias("first"), F.max("date").alias("last"), F.max_by("close", "date").alias("close"))
+    return g.select("ticker", bucket_key(F.col("first"), F.lit(level)).alias("key"), "n", "first", F.col("last").alias("date"), "close")
 
 
 def _within(prices: DataFrame, levels: dict[str, DataFrame], level: str, range_name: str, today: str) -> DataFrame:

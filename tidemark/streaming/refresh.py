@@ -173,10 +173,7 @@ class Refresh:
         tickers = self.feed.keys("levels", *upto).select(F.col("key").alias("ticker"))
         bars = self._prices_of(tickers)
         for name in LEVELS:
-            fresh = rollup(bars, name)
-            generation, touched = self.store.next_generation(name), self.store.touched(name, tickers, "ticker")
-            held = self.store.read(name, fresh.schema, buckets=touched)
-            self.store.write(replace_keys(held, fresh, ["ticker"], tickers), name, "ticker", generation, touched)
+            self.store.replace(name, "ticker", rollup(bars, name), tickers)
         self.feed.done("levels", upto)
         return "ok", "written"
 
