@@ -248,3 +248,21 @@ def test_a_level_is_grouped_before_its_buckets_are_named(spark, level):
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "weekofyear" not in plan[plan.index("Aggregate"):] or level != "week"
     assert "date_format" not in plan[plan.index("Aggregate"):] or level != "month"
+
+
+def test_rows_of_other_companies_and_tickers_are_not_shuffled(landing, monkeypatch):
+    landing.facts([(i, "2021-02-01", float(i)) for i in range(1, 31)])
+    landing.bars([(f"T{i}", d, float(i)) for i in range(1, 31) for d in ("2021-01-04", "2021-02-04")])
+    landing.go()
+    seen = _written(monkeypatch)
+    landing.bars([("T3", "2021-02-05", 33.0)])
+    landing.facts([(4, "2021-03-01", 44.0)])
+    landing.go()
+    tables = {t for t, _, _ in seen}
+    assert tables == {"prices", "facts", "fundamentals", "snapshot", "figures", "week", "month"}
+    assert all(kept and not shuffles for _, kept, shuffles in seen), seen
+    figures = landing.r.store.read("figures", rf.ticker_figures(landing.r.prices()).schema)
+    assert sorted(map(tuple, figures.collect())) == sorted(map(tuple, rf.ticker_figures(landing.r.prices()).collect()))
+    for name, level in landing.r.levels().items():
+        assert sorted(map(tuple, level.collect())) == sorted(map(tuple, rf.rollup(landing.r.prices(), name).collect()))
+    assert {r.cik: (r.price, r.total_assets) for r in landing.r.snapshot().collect()} == {i: (33.0 if i == 3 else float(i), 44.0 if i == 4 else float(i)) for i in range(1, 31)}

@@ -21,7 +21,7 @@ from ..operators.fundamentals import detect_splits, fundamentals
 from ..operators.levels import LEVELS, rollup
 from ..operators.sentiment import reading, ticker_figures
 from ..operators.snapshot import snapshot
-from ..sources.filings import last_written, rebased_tickers, replace_keys
+from ..sources.filings import last_written, rebased_tickers
 from .feed import Feed
 from .store import Store
 
@@ -147,10 +147,7 @@ class Refresh:
         upto = self.feed.pending("sentiment")
         if upto:
             tickers = self.feed.keys("sentiment", *upto).select(F.col("key").alias("ticker"))
-            fresh = ticker_figures(self._prices_of(tickers))
-            generation, touched = self.store.next_generation("figures"), self.store.touched("figures", tickers, "ticker")
-            held = self.store.read("figures", fresh.schema, buckets=touched)
-            self.store.write(replace_keys(held, fresh, ["ticker"], tickers), "figures", "ticker", generation, touched)
+            self.store.replace("figures", "ticker", ticker_figures(self._prices_of(tickers)), tickers)
             self.feed.done("sentiment", upto)
         figures = self.store.read("figures", ticker_figures(self.store.spark.createDataFrame([], self.bar_schema)).schema)
         made = reading(figures, self.as_of).where("score IS NOT NULL")
